@@ -1,0 +1,43 @@
+"""Ordered text lists per key, split over several lines when a key is very large."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fleetlens.functions.semantics import left_join_null_safe
+
+PER_LINE = 10_000
+
+
+def joined_text(
+    df: DataFrame,
+    keys: Sequence[str],
+    item: str,
+    *,
+    separator: str = ", ",
+    name: str = "items",
+    per_line: int = PER_LINE,
+) -> DataFrame:
+    """One ordered list per key, with a ``line_no``.
+
+    A key with at most ``per_line`` items has a single line 1. A larger key is
+    spread over as many lines as it needs by a digest of the item, so no item is
+    dropped and no task holds more than about ``per_line`` of them.
+    """
+    keys = list(keys)
+    sizes = (
+        df.groupBy(*keys)
+        .agg(F.count(item).alias("_n"))
+        .filter(F.col("_n") > per_line)
+        .select(*keys, F.ceil(F.col("_n") / F.lit(per_line)).alias("_lines"))
+    )
+    rows = left_join_null_safe(df.select(*keys, F.col(item).cast("string").alias("_item")), sizes, keys)
+    digest = F.conv(F.substring(F.md5("_item"), 1, 8), 16, 10).cast("long")
+    numbered = rows.withColumn("line_no", F.coalesce(digest % F.col("_lines"), F.lit(0)) + 1)
+    quoted = separator.replace("'", "''")
+    return numbered.groupBy(*keys, "line_no").agg(
+        F.expr(f"listagg(_item, '{quoted}') within group (order by _item)").alias(name)
+    )
