@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["capacity"]
+MODULES = ["capacity", "series"]
 
 
 def load() -> None:
