@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["capacity", "series"]
+MODULES = ["capacity", "series", "tables", "inventory"]
 
 
 def load() -> None:
