@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["capacity", "series", "tables", "inventory"]
+MODULES = ["capacity", "series", "tables", "inventory", "backups"]
 
 
 def load() -> None:
