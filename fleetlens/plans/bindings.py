@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["capacity", "series", "tables", "inventory", "backups"]
+MODULES = ["capacity", "series", "tables", "inventory", "backups", "locks", "health", "usage", "alerts"]
 
 
 def load() -> None:
