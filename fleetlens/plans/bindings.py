@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["capacity", "series", "tables", "inventory", "backups", "locks", "health", "usage", "alerts", "sources"]
+MODULES = ["capacity", "series", "tables", "inventory", "backups", "locks", "health", "usage", "alerts", "sources", "streams"]
 
 
 def load() -> None:
