@@ -9,8 +9,13 @@ from fleetlens.streaming import operators as st
 from fleetlens.streaming import stateful as sf
 
 
+# Bounds a micro-batch, and with it the rows of one series that a stateful processor sees at once.
+BATCH_LIMIT = 1 << 30
+
+
 def event_stream(t):
-    return t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    reader = t.spark.readStream.schema(t.events.schema).option("maxBytesPerTrigger", BATCH_LIMIT)
+    return reader.option("pathGlobFilter", "events.parquet").parquet(t.folder)
 
 
 def drained(t, name, stream, mode="append"):

@@ -2,8 +2,9 @@
 
 These need the order of samples within one series, so they run as stateful
 processors. State is one row per series (a short list for the panel), never the
-series itself. The rows of one series in one micro-batch are handled together;
-the source's rate limit bounds how many those are.
+series itself. The rows of one series in one micro-batch are handled together,
+so read the source with a rate limit (``maxBytesPerTrigger``); history is replayed
+with the batch forms, which have no such group.
 """
 
 from __future__ import annotations
@@ -52,8 +53,10 @@ class ChangeNotifier(StatefulProcessor):
             else:
                 continue
             state, notified = new, int(at)
-            out.append((*key, int(seq), np.datetime64(at, "us"), new, decision))
+            out.append((*key, int(seq), np.datetime64(int(at), "us"), new, decision))
         self.last.update((state, notified))
+        if not out:
+            return
         yield pd.DataFrame(out, columns=["key", "seq", "ts", "state", "decision"])
 
     def close(self) -> None:
