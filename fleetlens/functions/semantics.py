@@ -112,6 +112,11 @@ def short_host(host: ColumnLike, case: str | None = None) -> Column:
     return {"upper": F.upper, "lower": F.lower, None: lambda c: c}[case](out)
 
 
+def one_or_struct(*cs: ColumnLike) -> Column:
+    """A plain column when there is one, else a struct; plain values keep hash aggregation possible."""
+    return col(cs[0]) if len(cs) == 1 else F.struct(*[col(c) for c in cs])
+
+
 def flagged(flag: ColumnLike, value: str = "Y") -> Column:
     return col(flag) == F.lit(value)
 

@@ -21,6 +21,7 @@ from fleetlens.functions.semantics import (
     midnight,
     not_disabled,
     ntz,
+    one_or_struct,
     percent,
 )
 from fleetlens.operators.lists import joined_text
@@ -61,23 +62,30 @@ def band_compare(
     """
     keys = columns(keys)
     bands = capacity_bands(as_of)
-    order = F.struct(ts, *tie_break)
-    picked = F.struct(F.coalesce(F.col(pct), F.lit(0)).alias("pct"), *[F.col(c) for c in extra])
+    order = one_or_struct(ts, *tie_break)
+    used = F.coalesce(F.col(pct), F.lit(0))
+
+    def pick(value: Column, band: Band, name: str) -> Column:
+        return F.max_by(value, F.when(band.contains(ts), order)).alias(name)
+
     wide = (
         df.filter(F.col(ts) >= ntz(earliest(bands)))
         .groupBy(*keys)
-        .agg(*[F.max_by(picked, F.when(b.contains(ts), order)).alias(b.name) for b in bands])
+        .agg(
+            *[pick(used, b, f"_{b.name}") for b in bands],
+            *[pick(F.col(c), bands[0], c) for c in extra],
+        )
     )
     need = bands if how == "inner" else bands[:1]
     for band in need:
-        wide = wide.filter(F.col(band.name).isNotNull())
-    now, day, week, month = (F.col(b.name)["pct"] for b in bands)
+        wide = wide.filter(F.col(f"_{band.name}").isNotNull())
+    now, day, week, month = (F.col(f"_{b.name}") for b in bands)
     day_base = F.coalesce(day, F.lit(0))
     week_base = F.coalesce(week, day_base)
     month_base = F.coalesce(month, week_base)
     return wide.select(
         *keys,
-        *[F.col("now")[c].alias(c) for c in extra],
+        *extra,
         now.alias("now_pct"),
         day.alias("yesterday_raw"),
         week.alias("lastweek_raw"),
@@ -216,7 +224,7 @@ def growth_report(
     """
     horizons = horizons or {"month": 31, "six_month": 183, "year": 365}
     size = F.coalesce(F.col(value), F.lit(0))
-    order = F.struct(ts, *tie_break)
+    order = one_or_struct(ts, *tie_break)
     since = {name: instant(as_of) - timedelta(days=d) for name, d in horizons.items()}
     wide = df.groupBy(key).agg(
         F.max(ts).alias("date_now"),
@@ -255,7 +263,7 @@ def usage_bar(pct: Column) -> Column:
     """Twenty characters, one X per five percent."""
     marks = F.floor(F.round(pct, 2) / 5).cast("int")
     return (
-        F.when(pct.isNull(), F.lit("[-------OFFLINE------]"))
+        F.when(pct.isNull(), F.lit("[------OFFLINE-------]"))
         .otherwise(cat("[", F.rpad(F.repeat(F.lit("X"), marks), 20, "-"), "]"))
     )
 

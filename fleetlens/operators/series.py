@@ -76,13 +76,12 @@ def lag_panel(
     keys = columns(keys)
     depth = max(offsets) + 1
     window = Window.partitionBy(*keys).orderBy(*newest_first(ts, value, *tie_break))
-    tail = df.select(*keys, ts, value, *[c for c in tie_break if c not in (ts, value)]).withColumn(
-        "_back", F.row_number().over(window) - 1
-    )
-    tail = tail.filter(F.col("_back") < depth)
+    rows = df.select(*keys, ts, value, *[c for c in tie_break if c not in (ts, value)])
+    # The filter is on the bare row number: that is what lets Spark limit groups before the shuffle.
+    tail = rows.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= depth)
 
     def at(c: str, k: int) -> Column:
-        return F.max(F.when(F.col("_back") == k, F.col(c)))
+        return F.max(F.when(F.col("_rank") == k + 1, F.col(c)))
 
     return tail.groupBy(*keys).agg(
         at(ts, 0).alias(ts), at(value, 0).alias("now_value"), *[at(value, k).alias(f"back_{k}") for k in offsets]
@@ -216,6 +215,17 @@ def gap_check(
     )
 
 
+def log_switch_verdict(
+    df: DataFrame, partition, order: Sequence[str], ts: str, *, since, limit: int = 60, target_s: float | None = None
+) -> DataFrame:
+    """Per thread: WARNING after a burst, else ERROR after too long a gap, else OK."""
+    keys = columns(partition)
+    bursts = burst_check(df, keys, ts, limit).select(*keys).distinct().withColumn("_burst", F.lit(True))
+    gaps = gap_check(df, keys, order, ts, since=since, target_s=target_s).drop("status")
+    verdict = F.when(F.col("_burst"), "WARNING").when(F.col("gap_seconds") > F.col("target"), "ERROR").otherwise("OK")
+    return gaps.join(bursts, keys, "full_outer").withColumn("verdict", verdict).drop("_burst")
+
+
 def peak_daily_volume(events: DataFrame, sizes: DataFrame, ts: str, size: str) -> DataFrame:
     """Largest daily event count times the mean file size, in rounded megabytes."""
     daily = events.groupBy(F.to_date(ts).alias("day")).agg(F.count("*").alias("n"))

@@ -163,6 +163,20 @@ def m09(t):
     )
 
 
+@query(
+    "m09_log_switch_verdict",
+    f"""WITH l AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events),
+    g AS (SELECT user_id, round(max((epoch_us(ts) - epoch_us(before)) / 1000000.0), 2) AS gap_seconds, 86400.0::DOUBLE AS target,
+      '1 DAY' AS target_type FROM l WHERE before IS NOT NULL AND ts > {EVENT_NOW} - INTERVAL 20 DAY GROUP BY user_id),
+    b AS (SELECT DISTINCT user_id FROM (SELECT user_id FROM events GROUP BY user_id, date_trunc('hour', ts) HAVING count(*) > 2))
+    SELECT coalesce(g.user_id, b.user_id) AS user_id, gap_seconds, target, target_type, CASE WHEN b.user_id IS NOT NULL THEN 'WARNING'
+      WHEN gap_seconds > target THEN 'ERROR' ELSE 'OK' END AS verdict FROM g FULL JOIN b ON g.user_id = b.user_id""",
+)
+def m09_verdict(t):
+    events = t.events.select("user_id", "event_id", "ts")
+    return series.log_switch_verdict(events, "user_id", ["event_id"], "ts", since=NOW - timedelta(days=20), limit=2)
+
+
 @query(
     "m10_peak_daily_volume",
     """SELECT max(round(n * (SELECT CAST(sum(l_quantity * 1048576) AS DOUBLE) / count(*) FROM lineitem) / 1024 / 1024))
