@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.functions.semantics import columns, epoch_micros, left_join_null_safe
+from fleetlens.functions.semantics import columns, epoch_micros, left_join_null_safe, one_or_struct
 
 ROWS_PER_SLICE = 5_000_000
 MAX_LEVELS = 3
@@ -44,8 +44,9 @@ def sliced(df: DataFrame, keys: Sequence[str], order: str, rows_per_slice: int)
     levels: list[str] = []
     for depth in range(1, MAX_LEVELS + 1):
         group = [*keys, *levels]
+        still = out.filter(F.col(levels[-1]) >= 0) if levels else out
         oversized = (
-            out.groupBy(*group)
+            still.groupBy(*group)
             .agg(F.count("*").alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"))
             .filter((F.col("_n") > rows_per_slice) & (F.col("_hi") > F.col("_lo")))
         )
@@ -58,7 +59,8 @@ def sliced(df: DataFrame, keys: Sequence[str], order: str, rows_per_slice: int)
             "_lo",
             F.greatest(
                 F.lit(1),
-                F.ceil((F.col("_hi") - F.col("_lo") + 1) * F.lit(rows_per_slice) / F.col("_n")),
+                # Half the limit per slice on average, so that an even series needs one level only.
+                F.ceil((F.col("_hi") - F.col("_lo") + 1) * F.lit(rows_per_slice) / (F.col("_n") * 2)),
             ).alias("_width"),
         )
         out = (
@@ -90,17 +92,20 @@ def with_previous(
     if not levels:
         return work.select("*", *lagged)
 
+    # Column by column, so that a single order column leaves this a hash aggregate.
     last = work.filter(F.col(levels[0]) >= 0).groupBy(*keys, *levels).agg(
-        F.max_by(F.struct(*carry), F.struct(*order)).alias("_last")
+        *[F.max_by(c, one_or_struct(*order)).alias(f"_last_{c}") for c in carry]
     )
     across = Window.partitionBy(*keys).orderBy(*levels)
-    before = last.select(*keys, *levels, F.lag("_last").over(across).alias("_before"))
+    before = last.select(
+        *keys, *levels, *[F.lag(f"_last_{c}").over(across).alias(f"_before_{c}") for c in carry]
+    )
     inside = work.select("*", *lagged, F.row_number().over(window).alias("_rn"))
     joined = left_join_null_safe(inside, before, [*keys, *levels])
     return joined.select(
         *df.columns,
         *[
-            F.when(F.col("_rn") == 1, F.col("_before")[c]).otherwise(F.col(prefix + c)).alias(prefix + c)
+            F.when(F.col("_rn") == 1, F.col(f"_before_{c}")).otherwise(F.col(prefix + c)).alias(prefix + c)
             for c in carry
         ],
     )

@@ -65,9 +65,8 @@ def c01(t):
 
 
 def compare(t, how="inner"):
-    return cap.band_compare(
-        usage_history(t), ENTITY, "ts", "pctused", AS_OF, how=how, tie_break=["event_id"], extra=["value"]
-    )
+    # History is keyed by entity and time, so the latest row of a band is unique without a tie-break.
+    return cap.band_compare(usage_history(t), ENTITY, "ts", "pctused", AS_OF, how=how, extra=["value"])
 
 
 @query("c02_band_compare", band_sql() + " SELECT * FROM b")
@@ -115,8 +114,7 @@ def c03c(t):
 
 @query("c04_capacity_summary", f"{band_sql('LEFT JOIN')} SELECT * EXCLUDE (value), {ladder_sql(90, 50, 95, 98)} FROM b")
 def c04(t):
-    history = usage_history(t)
-    rows = cap.band_compare(history, ENTITY, "ts", "pctused", AS_OF, how="left", tie_break=["event_id"])
+    rows = cap.band_compare(usage_history(t), ENTITY, "ts", "pctused", AS_OF, how="left")
     return cap.growth_status(rows, t_day=90)
 
 

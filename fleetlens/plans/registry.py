@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Fixed reference times: just after the last event and the last order.
 AS_OF = "2024-01-30 23:59:59"
@@ -14,8 +15,11 @@ EVENT_NOW = f"TIMESTAMP '{AS_OF}'"
 ORDER_NOW = f"TIMESTAMP '{ORDERS_AS_OF}'"
 
 
+SCHEMAS: dict[str, StructType] = {}
+
+
 class Tables:
-    """Lazy access to the driver tables of one scale factor."""
+    """Lazy access to the driver tables of one scale factor; a file's schema is inferred once."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -24,7 +28,12 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        if path not in SCHEMAS:
+            SCHEMAS[path] = self.spark.read.parquet(path).schema
+        table = self.spark.read.schema(SCHEMAS[path]).parquet(path)
+        setattr(self, name, table)
+        return table
 
     def rows(self, data: list[tuple], schema: str) -> DataFrame:
         """A small rule table kept next to the query that uses it."""

@@ -13,8 +13,11 @@ TODAY = "TIMESTAMP '2024-01-30'"
 
 
 def metric_history(t):
-    """Event values as an exact two-decimal metric."""
-    return t.events.select("event_id", *ENTITY, "ts", F.col("value").cast("decimal(18,2)").alias("value"))
+    """Event values as whole hundredths, so that sums are exact in any order."""
+    return t.events.select("event_id", *ENTITY, "ts", F.round(F.col("value") * 100).cast("long").alias("value"))
+
+
+CENTS = "CAST(round(value * 100) AS BIGINT)"
 
 
 EVENT_MAP = [("click", "WAIT: READ"), ("view", "WAIT: READ"), ("purchase", "WAIT: WRITE"), ("error", "WAIT: NETWORK")]
@@ -35,30 +38,29 @@ def m01(t):
 
 @query(
     "m02_ratio_metric",
-    """SELECT user_id, 1.0::DOUBLE - CAST(sum(CAST(value AS DECIMAL(18,2))) FILTER (WHERE event_type = 'error') AS DOUBLE)
-      / CAST(sum(CAST(value AS DECIMAL(18,2))) FILTER (WHERE event_type IN ('click', 'view')) AS DOUBLE) AS ratio
+    f"""SELECT user_id, 1.0::DOUBLE - CAST(sum({CENTS}) FILTER (WHERE event_type = 'error') AS DOUBLE)
+      / CAST(sum({CENTS}) FILTER (WHERE event_type IN ('click', 'view')) AS DOUBLE) AS ratio
     FROM events GROUP BY user_id""",
 )
 def m02(t):
     return series.ratio_metric(metric_history(t), "event_type", "value", ["error"], ["click", "view"], "user_id")
 
 
-LAG_SQL = """p AS (SELECT user_id, event_type, ts, value AS now_value, lag(value, 1) OVER w AS back_1,
-      lag(value, 2) OVER w AS back_2, lag(value, 3) OVER w AS back_3, lag(value, 6) OVER w AS back_6,
-      lag(value, 9) OVER w AS back_9, lag(value, 12) OVER w AS back_12 FROM events
+LAG_SQL = f"""p AS (SELECT user_id, event_type, ts, {CENTS} AS now_value, lag({CENTS}, 1) OVER w AS back_1,
+      lag({CENTS}, 2) OVER w AS back_2, lag({CENTS}, 3) OVER w AS back_3, lag({CENTS}, 6) OVER w AS back_6,
+      lag({CENTS}, 9) OVER w AS back_9, lag({CENTS}, 12) OVER w AS back_12 FROM events
     WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, value, event_id)
     QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, value DESC, event_id DESC) = 1)"""
 
 
 @query("m03_lag_panel", f"WITH {LAG_SQL} SELECT * FROM p")
 def m03(t):
-    history = t.events.select("event_id", *ENTITY, "ts", "value")
-    return series.lag_panel(history, ENTITY, "ts", "value", tie_break=["event_id"])
+    return series.lag_panel(metric_history(t), ENTITY, "ts", "value", tie_break=["event_id"])
 
 
 def _avg_sql(name: str, test: str) -> str:
     return f"""{name} AS (SELECT user_id, event_type,
-      CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(value) AS a FROM events WHERE {test} GROUP BY ALL)"""
+      CAST(sum({CENTS}) AS DOUBLE) / count(value) AS a FROM events WHERE {test} GROUP BY ALL)"""
 
 
 # Bands of days instead of minutes: the driver events are sparse.
@@ -201,9 +203,8 @@ def m11(t):
 
 @query(
     "m12_sample_rollup",
-    """SELECT user_id, event_type, date_trunc('hour', ts) AS hour, count(value) AS samples,
-      CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(value) AS mean_value,
-      CAST(min(value) AS DECIMAL(18,2)) AS min_value, CAST(max(value) AS DECIMAL(18,2)) AS max_value
+    f"""SELECT user_id, event_type, date_trunc('hour', ts) AS hour, count(value) AS samples,
+      CAST(sum({CENTS}) AS DOUBLE) / count(value) AS mean_value, min({CENTS}) AS min_value, max({CENTS}) AS max_value
     FROM events GROUP BY ALL""",
 )
 def m12(t):
