@@ -322,7 +322,7 @@ def container_totals(usage: DataFrame) -> DataFrame:
 def container_alerts(
     usage: DataFrame, owner: str, name: str, *, pct: float = 89, exclude_kinds=(" (u) ", " (t) ")
 ) -> DataFrame:
-    """One message per owner listing the containers above ``pct`` of their maximum."""
+    """One message per owner: the containers above ``pct`` of their maximum, or that there are none."""
     over = (
         usage.filter(~F.col("kind").isin(*exclude_kinds))
         .withColumn("_pct", F.round("pct_max_used").cast("long"))
@@ -331,9 +331,17 @@ def container_alerts(
         .distinct()
     )
     lists = joined_text(over, [owner], "item", separator="; ", name="containers")
-    return lists.withColumn(
-        "message",
-        cat("** ERROR - tablespace alerts on ", F.col(owner).cast("string"), ": ", F.col("containers"), " **"),
+    who = F.col(owner).cast("string")
+    return (
+        usage.select(owner)
+        .distinct()
+        .join(lists, owner, "left")
+        .withColumn(
+            "message",
+            F.when(F.col("containers").isNull(), cat("** No tablespace alerts for ", who, " **")).otherwise(
+                cat("** ERROR - tablespace alerts on ", who, ": ", F.col("containers"), " **")
+            ),
+        )
     )
 
 

@@ -93,6 +93,21 @@ def broken_jobs(jobs: DataFrame, brief_above: int = 10) -> DataFrame:
     )
 
 
+def broken_jobs_message(jobs: DataFrame, brief_above: int = 10, by=()) -> DataFrame:
+    """How many jobs are broken or failed, and whether all of them are listed."""
+    bad = F.coalesce((F.col("broken") == "Y") | (F.col("failures") > 0), F.lit(False))
+    n = F.col("n")
+    text = (
+        F.when(n < 1, "** No Unsuccessful or Broken Jobs Found **")
+        .when(
+            n > brief_above,
+            cat("** WARNING - ", n.cast("string"), " broken or failed jobs. ONLY FAILED JOBS will be listed. Please investigate further! **"),
+        )
+        .otherwise(cat("** WARNING - ", n.cast("string"), " failed or broken ", F.when(n == 1, "job").otherwise("jobs"), " found **"))
+    )
+    return jobs.groupBy(*columns(by)).agg(F.count_if(bad).alias("n")).select(*columns(by), text.alias("message"))
+
+
 def locked_stats(tables: DataFrame, by=()) -> DataFrame:
     """Number of tables with locked statistics outside system owners, with its verdict."""
     locked = F.col("stattype_locked").isNotNull() & ~F.col("owner").like("%SYS%")

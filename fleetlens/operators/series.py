@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.semantics import (
@@ -23,6 +23,57 @@ from fleetlens.operators.latest import newest_first
 from fleetlens.operators.series_order import ROWS_PER_SLICE, with_previous
 
 
+# Idle events, the group each wait event counts towards, and the statistics kept.
+IDLE_EVENTS = (
+    "SQL*Net message from client",
+    "SQL*Net more data from client",
+    "pmon timer",
+    "rdbms ipc message",
+    "rdbms ipc reply",
+    "smon timer",
+)
+WAIT_GROUPS = {
+    "WAIT: SINGLE BLOCK READ": ["db file sequential read"],
+    "WAIT: SQLNET WAITS": [
+        "SQL*Net message to client",
+        "SQL*Net message to dblink",
+        "SQL*Net more data to client",
+        "SQL*Net more data to dblink",
+        "SQL*Net break/reset to client",
+        "SQL*Net break/reset to dblink",
+    ],
+    "WAIT: MULTIBLOCK READ": ["db file scattered read"],
+    "WAIT: LOGWRITE": ["log file single write", "log file parallel write"],
+    "WAIT: IO WAITS": ["file identify", "file open"],
+    "WAIT: CONTROLFILE IO": [
+        "control file sequential read",
+        "control file single write",
+        "control file parallel write",
+    ],
+    "WAIT: DIRECTPATH READ": ["direct path read"],
+}
+OTHER_WAITS = "WAIT: OTHER WAITS"
+KEPT_STATISTICS = (
+    "db block gets",
+    "consistent gets",
+    "physical reads",
+    "physical reads direct",
+    "physical writes direct",
+    "table scans (direct read)",
+    "table scans (long tables)",
+    "table scans (rowid ranges)",
+    "table scans (short tables)",
+    "db_block_changes",
+    "redo writes",
+)
+
+
+def wait_mapping(spark: SparkSession) -> DataFrame:
+    """The wait groups as a mapping table for :func:`collect_metrics`."""
+    rows = [(event, metric) for metric, events in WAIT_GROUPS.items() for event in events]
+    return spark.createDataFrame(rows, "event string, metric string")
+
+
 def collect_metrics(
     events: DataFrame,
     mapping: DataFrame,
@@ -32,11 +83,13 @@ def collect_metrics(
     value: str = "total_waits",
     exclude: Sequence[str] = (),
     other: str | None = None,
+    zeros: bool = False,
 ) -> DataFrame:
     """Wide counters to long ``(metric, value)`` rows.
 
     ``mapping`` has ``event`` and ``metric``; events without a mapping go to the
-    metric named ``other`` when given. ``exclude`` lists events to ignore.
+    metric named ``other`` when given. ``exclude`` lists events to ignore. With
+    ``zeros`` a metric without events is reported as 0 for every group.
     """
     by = columns(by)
     rows = events.filter(~F.col(event).isin(list(exclude))) if exclude else events
@@ -44,12 +97,63 @@ def collect_metrics(
     sums = rows.groupBy(*by, F.col(event).alias("event")).agg(F.sum(value).alias("value"))
     named = sums.join(mapping.select("event", "metric"), "event", "left")
     metric = F.coalesce("metric", F.lit(other)) if other is not None else F.col("metric")
-    return (
-        named.withColumn("metric", metric)
-        .filter(F.col("metric").isNotNull())
-        .groupBy(*by, "metric")
-        .agg(F.sum("value").alias("value"))
-    )
+    found = named.select(*by, metric.alias("metric"), "value").filter(F.col("metric").isNotNull())
+    if zeros:
+        # The metric names are a short list; they travel as one array beside each group.
+        extra = F.array(*[F.lit(m) for m in ([other] if other is not None else [])]).cast("array<string>")
+        names = mapping.agg(F.array_union(F.collect_set("metric"), extra).alias("names"))
+        if by:
+            every = sums.select(*by).distinct().select(*by, F.explode(names.scalar()).alias("metric"))
+        else:
+            every = names.select(F.explode("names").alias("metric"))
+        found = found.unionByName(every.withColumn("value", F.lit(0).cast(sums.schema["value"].dataType)))
+    return found.groupBy(*by, "metric").agg(F.sum("value").alias("value"))
+
+
+def metric_snapshot(
+    waits: DataFrame,
+    sessions: DataFrame,
+    license: DataFrame,
+    stats: DataFrame,
+    pga: DataFrame,
+    sga: DataFrame,
+    by: str,
+    *,
+    mapping: DataFrame | None = None,
+    other: str = OTHER_WAITS,
+    exclude: Sequence[str] = IDLE_EVENTS,
+    statistics: Sequence[str] = KEPT_STATISTICS,
+) -> DataFrame:
+    """All metrics of a snapshot as ``(by, metric, value)``: waits, sessions, statistics and memory."""
+    gig = 1024.0**3
+
+    def row(df: DataFrame, metric: Column, value: Column) -> DataFrame:
+        return df.select(by, metric.alias("metric"), value.cast("double").alias("value"))
+
+    mapping = wait_mapping(waits.sparkSession) if mapping is None else mapping
+    groups = collect_metrics(waits, mapping, by=by, exclude=exclude, other=other, zeros=True)
+    current = sessions.groupBy(by).agg(F.count("username").alias("n"))
+    shared = sga.groupBy(by).agg(F.sum("bytes").alias("bytes"))
+    parts = [
+        row(groups, F.col("metric"), F.col("value")),
+        row(license, F.lit("SESSIONS: HIGHWATER"), F.col("sessions_highwater")),
+        row(current, F.lit("SESSIONS: CURRENT"), F.col("n")),
+        row(
+            stats.filter(F.col("name").isin(*statistics)),
+            F.concat(F.lit("STAT: "), F.upper("name")),
+            F.col("value"),
+        ),
+        row(
+            pga.filter(F.col("name") == "total PGA allocated"),
+            F.lit("MEMORY: PGA"),
+            F.round(F.col("value") / gig, 3),
+        ),
+        row(shared, F.lit("MEMORY: SGA"), F.round(F.col("bytes") / gig, 3)),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def ratio_metric(

@@ -83,7 +83,8 @@ def with_previous(
 ) -> DataFrame:
     """Add ``prev_<c>`` for each carried column: its value on the row before.
 
-    ``order`` must be a total order within a key (end it with a unique column).
+    ``order`` must be a total order of non-null values within a key (end it with
+    a unique column).
     """
     keys, order = columns(keys), columns(order)
     work, levels = sliced(df, keys, order[0], rows_per_slice)

@@ -194,11 +194,17 @@ def report_order(report: DataFrame) -> DataFrame:
     return report.orderBy(F.desc("gid"), F.asc_nulls_last("con_id"), dotted, F.asc_nulls_last("product"))
 
 
-def feature_detail(classified: DataFrame, dbid=None) -> DataFrame:
-    """One row per mapped feature with the text its condition looks at."""
+def feature_detail(classified: DataFrame, dbid=None, used_only: bool = False) -> DataFrame:
+    """One row per mapped feature with the text its condition looks at.
+
+    ``dbid`` restricts the rows to one database, ``used_only`` to features that
+    were ever used.
+    """
     rows = classified.filter(F.col("usage_class") != NO_PAST_USAGE)
     if dbid is not None:
         rows = rows.filter(F.col("dbid") == dbid)
+    if used_only:
+        rows = rows.filter(F.col("last_usage_date").isNotNull() | (F.col("detected_usages") > 0))
     condition, info = F.col("condition"), F.col("feature_info")
     extra = (
         F.when(condition == "C001", F.regexp_substr(info, F.lit(SHOWN_TEXT["C001"])))

@@ -310,9 +310,11 @@ def c10_totals(t):
     "c11_container_alerts",
     f"""WITH {CONTAINER_SQL}, o AS (SELECT database_name,
         container || '(' || CAST(round(pct_max_used) AS BIGINT) || '%)' AS item FROM usage
-      WHERE kind = '' AND round(pct_max_used) > 26),
+      WHERE kind = '' AND round(pct_max_used) > 26 AND pct_used > 0),
     a AS (SELECT database_name, 1 AS line_no, string_agg(item, '; ' ORDER BY item) AS containers FROM o GROUP BY ALL)
-    SELECT *, '** ERROR - tablespace alerts on ' || database_name || ': ' || containers || ' **' AS message FROM a""",
+    SELECT database_name, line_no, containers, CASE WHEN containers IS NULL THEN '** No tablespace alerts for ' || database_name || ' **'
+      ELSE '** ERROR - tablespace alerts on ' || database_name || ': ' || containers || ' **' END AS message
+    FROM (SELECT DISTINCT database_name FROM usage WHERE pct_used > 0) LEFT JOIN a USING (database_name)""",
 )
 def c11(t):
     return cap.container_alerts(usage(t), "database_name", "container", pct=26)
@@ -435,7 +437,7 @@ PARAMS = [
     SELECT e.*, coalesce(
       (SELECT max(val) FROM p WHERE n = container AND par = database_name AND gp = server),
       (SELECT max(val) FROM p WHERE n = database_name AND par = server AND gp IS NULL),
-      (SELECT max(val) FROM p WHERE n = server AND par IS NULL AND gp IS NULL), 95.0) AS threshold FROM e""",
+      (SELECT max(val) FROM p WHERE n = server AND par IS NULL AND gp IS NULL), 95.0::DOUBLE) AS threshold FROM e""",
 )
 def c17(t):
     params = t.rows(PARAMS, "param_name string, param_parent string, param_grand_parent string, param_value_num double")

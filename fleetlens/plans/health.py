@@ -130,6 +130,17 @@ def h05_full(t):
     return hl.broken_jobs(batch_jobs(t), brief_above=1_000_000_000_000)
 
 
+@query(
+    "h05_broken_jobs_message",
+    f"""WITH {JOBS_SQL}, c AS (SELECT log_user, count(*) FILTER (WHERE broken = 'Y' OR failures > 0) AS n FROM j GROUP BY log_user)
+    SELECT log_user, CASE WHEN n < 1 THEN '** No Unsuccessful or Broken Jobs Found **'
+      WHEN n > 10 THEN '** WARNING - ' || n || ' broken or failed jobs. ONLY FAILED JOBS will be listed. Please investigate further! **'
+      ELSE '** WARNING - ' || n || ' failed or broken ' || CASE WHEN n = 1 THEN 'job' ELSE 'jobs' END || ' found **' END AS message FROM c""",
+)
+def h05_message(t):
+    return hl.broken_jobs_message(batch_jobs(t), by="log_user")
+
+
 @query(
     "h06_locked_stats",
     """SELECT p_type AS kind, count(*) FILTER (WHERE p_size > 25 AND p_brand NOT LIKE '%2%') AS locked_tables,

@@ -69,7 +69,9 @@ def sql_values(data: list[tuple]) -> str:
     def literal(v):
         if v is None:
             return "NULL"
-        return str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
+        if isinstance(v, float):
+            return f"{v}::DOUBLE"
+        return str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
 
     return ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in data)
 

@@ -36,6 +36,41 @@ def m01(t):
     return series.collect_metrics(counters, mapping, by="user_id", event="event_type", other="WAIT: OTHER")
 
 
+@query(
+    "m01_metric_snapshot",
+    f"""WITH m AS (SELECT * FROM (VALUES {sql_values(EVENT_MAP)}) v(event, metric)),
+    w AS (SELECT user_id, coalesce(metric, 'WAIT: OTHER') AS metric, {CENTS} AS value FROM events
+        LEFT JOIN m ON event_type = event WHERE event_type <> 'error'
+      UNION ALL SELECT DISTINCT user_id, metric, 0 FROM (SELECT DISTINCT user_id FROM events WHERE event_type <> 'error') u,
+        (SELECT metric FROM m UNION SELECT 'WAIT: OTHER') k)
+    SELECT user_id, metric, CAST(sum(value) AS DOUBLE) AS value FROM w GROUP BY ALL
+    UNION ALL SELECT c_custkey, 'SESSIONS: HIGHWATER', c_nationkey FROM customer
+    UNION ALL SELECT o_custkey, 'SESSIONS: CURRENT', count(CASE WHEN o_orderstatus <> 'P' THEN 1 END) FROM orders GROUP BY o_custkey
+    UNION ALL SELECT p_partkey, 'STAT: ' || upper(p_type), p_size FROM part WHERE p_type IN ('SMALL', 'LARGE')
+    UNION ALL SELECT s_suppkey, 'MEMORY: PGA', s_nationkey FROM supplier
+    UNION ALL SELECT l_suppkey, 'MEMORY: SGA', round(sum(CAST(l_quantity AS BIGINT)) / 8, 3) FROM lineitem GROUP BY l_suppkey""",
+)
+def m01_snapshot(t):
+    waits = t.events.select("user_id", F.col("event_type").alias("event"), F.round(F.col("value") * 100).cast("long").alias("total_waits"))
+    return series.metric_snapshot(
+        waits,
+        t.orders.select(F.col("o_custkey").alias("user_id"), F.when(F.col("o_orderstatus") != "P", "U").alias("username")),
+        t.customer.select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("sessions_highwater")),
+        t.part.select(F.col("p_partkey").alias("user_id"), F.col("p_type").alias("name"), F.col("p_size").alias("value")),
+        t.supplier.select(
+            F.col("s_suppkey").alias("user_id"),
+            F.lit("total PGA allocated").alias("name"),
+            (F.col("s_nationkey") * F.lit(float(1 << 30))).alias("value"),
+        ),
+        t.lineitem.select(F.col("l_suppkey").alias("user_id"), (F.col("l_quantity").cast("long") * (1 << 27)).alias("bytes")),
+        "user_id",
+        mapping=t.rows(EVENT_MAP, "event string, metric string"),
+        other="WAIT: OTHER",
+        exclude=["error"],
+        statistics=["SMALL", "LARGE"],
+    )
+
+
 @query(
     "m02_ratio_metric",
     f"""SELECT user_id, 1.0::DOUBLE - CAST(sum({CENTS}) FILTER (WHERE event_type = 'error') AS DOUBLE)

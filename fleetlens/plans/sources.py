@@ -58,6 +58,56 @@ def i01_metric(t):
     return rd.read_delimited(t.spark, path, rd.METRIC_LOAD)
 
 
+@query(
+    "i01_read_tablespace_load",
+    """SELECT 'srv' || s_nationkey AS server, 'DB' || s_nationkey AS database_name, 'TS' || s_suppkey AS tablespace_name,
+      TIMESTAMP '2024-01-05 10:11:12' AS space_time, CAST(s_acctbal AS DECIMAL(9,2)) AS meg_data, NULL::DECIMAL(9,2) AS meg_free,
+      CAST(s_suppkey AS DECIMAL(9,2)) AS meg_used, NULL::DECIMAL(9,2) AS meg_temp FROM supplier""",
+)
+def i01_tablespace(t):
+    line = F.concat_ws(
+        ", ",
+        F.concat(F.lit("srv"), "s_nationkey"),
+        F.concat(F.lit("DB"), "s_nationkey"),
+        F.concat(F.lit("TS"), "s_suppkey"),
+        F.lit("05-01-24 10:11:12"),
+        F.col("s_acctbal").cast("decimal(9,2)").cast("string"),
+        F.lit(""),
+        F.col("s_suppkey").cast("string"),
+    )
+    return rd.read_delimited(t.spark, written(t, "tablespace", t.supplier.select(line.alias("line"))), rd.TABLESPACE_LOAD)
+
+
+@query(
+    "i01_read_total_load",
+    """SELECT c_name AS database_name, 'srv' || c_nationkey AS server, TIMESTAMP '2024-01-05 10:11:12' AS space_time,
+      CAST(c_acctbal AS DECIMAL(9,2)) AS gig_data, CAST(1.5 AS DECIMAL(9,2)) AS gig_free, CAST(c_custkey AS DECIMAL(9,2)) AS gig_used,
+      CAST(0 AS DECIMAL(9,2)) AS gig_temp FROM customer""",
+)
+def i01_total(t):
+    line = F.concat_ws(
+        ", ",
+        "c_name",
+        F.concat(F.lit("srv"), "c_nationkey"),
+        F.lit("05-01-24 10:11:12"),
+        F.col("c_acctbal").cast("decimal(9,2)").cast("string"),
+        F.lit("1.5"),
+        F.col("c_custkey").cast("string"),
+        F.lit("0"),
+    )
+    return rd.read_delimited(t.spark, written(t, "total", t.customer.select(line.alias("line"))), rd.TOTAL_LOAD)
+
+
+@query(
+    "i01_read_reconcile_load",
+    "SELECT c_name AS database_name, c_custkey + 1000 AS dbid, 'host' || c_nationkey AS host_name FROM customer",
+)
+def i01_reconcile(t):
+    dbid = (F.col("c_custkey") + 1000).cast("string")
+    line = F.concat_ws(", ", "c_name", dbid, F.concat(F.lit("host"), "c_nationkey"))
+    return rd.read_delimited(t.spark, written(t, "reconcile", t.customer.select(line.alias("line"))), rd.RECONCILE_LOAD)
+
+
 @query(
     "i02_read_space_delimited",
     """SELECT '/ctl/' || s_suppkey || '.dbf' AS full_file_name, s_suppkey || '.dbf' AS file_name, '/ctl' AS dir_name,

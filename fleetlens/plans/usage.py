@@ -162,20 +162,25 @@ def l06_current(t):
     return us.report_order(us.product_usage(classified(t), current_only=True))
 
 
-@query(
-    "l07_feature_detail",
-    f"""WITH {CLASS_SQL} SELECT con_id, con_name, product, name AS feature_being_used, CASE usage_class WHEN 2 THEN 'NO_CURRENT_USAGE'
+DETAIL_SQL = f"""WITH {CLASS_SQL} SELECT con_id, con_name, product, name AS feature_being_used, CASE usage_class WHEN 2 THEN 'NO_CURRENT_USAGE'
       WHEN 3 THEN 'SUPPRESSED_DUE_TO_BUG' WHEN 4 THEN 'PAST_USAGE' WHEN 5 THEN 'PAST_OR_CURRENT_USAGE' ELSE 'CURRENT_USAGE' END AS usage,
       last_sample_date, dbid, version, detected_usages, total_samples, currently_used, first_usage_date, last_usage_date,
       CASE condition WHEN 'C001' THEN nullif(regexp_extract(feature_info, '(?i)compression used:(.*?)(times|TRUE|FALSE)'), '')
         WHEN 'C002' THEN nullif(regexp_extract(feature_info, '(?i)encryption used:(.*?)(times|TRUE|FALSE)'), '')
         WHEN 'C003' THEN 'AUX_COUNT=' || aux_count END AS extra_feature_info
-    FROM cl WHERE usage_class <> 1""",
-)
+    FROM cl WHERE usage_class <> 1"""
+
+
+@query("l07_feature_detail", DETAIL_SQL)
 def l07(t):
     return us.feature_detail(classified(t))
 
 
+@query("l07_feature_detail_used", DETAIL_SQL + " AND (last_usage_date IS NOT NULL OR detected_usages > 0) AND dbid = 3")
+def l07_used(t):
+    return us.feature_detail(classified(t), dbid=3, used_only=True)
+
+
 @query(
     "l08_container_remarks",
     """WITH c AS (SELECT s_nationkey AS con_id, s_name AS name, CASE WHEN s_acctbal < 3000 THEN 'MOUNTED' ELSE 'READ WRITE' END AS open_mode

@@ -14,6 +14,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     "spark.sql.parquet.filterPushdown": "true",
     # Recording a Python stack for every column expression costs more than planning the query.
     "spark.python.sql.dataFrameDebugging.enabled": "false",

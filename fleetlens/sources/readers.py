@@ -118,6 +118,25 @@ METRIC_LOAD = [
     Field("metric"),
     Field("value", "double"),
 ]
+TOTAL_LOAD = [
+    Field("database_name"),
+    Field("server"),
+    Field("space_time", fmt="dd-MM-yy HH:mm:ss"),
+    Field("gig_data", "decimal(9,2)"),
+    Field("gig_free", "decimal(9,2)"),
+    Field("gig_used", "decimal(9,2)"),
+    Field("gig_temp", "decimal(9,2)"),
+]
+TABLESPACE_LOAD = [
+    Field("server"),
+    Field("database_name"),
+    Field("tablespace_name"),
+    Field("space_time", fmt="dd-MM-yy HH:mm:ss"),
+    Field("meg_data", "decimal(9,2)"),
+    Field("meg_free", "decimal(9,2)"),
+    Field("meg_used", "decimal(9,2)"),
+    Field("meg_temp", "decimal(9,2)"),
+]
 FILE_SPACE_LOAD = [
     Field("full_file_name"),
     Field("file_name"),
@@ -196,6 +215,7 @@ def log_since(lines: DataFrame, stamp: str, log="log", position: str = "position
 
 
 def log_last(lines: DataFrame, n: int, log="log", position: str = "position") -> DataFrame:
-    """Last ``n`` lines per log."""
+    """Last ``n`` lines per log. Spark limits groups before the shuffle up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` rows."""
     window = Window.partitionBy(*columns(log)).orderBy(F.desc(position))
     return lines.withColumn("_back", F.row_number().over(window)).filter(F.col("_back") <= n).drop("_back")

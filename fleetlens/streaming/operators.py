@@ -97,8 +97,13 @@ def upsert_batches(path: str, keys, update_cols: Sequence[str], partition_by: st
     """``foreachBatch`` function that upserts each micro-batch; replaying a batch changes nothing."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            upsert_table(batch.sparkSession, path, batch.distinct(), keys, update_cols, partition_by)
+        # The batch is read twice: for the days it touches and for the upsert.
+        rows = batch.distinct().persist()
+        try:
+            if not rows.isEmpty():
+                upsert_table(batch.sparkSession, path, rows, keys, update_cols, partition_by)
+        finally:
+            rows.unpersist()
 
     return apply
 
