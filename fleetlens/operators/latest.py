@@ -28,7 +28,10 @@ def top_rows(df: DataFrame, keys, order: Sequence[Column], n: int = 1, ties: boo
 
 
 def latest_in_band(df: DataFrame, keys, ts: str, band: Band) -> DataFrame:
-    """Latest row per key inside a time band; rows tied on the latest time are all kept."""
+    """Latest row per key inside a time band; rows tied on the latest time are all kept.
+
+    Only tied rows share a task: history is keyed by entity and time, so they are few.
+    """
     return top_rows(df.filter(band.contains(ts)), keys, newest_first(ts), ties=True)
 
 
@@ -38,7 +41,11 @@ def latest_per_key(df: DataFrame, keys, ts: str, tie_break: Sequence[str] = ())
 
 
 def month_end_series(df: DataFrame, key: str, ts: str, value: str, as_of, days: int = 365) -> DataFrame:
-    """Rows of the last observed day of each month, per key, within ``days`` of ``as_of``."""
+    """Rows of the last observed day of each month, per key, within ``days`` of ``as_of``.
+
+    A day of a busy key can hold very many rows, so the last days are worked out
+    as a short list and joined back instead of ranking the rows of a month.
+    """
     since = instant(as_of) - timedelta(days=days)
     rows = df.filter(F.col(ts) > ntz(since)).select(
         F.col(key),
@@ -46,4 +53,5 @@ def month_end_series(df: DataFrame, key: str, ts: str, value: str, as_of, days:
         F.to_date(ts).alias("space_date"),
         F.coalesce(F.col(value), F.lit(0)).alias(value),
     )
-    return top_rows(rows, [key, "month_no"], newest_first("space_date"), ties=True)
+    last_days = rows.groupBy(key, "month_no").agg(F.max("space_date").alias("space_date")).select(key, "space_date")
+    return rows.join(last_days, [key, "space_date"], "left_semi").select(key, "month_no", "space_date", value)

@@ -8,7 +8,7 @@ from fleetlens.functions.semantics import ntz
 from fleetlens.operators import alerts as al
 from fleetlens.plans.registry import AS_OF, EVENT_NOW, query
 
-DAY_AGO = "2024-01-20 00:00:00"
+HALF = "2024-01-16 00:00:00"
 
 
 def report_lines(t):
@@ -84,19 +84,19 @@ def a03(t):
 
 def notify(t, **kw):
     lines = report_lines(t).withColumn("is_error", F.col("line").rlike(al.ANY_ERROR))
-    current = lines.filter(F.col("ts") >= ntz(DAY_AGO))
-    previous = lines.filter(F.col("ts") < ntz(DAY_AGO)).filter(F.col("ts") >= ntz("2024-01-09 00:00:00"))
+    current = lines.filter(F.col("ts") >= ntz(HALF))
+    previous = lines.filter(F.col("ts") < ntz(HALF))
     last = lines.groupBy("target").agg(F.min("ts").alias("notified_at"))
     return al.notify_on_change(current, previous, last, AS_OF, reminder=timedelta(days=29, hours=23), **kw)
 
 
 def notify_sql(remind: str) -> str:
     return f"""WITH {LINES_SQL}, nm AS (SELECT target, split_part(line, '(', 1) AS line, ts, line AS raw FROM ln),
-    dl AS (SELECT target, line, sum(CASE WHEN ts >= TIMESTAMP '{DAY_AGO}' THEN 1 ELSE -1 END) AS net FROM nm
-      WHERE ts >= TIMESTAMP '2024-01-09' AND NOT contains(raw, 'completed') GROUP BY ALL),
+    dl AS (SELECT target, line, sum(CASE WHEN ts >= TIMESTAMP '{HALF}' THEN 1 ELSE -1 END) AS net FROM nm
+      WHERE NOT contains(raw, 'completed') GROUP BY ALL),
     ch AS (SELECT target, bool_or(net <> 0) AS changed FROM dl GROUP BY target),
     er AS (SELECT target, bool_or(regexp_matches(line, '(?i)ERROR|FAIL')) AS in_error FROM ln
-      WHERE ts >= TIMESTAMP '{DAY_AGO}' GROUP BY target),
+      WHERE ts >= TIMESTAMP '{HALF}' GROUP BY target),
     ls AS (SELECT target, min(ts) < {EVENT_NOW} - INTERVAL 29 DAY - INTERVAL 23 HOUR AS overdue FROM ln GROUP BY target)
     SELECT target, coalesce(in_error, false) AS in_error, CASE WHEN changed THEN 'CHANGED'
       WHEN {remind} THEN 'REMINDER' ELSE 'NONE' END AS decision

@@ -155,28 +155,32 @@ def check_tables(t):
     return checks, adds, skips
 
 
-def versioned_segments(t):
-    """Market segment and nation give each customer's target group a version."""
-    return t.customer.select(
-        F.col("c_mktsegment").alias("database_name"), (F.col("c_nationkey") + 100).cast("int").alias("version")
-    ).distinct()
+def per_customer(t, df):
+    """Rule rows of a market segment, repeated for each of its customers."""
+    names = t.customer.select("c_name", F.col("c_mktsegment").alias("database_name"))
+    return df.join(names, "database_name").drop("database_name").withColumnRenamed("c_name", "database_name")
 
 
 @query(
     "v04_checks_to_run",
-    f"""WITH {CHECK_SQL}, t AS (SELECT DISTINCT c_mktsegment AS db, c_nationkey + 100 AS version FROM customer)
+    f"""WITH {CHECK_SQL}, t AS (SELECT c_name AS db, c_mktsegment AS seg, c_nationkey + 100 AS version FROM customer)
     SELECT db AS database_name, concat(script_name, ' ', param1, ' ', param2) AS script, run_order FROM k, t
       WHERE frequency LIKE '%D%' AND script_type IN ('CHECK', 'SUMMARY') AND run_on_master = 'N' AND disabled <> 'Y'
       AND coalesce(db_version_from, 0) <= version AND coalesce(db_version_to, 999) >= version
-      AND NOT EXISTS (SELECT 1 FROM f WHERE f.script_id = k.script_id AND f.database_name = db)
-    UNION SELECT g.database_name, concat(script_name, ' ', param1, ' ', param2), g.run_order FROM g JOIN k USING (script_id)
+      AND NOT EXISTS (SELECT 1 FROM f WHERE f.script_id = k.script_id AND f.database_name = seg)
+    UNION SELECT db, concat(script_name, ' ', param1, ' ', param2), g.run_order FROM g JOIN k USING (script_id)
+      JOIN t ON seg = g.database_name
       WHERE g.frequency LIKE '%D%' AND g.script_type IN ('CHECK', 'SUMMARY') AND run_on_master = 'N'
-      AND NOT EXISTS (SELECT 1 FROM f WHERE f.script_id = g.script_id AND f.database_name = g.database_name)
-      AND g.database_name IN (SELECT db FROM t)""",
+      AND NOT EXISTS (SELECT 1 FROM f WHERE f.script_id = g.script_id AND f.database_name = g.database_name)""",
 )
 def v04(t):
     checks, adds, skips = check_tables(t)
-    return inv.checks_to_run(checks, adds, skips, versioned_segments(t), AS_OF, types=["CHECK", "SUMMARY"])
+    targets = t.customer.select(
+        F.col("c_name").alias("database_name"), (F.col("c_nationkey") + 100).cast("int").alias("version")
+    )
+    return inv.checks_to_run(
+        checks, per_customer(t, adds), per_customer(t, skips), targets, AS_OF, types=["CHECK", "SUMMARY"]
+    )
 
 
 @query(
@@ -189,12 +193,7 @@ def v04(t):
 )
 def v05(t):
     checks, adds, skips = check_tables(t)
-    names = t.customer.select("c_name", F.col("c_mktsegment").alias("database_name"))
-
-    def per_customer(df):
-        return df.join(names, "database_name").drop("database_name").withColumnRenamed("c_name", "database_name")
-
-    return inv.skipped_checks(per_customer(skips), checks, per_customer(adds), AS_OF)
+    return inv.skipped_checks(per_customer(t, skips), checks, per_customer(t, adds), AS_OF)
 
 
 SETS = [("MORNING", None, "N"), ("EVENING", "Evening set", "N")]
@@ -298,8 +297,8 @@ def v11(t):
 
 ORPHAN_SQL = """o AS (SELECT c_name AS server, CASE WHEN c_nationkey = 0 THEN c_mktsegment ELSE c_name END AS host,
       CASE WHEN c_acctbal < 0 THEN 'Y' ELSE 'N' END AS disabled FROM customer),
-    u AS (SELECT c_name AS server, CASE WHEN o_orderstatus = 'F' THEN 'Y' ELSE 'N' END AS disabled
-      FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderdate > TIMESTAMP '2001-01-01')"""
+    u AS (SELECT 'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS server,
+      CASE WHEN event_type = 'error' THEN 'Y' ELSE 'N' END AS disabled FROM events)"""
 
 
 @query(
@@ -314,10 +313,9 @@ def v12(t):
         F.when(F.col("c_nationkey") == 0, F.col("c_mktsegment")).otherwise(F.col("c_name")).alias("physical_server_abbrev"),
         F.when(F.col("c_acctbal") < 0, "Y").otherwise("N").alias("disabled"),
     )
-    databases = (
-        t.orders.filter(F.col("o_orderdate") > F.lit("2001-01-01").cast("timestamp_ntz"))
-        .join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
-        .select(F.col("c_name").alias("server"), F.when(F.col("o_orderstatus") == "F", "Y").otherwise("N").alias("disabled"))
+    databases = t.events.select(
+        F.concat(F.lit("Customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("server"),
+        F.when(F.col("event_type") == "error", "Y").otherwise("N").alias("disabled"),
     )
     return inv.orphan_servers(servers, databases)
 

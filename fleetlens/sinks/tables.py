@@ -99,14 +99,12 @@ def dedupe_source(df: DataFrame, keys=None, prefer: Sequence[str] = ()) -> DataF
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="fleetlens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    """The folder ``spark.checkpoint.dir`` names; a temporary one only where none is configured."""
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="fleetlens-"))
+    return configured or context.getCheckpointDir()
 
 
 def replace_partitions(df: DataFrame, path: str, partition_by: str) -> None:

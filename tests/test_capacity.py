@@ -166,3 +166,10 @@ def test_peers_and_staleness(spark):
     df = spark.createDataFrame([("a", NOW - timedelta(days=2))], "k string, ts timestamp_ntz")
     assert cap.staleness(df, "ts", NOW, "k").first().status == "WARNING"
     assert cap.staleness(df.filter("k = 'z'"), "ts", NOW).first().status == "DISABLED"
+
+
+def test_month_end_keeps_all_rows_of_the_last_day(spark):
+    rows = [("a", datetime(2024, 2, 27), 1.0), ("a", datetime(2024, 2, 28, 1), 2.0), ("a", datetime(2024, 2, 28, 9), None), ("b", datetime(2024, 2, 1), 3.0), ("b", datetime(2022, 2, 1), 3.0)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, gig double")
+    got = latest.month_end_series(df, "k", "ts", "gig", NOW).collect()
+    assert sorted((r.k, r.month_no, r.gig) for r in got) == [("a", "2402", 0.0), ("a", "2402", 2.0), ("b", "2402", 3.0)]

@@ -26,7 +26,7 @@ def test_history_is_scanned_once(spark, name):
 
 
 @pytest.mark.parametrize(
-    "name", ["c01_latest_in_band", "c09_month_end_series", "c14_latest_per_key", "m03_lag_panel", "i08_log_last", "b11_latest_job_card"]
+    "name", ["c01_latest_in_band", "c14_latest_per_key", "m03_lag_panel", "i08_log_last", "b11_latest_job_card"]
 )
 def test_groups_are_limited_before_the_shuffle(spark, name):
     plan = plan_of(QUERIES[name](spark, FOLDER))
