@@ -146,7 +146,8 @@ def humanise_bytes(size: ColumnLike) -> Column:
 
 
 def scientific(value: ColumnLike) -> Column:
-    return F.format_string("%.2E", col(value).cast("double"))
+    number = col(value).cast("double")
+    return F.when(number.isNotNull(), F.format_string("%.2E", number))
 
 
 def directory_of(path: ColumnLike) -> Column:

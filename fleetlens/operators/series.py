@@ -17,10 +17,11 @@ from fleetlens.functions.semantics import (
     mean_if,
     midnight,
     ntz,
+    scientific,
     seconds_between,
 )
 from fleetlens.operators.latest import newest_first
-from fleetlens.operators.series_order import ROWS_PER_SLICE, with_previous
+from fleetlens.operators.series_order import with_previous
 
 
 # Idle events, the group each wait event counts towards, and the statistics kept.
@@ -255,7 +256,7 @@ def counter_deltas(
     count: str,
     time: str,
     *,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = None,
 ) -> DataFrame:
     """Difference from the previous snapshot; counter resets are skipped."""
     pairs = with_previous(df, keys, order, [count, time], rows_per_slice=rows_per_slice)
@@ -298,7 +299,7 @@ def gap_check(
     *,
     since,
     target_s: float | None = None,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = None,
 ) -> DataFrame:
     """Longest gap in seconds between consecutive events of one thread that end after ``since``.
 
@@ -319,6 +320,13 @@ def gap_check(
     )
 
 
+def panel_text(panel: DataFrame, figures: Sequence[str]) -> DataFrame:
+    """The figures of a panel in scientific notation, 'N/A' where missing."""
+    return panel.select(
+        *[F.coalesce(scientific(c), F.lit("N/A")).alias(c) if c in figures else F.col(c) for c in panel.columns]
+    )
+
+
 def log_switch_verdict(
     df: DataFrame, partition, order: Sequence[str], ts: str, *, since, limit: int = 60, target_s: float | None = None
 ) -> DataFrame:

@@ -79,15 +79,17 @@ def with_previous(
     carry: Sequence[str],
     *,
     prefix: str = "prev_",
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = None,
 ) -> DataFrame:
     """Add ``prev_<c>`` for each carried column: its value on the row before.
 
+    ``rows_per_slice`` defaults to ``ROWS_PER_SLICE``.
+
     ``order`` must be a total order of non-null values within a key (end it with
     a unique column).
     """
     keys, order = columns(keys), columns(order)
-    work, levels = sliced(df, keys, order[0], rows_per_slice)
+    work, levels = sliced(df, keys, order[0], rows_per_slice or ROWS_PER_SLICE)
     window = Window.partitionBy(*keys, *levels).orderBy(*[F.asc_nulls_first(c) for c in order])
     lagged = [F.lag(c).over(window).alias(prefix + c) for c in carry]
     if not levels:

@@ -100,3 +100,8 @@ def test_metrics_exclude_and_other(spark):
     mapping = spark.createDataFrame([("read", "WAIT: READ")], "event string, metric string")
     got = series.collect_metrics(events, mapping, exclude=["idle"], other="WAIT: OTHER")
     assert {(r.metric, r.value) for r in got.collect()} == {("WAIT: READ", 11), ("WAIT: OTHER", 2)}
+
+
+def test_panel_text(spark):
+    df = spark.createDataFrame([("a", 12345.0, None)], "k string, now_value double, back_1 double")
+    assert tuple(series.panel_text(df, ["now_value", "back_1"]).first()) == ("a", "1.23E+04", "N/A")
