@@ -62,6 +62,17 @@ def s03(t):
     return t.spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("stored"))
 
 
+@query(
+    "s03_write_history",
+    """SELECT event_id, user_id, event_type, ts, value FROM events WHERE ts >= TIMESTAMP '2024-01-10 12:00:00'""",
+)
+def s03_history(t):
+    path = scratch(t, "history")
+    rows = t.events.select("event_id", "user_id", "event_type", "ts", "value")
+    tables.write_history(rows, path, "ts", ["user_id", "event_type"])
+    return tables.read_history(t.spark, path, "ts", "2024-01-10 12:00:00")
+
+
 @query(
     "s04_append_changed",
     """WITH h AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),

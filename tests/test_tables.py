@@ -125,3 +125,21 @@ def test_log_order_survives_splits(spark, tmp_path):
         assert rd.log_since(log, "Sun Jan 07").count() == 0
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_history_is_pruned_and_feeds_the_bands(spark, tmp_path, rows_of):
+    from fleetlens.functions.semantics import earliest
+    from fleetlens.operators import capacity as cap
+
+    path, keys, now = str(tmp_path / "h"), ["server", "mount"], "2024-03-20 15:30:00"
+    df = spark.range(400).select(
+        F.concat(F.lit("s"), F.col("id") % 3).alias("server"),
+        F.lit("/").alias("mount"),
+        (F.lit("2024-03-20 12:00:00").cast("timestamp_ntz") - F.make_dt_interval(hours=(F.col("id") * 5).cast("int"))).alias("ts"),
+        (F.col("id") % 90).cast("double").alias("pct"),
+    )
+    tables.write_history(df, path, "ts", keys)
+    recent = tables.read_history(spark, path, "ts", earliest(cap.capacity_bands(now)))
+    plan = recent._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(history_day" in plan
+    assert rows_of(cap.band_compare(recent, keys, "ts", "pct", now)) == rows_of(cap.band_compare(df, keys, "ts", "pct", now))
