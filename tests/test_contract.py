@@ -4,10 +4,12 @@ import check
 import pytest
 
 import __spark_entry__ as entry
+from fleetlens.plans.registry import load_all
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-SQLS = entry.oracle_sql()
+OWN = set(load_all())
+QUERIES = {name: build for name, build in entry.queries().items() if name in OWN}
+SQLS = {name: sql for name, sql in entry.oracle_sql().items() if name in OWN}
 
 
 @pytest.fixture(scope="module")
