@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import exact, mixing
+from fleetlens.llm import exact, mixing, packing, shared, warc
 from fleetlens.llm.shared import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,12 @@ QUERIES: dict[str, Build] = {}
 SQL: dict[str, str] = {}
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(name: str, sql: str | None = None):
     def register(build: Build) -> Build:
         QUERIES[name] = build
@@ -38,3 +44,21 @@ def op6(spark, folder):
 @query("op10_mixing")
 def op10(spark, folder):
     return mixing.mix(table(spark, folder, "documents"))
+
+
+@query("op8_packing")
+def op8(spark, folder):
+    return packing.pack(table(spark, folder, "documents"), tokenizer=vocabulary("word_bpe_49k.json")).drop("loss_tokens")
+
+
+@query(
+    "op9_warc",
+    """WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+    r AS (SELECT page_id, strlen(t) AS payload_bytes, sha1(t) AS payload_digest,
+      CASE WHEN strlen(t) >= 1000 THEN max(page_id) OVER (PARTITION BY t) ELSE page_id END AS response FROM p)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id <> response THEN response END AS refers_to FROM r""",
+)
+def op9(spark, folder):
+    archives = warc.write(table(spark, folder, "pages"), shared.new_folder(spark, "warc"))
+    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
