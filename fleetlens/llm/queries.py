@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import exact, mixing, packing, shared, toxicity, warc
+from fleetlens.llm import exact, langid, mixing, packing, shared, toxicity, warc
 from fleetlens.llm.shared import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_language_id")
+def op1(spark, folder):
+    return langid.identify(table(spark, folder, "documents"))
+
+
 @query("op5_toxicity")
 def op5(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
