@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetlens.llm import exact, langid, mixing, packing, shared, toxicity, warc
+from fleetlens.llm import exact, langid, maxscore, mixing, packing, shared, toxicity, warc
 from fleetlens.llm.shared import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,19 @@ def op1(spark, folder):
     return langid.identify(table(spark, folder, "documents"))
 
 
+@query(
+    "op2_maxscore",
+    """WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM (SELECT vec_id, min(e) AS e FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id) q JOIN v c ON q.vec_id <> c.vec_id)
+    SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM s
+    WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10""",
+)
+def op2(spark, folder):
+    return maxscore.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query("op5_toxicity")
 def op5(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
