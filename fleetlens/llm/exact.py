@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm import shared
 
+HEAD_CHARS = 32
+
 
 def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalise=None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
@@ -39,8 +41,12 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     rows = df.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.lit(pieces)))
 
-    run = Window.partitionBy("text", "piece")
-    sorted_rows = rows.repartitionByRange("text", "piece").withColumns(
+    # The splitters are sampled from the first bytes and a digest, so that what the driver gathers
+    # stays small whatever the length of the texts; equal texts are neighbours all the same.
+    place = ["head", "digest", "text", "piece"]
+    rows = rows.withColumns({"head": F.substring("text", 1, HEAD_CHARS), "digest": F.xxhash64("text")})
+    run = Window.partitionBy(*place)
+    sorted_rows = rows.repartitionByRange("head", "digest", "piece").withColumns(
         {
             "place": F.row_number().over(run.orderBy(order)),
             "piece_size": F.count(F.lit(1)).over(run),
@@ -49,18 +55,19 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     )
     slim = shared.written(
         sorted_rows.select(
-            "doc_id", "place", "piece_size", "piece_best", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
+            "doc_id", "piece", "place", "piece_size", "piece_best", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
         ),
         "content-sort",
     )
-    # One row for each piece; a text in one piece with one row needs no sum.
+    # One row for each piece; a text has at most as many as there are pieces, and its sum goes back to each.
+    text = Window.partitionBy("text_sha256")
+    best_of_pieces = (F.max if keep == "largest" else F.min)("piece_best").over(text)
     totals = (
         slim.filter("place = 1")
-        .groupBy("text_sha256")
-        .agg(F.sum("piece_size").alias("group_size"), (F.max if keep == "largest" else F.min)("piece_best").alias("keep_id"))
+        .select("text_sha256", "piece", F.sum("piece_size").over(text).alias("group_size"), best_of_pieces.alias("keep_id"))
         .filter("group_size > 1")
     )
-    joined = slim.join(totals, "text_sha256", "left")
+    joined = slim.join(totals, ["text_sha256", "piece"], "left")
     single = F.col("group_size").isNull()
     keep_id = F.when(single, F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select(
