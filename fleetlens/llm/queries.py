@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import exact, hosttext, langid, maxscore, mixing, packing, shared, toxicity, warc
+from fleetlens.llm import exact, hosttext, langid, maxscore, mixing, packing, shared, substrings, toxicity, warc
 from fleetlens.llm.shared import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,11 @@ def op2(spark, folder):
     return maxscore.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+@query("op3_substring_dedup")
+def op3(spark, folder):
+    return substrings.without_repeats(table(spark, folder, "documents")).drop("text")
+
+
 @query("op4_host_text")
 def op4(spark, folder):
     return hosttext.extract(table(spark, folder, "pages"))
