@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import exact, hosttext, langid, maxscore, mixing, packing, shared, substrings, toxicity, warc
+from fleetlens.llm import exact, hosttext, jaccard, langid, maxscore, mixing, packing, shared, substrings, toxicity, warc
 from fleetlens.llm.shared import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,11 @@ def op10(spark, folder):
     return mixing.mix(table(spark, folder, "documents"))
 
 
+@query("op7_jaccard_join")
+def op7(spark, folder):
+    return jaccard.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op8_packing")
 def op8(spark, folder):
     return packing.pack(table(spark, folder, "documents"), tokenizer=vocabulary("word_bpe_49k.json")).drop("loss_tokens")
