@@ -18,8 +18,9 @@ packed each; an empty table gives an empty result; other columns are not looked
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.llm.words import SLICE_CHARS, slices
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 # What may stand behind a word without joining it in the vocabulary's own rules for splitting.
-ENDINGS = ".,;:!?|%$&#*"
+ENDINGS = b".,;:!?|%$&#*"
+# Latin-1 in lower case, with line ends as blanks.
+FOLD = bytes(32 if b == 10 else ord(chr(b).lower()) for b in range(256))
 
 
 @dataclass(frozen=True)
@@ -40,81 +45,107 @@ class Limits:
 
 
 class WordCache:
-    """Token ids of texts, for vocabularies whose splitting never crosses a blank or a line end.
+    """Token ids of texts, for vocabularies that lower-case and never join what a blank or a line end parts.
 
-    Words are looked up in a table that each worker fills as it reads; only new words go through the
-    tokenizer. The table is emptied when it is full.
+    A word is looked up as a core and an ending. Cores go through the tokenizer once and stay while
+    there is room; spellings of a word (capitals, endings) only point to them, so forgetting those
+    costs little. Both tables are bounded.
     """
 
-    def __init__(self, path: str, most: int = 400_000, slice_chars: int = 1 << 20):
+    def __init__(self, path: str, most_cores: int = 700_000, most_words: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most, self.slice_chars = most, slice_chars
+        self.most_cores, self.most_words = most_cores, most_words
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {"": 0}
+        self.words: dict[str | bytes, int] = {"": 0, b"": 0}
+        self.cores: dict[str, int] = {"": 0}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def add(self, word: str, ids) -> None:
-        n, at = len(ids), len(self.index)
-        while self.used + n > len(self.flat):
+    def add(self, cores: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(cores, add_special_tokens=False)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        at, total = len(self.cores), int(n.sum())
+        while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if at >= len(self.start):
+        while at + len(n) > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-        self.flat[self.used : self.used + n] = ids
-        self.start[at], self.length[at] = self.used, n
-        self.used += n
-        self.index[word] = at
-
-    def learn(self, words: Iterable[str]) -> None:
-        """Words of letters and an ending are put together from the two, which are never joined."""
-        new, joined = dict.fromkeys(()), []
-        for w in words:
-            core = w.rstrip(ENDINGS)
-            if core and len(core) < len(w) and core.isalpha() and max(core) < "ɐ":
-                joined.append((w, core, w[len(core) :]))
-                new.update((x, None) for x in joined[-1][1:] if x not in self.index)
-            else:
-                new[w] = None
-        plain = list(new)
-        for w, e in zip(plain, self.tokenizer.encode_batch(plain, add_special_tokens=False), strict=True):
-            self.add(w, e.ids)
-        for w, core, ending in joined:
-            a, b = self.index[core], self.index[ending]
-            parts = [self.flat[self.start[i] : self.start[i] + self.length[i]] for i in (a, b)]
-            self.add(w, np.concatenate(parts))
-
-    def ids(self, text: str) -> np.ndarray:
-        if len(text) > self.slice_chars:
-            at = max(text.rfind(" ", 0, self.slice_chars), text.rfind("\n", 0, self.slice_chars))
-            if at > 0:
-                parts = []
-                while len(text) > self.slice_chars and at > 0:
-                    parts.append(self.ids(text[:at]))
-                    text = text[at + 1 :]
-                    at = max(text.rfind(" ", 0, self.slice_chars), text.rfind("\n", 0, self.slice_chars))
-                return np.concatenate([*parts, self.ids(text) if len(text) <= self.slice_chars else self.encoded(text)])
-        return self.encoded(text)
-
-    def encoded(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
-        missing = set(words).difference(self.index)
-        if missing:
-            if len(self.index) + len(missing) > self.most:
+        self.flat[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
+        self.start[at : at + len(n)] = self.used + np.cumsum(n) - n
+        self.length[at : at + len(n)] = n
+        self.used += total
+        self.cores.update(zip(cores, range(at, at + len(cores)), strict=True))
+
+    def learn(self, words: list[str | bytes]) -> list[int]:
+        """The codes of words that are not in the table: core, and ending in the upper half."""
+        parts = {w: core_and_ending(w) for w in words}
+        new = {x for pair in parts.values() for x in pair}.difference(self.cores)
+        if new:
+            self.add(list(new))
+        cores = self.cores
+        codes = {w: cores[core] | cores[ending] << 32 for w, (core, ending) in parts.items()}
+        self.words.update(codes)
+        return [codes[w] for w in words]
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The token ids of each text."""
+        words = [split(text) for text in texts]
+        codes = [np.fromiter(map(self.words.get, some, repeat(-1)), np.int64, len(some)) for some in words]
+        places = [np.flatnonzero(code < 0) for code in codes]
+        unknown = [some[i] for some, place in zip(words, places, strict=True) for i in place.tolist()]
+        if unknown:
+            if len(self.cores) > 1 and len(self.cores) + len(unknown) > self.most_cores:
                 self.clear()
-                missing = set(words) - {""}
-            self.learn(missing)
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        n = self.length[at]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.start[at] - (ends - n), n) + np.arange(total)]
+                return self.ids(texts)
+            if len(self.words) > self.most_words:
+                self.words = {"": 0, b"": 0}
+            learned = self.learn(unknown)
+            for code, place in zip(codes, places, strict=True):
+                code[place] = learned[: len(place)]
+                learned = learned[len(place) :]
+        out = []
+        for code in codes:
+            core, ending = code & 0xFFFFFFFF, code >> 32
+            if ending.any():
+                at = np.stack([core, ending], axis=1).ravel()
+                at = at[at > 0]
+            else:
+                at = core
+            n = self.length[at]
+            ends = np.cumsum(n)
+            total = int(ends[-1]) if len(ends) else 0
+            out.append(self.flat[np.repeat(self.start[at] - (ends - n), n) + np.arange(total)])
+        return out
+
+
+def split(text: str) -> list[str] | list[bytes]:
+    """Words, in lower case where the text is Latin-1 and holds nothing like a special token."""
+    if "<|" not in text:
+        try:
+            return text.encode("latin-1").translate(FOLD).split(b" ")
+        except UnicodeEncodeError:
+            pass
+    return text.replace("\n", " ").split(" ")
+
+
+def core_and_ending(word: str | bytes) -> tuple[str, str]:
+    """What the tokenizer sees of a word first, and an ending that it never joins to that.
+
+    Only cores of Latin-1 letters are split from their endings; other words are left whole.
+    """
+    if isinstance(word, str):
+        return word, ""
+    core = word.rstrip(ENDINGS)
+    text = core.decode("latin-1")
+    if len(core) == len(word) or not text.isalpha():
+        return word.decode("latin-1"), ""
+    return text, word[len(core) :].decode()
 
 
 class Packer:
@@ -244,15 +275,13 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=NAMES)
 
         for batch in batches:
-            # A text is decoded when its turn comes, not the whole batch at once.
-            doc_ids, texts, losses = (batch.column(i) for i in range(3))
-            for i in range(batch.num_rows):
-                ids = cache.ids(texts[i].as_py())
-                if end_id is not None:
-                    ids = np.append(ids, np.uint32(end_id))
-                if len(ids):
-                    loss = losses[i].as_py()
-                    packer.put((doc_ids[i].as_py(), ids.astype("<u4"), loss), len(ids), loss)
+            for at, some in runs(batch.column(1)):
+                doc_ids, losses = (batch.column(i).slice(at, len(some)).to_pylist() for i in (0, 2))
+                for doc_id, loss, ids in zip(doc_ids, losses, whole(cache, some), strict=True):
+                    if end_id is not None:
+                        ids = np.append(ids, np.uint32(end_id))
+                    if len(ids):
+                        packer.put((doc_id, ids.astype("<u4"), loss), len(ids), loss)
                 if len(packer.sequences) >= 1024:
                     yield rows_of(packer.done())
         packer.finish()
@@ -261,4 +290,28 @@ def pack(
     return rows.mapInArrow(packed, PIECES)
 
 
+def runs(texts: pa.Array, most_chars: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+    """Texts a bounded number of characters at a time, with the place of the first."""
+    some, held, at = [], 0, 0
+    for i, text in enumerate(texts):
+        some.append(text.as_py())
+        held += len(some[-1])
+        if held >= most_chars:
+            yield at, some
+            some, held, at = [], 0, i + 1
+    if some:
+        yield at, some
+
+
+def whole(cache: WordCache, texts: list[str]) -> Iterator[np.ndarray]:
+    """The ids of each text; a very long one goes through the cache in slices."""
+    if len(texts) == 1 and len(texts[0]) > SLICE_CHARS:
+        yield np.concatenate([cache.ids([part])[0] for part in slices(texts[0])])
+    elif max(map(len, texts)) > SLICE_CHARS:
+        for text in texts:
+            yield from whole(cache, [text])
+    else:
+        yield from cache.ids(texts)
+
+
 NAMES = [c.split()[0] for c in PIECES.split(", ")]
