@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm import shared
@@ -344,18 +344,42 @@ def texts_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
     return shared.written(found, "node-texts")
 
 
+def grouped(df: DataFrame, id_col: str, text_col: str, join: Join) -> DataFrame:
+    """ref, doc_id, n_shingles of each row, and the group of those that have company (else null)."""
+    docs = keyed(df, id_col, text_col)
+    sets, level = read_sets(docs, join)
+    labels = links(docs, sets, level, join)
+    rows = sets.filter("n_shingles > 0").groupBy("node").agg(F.count(F.lit(1)).alias("rows"))
+    several = rows.join(labels, "node", "left").filter("rows > 1 or label is not null")
+    several = shared.written(several.select("node", F.coalesce("label", "node").alias("group")), "grouped-nodes")
+    return shared.written(sets.join(several, "node", "left").select("ref", "doc_id", "n_shingles", "group"), "grouped-rows")
+
+
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    return docs.select(F.xxhash64("doc_id", "text").alias("ref"), "doc_id", "text")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id."""
+    rows = grouped(df, id_col, text_col, join)
+    least = rows.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(shared.written(least, "component-ids"), "group", "left")
+    own = F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
+    """The input rows, all columns, with one row left of each group: that with the smallest identifier."""
+    rows = grouped(df, id_col, text_col, join)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ref")
+    firsts = rows.filter("group is not null").groupBy("group").agg(F.min(order).alias("first")).select("first.ref")
+    gone = rows.filter("group is not null").select("ref").join(shared.written(firsts, "group-firsts"), "ref", "left_anti")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("ref", F.xxhash64("doc_id", "text"))
-    docs = docs.select("ref", "doc_id", "text")
-    sets, level = read_sets(docs, join)
-    labels = links(docs, sets, level, join)
-    first = sets.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
-    grouped = first.join(labels, "node", "left").filter("rows > 1 or label is not null")
-    grouped = shared.written(grouped.withColumn("label", F.coalesce("label", "node")), "grouped-nodes")
-    least = shared.written(grouped.groupBy("label").agg(F.min("first").alias("component_id")), "component-ids")
-    named = shared.written(grouped.join(least, "label").select("node", "component_id"), "named-nodes")
-    out = sets.join(named, "node", "left")
-    own = F.col("component_id").isNull() | (F.col("n_shingles") == 0)
-    return out.select("doc_id", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    marked = df.withColumn("_ref", F.xxhash64(F.col(id_col).cast("long"), text))
+    left = marked.join(shared.written(gone.distinct(), "group-others").withColumnRenamed("ref", "_ref"), "_ref", "left_anti")
+    # Rows that agree in identifier and text are one document; those without words are no group.
+    first = Window.partitionBy("_ref").orderBy(*[F.col(c) for c in df.columns if c != text_col])
+    left = left.withColumn("_n", F.row_number().over(first))
+    return left.filter((F.col("_n") == 1) | ~text.rlike(shared.WORD)).select(*df.columns)

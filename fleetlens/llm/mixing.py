@@ -158,3 +158,32 @@ def mix(
     )
     out = ["doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken")]
     return taken.select(*out).unionByName(docs.filter("size = 0").withColumn("taken", F.lit(0)).select(*out))
+
+
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of the mix, all columns: each document as often as the mix takes its words, in whole copies.
+
+    A document whose words are taken 1.4 times comes once or twice. Which of the two is drawn
+    systematically over a source's documents in the order of their size, so that the words of a
+    source stay near its target. Documents without words are not part of a mix.
+    """
+    pieces = shared.pieces_of_a_group(df.sparkSession)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(source_col).cast("string"), text)
+    order = [F.col(c) for c in df.columns if c != text_col]
+    rows = df.withColumn("_key", key)
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("_key").orderBy(*order)))
+
+    taken = mix(rows.select("_key", text_col, source_col), "_key", text_col, source_col, **options).filter("taken > 0")
+    by_size = F.floor(F.log2(F.col("size").cast("double")) * 4).cast("long") * pieces + F.pmod(F.xxhash64("doc_id", F.lit("size")), F.lit(pieces))
+    # Shares in millionths, so that sums do not depend on their order.
+    taken = taken.select(
+        F.col("doc_id").alias("_key"), F.xxhash64("source_size", "target").alias("s"), by_size.alias("chunk"),
+        F.round(F.col("taken") / F.col("size") * 1_000_000).cast("long").alias("share"), "size",
+    )
+    total = shared.running_total(shared.written(taken, "mix-taken"), ["s"], "chunk", [F.col("size"), F.col("_key")], "share", "before")
+    start = F.pmod(F.xxhash64("s", F.lit("start")), F.lit(1_000_000))
+    copies = F.floor((F.col("before") + F.col("share") + start) / 1_000_000) - F.floor((F.col("before") + start) / 1_000_000)
+    place = F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("before")))
+    copies = total.select("_key", place.alias("_place"), copies.cast("int").alias("_copies")).filter("_copies > 0")
+    return rows.join(copies, ["_key", "_place"]).select(*df.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
