@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.semantics import (
@@ -24,7 +24,6 @@ from fleetlens.functions.semantics import (
     one_or_struct,
     percent,
 )
-from fleetlens.operators.lists import joined_text
 
 MEG = 1024.0 * 1024.0
 
@@ -275,12 +274,13 @@ def container_usage(
     by=("container",),
     *,
     name_pattern: str = "%",
-    min_pct: float = 0,
+    min_pct: float | None = None,
 ) -> DataFrame:
     """Allocated, used, free, percentage and theoretical maximum per container.
 
     ``files`` lists the data and temporary file frames (``bytes``, ``maxbytes``);
-    each side is reduced to one row per container before any join.
+    each side is reduced to one row per container before any join. Empty and
+    offline containers (no percentage) are listed; ``min_pct`` is the caller's filter.
     """
     by = columns(by)
     name = by[-1]
@@ -296,7 +296,7 @@ def container_usage(
         .withColumn("pct_used", percent(F.col("used_mb"), F.col("total_mb")))
         .withColumn("pct_max_used", percent(F.col("used_mb"), F.col("max_mb")))
     )
-    return rows.filter(F.col("pct_used") > min_pct).select(
+    return (rows if min_pct is None else rows.filter(F.col("pct_used") > min_pct)).select(
         *by,
         kind_tag("contents").alias("kind"),
         "total_mb",
@@ -322,26 +322,20 @@ def container_totals(usage: DataFrame) -> DataFrame:
 def container_alerts(
     usage: DataFrame, owner: str, name: str, *, pct: float = 89, exclude_kinds=(" (u) ", " (t) ")
 ) -> DataFrame:
-    """One message per owner: the containers above ``pct`` of their maximum, or that there are none."""
-    over = (
-        usage.filter(~F.col("kind").isin(*exclude_kinds))
-        .withColumn("_pct", F.round("pct_max_used").cast("long"))
-        .filter(F.col("_pct") > pct)
-        .select(owner, cat(F.col(name).cast("string"), "(", F.col("_pct").cast("string"), "%)").alias("item"))
-        .distinct()
-    )
-    lists = joined_text(over, [owner], "item", separator="; ", name="containers")
+    """One row per container above ``pct`` of its maximum; one row for an owner that has none."""
+    high = F.round("pct_max_used").cast("long")
+    over = F.coalesce(~F.col("kind").isin(*exclude_kinds) & (high > pct), F.lit(False))
+    item = cat(F.col(name).cast("string"), "(", high.cast("string"), "%)")
+    # Containers below the limit shrink to one row without an item before the window sees them.
+    rows = usage.select(owner, F.when(over, item).alias("item")).distinct()
+    some = F.count("item").over(Window.partitionBy(owner))
     who = F.col(owner).cast("string")
+    quiet = cat("** No tablespace alerts for ", who, " **")
+    loud = cat("** ERROR - tablespace alerts on ", who, ": ", F.col("item"), " **")
     return (
-        usage.select(owner)
-        .distinct()
-        .join(lists, owner, "left")
-        .withColumn(
-            "message",
-            F.when(F.col("containers").isNull(), cat("** No tablespace alerts for ", who, " **")).otherwise(
-                cat("** ERROR - tablespace alerts on ", who, ": ", F.col("containers"), " **")
-            ),
-        )
+        rows.withColumn("some", some)
+        .filter(F.col("item").isNotNull() | (F.col("some") == 0))
+        .select(owner, "item", F.when(F.col("item").isNull(), quiet).otherwise(loud).alias("message"))
     )
 
 
@@ -453,11 +447,9 @@ def staleness(df: DataFrame, ts: str, as_of, by=(), *, max_age_days: float = 1)
     )
 
 
-def group_members(groups: DataFrame, members: DataFrame, per_line: int | None = None) -> DataFrame:
-    """Members of each group in one ordered text with the group's size; the highest group is left out."""
+def group_members(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """Members of each group, quoted, with the group's size; the highest group is left out."""
     highest = groups.agg(F.max("group_no").alias("m"))
-    kept = members.filter(F.col("group_no") != highest.scalar())
-    quoted = kept.select("group_no", F.concat(F.lit("'"), "member", F.lit("'")).alias("item"))
-    settings = {"per_line": per_line} if per_line else {}
-    lists = joined_text(quoted, ["group_no"], "item", name="members", **settings)
-    return lists.join(groups.select("group_no", (F.col("bytes") / MEG).alias("size_mb")), "group_no")
+    kept = groups.filter(F.col("group_no") != highest.scalar()).select("group_no", (F.col("bytes") / MEG).alias("size_mb"))
+    quoted = members.select("group_no", F.concat(F.lit("'"), "member", F.lit("'")).alias("member"))
+    return quoted.join(kept, "group_no")

@@ -74,36 +74,20 @@ def service_account_expiry(users: DataFrame, names: Sequence[str], as_of, days:
     )
 
 
-def broken_jobs(jobs: DataFrame, brief_above: int = 10) -> DataFrame:
-    """Broken or failed jobs; when there are more than ``brief_above``, only those that are both."""
+def broken_jobs(jobs: DataFrame) -> DataFrame:
+    """Every broken or failed job with its state; a shorter list is a filter on the result."""
     broken, failed = F.col("broken") == "Y", F.col("failures") > 0
-    bad = jobs.filter(broken | failed)
-    brief = bad.agg((F.count("*") > brief_above).alias("brief")).scalar()
-    return (
-        bad.withColumn("brief", brief)
-        .filter(~F.col("brief") | (broken & failed))
-        .select(
-            "job",
-            "log_user",
-            "last_date",
-            F.when(F.col("brief"), "Broken").when(broken, "Broken.").otherwise("Not Broken.").alias("broken"),
-            "failures",
-            "what",
-        )
+    return jobs.filter(broken | failed).select(
+        "job", "log_user", "last_date", F.when(broken, "Broken.").otherwise("Not Broken.").alias("broken"), "failures", "what"
     )
 
 
-def broken_jobs_message(jobs: DataFrame, brief_above: int = 10, by=()) -> DataFrame:
-    """How many jobs are broken or failed, and whether all of them are listed."""
+def broken_jobs_message(jobs: DataFrame, by=()) -> DataFrame:
+    """How many jobs are broken or failed."""
     bad = F.coalesce((F.col("broken") == "Y") | (F.col("failures") > 0), F.lit(False))
     n = F.col("n")
-    text = (
-        F.when(n < 1, "** No Unsuccessful or Broken Jobs Found **")
-        .when(
-            n > brief_above,
-            cat("** WARNING - ", n.cast("string"), " broken or failed jobs. ONLY FAILED JOBS will be listed. Please investigate further! **"),
-        )
-        .otherwise(cat("** WARNING - ", n.cast("string"), " failed or broken ", F.when(n == 1, "job").otherwise("jobs"), " found **"))
+    text = F.when(n < 1, "** No Unsuccessful or Broken Jobs Found **").otherwise(
+        cat("** WARNING - ", n.cast("string"), " failed or broken ", F.when(n == 1, "job").otherwise("jobs"), " found **")
     )
     return jobs.groupBy(*columns(by)).agg(F.count_if(bad).alias("n")).select(*columns(by), text.alias("message"))
 

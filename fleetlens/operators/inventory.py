@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.semantics import cat, columns, not_disabled, ntz
-from fleetlens.operators.lists import joined_text
 from fleetlens.sinks.tables import update_matching
 
 
@@ -118,8 +117,9 @@ def checks_to_run(
 
     Defaults obey the version range and the disabled flag; additions ignore both;
     both obey skips. ``targets`` has ``database_name`` and an integer
-    ``version``. The version range is unfolded over the versions that occur, so
-    checks meet targets through an equality.
+    ``version``. An open end of a version range is open. Ranges are unfolded over
+    the distinct versions that occur (as many as there are releases), so checks
+    meet targets through an equality.
     """
     here = checks.filter(F.col("run_on_master") == on_master)
     every = F.col("frequency").contains(frequency)
@@ -129,10 +129,12 @@ def checks_to_run(
         adds = adds.filter(typed)
     else:
         here_default = here
-    low, high = F.coalesce("db_version_from", F.lit(0)), F.coalesce("db_version_to", F.lit(999))
+    occurring = targets.agg(F.collect_set("version").alias("versions"))
+    low, high = F.col("db_version_from"), F.col("db_version_to")
+    covered = F.filter("versions", lambda v: F.coalesce(low <= v, F.lit(True)) & F.coalesce(high >= v, F.lit(True)))
     defaults = (
-        here_default.filter(every & not_disabled() & (low <= high))
-        .select("script_id", _script_text().alias("script"), "run_order", F.explode(F.sequence(low, high)).alias("version"))
+        here_default.filter(every & not_disabled()).withColumn("versions", occurring.scalar())
+        .select("script_id", _script_text().alias("script"), "run_order", F.explode(covered).alias("version"))
         .join(targets.select("database_name", "version"), "version")
         .select("database_name", "script_id", "script", "run_order")
     )
@@ -155,16 +157,15 @@ def checks_to_run(
 
 
 def skipped_checks(skips: DataFrame, checks: DataFrame, adds: DataFrame, as_of) -> DataFrame:
-    """One text per target listing its skipped checks, unless an addition is in force for it."""
+    """The skipped checks of each target, unless an addition is in force for it."""
     added = adds.filter(not_disabled() & _in_force("added_from", "added_to", as_of)).select("database_name")
-    rows = (
+    return (
         skips.filter(not_disabled())
         .select("database_name", "script_id")
         .join(added, "database_name", "left_anti")
         .join(checks.select("script_id", "script_type"), "script_id")
-        .select("database_name", cat(F.col("script_id"), "(", F.col("script_type"), ")").alias("item"))
+        .select("database_name", cat(F.col("script_id"), "(", F.col("script_type"), ")").alias("skipped"))
     )
-    return joined_text(rows, ["database_name"], "item", name="skipped")
 
 
 def resolve_check_set(
@@ -172,8 +173,8 @@ def resolve_check_set(
 ) -> DataFrame:
     """Checks of one set per target: components that name a target, plus wildcard components for all targets.
 
-    The wildcard components of one set are a handful of rows; they travel as one
-    array and are exploded beside each target, so no join without keys is needed.
+    A wildcard component meets every target by definition; the two are joined on
+    the set, whose components are a short list.
     """
     title = F.translate(F.coalesce("title", "set_id"), " ", "_")
     chosen = sets.filter((F.col("set_id") == set_id) & not_disabled()).select("set_id", title.alias("title"))
@@ -182,6 +183,7 @@ def resolve_check_set(
         .join(chosen, "set_id")
         .join(checks.select("script_id", "script_name", "param1", "param2"), "script_id")
         .select(
+            "set_id",
             "database_name",
             "script_name",
             "title",
@@ -194,14 +196,10 @@ def resolve_check_set(
         .join(servers.filter(not_disabled()).select("server"), "server")
         .select("database_name")
     )
-    named = parts.filter(F.col("database_name").isNotNull()).join(targets, "database_name")
+    named = parts.filter(F.col("database_name").isNotNull()).drop("set_id").join(targets, "database_name")
     detail = ["script_name", "title", "param1", "param2"]
-    wild = parts.filter(F.col("database_name").isNull()).agg(F.collect_set(F.struct(*detail)).alias("parts"))
-    everywhere = (
-        targets.withColumn("parts", wild.scalar())
-        .select("database_name", F.explode("parts").alias("part"))
-        .select("database_name", *[F.col("part")[c].alias(c) for c in detail])
-    )
+    wild = parts.filter(F.col("database_name").isNull()).select("set_id", *detail).distinct()
+    everywhere = targets.withColumn("set_id", F.lit(set_id)).join(wild, "set_id").select("database_name", *detail)
     return named.select("database_name", *detail).unionByName(everywhere).distinct()
 
 
@@ -275,13 +273,12 @@ def cluster_counts(databases: DataFrame, servers: DataFrame) -> DataFrame:
 
 
 def cluster_members(servers: DataFrame) -> DataFrame:
-    """Ordered member list per cluster."""
-    members = (
+    """Members of each cluster."""
+    return (
         servers.filter(not_disabled())
-        .select(F.coalesce("cluster_name", F.lit("(No Cluster)")).alias("cluster_name"), "physical_server_abbrev")
+        .select(F.coalesce("cluster_name", F.lit("(No Cluster)")).alias("cluster_name"), F.col("physical_server_abbrev").alias("member"))
         .distinct()
     )
-    return joined_text(members, ["cluster_name"], "physical_server_abbrev", name="servers")
 
 
 def orphan_servers(servers: DataFrame, databases: DataFrame) -> DataFrame:

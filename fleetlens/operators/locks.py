@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.semantics import cat, columns, short_host
-from fleetlens.operators.lists import joined_text
 
 RESOURCE = ["id1", "id2"]
 
@@ -153,9 +152,8 @@ def wait_tier(waiters: DataFrame, by=()) -> DataFrame:
 
 
 def blocker_list(locks: DataFrame, by) -> DataFrame:
-    """Ordered list of blocking sessions per ``by``."""
-    holding = locks.filter(F.col("block") == 1).select(*columns(by), F.col("sid").cast("string").alias("sid")).distinct()
-    return joined_text(holding, columns(by), "sid", separator=",", name="blockers")
+    """Blocking sessions of each ``by``."""
+    return locks.filter(F.col("block") == 1).select(*columns(by), "sid").distinct()
 
 
 def session_list(sessions: DataFrame, procs: DataFrame) -> DataFrame:

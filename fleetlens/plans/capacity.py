@@ -299,7 +299,7 @@ def c10(t):
 @query(
     "c10_container_totals",
     f"""WITH {CONTAINER_SQL} SELECT round(sum(total_mb), 4) AS grand_total_mb, round(sum(used_mb), 4) AS grand_used_mb,
-      round(sum(free_mb), 4) AS grand_free_mb FROM usage WHERE pct_used > 0""",
+      round(sum(free_mb), 4) AS grand_free_mb FROM usage""",
 )
 def c10_totals(t):
     totals = cap.container_totals(usage(t))
@@ -308,13 +308,11 @@ def c10_totals(t):
 
 @query(
     "c11_container_alerts",
-    f"""WITH {CONTAINER_SQL}, o AS (SELECT database_name,
-        container || '(' || CAST(round(pct_max_used) AS BIGINT) || '%)' AS item FROM usage
-      WHERE kind = '' AND round(pct_max_used) > 26 AND pct_used > 0),
-    a AS (SELECT database_name, 1 AS line_no, string_agg(item, '; ' ORDER BY item) AS containers FROM o GROUP BY ALL)
-    SELECT database_name, line_no, containers, CASE WHEN containers IS NULL THEN '** No tablespace alerts for ' || database_name || ' **'
-      ELSE '** ERROR - tablespace alerts on ' || database_name || ': ' || containers || ' **' END AS message
-    FROM (SELECT DISTINCT database_name FROM usage WHERE pct_used > 0) LEFT JOIN a USING (database_name)""",
+    f"""WITH {CONTAINER_SQL}, o AS (SELECT database_name, container || '(' || CAST(round(pct_max_used) AS BIGINT) || '%)' AS item
+      FROM usage WHERE kind = '' AND round(pct_max_used) > 26)
+    SELECT database_name, item, '** ERROR - tablespace alerts on ' || database_name || ': ' || item || ' **' AS message FROM o
+    UNION ALL SELECT database_name, NULL, '** No tablespace alerts for ' || database_name || ' **'
+    FROM (SELECT database_name FROM usage EXCEPT SELECT database_name FROM o)""",
 )
 def c11(t):
     return cap.container_alerts(usage(t), "database_name", "container", pct=26)
@@ -325,7 +323,7 @@ def c11(t):
     f"""WITH {CONTAINER_SQL} SELECT 'driver' AS server,
       container || CASE kind WHEN ' (u) ' THEN '(U)' WHEN ' (t) ' THEN '(T)' ELSE '' END AS container,
       {EVENT_NOW} AS space_time, total_mb AS meg_data, used_mb AS meg_used, free_mb AS meg_free
-    FROM usage WHERE pct_used > 0""",
+    FROM usage""",
 )
 def c12(t):
     return cap.container_snapshot(usage(t), "container", datetime.fromisoformat(AS_OF), server="driver")
@@ -462,9 +460,8 @@ def c18(t):
 @query(
     "c19_group_members",
     """WITH g AS (SELECT p_size AS group_no, sum(CAST(round(p_retailprice * 100) AS BIGINT)) AS bytes FROM part GROUP BY ALL)
-    SELECT group_no, 1 AS line_no, string_agg('''' || p_name || ' ' || p_partkey || '''', ', '
-        ORDER BY '''' || p_name || ' ' || p_partkey || '''') AS members, any_value(CAST(bytes AS DOUBLE) / 1048576.0) AS size_mb
-    FROM g JOIN part ON p_size = group_no WHERE group_no <> (SELECT max(group_no) FROM g) GROUP BY group_no""",
+    SELECT group_no, '''' || p_name || ' ' || p_partkey || '''' AS member, CAST(bytes AS DOUBLE) / 1048576.0 AS size_mb
+    FROM g JOIN part ON p_size = group_no WHERE group_no <> (SELECT max(group_no) FROM g)""",
 )
 def c19(t):
     groups = t.part.groupBy(F.col("p_size").alias("group_no")).agg(

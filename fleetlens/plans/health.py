@@ -115,10 +115,11 @@ JOBS_SQL = """j AS (SELECT o_orderkey AS job, o_custkey AS log_user, o_orderdate
 
 @query(
     "h05_broken_jobs_brief",
-    f"WITH {JOBS_SQL} SELECT * REPLACE ('Broken' AS broken) FROM j WHERE broken = 'Y' AND failures > 0",
+    f"WITH {JOBS_SQL} SELECT * REPLACE ('Broken.' AS broken) FROM j WHERE broken = 'Y' AND failures > 0",
 )
 def h05(t):
-    return hl.broken_jobs(batch_jobs(t))
+    """The caller's short list: jobs that are both broken and failed."""
+    return hl.broken_jobs(batch_jobs(t)).filter("broken = 'Broken.' AND failures > 0")
 
 
 @query(
@@ -127,14 +128,13 @@ def h05(t):
     WHERE broken = 'Y' OR failures > 0""",
 )
 def h05_full(t):
-    return hl.broken_jobs(batch_jobs(t), brief_above=1_000_000_000_000)
+    return hl.broken_jobs(batch_jobs(t))
 
 
 @query(
     "h05_broken_jobs_message",
     f"""WITH {JOBS_SQL}, c AS (SELECT log_user, count(*) FILTER (WHERE broken = 'Y' OR failures > 0) AS n FROM j GROUP BY log_user)
     SELECT log_user, CASE WHEN n < 1 THEN '** No Unsuccessful or Broken Jobs Found **'
-      WHEN n > 10 THEN '** WARNING - ' || n || ' broken or failed jobs. ONLY FAILED JOBS will be listed. Please investigate further! **'
       ELSE '** WARNING - ' || n || ' failed or broken ' || CASE WHEN n = 1 THEN 'job' ELSE 'jobs' END || ' found **' END AS message FROM c""",
 )
 def h05_message(t):

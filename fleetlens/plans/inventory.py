@@ -166,7 +166,7 @@ def per_customer(t, df):
     f"""WITH {CHECK_SQL}, t AS (SELECT c_name AS db, c_mktsegment AS seg, c_nationkey + 100 AS version FROM customer)
     SELECT db AS database_name, concat(script_name, ' ', param1, ' ', param2) AS script, run_order FROM k, t
       WHERE frequency LIKE '%D%' AND script_type IN ('CHECK', 'SUMMARY') AND run_on_master = 'N' AND disabled <> 'Y'
-      AND coalesce(db_version_from, 0) <= version AND coalesce(db_version_to, 999) >= version
+      AND (db_version_from IS NULL OR version >= db_version_from) AND (db_version_to IS NULL OR version <= db_version_to)
       AND NOT EXISTS (SELECT 1 FROM f WHERE f.script_id = k.script_id AND f.database_name = seg)
     UNION SELECT db, concat(script_name, ' ', param1, ' ', param2), g.run_order FROM g JOIN k USING (script_id)
       JOIN t ON seg = g.database_name
@@ -187,9 +187,7 @@ def v04(t):
     "v05_skipped_checks",
     f"""WITH {CHECK_SQL}, w AS (SELECT x.script_id, c_name AS database_name FROM x JOIN customer ON c_mktsegment = x.database_name
       WHERE x.disabled <> 'Y' AND x.database_name NOT IN (SELECT database_name FROM g))
-    SELECT w.database_name, 1 AS line_no, string_agg(script_id || '(' || script_type || ')', ', '
-      ORDER BY script_id || '(' || script_type || ')') AS skipped
-    FROM w JOIN k USING (script_id) GROUP BY w.database_name""",
+    SELECT w.database_name, script_id || '(' || script_type || ')' AS skipped FROM w JOIN k USING (script_id)""",
 )
 def v05(t):
     checks, adds, skips = check_tables(t)
@@ -289,7 +287,7 @@ def v10(t):
     "v11_cluster_members",
     f"""WITH {PLACE_SQL}, u AS (SELECT DISTINCT physical_server_abbrev AS h, coalesce(cluster_name, '(No Cluster)') AS c
       FROM p WHERE disabled <> 'Y')
-    SELECT c AS cluster_name, 1 AS line_no, string_agg(h, ', ' ORDER BY h) AS servers FROM u GROUP BY c""",
+    SELECT c AS cluster_name, h AS member FROM u""",
 )
 def v11(t):
     return inv.cluster_members(placements(t)[0])

@@ -131,8 +131,7 @@ def k04(t):
 
 @query(
     "k05_blocker_list",
-    f"""WITH {BASE_SQL} SELECT id1, 1 AS line_no, string_agg(CAST(sid AS VARCHAR), ',' ORDER BY CAST(sid AS VARCHAR)) AS blockers
-    FROM l WHERE block = 1 GROUP BY id1""",
+    f"""WITH {BASE_SQL} SELECT DISTINCT id1, sid FROM l WHERE block = 1""",
 )
 def k05(t):
     return lk.blocker_list(locks(t), "id1")

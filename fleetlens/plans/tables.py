@@ -1,6 +1,6 @@
 """Table-maintenance queries over the driver tables."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,16 +10,7 @@ from fleetlens.sinks import tables
 
 def scratch(t, name: str) -> str:
     """A new folder for one run, in the cluster's shared folder."""
-    folder = tables.shared_folder(t.spark)
-    if "://" in folder and not folder.startswith("file:"):
-        import uuid
-
-        return f"{folder}/{name}-{uuid.uuid4().hex}"
-    import os
-
-    local = folder.removeprefix("file://").removeprefix("file:")
-    os.makedirs(local, exist_ok=True)
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=local) + "/data"
+    return f"{tables.shared_folder(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def event_rows(t):

@@ -7,7 +7,6 @@ partitions a load touches.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,12 +98,17 @@ def dedupe_source(df: DataFrame, keys=None, prefer: Sequence[str] = ()) -> DataF
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder ``spark.checkpoint.dir`` names; a temporary one only where none is configured."""
+    """A folder that driver and executors share: ``spark.checkpoint.dir``, else one in the warehouse."""
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+        if not warehouse:
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        folder = f"{warehouse.rstrip('/')}/scratch"
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="fleetlens-"))
-    return configured or context.getCheckpointDir()
+        context.setCheckpointDir(folder)
+    return folder
 
 
 HISTORY_DAY = "history_day"

@@ -97,13 +97,12 @@ def test_lock_edges_reach_every_pair(spark):
     assert lk.wait_tier(waiters).first().tier == 120
 
 
-def test_broken_jobs_switch(spark):
+def test_every_broken_or_failed_job_is_listed(spark):
     rows = [(i, "u", NOW, "Y" if i % 2 else "N", i % 3, "w") for i in range(12)]
     jobs = spark.createDataFrame(rows, "job int, log_user string, last_date timestamp_ntz, broken string, failures int, what string")
     either = {r[0] for r in rows if r[3] == "Y" or r[4] > 0}
-    both = {r[0] for r in rows if r[3] == "Y" and r[4] > 0}
-    assert {r.job for r in hl.broken_jobs(jobs, brief_above=10).collect()} == either
-    assert {r.job for r in hl.broken_jobs(jobs, brief_above=9).collect()} == both
+    assert len(either) > 5
+    assert {r.job for r in hl.broken_jobs(jobs).collect()} == either
 
 
 def test_password_messages(spark):

@@ -148,14 +148,22 @@ def test_usage_bar(spark):
     ]
 
 
-def test_large_lists_are_split_without_loss(spark):
-    from fleetlens.operators.lists import joined_text
-
-    df = spark.range(1000).select(F.when(F.col("id") < 900, "big").otherwise("small").alias("k"), F.col("id").cast("string").alias("i"))
-    got = joined_text(df, ["k"], "i", per_line=100).collect()
-    assert len([r for r in got if r.k == "big"]) > 1
-    assert sorted(int(x) for r in got for x in r["items"].split(", ")) == list(range(1000))
-    assert all(r["items"].split(", ") == sorted(r["items"].split(", ")) for r in got)
+def test_empty_and_offline_containers_are_listed(spark):
+    cols = "database_name string, container string, bytes long, maxbytes long"
+    meg = 1048576
+    data = spark.createDataFrame([("A", "full", 100 * meg, 100 * meg), ("A", "temp", 5 * meg, None), ("B", "empty", 10 * meg, 20 * meg), ("C", "offline", None, None)], cols)
+    free = spark.createDataFrame([("B", "empty", 10 * meg)], "database_name string, container string, bytes long")
+    kinds = data.select("database_name", "container", F.when(F.col("container") == "temp", "TEMPORARY").otherwise("PERMANENT").alias("contents"))
+    usage = cap.container_usage([data], free, kinds, ["database_name", "container"])
+    assert {r.container: r.pct_used for r in usage.collect()} == {"full": 100.0, "temp": 100.0, "empty": 0.0, "offline": None}
+    assert cap.container_usage([data], free, kinds, ["database_name", "container"], min_pct=0).count() == 2
+    alerts = {(r.database_name, r["item"], r.message) for r in cap.container_alerts(usage, "database_name", "container").collect()}
+    assert alerts == {
+        ("A", "full(100%)", "** ERROR - tablespace alerts on A: full(100%) **"),
+        ("B", None, "** No tablespace alerts for B **"),
+        ("C", None, "** No tablespace alerts for C **"),
+    }
+    assert cap.container_snapshot(usage, "container", datetime(2024, 1, 1)).count() == 4
 
 
 def test_peers_and_staleness(spark):

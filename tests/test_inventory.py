@@ -108,3 +108,19 @@ def test_validate_null_passes_checks(spark):
     assert sorted((r.rule, r.row_key) for r in got.collect()) == [
         ("domain flag", "1"), ("not null v", "2"), ("range v", "1"), ("reference id", "2"), ("unique id", "1"),
     ]
+
+
+def test_version_ranges_are_open(spark):
+    checks = spark.createDataFrame(
+        [("A", None, None), ("B", None, 1100), ("C", 1101, None), ("D", 2000, 2**31 - 1)], "script_id string, db_version_from int, db_version_to int"
+    ).selectExpr(
+        "*", "'N' AS run_on_master", "'D' AS frequency", "'CHECK' AS script_type", "'N' AS disabled", "script_id AS script_name",
+        "'' AS param1", "'' AS param2", "1 AS run_order",
+    )
+    stamps = "CAST(NULL AS TIMESTAMP_NTZ)"
+    none = checks.limit(0)
+    adds = none.selectExpr("'x' AS database_name", "script_id", "frequency", "script_type", "disabled", "run_order", f"{stamps} AS added_from", f"{stamps} AS added_to")
+    skips = none.selectExpr("'x' AS database_name", "script_id", "disabled", f"{stamps} AS skipped_from", f"{stamps} AS skipped_to")
+    targets = spark.createDataFrame([("old", 1010), ("new", 2326), ("unknown", None)], "database_name string, version int")
+    got = {(r.database_name, r.script.strip()) for r in inv.checks_to_run(checks, adds, skips, targets, "2024-01-01").collect()}
+    assert got == {("old", "A"), ("old", "B"), ("new", "A"), ("new", "C"), ("new", "D")}
