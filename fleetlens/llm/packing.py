@@ -17,10 +17,11 @@ packed each; an empty table gives an empty result; other columns are not looked
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.words import SLICE_CHARS, slices
+from fleetlens.llm.words import ByteWords, text_runs
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
-# What may stand behind a word without joining it in the vocabulary's own rules for splitting.
-ENDINGS = b".,;:!?|%$&#*"
-# Latin-1 in lower case, with line ends as blanks.
-FOLD = bytes(32 if b == 10 else ord(chr(b).lower()) for b in range(256))
-
-
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 4096
@@ -47,105 +42,160 @@ class Limits:
 class WordCache:
     """Token ids of texts, for vocabularies that lower-case and never join what a blank or a line end parts.
 
-    A word is looked up as a core and an ending. Cores go through the tokenizer once and stay while
-    there is room; spellings of a word (capitals, endings) only point to them, so forgetting those
-    costs little. Both tables are bounded.
+    All words of a run of texts are hashed at once and looked up as a core and an ending, which the
+    tokenizer never joins, in a hash table of fixed size; only cores that are new go through the
+    tokenizer. The table is emptied when it is three quarters full.
     """
 
-    def __init__(self, path: str, most_cores: int = 700_000, most_words: int = 800_000):
+    # What may stand behind a word of letters without becoming part of its tokens.
+    ENDINGS = b".,;:!?|%$&#*"
+
+    def __init__(self, path: str, slots_log2: int = 21):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most_cores, self.most_words = most_cores, most_words
+        self.slots = 1 << slots_log2
+        self.words = ByteWords(fold=True)
+        self.words.blank[:] = False
+        self.words.blank[[10, 32]] = True
+        self.ending = np.zeros(256, bool)
+        self.ending[list(self.ENDINGS)] = True
+        b = np.arange(256)
+        self.ascii_letter = ((b | 32) >= 97) & ((b | 32) <= 122) & (b < 128)
+        # Second bytes of the Latin-1 letters whose first byte is C3; two of them are signs.
+        self.second = (b >= 0x80) & (b <= 0xBF) & (b != 0x97) & (b != 0xB7)
         self.clear()
 
     def clear(self) -> None:
-        self.words: dict[str | bytes, int] = {"": 0, b"": 0}
-        self.cores: dict[str, int] = {"": 0}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 16, np.int64)
-        self.length = np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def add(self, cores: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(cores, add_special_tokens=False)]
+        self.key = np.zeros(self.slots, np.uint64)
+        self.value = np.zeros(self.slots, np.int32)
+        self.flat = np.zeros(1 << 20, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.start = np.zeros(self.slots, np.int32)
+        self.length = np.zeros(self.slots, np.int32)
+        # Number 0 is the empty ending.
+        self.known, self.used = 1, 0
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each hash, -1 if unknown, and the slot where its search ended."""
+        out = np.full(len(h), -1, np.int64)
+        slot = (h >> np.uint64(24)).astype(np.int64) & (self.slots - 1)
+        open_ = np.arange(len(h))
+        at = slot.copy()
+        while len(open_):
+            key = self.key[at]
+            hit = key == h[open_]
+            out[open_[hit]] = self.value[at[hit]]
+            slot[open_] = at
+            on = ~hit & (key != 0)
+            open_, at = open_[on], (at[on] + 1) & (self.slots - 1)
+        return out, slot
+
+    def learn(self, h: np.ndarray, texts: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         n = np.fromiter(map(len, found), np.int64, len(found))
-        at, total = len(self.cores), int(n.sum())
+        total = int(n.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while at + len(n) > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
-        self.start[at : at + len(n)] = self.used + np.cumsum(n) - n
-        self.length[at : at + len(n)] = n
+        number = np.arange(self.known, self.known + len(n))
+        self.flat[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), self.flat.dtype, total)
+        self.start[number] = self.used + np.cumsum(n) - n
+        self.length[number] = n
         self.used += total
-        self.cores.update(zip(cores, range(at, at + len(cores)), strict=True))
-
-    def learn(self, words: list[str | bytes]) -> list[int]:
-        """The codes of words that are not in the table: core, and ending in the upper half."""
-        parts = {w: core_and_ending(w) for w in words}
-        new = {x for pair in parts.values() for x in pair}.difference(self.cores)
-        if new:
-            self.add(list(new))
-        cores = self.cores
-        codes = {w: cores[core] | cores[ending] << 32 for w, (core, ending) in parts.items()}
-        self.words.update(codes)
-        return [codes[w] for w in words]
+        self.known += len(n)
+        # Where several want one free slot, one gets it and the others look on.
+        while len(h):
+            _, slot = self.find(h)
+            _, one = np.unique(slot, return_index=True)
+            self.key[slot[one]], self.value[slot[one]] = h[one], number[one]
+            rest = np.ones(len(h), bool)
+            rest[one] = False
+            h, number = h[rest], number[rest]
+
+    def numbers(self, h: np.ndarray, raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        number, _ = self.find(h)
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            new, first = np.unique(h[missing], return_index=True)
+            at = missing[first]
+            self.learn(new, [raw[i:j].decode() for i, j in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+            number[missing], _ = self.find(h[missing])
+        return number
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """The token ids of each text."""
-        words = [split(text) for text in texts]
-        codes = [np.fromiter(map(self.words.get, some, repeat(-1)), np.int64, len(some)) for some in words]
-        places = [np.flatnonzero(code < 0) for code in codes]
-        unknown = [some[i] for some, place in zip(words, places, strict=True) for i in place.tolist()]
-        if unknown:
-            if len(self.cores) > 1 and len(self.cores) + len(unknown) > self.most_cores:
-                self.clear()
-                return self.ids(texts)
-            if len(self.words) > self.most_words:
-                self.words = {"": 0, b"": 0}
-            learned = self.learn(unknown)
-            for code, place in zip(codes, places, strict=True):
-                code[place] = learned[: len(place)]
-                learned = learned[len(place) :]
-        out = []
-        for code in codes:
-            core, ending = code & 0xFFFFFFFF, code >> 32
-            if ending.any():
-                at = np.stack([core, ending], axis=1).ravel()
-                at = at[at > 0]
-            else:
-                at = core
-            n = self.length[at]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.repeat(self.start[at] - (ends - n), n) + np.arange(total)])
-        return out
-
-
-def split(text: str) -> list[str] | list[bytes]:
-    """Words, in lower case where the text is Latin-1 and holds nothing like a special token."""
-    if "<|" not in text:
-        try:
-            return text.encode("latin-1").translate(FOLD).split(b" ")
-        except UnicodeEncodeError:
-            pass
-    return text.replace("\n", " ").split(" ")
-
-
-def core_and_ending(word: str | bytes) -> tuple[str, str]:
-    """What the tokenizer sees of a word first, and an ending that it never joins to that.
-
-    Only cores of Latin-1 letters are split from their endings; other words are left whole.
-    """
-    if isinstance(word, str):
-        return word, ""
-    core = word.rstrip(ENDINGS)
-    text = core.decode("latin-1")
-    if len(core) == len(word) or not text.isalpha():
-        return word.decode("latin-1"), ""
-    return text, word[len(core) :].decode()
+        """The token ids of each text; what looks like a special token is left to the tokenizer."""
+        if any("<|" in t for t in texts):
+            plain = iter(self.ids([t for t in texts if "<|" not in t]) if any("<|" not in t for t in texts) else [])
+            encode = self.tokenizer.encode
+            return [np.array(encode(t, add_special_tokens=False).ids, np.uint32) if "<|" in t else next(plain) for t in texts]
+        raw = [t.encode() for t in texts]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        first = np.cumsum(size + 1) - (size + 1)
+        parts, begins = [], []
+        for at, part in buffers(b" ".join(raw)):
+            tokens, start, count = self.part(part)
+            parts.append(tokens)
+            begins.append((start + at, count))
+        start, count = (np.concatenate(x) for x in zip(*begins, strict=True))
+        bounds = np.append(0, np.cumsum(count))[np.append(np.searchsorted(start, first), len(start))]
+        tokens = np.concatenate(parts).astype(np.uint32)
+        return [tokens[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def part(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of a buffer; first byte and number of tokens of each word."""
+        if len(raw) > self.words.MOST:
+            found = self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids
+            return np.array(found, np.uint32), np.zeros(1, np.int64), np.array([len(found)])
+        b = np.frombuffer(raw, np.uint8)
+        start, end, sums = self.words.bounds(b)
+        # Where a word's ending begins: behind its last byte that is no ending.
+        body = np.maximum.accumulate(np.where(self.ending[b], -1, np.arange(len(b))))
+        middle = np.maximum(body[end - 1] + 1, start) if len(end) else end
+        other = ~self.ascii_letter[b]
+        lead = b == 0xC3
+        other &= ~lead
+        other[1:] &= ~(lead[:-1] & self.second[b[1:]])
+        strange = np.append(0, np.cumsum(other))
+        split = (middle > start) & (strange[middle] == strange[start])
+        middle = np.where(split, middle, end)
+
+        h = self.words.hashed(sums, start, middle)
+        tail = np.flatnonzero(middle < end)
+        if self.known + len(h) + len(tail) > self.slots * 3 // 4 and self.known > 1:
+            self.clear()
+        number = np.zeros((len(h), 2), np.int64)
+        number[:, 0] = self.numbers(h, raw, start, middle)
+        number[tail, 1] = self.numbers(self.words.hashed(sums, middle[tail], end[tail]), raw, middle[tail], end[tail])
+        n = self.length[number].astype(np.int64)
+        count = n.sum(axis=1)
+        flat = number.ravel()[n.ravel() > 0]
+        n = n.ravel()[n.ravel() > 0]
+        ends = np.cumsum(n)
+        place = np.repeat(self.start[flat] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.flat[place], start, count
+
+
+def worker_cache(path: str) -> WordCache:
+    """The word table of this Python worker; workers run many tasks, functions come anew with each."""
+    kept = sys.modules.setdefault("_fleetlens_worker", ModuleType("_fleetlens_worker"))
+    caches = kept.__dict__.setdefault("word_caches", {})
+    if path not in caches:
+        caches[path] = WordCache(path)
+    return caches[path]
+
+
+def buffers(raw: bytes, most: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
+    """The bytes in parts, cut at blanks or line ends; a longer word stays whole."""
+    at = 0
+    while len(raw) - at > most:
+        cut = max(raw.rfind(b" ", at, at + most), raw.rfind(b"\n", at, at + most))
+        if cut <= at:
+            after = [i for i in (raw.find(b" ", at + most), raw.find(b"\n", at + most)) if i >= 0]
+            if not after:
+                break
+            cut = min(after)
+        yield at, raw[at:cut]
+        at = cut + 1
+    yield at, raw[at:]
 
 
 class Packer:
@@ -257,7 +307,7 @@ def pack(
     )
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(tokenizer)
+        cache = worker_cache(tokenizer)
         packer = Packer(limits, window, cut)
         number = TaskContext.get().partitionId() << 40
 
@@ -275,9 +325,9 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=NAMES)
 
         for batch in batches:
-            for at, some in runs(batch.column(1)):
+            for at, some in text_runs(batch.column(1)):
                 doc_ids, losses = (batch.column(i).slice(at, len(some)).to_pylist() for i in (0, 2))
-                for doc_id, loss, ids in zip(doc_ids, losses, whole(cache, some), strict=True):
+                for doc_id, loss, ids in zip(doc_ids, losses, cache.ids(some), strict=True):
                     if end_id is not None:
                         ids = np.append(ids, np.uint32(end_id))
                     if len(ids):
@@ -290,28 +340,4 @@ def pack(
     return rows.mapInArrow(packed, PIECES)
 
 
-def runs(texts: pa.Array, most_chars: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """Texts a bounded number of characters at a time, with the place of the first."""
-    some, held, at = [], 0, 0
-    for i, text in enumerate(texts):
-        some.append(text.as_py())
-        held += len(some[-1])
-        if held >= most_chars:
-            yield at, some
-            some, held, at = [], 0, i + 1
-    if some:
-        yield at, some
-
-
-def whole(cache: WordCache, texts: list[str]) -> Iterator[np.ndarray]:
-    """The ids of each text; a very long one goes through the cache in slices."""
-    if len(texts) == 1 and len(texts[0]) > SLICE_CHARS:
-        yield np.concatenate([cache.ids([part])[0] for part in slices(texts[0])])
-    elif max(map(len, texts)) > SLICE_CHARS:
-        for text in texts:
-            yield from whole(cache, [text])
-    else:
-        yield from cache.ids(texts)
-
-
 NAMES = [c.split()[0] for c in PIECES.split(", ")]

@@ -124,15 +124,21 @@ class ByteWords:
         return h, start + at
 
     def part(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-        b = np.frombuffer(raw, np.uint8)
+        start, end, sums = self.bounds(np.frombuffer(raw, np.uint8))
+        return self.hashed(sums, start, end), start
+
+    def bounds(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First byte and end of each word, and the sums that hashes are taken from."""
         edge = np.zeros(len(b) + 2, np.int8)
         edge[1:-1] = ~self.blank[b]
         edge = np.diff(edge)
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         sums = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(self.code[b] * self.up[: len(b)], out=sums[1:])
+        return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), sums
+
+    def hashed(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (sums[end] - sums[start]) * self.down[start]
-        return mixed(h + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), start
+        return mixed(h + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def of_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words of the texts, and where each text's words begin (and the end)."""
