@@ -9,13 +9,19 @@ from fleetlens.streaming import operators as st
 from fleetlens.streaming import stateful as sf
 
 
-# Bounds a micro-batch, and with it the rows of one series that a stateful processor sees at once.
-BATCH_LIMIT = 1 << 30
+def event_stream(t):
+    """The event table as a stream, whether it is one file or a folder of files."""
+    reader = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", FILES_PER_BATCH)
+    return reader.option("recursiveFileLookup", "true").parquet(f"{t.folder}/events.parquet*")
 
 
-def event_stream(t):
-    reader = t.spark.readStream.schema(t.events.schema).option("maxBytesPerTrigger", BATCH_LIMIT)
-    return reader.option("pathGlobFilter", "events.parquet").parquet(t.folder)
+FILES_PER_BATCH = 64
+
+
+def windows_of(t, name, windows, stream):
+    path = scratch(t, name)
+    st.drain(stream, st.stored_by_batch(path + "/table", windows.partial), path + "/checkpoint")
+    return windows.merged(t.spark.read.parquet(path + "/table"))
 
 
 def drained(t, name, stream, mode="append"):
@@ -25,11 +31,14 @@ def drained(t, name, stream, mode="append"):
     return t.spark.read.parquet(path + "/table")
 
 
-def exact(stream):
-    return stream.withColumn("value", F.col("value").cast("decimal(18,2)"))
+def recomputed(t, name, stream, compute):
+    path = scratch(t, name)
+    st.drain(stream, st.recomputed(path + "/history", path + "/table", "key", compute), path + "/checkpoint")
+    return t.spark.read.parquet(path + "/table").drop("bucket")
 
 
-WATER = "(SELECT max(ts) FROM events)"
+def exact(stream):
+    return stream.withColumn("value", F.col("value").cast("decimal(18,2)"))
 
 
 @query(
@@ -38,31 +47,30 @@ WATER = "(SELECT max(ts) FROM events)"
     w AS (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') - to_hours(CAST(back AS INT)) AS window_start FROM e)
     SELECT event_type, window_start, window_start + INTERVAL 24 HOUR AS window_end, count(value) AS samples,
       CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(value) AS mean_value FROM w
-    WHERE window_start + INTERVAL 24 HOUR <= {WATER} - INTERVAL 2 HOUR GROUP BY ALL""",
+    GROUP BY ALL""",
 )
 def t01(t):
-    return drained(t, "sliding", st.sliding_averages(exact(event_stream(t)), "event_type", "ts", "value", "24 hours", "6 hours", "2 hours"))
+    return windows_of(t, "sliding", st.sliding_averages("event_type", "ts", "value", "24 hours", "6 hours"), exact(event_stream(t)))
 
 
 @query(
     "t02_daily_high_water",
     f"""SELECT user_id, event_type, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS window_start, value, ts, event_id FROM events
-    WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= {WATER} - INTERVAL 1 HOUR
     QUALIFY row_number() OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY value DESC, ts, event_id DESC) = 1""",
 )
 def t02(t):
-    return drained(t, "high", st.windowed_high_water(event_stream(t), ["user_id", "event_type"], "ts", "value", tie_break=["event_id"]))
+    windows = st.windowed_high_water(["user_id", "event_type"], "ts", "value", tie_break=["event_id"])
+    return windows_of(t, "high", windows, event_stream(t)).drop("window_end")
 
 
 @query(
     "t02_hourly_rollup",
     f"""SELECT event_type, date_trunc('hour', ts) AS window_start, count(value) AS samples,
       CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(value) AS mean_value, CAST(min(value) AS DECIMAL(18,2)) AS min_value,
-      CAST(max(value) AS DECIMAL(18,2)) AS max_value FROM events
-    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= {WATER} - INTERVAL 1 HOUR GROUP BY ALL""",
+      CAST(max(value) AS DECIMAL(18,2)) AS max_value FROM events GROUP BY ALL""",
 )
 def t02_rollup(t):
-    return drained(t, "rollup", st.windowed_rollup(exact(event_stream(t)), "event_type", "ts", "value"))
+    return windows_of(t, "rollup", st.windowed_rollup("event_type", "ts", "value"), exact(event_stream(t))).drop("window_end")
 
 
 def series_stream(t, **cols):
@@ -88,9 +96,8 @@ def naive(df):
     SELECT user_id AS key, event_id AS seq, ts, event_type AS state, decision FROM r WHERE decision <> 'NONE'""",
 )
 def t03(t):
-    sf.use_rocksdb(t.spark)
     states = series_stream(t, state=F.col("event_type"))
-    return naive(drained(t, "notify", sf.notify_changes(states, "error", 6 * 3600)))
+    return naive(recomputed(t, "notify", states, lambda rows: sf.notices(rows, "error", 6 * 3600)))
 
 
 @query(
@@ -123,9 +130,8 @@ def t04(t):
     SELECT * FROM l WHERE delta >= 0""",
 )
 def t05(t):
-    sf.use_rocksdb(t.spark)
     counters = series_stream(t, value=F.round(F.col("value") * 100).cast("long"))
-    return naive(drained(t, "deltas", sf.counter_deltas(counters)))
+    return naive(recomputed(t, "deltas", counters, sf.deltas))
 
 
 @query("t06_ingest_once", "SELECT event_id, user_id, ts, value FROM events")
@@ -133,8 +139,9 @@ def t06(t):
     """Every event arrives twice and is kept once."""
     rows = event_stream(t).select("event_id", "user_id", "ts", "value")
     twice = rows.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    once = st.ingest_once(twice, ["event_id", "user_id"], "ts")
-    return naive(drained(t, "ingest", once.drop("copy")))
+    path = scratch(t, "ingest")
+    st.drain(twice.drop("copy"), st.ingest_once(path + "/table", ["event_id", "user_id"], "ts"), path + "/checkpoint")
+    return t.spark.read.parquet(path + "/table").drop(st.DAY)
 
 
 @query("t06_upsert_batches", "SELECT event_id, user_id, event_type, value + 1 AS value FROM events")
@@ -144,7 +151,7 @@ def t06_upsert(t):
     cols = ["event_id", "user_id", "event_type", "value"]
     t.events.select(*cols).write.partitionBy("event_type").parquet(path + "/table")
     changed = event_stream(t).select(*cols).withColumn("value", F.col("value") + 1)
-    apply = st.upsert_batches(path + "/table", ["event_id", "event_type"], ["user_id", "value"], "event_type")
+    apply = st.upsert_batches(path + "/table", ["event_id", "event_type"], ["user_id", "value"], "event_type", ["value"])
     writer = changed.writeStream.foreachBatch(apply).option("checkpointLocation", path + "/checkpoint")
     writer.trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.parquet(path + "/table").select(*cols)

@@ -19,11 +19,13 @@ from fleetlens.operators.latest import latest_per_key, newest_first, top_rows
 def upsert(target: DataFrame, source: DataFrame, keys, update_cols: Sequence[str]) -> DataFrame:
     """Matched rows take ``update_cols`` from the source; unmatched source rows are inserted.
 
-    The source must hold one row per key (see :func:`dedupe_source`).
+    A source that holds a key twice is refused (see :func:`dedupe_source`).
     """
     keys = columns(keys)
     old = target.select(*keys, F.struct(*[c for c in target.columns if c not in keys]).alias("_old"))
-    new = source.select(*keys, F.struct(*[c for c in source.columns if c not in keys]).alias("_new"))
+    row = F.struct(*[c for c in source.columns if c not in keys])
+    new = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(row).alias("_new"))
+    new = new.select(*keys, F.when(F.col("_n") == 1, F.col("_new")).otherwise(F.raise_error("source repeats a key")).alias("_new"))
     both = old.join(new, keys, "full_outer")
     has_old, has_new = F.col("_old").isNotNull(), F.col("_new").isNotNull()
 

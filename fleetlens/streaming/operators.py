@@ -1,104 +1,178 @@
 """Structured Streaming forms of the polled operators.
 
-Event time must be a zoned TIMESTAMP (watermarks reject the zone-free type), so
-streams cast it first. Rows later than the watermark are dropped.
+No result depends on how the input is cut into files and micro-batches, or on the
+order in which rows arrive: no watermark drops rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.semantics import columns
 from fleetlens.operators.inventory import rows_in_blackout
-from fleetlens.sinks.tables import upsert_table
+from fleetlens.sinks.tables import dedupe_source, upsert_table
 
 
 def zoned(stream: DataFrame, ts: str) -> DataFrame:
     return stream.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def _naive(c: str):
-    return F.col(c).cast("timestamp_ntz")
+# --- windows: partial states per micro-batch, merged when they are read ------------------
 
 
-def sliding_averages(
-    stream: DataFrame, keys, ts: str, value: str, length: str = "1 hour", slide: str = "15 minutes", watermark: str = "10 minutes"
-) -> DataFrame:
+def stored_by_batch(path: str, prepare: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function that stores what ``prepare`` makes of a micro-batch under its number.
+
+    A replayed batch overwrites itself, so nothing counts twice.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        prepare(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return apply
+
+
+@dataclass(frozen=True)
+class Windows:
+    """Aggregates per series and window that are exact in any order of arrival and under any cut into batches.
+
+    ``partial`` reduces one micro-batch; ``merged`` adds up all that is stored, windows still open included.
+    """
+
+    keys: list[str]
+    ts: str
+    length: str
+    slide: str | None
+    states: dict[str, Column]
+    merges: dict[str, Column]
+    results: dict[str, Column]
+
+    def partial(self, batch: DataFrame) -> DataFrame:
+        window = F.window(F.col(self.ts).cast("timestamp_ntz"), self.length, self.slide)
+        grouped = batch.groupBy(*self.keys, window).agg(*[c.alias(n) for n, c in self.states.items()])
+        return grouped.select(*self.keys, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *self.states)
+
+    def merged(self, stored: DataFrame) -> DataFrame:
+        rows = stored.groupBy(*self.keys, "window_start", "window_end").agg(*[c.alias(n) for n, c in self.merges.items()])
+        return rows.select(*self.keys, "window_start", "window_end", *[c.alias(n) for n, c in self.results.items()])
+
+
+def sliding_averages(keys, ts: str, value: str, length: str = "1 hour", slide: str | None = "15 minutes") -> Windows:
     """Mean and sample count per series and sliding window."""
-    keys = columns(keys)
-    out = (
-        zoned(stream, ts)
-        .withWatermark(ts, watermark)
-        .groupBy(*keys, F.window(ts, length, slide))
-        .agg(F.count(value).alias("samples"), F.sum(value).alias("_total"))
-    )
-    return out.select(
-        *keys,
-        _naive("window.start").alias("window_start"),
-        _naive("window.end").alias("window_end"),
-        "samples",
-        F.try_divide(F.col("_total").cast("double"), F.col("samples").cast("double")).alias("mean_value"),
-    )
+    return Windows(
+        columns(keys), ts, length, slide,
+        states={"samples": F.count(value), "total": F.sum(value)},
+        merges={"samples": F.sum("samples"), "total": F.sum("total")},
+        results={"samples": F.col("samples"), "mean_value": _mean()},
+    )
 
 
-def windowed_high_water(
-    stream: DataFrame, keys, ts: str, value: str, length: str = "1 day", watermark: str = "1 hour", tie_break: Sequence[str] = ()
-) -> DataFrame:
+def windowed_high_water(keys, ts: str, value: str, length: str = "1 day", tie_break: Sequence[str] = ()) -> Windows:
     """First sample that reached the maximum of its window, per series."""
-    keys = columns(keys)
-    best = F.max_by(
-        F.struct(value, ts, *tie_break),
-        F.struct(F.col(value), F.lit(0) - F.unix_micros(ts), *tie_break),
-    )
-    out = zoned(stream, ts).withWatermark(ts, watermark).groupBy(*keys, F.window(ts, length)).agg(best.alias("best"))
-    return out.select(
-        *keys,
-        _naive("window.start").alias("window_start"),
-        F.col("best")[value].alias(value),
-        F.col("best")[ts].cast("timestamp_ntz").alias(ts),
-        *[F.col("best")[c].alias(c) for c in tie_break],
-    )
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    best = F.max_by(F.struct(value, ts, *tie_break), F.struct(F.col(value), F.lit(0) - micros, *tie_break))
+    stored = [F.col("best")[c] for c in (value, ts, *tie_break)]
+    again = F.struct(stored[0], F.lit(0) - F.unix_micros(stored[1].cast("timestamp")), *stored[2:])
+    return Windows(
+        columns(keys), ts, length, None,
+        states={"best": best},
+        merges={"best": F.max_by("best", again)},
+        results={c: F.col("best")[c] for c in (value, ts, *tie_break)},
+    )
+
+
+def windowed_rollup(keys, ts: str, value: str, length: str = "1 hour") -> Windows:
+    """Count, mean, minimum and maximum per series and tumbling window."""
+    return Windows(
+        columns(keys), ts, length, None,
+        states={"samples": F.count(value), "total": F.sum(value), "min_value": F.min(value), "max_value": F.max(value)},
+        merges={"samples": F.sum("samples"), "total": F.sum("total"), "min_value": F.min("min_value"), "max_value": F.max("max_value")},
+        results={"samples": F.col("samples"), "mean_value": _mean(), "min_value": F.col("min_value"), "max_value": F.col("max_value")},
+    )
 
 
-def windowed_rollup(stream: DataFrame, keys, ts: str, value: str, length: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
-    """Count, mean, minimum and maximum per series and tumbling window."""
-    keys = columns(keys)
-    out = (
-        zoned(stream, ts)
-        .withWatermark(ts, watermark)
-        .groupBy(*keys, F.window(ts, length))
-        .agg(
-            F.count(value).alias("samples"),
-            F.sum(value).alias("_total"),
-            F.min(value).alias("min_value"),
-            F.max(value).alias("max_value"),
-        )
-    )
-    return out.select(
-        *keys,
-        _naive("window.start").alias("window_start"),
-        "samples",
-        F.try_divide(F.col("_total").cast("double"), F.col("samples").cast("double")).alias("mean_value"),
-        "min_value",
-        "max_value",
-    )
+def _mean() -> Column:
+    return F.try_divide(F.col("total").cast("double"), F.col("samples").cast("double"))
+
+
+# --- tables kept by a stream ------------------------------------------------------------
+
+DAY = "ingest_day"
+
 
+def ingest_once(path: str, keys, ts: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function that appends snapshots not yet stored, however late they come.
 
-def ingest_once(stream: DataFrame, keys, ts: str, watermark: str = "1 day") -> DataFrame:
-    """Snapshots without repeats of the same key and time within the watermark."""
+    Repeats of a key and time are dropped within the batch and against the stored days it touches;
+    a replayed batch adds nothing.
+    """
     keys = list(dict.fromkeys([*columns(keys), ts]))
-    return zoned(stream, ts).withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
 
+    def apply(batch: DataFrame, _: int) -> None:
+        rows = batch.dropDuplicates(keys).withColumn(DAY, F.to_date(ts)).persist()
+        try:
+            days = [r[0] for r in rows.select(DAY).distinct().collect()]
+            if not days:
+                return
+            new = rows
+            if exists(batch.sparkSession, path):
+                stored = batch.sparkSession.read.schema(rows.schema).parquet(path)
+                new = rows.join(stored.filter(F.col(DAY).isin(days)).select(*keys), keys, "left_anti")
+            new.write.mode("append").partitionBy(DAY).parquet(path)
+        finally:
+            rows.unpersist()
+
+    return apply
 
-def upsert_batches(path: str, keys, update_cols: Sequence[str], partition_by: str):
-    """``foreachBatch`` function that upserts each micro-batch; replaying a batch changes nothing."""
+
+def exists(spark, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def recomputed(history: str, result: str, key: str, compute: Callable[[DataFrame], DataFrame], buckets: int = 32) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function for results that depend on the order of a series' samples.
+
+    Rows go into a history by bucket of their key; the buckets a batch touches are computed anew by
+    the batch form, so that late rows change what they should and replays change nothing. At most
+    ``buckets`` numbers reach the driver.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        try:
+            touched = [r[0] for r in rows.select("bucket").distinct().collect()]
+            if not touched:
+                return
+            rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{history}/batch={number}")
+            known = spark.read.schema(f"{_fields(rows)}, batch long").parquet(history).drop("batch").filter(F.col("bucket").isin(touched))
+            new = compute(known.drop("bucket")).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+            new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(result)
+        finally:
+            rows.unpersist()
+
+    return apply
+
+
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def upsert_batches(path: str, keys, update_cols: Sequence[str], partition_by: str, newest: Sequence[str]):
+    """``foreachBatch`` function that upserts each micro-batch; replaying a batch changes nothing.
+
+    Of several versions of a key in one batch, the one with the highest ``newest`` columns counts.
+    """
 
     def apply(batch: DataFrame, _: int) -> None:
         # The batch is read twice: for the days it touches and for the upsert.
-        rows = batch.distinct().persist()
+        rows = dedupe_source(batch, columns(keys), newest).persist()
         try:
             if not rows.isEmpty():
                 upsert_table(batch.sparkSession, path, rows, keys, update_cols, partition_by)
@@ -108,6 +182,12 @@ def upsert_batches(path: str, keys, update_cols: Sequence[str], partition_by: st
     return apply
 
 
+def drain(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Hands everything available to ``apply``, micro-batch by micro-batch, and stops."""
+    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
 def suppress_blackouts(stream: DataFrame, rules: DataFrame, ts: str) -> DataFrame:
     """Alerts outside the blackouts of their database; ``rules`` is a static table."""
     return rows_in_blackout(stream, rules, ts, inside=False)

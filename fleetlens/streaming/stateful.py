@@ -1,10 +1,8 @@
-"""Per-series state: change notifier, samples-ago panel and counter deltas.
+"""Order-dependent streams: change notices, counter deltas and the samples-ago panel.
 
-These need the order of samples within one series, so they run as stateful
-processors. State is one row per series (a short list for the panel), never the
-series itself. The rows of one series in one micro-batch are handled together,
-so read the source with a rate limit (``maxBytesPerTrigger``); history is replayed
-with the batch forms, which have no such group.
+The panel keeps the newest samples of a series as state, which needs no order of
+arrival. Notices and deltas depend on what lies before a row; late rows change
+them, so they are computed from history (see ``recomputed`` in ``operators``).
 """
 
 from __future__ import annotations
@@ -13,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from fleetlens.operators.series_order import with_previous
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -25,52 +25,33 @@ def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _ordered(rows: Iterator[pd.DataFrame], ts: str, seq: str) -> pd.DataFrame:
-    return pd.concat(list(rows)).sort_values([ts, seq], kind="stable")
+def notices(history: DataFrame, failing: str, reminder_s: float) -> DataFrame:
+    """Change-or-reminder notifications for ``(key, seq, ts, state)`` rows in any order.
 
+    A row is CHANGED when its state differs from the one before. Within a failing run a REMINDER
+    follows once more than ``reminder_s`` have passed since the last notice. A run, as two columns,
+    is what one group holds at most.
+    """
+    rows = with_previous(history, "key", ["ts", "seq"], ["state"])
+    rows = rows.withColumn("changed", F.col("prev_state").isNull() | (F.col("prev_state") != F.col("state")))
+    changed = rows.filter("changed").select("key", "seq", "ts", "state", F.lit("CHANGED").alias("decision"))
+    # A failing run begins at its change; its rows carry that moment.
+    before = Window.partitionBy("key").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    failing_rows = rows.withColumn("run", F.last(F.when(F.col("changed"), F.col("seq")), ignorenulls=True).over(before))
+    failing_rows = failing_rows.filter(F.col("state") == failing).select("key", "run", "seq", "ts", "state")
+    step = int(reminder_s * 1_000_000)
 
-class ChangeNotifier(StatefulProcessor):
-    """Emits a row when the state differs from the last one seen, or as a reminder while failing."""
+    def reminders(run: pd.DataFrame) -> pd.DataFrame:
+        run = run.sort_values(["ts", "seq"], kind="stable")
+        at = run["ts"].to_numpy("datetime64[us]").astype("int64")
+        picked, told = [], at[0]
+        while (i := int(np.searchsorted(at, told + step, side="right"))) < len(at):
+            picked.append(i)
+            told = at[i]
+        return run.iloc[picked].assign(decision="REMINDER")[["key", "seq", "ts", "state", "decision"]]
 
-    def __init__(self, failing: str, reminder_s: float):
-        self.failing = failing
-        self.reminder_us = int(reminder_s * 1_000_000)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "state string, notified_us bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = _ordered(rows, "ts", "seq")
-        known = self.last.get() if self.last.exists() else (None, None)
-        state, notified = known[0], known[1]
-        out = []
-        micros = frame["ts"].to_numpy("datetime64[us]").astype("int64")
-        for seq, at, new in zip(frame["seq"].to_numpy(), micros, frame["state"].to_numpy()):
-            if new != state:
-                decision = "CHANGED"
-            elif new == self.failing and at - notified > self.reminder_us:
-                decision = "REMINDER"
-            else:
-                continue
-            state, notified = new, int(at)
-            out.append((*key, int(seq), np.datetime64(int(at), "us"), new, decision))
-        self.last.update((state, notified))
-        if not out:
-            return
-        yield pd.DataFrame(out, columns=["key", "seq", "ts", "state", "decision"])
-
-    def close(self) -> None:
-        pass
-
-
-def notify_changes(stream: DataFrame, failing: str, reminder_s: float) -> DataFrame:
-    """Change-or-reminder notifications for ``(key, seq, ts, state)`` rows."""
-    return stream.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=ChangeNotifier(failing, reminder_s),
-        outputStructType=f"key {_type(stream, 'key')}, seq bigint, ts timestamp, state string, decision string",
-        outputMode="append",
-        timeMode="none",
-    )
+    fields = ", ".join(f"{c} {_type(changed, c)}" for c in changed.columns)
+    return changed.unionByName(failing_rows.groupBy("key", "run").applyInPandas(reminders, fields))
 
 
 class SamplesAgo(StatefulProcessor):
@@ -112,40 +93,10 @@ def samples_ago(stream: DataFrame, offsets: tuple[int, ...] = (1, 2, 3, 6, 9, 12
     )
 
 
-class CounterDelta(StatefulProcessor):
-    """Difference from the previous counter value; resets are skipped."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.previous = handle.getValueState("previous", "value bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = _ordered(rows, "ts", "seq")
-        values = frame["value"].to_numpy("int64")
-        before = np.roll(values, 1)
-        keep = np.ones(len(values), bool)
-        if self.previous.exists():
-            before[0] = self.previous.get()[0]
-        else:
-            keep[0] = False
-        self.previous.update((int(values[-1]),))
-        delta = values - before
-        keep &= delta >= 0
-        yield pd.DataFrame(
-            {"key": key[0], "seq": frame["seq"].to_numpy()[keep], "ts": frame["ts"].to_numpy()[keep], "delta": delta[keep]}
-        )
-
-    def close(self) -> None:
-        pass
-
-
-def counter_deltas(stream: DataFrame) -> DataFrame:
-    """Deltas of ``(key, seq, ts, value)`` counter rows."""
-    return stream.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=CounterDelta(),
-        outputStructType=f"key {_type(stream, 'key')}, seq bigint, ts timestamp, delta bigint",
-        outputMode="append",
-        timeMode="none",
-    )
+def deltas(history: DataFrame) -> DataFrame:
+    """Deltas of ``(key, seq, ts, value)`` counter rows in any order; resets are skipped."""
+    rows = with_previous(history, "key", ["ts", "seq"], ["value"]).withColumn("delta", F.col("value") - F.col("prev_value"))
+    return rows.filter("delta >= 0").select("key", "seq", "ts", "delta")
 
 
 def _type(df: DataFrame, c: str) -> str:

@@ -1,8 +1,10 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.operators import series
+from fleetlens.sinks import tables
 from fleetlens.streaming import operators as st
 from fleetlens.streaming import stateful as sf
 
@@ -18,8 +20,14 @@ def source(spark, path, cols=COLS):
     return spark.readStream.schema(cols).option("maxFilesPerTrigger", 1).parquet(str(path))
 
 
-def drain(spark, tmp_path, stream):
-    st.write_available(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"))
+def windows_of(spark, tmp_path, windows, stream):
+    st.drain(stream, st.stored_by_batch(str(tmp_path / "out"), windows.partial), str(tmp_path / "ckpt"))
+    return windows.merged(spark.read.parquet(str(tmp_path / "out")))
+
+
+def recomputed(spark, tmp_path, compute, stream):
+    apply = st.recomputed(str(tmp_path / "history"), str(tmp_path / "out"), "key", compute)
+    st.drain(stream, apply, str(tmp_path / "ckpt"))
     return spark.read.parquet(str(tmp_path / "out"))
 
 
@@ -27,41 +35,92 @@ def at(minutes):
     return T0 + timedelta(minutes=minutes)
 
 
-def test_late_row_is_dropped(spark, tmp_path):
+def test_late_row_and_open_window_count(spark, tmp_path):
     src = tmp_path / "in"
-    out = lambda: st.sliding_averages(source(spark, src), "key", "ts", "value", "10 minutes", "10 minutes", "5 minutes")
+    windows = st.sliding_averages("key", "ts", "value", "10 minutes", None)
     feed(spark, src, [("a", 1, at(1), 1.0), ("a", 2, at(40), 9.0)])
-    drain(spark, tmp_path, out())
+    windows_of(spark, tmp_path, windows, source(spark, src))
     feed(spark, src, [("a", 3, at(2), 100.0), ("a", 4, at(90), 9.0)])
-    got = {r.window_start: r.mean_value for r in drain(spark, tmp_path, out()).collect()}
-    assert got == {T0: 1.0, at(40): 9.0}
+    got = {r.window_start: (r.samples, r.mean_value) for r in windows_of(spark, tmp_path, windows, source(spark, src)).collect()}
+    assert got == {T0: (2, 50.5), at(40): (1, 9.0), at(90): (1, 9.0)}
 
 
-def test_notifier_state_crosses_batches(spark, tmp_path):
-    sf.use_rocksdb(spark)
+def test_replayed_batch_counts_once(spark, tmp_path):
+    windows = st.windowed_rollup("key", "ts", "value")
+    rows = spark.createDataFrame([("a", 1, at(1), 1.0), ("a", 2, at(2), 3.0)], COLS)
+    store = st.stored_by_batch(str(tmp_path / "w"), windows.partial)
+    once = st.ingest_once(str(tmp_path / "t"), "key", "ts")
+    for _ in range(2):
+        store(rows, 0)
+        once(rows, 0)
+    assert [r.samples for r in windows.merged(spark.read.parquet(str(tmp_path / "w"))).collect()] == [2]
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_notices_after_late_rows(spark, tmp_path):
     cols = "key string, seq long, ts timestamp, state string"
     src = tmp_path / "in"
-    out = lambda: sf.notify_changes(source(spark, src, cols), "error", 3600)
-    feed(spark, src, [("a", 2, at(1), "error"), ("a", 1, at(0), "ok"), ("b", 1, at(0), "ok")], cols)
-    drain(spark, tmp_path, out())
-    feed(spark, src, [("a", 3, at(30), "error"), ("a", 4, at(62), "error"), ("a", 5, at(63), "ok"), ("b", 2, at(500), "ok")], cols)
-    got = {(r.key, r.seq, r.decision) for r in drain(spark, tmp_path, out()).collect()}
+    notices = lambda rows: sf.notices(rows, "error", 3600)
+    feed(spark, src, [("a", 2, at(1), "error"), ("a", 5, at(63), "ok"), ("b", 1, at(0), "ok")], cols)
+    recomputed(spark, tmp_path, notices, source(spark, src, cols))
+    feed(spark, src, [("a", 1, at(0), "ok"), ("a", 3, at(30), "error"), ("a", 4, at(62), "error"), ("b", 2, at(500), "ok")], cols)
+    got = {(r.key, r.seq, r.decision) for r in recomputed(spark, tmp_path, notices, source(spark, src, cols)).collect()}
     assert got == {("a", 1, "CHANGED"), ("a", 2, "CHANGED"), ("b", 1, "CHANGED"), ("a", 4, "REMINDER"), ("a", 5, "CHANGED")}
 
 
 def test_counter_deltas_equal_batch(spark, tmp_path, rows_of):
-    sf.use_rocksdb(spark)
     cols = "key string, seq long, ts timestamp, value long"
     rows = [(k, i, at(i), (i * 37) % 50) for k in "ab" for i in range(40)]
     src = tmp_path / "in"
-    for part in (rows[:20] + rows[40:55], rows[20:40] + rows[55:]):
+    for part in (rows[1::2], rows[::2]):
         feed(spark, src, part, cols)
-        got = drain(spark, tmp_path, sf.counter_deltas(source(spark, src, cols)))
+        got = recomputed(spark, tmp_path, sf.deltas, source(spark, src, cols))
     batch = spark.createDataFrame(rows, cols).withColumn("time", F.col("value"))
     want = series.counter_deltas(batch, "key", ["seq"], "value", "time").select("key", "seq", "snap_waits")
     assert rows_of(got.select("key", "seq", "delta")) == rows_of(want)
 
 
+def test_two_versions_of_a_key_in_one_batch(spark, tmp_path):
+    path = str(tmp_path / "t")
+    cols = "id long, day string, value double"
+    spark.createDataFrame([(1, "d", 0.0), (2, "d", 0.0)], cols).write.partitionBy("day").parquet(path)
+    batch = spark.createDataFrame([(1, "d", 5.0), (1, "d", 7.0), (3, "e", 1.0)], cols)
+    apply = st.upsert_batches(path, ["id", "day"], ["value"], "day", ["value"])
+    for _ in range(2):
+        apply(batch, 0)
+        got = sorted((r.id, r.value) for r in spark.read.parquet(path).collect())
+        assert got == [(1, 7.0), (2, 0.0), (3, 1.0)]
+
+
+def test_upsert_refuses_a_repeated_key(spark):
+    target = spark.createDataFrame([(1, 0.0)], "id long, value double")
+    source_ = spark.createDataFrame([(1, 5.0), (1, 7.0)], "id long, value double")
+    with pytest.raises(Exception, match="repeats a key"):
+        tables.upsert(target, source_, "id", ["value"]).collect()
+
+
+@pytest.fixture(scope="module")
+def layouts(spark, tmp_path_factory):
+    """The tables once as they are, once with events dealt by hash to four files, read one file at a time."""
+    from fleetlens.plans import streams
+
+    root = tmp_path_factory.mktemp("layouts")
+    for name in ("events", "customer"):
+        table = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        (table.repartition(4, F.xxhash64("event_id")) if name == "events" else table).write.parquet(str(root / f"{name}.parquet"))
+    before, streams.FILES_PER_BATCH = streams.FILES_PER_BATCH, 1
+    yield str(root)
+    streams.FILES_PER_BATCH = before
+
+
+@pytest.mark.parametrize("name", ["t01_sliding_averages", "t02_daily_high_water", "t02_hourly_rollup", "t03_notify_changes", "t04_samples_ago", "t05_counter_deltas", "t06_ingest_once", "t07_suppress_blackouts"])
+def test_file_layout_changes_nothing(spark, layouts, name, rows_of):
+    from fleetlens.plans.registry import load_all
+
+    query = load_all()[name]
+    assert rows_of(query(spark, layouts)) == rows_of(query(spark, "/root/testdata/sf0.001"))
+
+
 def test_samples_ago_across_batches(spark, tmp_path):
     sf.use_rocksdb(spark)
     src = tmp_path / "in"
@@ -79,8 +138,8 @@ def test_samples_ago_across_batches(spark, tmp_path):
 
 def test_repeated_snapshots_are_kept_once(spark, tmp_path):
     src = tmp_path / "in"
-    out = lambda: st.ingest_once(source(spark, src), "key", "ts")
-    feed(spark, src, [("a", 1, at(0), 1.0), ("a", 2, at(0), 1.0)])
-    drain(spark, tmp_path, out())
-    feed(spark, src, [("a", 3, at(0), 1.0), ("a", 4, at(5), 1.0)])
-    assert sorted(r.ts for r in drain(spark, tmp_path, out()).collect()) == [at(0), at(5)]
+    once = st.ingest_once(str(tmp_path / "out"), "key", "ts")
+    for rows in ([("a", 1, at(0), 1.0), ("a", 2, at(0), 1.0)], [("a", 3, at(0), 1.0), ("a", 4, at(5), 1.0), ("a", 5, at(-5000), 1.0)]):
+        feed(spark, src, rows)
+        st.drain(source(spark, src), once, str(tmp_path / "ckpt"))
+    assert sorted(r.ts for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [at(-5000), at(0), at(5)]
