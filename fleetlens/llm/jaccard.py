@@ -8,10 +8,10 @@ when it shares as many prefix shingles as the smaller of its two l.
 
 Documents with equal sets are one node from the start. Shingles that few nodes have give all their
 pairs, counted by pair. Where many nodes share a shingle, pairs would grow with the square: there
-the best connected node is compared with the others, and only nodes that are not in one component
-by then are compared further, until no list holds two components whose nodes have not met. No pair
-that could join two components is left out, so components are exact. Candidates are verified on the
-documents' whole shingle sets.
+each node first meets the best connected node it shares a shingle with, round by round, and only
+pairs of nodes that are not in one component by then are drawn. No pair that could join two
+components is left out, so components are exact. Candidates are verified on the documents' whole
+shingle sets.
 
 Shingles, and nodes, are 64-bit hashes. Only the sketch (one byte a cell) goes to all tasks.
 
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm import shared
@@ -37,16 +37,23 @@ from fleetlens.llm.words import ByteWords, RunHashes, mixed, powers, text_runs
 
 @dataclass(frozen=True)
 class Join:
-    """percent: least similarity; short_list: up to so many nodes of a shingle all pairs are drawn."""
+    """percent: least similarity; short_list: up to so many nodes of a shingle all pairs are drawn.
+
+    Nodes of longer lists meet hubs until what is left has at most ``pairs_per_document`` pairs for
+    each document, hubs find nothing more, or ``rounds`` are over; then all pairs left are drawn.
+    """
 
     percent: int = 75
     words: int = 5
-    cells_log2: int = 20
+    cells_log2: int = 21
     slices: int = 16
-    short_list: int = 6
-    lengths: tuple[int, ...] = (1, 2, 3, 4, 6, 8)
+    short_list: int = 8
+    lengths: tuple[int, ...] = (1, 2, 4, 8, 16, 32)
     verify_cost: float = 16.0
-    rounds: int = 6
+    hot_documents: int = 4096
+    pairs_per_document: int = 2
+    rounds: int = 8
+    broadcast_nodes: int = 200_000
 
 
 class Sets:
@@ -84,8 +91,27 @@ def cell(shingle: np.ndarray, join: Join) -> np.ndarray:
     return (mixed(shingle ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - join.cells_log2)).astype(np.int64)
 
 
-def read_sets(docs: DataFrame, join: Join) -> tuple[DataFrame, np.ndarray]:
-    """ref, doc_id, n_shingles, node of each document; and the sketch of document counts, as powers of two."""
+@dataclass(frozen=True)
+class Frequencies:
+    """A level per cell: 0 where the count is what chance puts into a cell, then two levels per doubling."""
+
+    level: np.ndarray
+    least: float
+
+    @staticmethod
+    def of(counts: np.ndarray) -> Frequencies:
+        usual = float(np.median(counts))
+        least = 4 * np.sqrt(usual + 1)
+        over = np.maximum(counts - usual, 1)
+        return Frequencies(np.where(over < least, 0, 1 + np.floor(2 * np.log2(over / least))).astype(np.uint8), least)
+
+    def documents(self, level: np.ndarray) -> np.ndarray:
+        """About how many documents have a shingle of the level."""
+        return np.where(level == 0, 1.0, self.least * 2.0 ** ((level.astype(float) - 1) / 2))
+
+
+def read_sets(docs: DataFrame, join: Join) -> tuple[DataFrame, Frequencies]:
+    """ref, doc_id, n_shingles, node of each document; and how frequent shingles are."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, counts = Sets(join.words), np.zeros(1 << join.cells_log2, np.int64)
@@ -106,7 +132,7 @@ def read_sets(docs: DataFrame, join: Join) -> tuple[DataFrame, np.ndarray]:
         sums = {}
         for batch in batches:
             for i, part in zip(batch.column("slice").to_pylist(), batch.column("counts"), strict=True):
-                sums[i] = sums.get(i, 0) + np.frombuffer(part.as_py(), "<i8")
+                sums[i] = sums.get(i, 0) + np.frombuffer(part.as_py(), "<u4").astype(np.int64)
         for i, part in sums.items():
             yield sketch_row(i, part)
 
@@ -115,9 +141,8 @@ def read_sets(docs: DataFrame, join: Join) -> tuple[DataFrame, np.ndarray]:
     rows = parts.repartition(join.slices, "slice").mapInArrow(add, SETS).collect()
     counts = np.zeros((join.slices, (1 << join.cells_log2) // join.slices), np.int64)
     for r in rows:
-        counts[r.slice] = np.frombuffer(r.counts, "<i8")
-    level = np.ceil(np.log2(np.maximum(counts.ravel(), 1))).astype(np.uint8)
-    return out.filter("slice is null").select("ref", "doc_id", "n_shingles", "node"), level
+        counts[r.slice] = np.frombuffer(r.counts, "<u4")
+    return out.filter("slice is null").select("ref", "doc_id", "n_shingles", "node"), Frequencies.of(counts.ravel())
 
 
 SETS = "ref long, doc_id long, n_shingles long, node long, slice int, counts binary"
@@ -125,7 +150,7 @@ NAMES = [c.split()[0] for c in SETS.split(", ")]
 
 
 def sketch_row(i: int, part: np.ndarray) -> pa.RecordBatch:
-    one = [pa.nulls(1, pa.int64())] * 4 + [pa.array([i], pa.int32()), pa.array([part.astype("<i8").tobytes()], pa.binary())]
+    one = [pa.nulls(1, pa.int64())] * 4 + [pa.array([i], pa.int32()), pa.array([np.minimum(part, 2**32 - 1).astype("<u4").tobytes()], pa.binary())]
     return pa.RecordBatch.from_arrays(one, names=NAMES)
 
 
@@ -144,34 +169,32 @@ def chosen_lengths(size: np.ndarray, least: np.ndarray, cost: np.ndarray, join:
     return best
 
 
-def prefixes(docs: DataFrame, level: np.ndarray, join: Join) -> DataFrame:
+def prefixes(docs: DataFrame, frequent: Frequencies, join: Join) -> DataFrame:
     """token, node, info, hot: the prefix shingles of every document; info packs set size, layer and l.
 
-    The layer of a shingle is the least l whose prefix it is in. Hot: by the sketch, a third of a
-    thousandth of the documents or more may have it, so that its rows are better not sorted in one task.
+    The layer of a shingle is the least l whose prefix it is in. Hot: thousands of documents may
+    have it, so that its rows are better not sorted in one task.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(level.tobytes())
-    usual = int(np.ceil(np.log2(max(1.0, float(np.mean(2.0 ** level.astype(float)))))))
-    hot_level = max(12, usual + 4)
+    sent = docs.sparkSession.sparkContext.broadcast((frequent.level.tobytes(), frequent.least))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, levels = Sets(join.words), np.frombuffer(sent.value, np.uint8)
+        sets = Sets(join.words)
+        frequent = Frequencies(np.frombuffer(sent.value[0], np.uint8), sent.value[1])
         for batch in batches:
             for _, texts in text_runs(batch.column("text")):
                 shingle, text, size = sets.of(texts)
                 node = nodes(shingle, size)
-                found = levels[cell(shingle, join)]
+                found = frequent.level[cell(shingle, join)]
                 order = np.argsort(text << 8 | found, kind="stable")
-                shingle, found = shingle[order], found[order].astype(np.int64)
+                shingle, has = shingle[order], frequent.documents(found[order])
                 least = -(-size * join.percent // 100)
-                length = chosen_lengths(size, least, np.maximum(2.0**found - 2.0**usual, 1.0), join)
+                length = chosen_lengths(size, least, has, join)
                 rank = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
                 base = (size - least)[text]
                 keep = rank < base + length[text]
                 layer = np.maximum(rank - base + 1, 1)
-                info = size[text] << 8 | layer << 4 | length[text]
-                columns = (shingle[keep].view(np.int64), node[text[keep]], info[keep], found[keep] >= hot_level)
+                info = size[text] << 16 | layer << 8 | length[text]
+                columns = (shingle[keep].view(np.int64), node[text[keep]], info[keep], has[keep] >= join.hot_documents)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "info", "hot"])
 
     return docs.select("text").mapInArrow(read, "token long, node long, info long, hot boolean")
@@ -192,8 +215,8 @@ def short_pairs(token: np.ndarray, node: np.ndarray, info: np.ndarray, start: np
             b.append(has + j)
     a, b = np.concatenate(a), np.concatenate(b)
     la, lb = info[a], info[b]
-    need = np.minimum(la & 15, lb & 15)
-    counts = (np.maximum(la >> 4 & 15, lb >> 4 & 15) <= need) & similar_sizes(la >> 8, lb >> 8, join.percent)
+    need = np.minimum(la & 255, lb & 255)
+    counts = (np.maximum(la >> 8 & 255, lb >> 8 & 255) <= need) & similar_sizes(la >> 16, lb >> 16, join.percent)
     return node[a[counts]], node[b[counts]], need[counts]
 
 
@@ -204,15 +227,16 @@ def posting_lists(rows: DataFrame, join: Join) -> DataFrame:
     """Pairs of the short lists (a, b, need), and the rows (a, token, info) of the long ones."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
+        none = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
+        held = none
         running = None  # a token whose list is known to be long and goes on
 
-        def emit(token, node, info, last: bool):
+        def emit(token, node, info, hot, last: bool):
             """Rows of whole lists, but for the last one unless it ends here."""
             nonlocal running, held
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-            token, node, info = token[new], node[new], info[new]
+            token, node, info, hot = token[new], node[new], info[new], hot[new]
             start = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
             size = np.diff(np.append(start, len(token)))
             long_ = size > join.short_list
@@ -222,10 +246,10 @@ def posting_lists(rows: DataFrame, join: Join) -> DataFrame:
             if not last and len(start):
                 if long_[-1]:
                     running = token[-1]
-                    held = [x[len(x) :] for x in (token, node, info)]
+                    held = none
                 else:
                     whole[-1] = False
-                    held = [x[start[-1] :].copy() for x in (token, node, info)]
+                    held = [x[start[-1] :].copy() for x in (token, node, info, hot)]
             in_long = np.repeat(long_ & whole, size)
             pick = whole & ~long_ & (size > 1)
             rows = np.repeat(pick, size)
@@ -243,14 +267,18 @@ def posting_lists(rows: DataFrame, join: Join) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in LISTS.split(", ")])
 
         for batch in batches:
-            new = [batch.column(c).to_numpy() for c in ("token", "node", "info")]
+            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "node", "info", "hot")]
             some = [np.concatenate(x) for x in zip(held, new, strict=True)]
-            held = [np.zeros(0, np.int64)] * 3
+            held = none
             yield emit(*some, last=False)
         if len(held[0]):
             yield emit(*held, last=True)
 
-    return rows.select("token", "node", "info").repartition("token").sortWithinPartitions("token", "node").mapInArrow(read, LISTS)
+    # A list that may be long is dealt by node as well; its pieces are long lists, whatever their size.
+    pieces = shared.pieces_of_a_group(rows.sparkSession)
+    piece = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(pieces))).otherwise(0)
+    dealt = rows.withColumn("piece", piece).repartition("token", "piece").sortWithinPartitions("token", "node")
+    return dealt.select("token", "node", "info", "hot").mapInArrow(read, LISTS)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
@@ -275,58 +303,101 @@ def verified(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
                     links[i] = 100 * both >= join.percent * (len(a) + len(b) - both)
                 yield pa.RecordBatch.from_arrays([rows.column(c).filter(pa.array(links)) for c in ("a", "b")], names=["a", "b"])
 
+    # Few pairs need few texts: their nodes are sent to the texts, so that only those are shuffled.
+    wanted = shared.written(pairs.selectExpr("explode(array(a, b)) AS node").distinct(), "pair-nodes")
+    if wanted.count() <= join.broadcast_nodes:
+        texts = texts.join(F.broadcast(wanted), "node", "left_semi")
     a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(read, "a long, b long")
 
 
-def links(docs: DataFrame, sets: DataFrame, level: np.ndarray, join: Join) -> DataFrame:
+def links(docs: DataFrame, sets: DataFrame, frequent: Frequencies, join: Join) -> DataFrame:
     """node, label: components of the nodes that have a link."""
-    rows = prefixes(docs, level, join)
-    lists = shared.written(posting_lists(rows.filter("not hot"), join), "posting-lists")
+    rows = prefixes(docs, frequent, join)
+    lists = shared.written(posting_lists(rows, join), "posting-lists")
     short = lists.filter("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need"))
-    candidates = shared.written(short.filter("met >= need").select("a", "b"), "short-candidates")
+    short = shared.written(short, "short-counts")
+    candidates = short.filter("met >= need").select("a", "b")
 
     listed = lists.filter("b is null").select("token", F.col("a").alias("node"), "info")
-    listed = listed.unionByName(rows.filter("hot").select("token", "node", "info").distinct())
     held = listed.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     # How well a node is connected: the mean length of its lists, over all its prefix shingles.
     long_ = shared.written(listed.join(held, "token"), "long-lists")
-    n, length = F.shiftright("info", 8), F.col("info").bitwiseAND(15)
+    n, length = F.shiftright("info", 16), F.col("info").bitwiseAND(255)
     prefix = n - F.ceil(n * join.percent / 100) + length
     weight = long_.groupBy("node").agg((F.sum("size") / F.max(prefix)).alias("weight"))
     waiting = shared.written(long_.join(weight, "node").select("token", "node", "info", "weight"), "waiting-lists")
 
     texts = texts_of(docs, sets, candidates.selectExpr("explode(array(a, b)) as node").unionByName(waiting.select("node")).distinct())
-    edges = shared.written(verified(candidates, texts, join), "links")
-    labels = components(edges)
-    for turn in range(join.rounds + 1):
-        waiting = with_labels(waiting, labels)
-        if waiting.isEmpty():
+    affordable = join.pairs_per_document * sets.count()
+    edges = labels = tried = None
+    turn = 0
+    while True:
+        # Only lists with several components wait, each node with its label.
+        waiting_now = waiting.withColumn("label", F.col("node")) if labels is None else with_labels(waiting, labels)
+        sizes = waiting_now.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+        pairs = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+        last = turn >= join.rounds or (turn > 0 and pairs <= affordable)
+        if turn and not pairs:
             break
-        hub = F.max_by(F.struct("node", "info", "label"), F.struct("weight", "node"))
-        tops = waiting.groupBy("token").agg(hub.alias("hub"))
-        if turn < join.rounds:
-            met = waiting.join(tops, "token").filter("node <> hub.node")
-            asked = met.filter("label <> hub.label").select("hub.node", "hub.info", F.col("node").alias("n2"), F.col("info").alias("i2"))
-            waiting = met.drop("hub", "label")
+        asked = all_pairs(waiting_now, short, join) if last else hub_pairs(waiting_now, join)
+        if tried is None:
+            asked = asked.unionByName(candidates).distinct()
         else:
-            other = waiting.select("token", F.col("node").alias("n2"), F.col("info").alias("i2"), F.col("label").alias("l2"))
-            asked = waiting.join(other, "token").filter("node < n2 and label <> l2")
-            waiting = waiting.drop("label").limit(0)
-        asked = shared.written(sized(asked, join), "hub-candidates")
-        waiting = shared.written(waiting, "waiting-lists")
-        edges = shared.written(edges.unionByName(verified(asked, texts, join)), "links")
+            asked = asked.join(tried, ["a", "b"], "left_anti")
+        asked = shared.written(asked, "candidates")
+        tried = asked if tried is None else tried.unionByName(asked)
+        new = shared.written(verified(asked, texts, join), "links")
+        if not last and turn and new.isEmpty():
+            # Hubs bring no more together: what is left is drawn in full.
+            turn = join.rounds
+            continue
+        edges = new if edges is None else edges.unionByName(new)
         labels = components(edges)
+        if last:
+            break
+        turn += 1
     return labels
 
 
-def sized(asked: DataFrame, join: Join) -> DataFrame:
-    """Distinct pairs a < b whose sizes allow a link and whose lists count for both."""
-    n1, n2 = F.shiftright("info", 8), F.shiftright("i2", 8)
-    need = F.least(F.col("info").bitwiseAND(15), F.col("i2").bitwiseAND(15))
-    layer = F.greatest(F.shiftright("info", 4).bitwiseAND(15), F.shiftright("i2", 4).bitwiseAND(15))
-    fit = asked.filter((100 * F.least(n1, n2) >= join.percent * F.greatest(n1, n2)) & (layer <= need))
-    return fit.select(F.least("node", "n2").alias("a"), F.greatest("node", "n2").alias("b")).distinct()
+def hub_pairs(waiting: DataFrame, join: Join) -> DataFrame:
+    """Each node with one hub: of the best connected nodes of its lists, the best of another component."""
+    top = F.max_by(F.struct("node", "info", "label", "weight"), F.struct("weight", "node"))
+    tops = shared.written(waiting.groupBy("token").agg(top.alias("hub")), "hubs")
+    met = waiting.drop("weight").join(tops, "token").filter("label <> hub.label")
+    met = fitting(met, F.col("info"), F.col("hub.info"), join)
+    best = met.groupBy("node").agg(F.max_by("hub.node", F.struct("hub.weight", "hub.node")).alias("hub"))
+    return best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def all_pairs(waiting: DataFrame, short: DataFrame, join: Join) -> DataFrame:
+    """Pairs of nodes of different components that share as many prefix shingles as they need.
+
+    A long list that holds two components is here whole, so what such a pair shares is counted over
+    these lists and what the short ones gave. Nodes that cannot reach the least need they may meet,
+    even with their best partner from the short lists, are left out before pairs are drawn.
+    """
+    rows = waiting.select("token", "node", "info", "label")
+    least = rows.groupBy("token").agg(F.min(F.col("info").bitwiseAND(255)).alias("least"))
+    met = short.selectExpr("explode(array(a, b)) AS node", "met").groupBy("node").agg(F.max("met").alias("met"))
+    need = F.min(F.least(F.col("info").bitwiseAND(255), F.col("least")))
+    able = rows.join(shared.written(least, "list-needs"), "token").groupBy("node").agg(F.count(F.lit(1)).alias("n"), need.alias("need"))
+    able = able.join(met, "node", "left").filter(F.col("n") + F.coalesce("met", F.lit(0)) >= F.col("need")).select("node")
+    rows = shared.written(rows.join(shared.written(able, "able-nodes"), "node"), "able-rows")
+    other = rows.select("token", F.col("node").alias("n2"), F.col("info").alias("i2"), F.col("label").alias("l2"))
+    pairs = fitting(rows.join(other, "token").filter("node < n2 and label <> l2"), F.col("info"), F.col("i2"), join)
+    one_need = F.least(F.col("info").bitwiseAND(255), F.col("i2").bitwiseAND(255))
+    pairs = pairs.groupBy(F.col("node").alias("a"), F.col("n2").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(one_need).alias("need"))
+    pairs = pairs.join(short.select("a", "b", "met"), ["a", "b"], "left")
+    return pairs.filter(F.col("n") + F.coalesce("met", F.lit(0)) >= F.col("need")).select("a", "b")
+
+
+def fitting(rows: DataFrame, one: Column, two: Column, join: Join) -> DataFrame:
+    """Rows whose two sets have sizes that allow a link and for both of which the shingle counts."""
+    n1, n2 = F.shiftright(one, 16), F.shiftright(two, 16)
+    need = F.least(one.bitwiseAND(255), two.bitwiseAND(255))
+    layer = F.greatest(F.shiftright(one, 8).bitwiseAND(255), F.shiftright(two, 8).bitwiseAND(255))
+    return rows.filter((100 * F.least(n1, n2) >= join.percent * F.greatest(n1, n2)) & (layer <= need))
 
 
 def with_labels(waiting: DataFrame, labels: DataFrame) -> DataFrame:
@@ -347,8 +418,8 @@ def texts_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
 def grouped(df: DataFrame, id_col: str, text_col: str, join: Join) -> DataFrame:
     """ref, doc_id, n_shingles of each row, and the group of those that have company (else null)."""
     docs = keyed(df, id_col, text_col)
-    sets, level = read_sets(docs, join)
-    labels = links(docs, sets, level, join)
+    sets, frequent = read_sets(docs, join)
+    labels = links(docs, sets, frequent, join)
     rows = sets.filter("n_shingles > 0").groupBy("node").agg(F.count(F.lit(1)).alias("rows"))
     several = rows.join(labels, "node", "left").filter("rows > 1 or label is not null")
     several = shared.written(several.select("node", F.coalesce("label", "node").alias("group")), "grouped-nodes")
