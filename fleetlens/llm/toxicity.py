@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from fleetlens.llm import shared
 from fleetlens.llm.words import WordHashes, mixed, slices
 
-BITS = 22
+BITS = 21
 SIGNS = bytes(b for b in range(128) if not (65 <= b <= 90 or 97 <= b <= 122))
 
 
@@ -116,9 +116,11 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
                 names=["id", "y", "at"],
             )
 
-    rows = texts.join(usable, "_id").mapInArrow(extracted, "id long, y int, at binary")
-    rows = rows.orderBy(F.xxhash64("id"), "id", "at").limit(train_rows).collect()
-    return ftrl.fit([(np.frombuffer(r.at, "<i4").astype(np.int64), r.y) for r in rows])
+    found = texts.join(usable, "_id").mapInArrow(extracted, "id long, y int, at binary")
+    # One row for each identifier, fetched a partition at a time.
+    found = found.groupBy("id", "y").agg(F.max("at").alias("at"))
+    rows = sorted((r.id, r.y, bytes(r.at)) for r in found.toLocalIterator())
+    return ftrl.fit([(np.frombuffer(at, "<i4"), y) for _, y, at in rows])
 
 
 def scored(df: DataFrame, model: Model, id_col: str, text_col: str, threshold: float, keep: list[str] = ()) -> DataFrame:
