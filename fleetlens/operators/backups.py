@@ -321,24 +321,27 @@ def latest_job_card(jobs: DataFrame) -> DataFrame:
     )
 
 
-def backup_matrix(jobs: DataFrame, details: DataFrame, sets: DataFrame, output: DataFrame, as_of, days: int = 7) -> DataFrame:
+def backup_matrix(jobs: DataFrame, details: DataFrame, sets: DataFrame, output: DataFrame, as_of, days: int = 7, by=()) -> DataFrame:
     """Recent jobs with piece counts by class and the lowest instance that wrote output.
 
     Recent jobs are the small side: they prune both detail tables before those
-    are summed.
+    are summed. ``by`` tells databases apart; session keys and stamps repeat in each.
     """
+    by = columns(by)
+    session = [*by, "session_key"]
+    stamp = [*by, "set_stamp", "set_count"]
     recent = jobs.filter(F.col("start_time") > ntz(midnight(as_of, -days)))
-    wanted = recent.select("session_key").distinct()
+    wanted = recent.select(*session).distinct()
     kind = cat(F.col("backup_type"), F.col("incremental_level").cast("string"))
 
     def pieces(when: Column, name: str) -> Column:
         return F.sum(F.when(when, F.col("pieces")).otherwise(0)).alias(name)
 
-    scanned = sets.filter(F.col("input_file_scan_only") == "NO").select("set_stamp", "set_count")
+    scanned = sets.filter(F.col("input_file_scan_only") == "NO").select(*stamp)
     counts = (
-        details.join(wanted, "session_key", "left_semi")
-        .join(scanned, ["set_stamp", "set_count"], "left_semi")
-        .groupBy("session_key")
+        details.join(wanted, session, "left_semi")
+        .join(scanned, stamp, "left_semi")
+        .groupBy(*session)
         .agg(
             pieces(F.col("controlfile_included") == "YES", "cf"),
             pieces((F.col("controlfile_included") == "NO") & (kind == "D"), "df"),
@@ -348,7 +351,7 @@ def backup_matrix(jobs: DataFrame, details: DataFrame, sets: DataFrame, output:
         )
     )
     writer = (
-        output.join(wanted, "session_key", "left_semi").groupBy("session_key").agg(F.min("inst_id").alias("inst_id"))
+        output.join(wanted, session, "left_semi").groupBy(*session).agg(F.min("inst_id").alias("inst_id"))
     )
     brief = (
         F.when(F.col("status") == "COMPLETED WITH ERRORS", "ERRORS")
@@ -356,10 +359,10 @@ def backup_matrix(jobs: DataFrame, details: DataFrame, sets: DataFrame, output:
         .otherwise(F.col("status"))
     )
     return (
-        recent.join(counts, "session_key", "left")
-        .join(writer, "session_key", "left")
+        recent.join(counts, session, "left")
+        .join(writer, session, "left")
         .select(
-            "session_key", "start_time", "end_time", F.round(F.col("output_bytes") / 1048576).cast("long").alias("output_mb"),
+            *session, "start_time", "end_time", F.round(F.col("output_bytes") / 1048576).cast("long").alias("output_mb"),
             brief.alias("status"), "input_type", "cf", "df", "i0", "i1", "l", "inst_id",
         )
     )

@@ -447,9 +447,11 @@ def staleness(df: DataFrame, ts: str, as_of, by=(), *, max_age_days: float = 1)
     )
 
 
-def group_members(groups: DataFrame, members: DataFrame) -> DataFrame:
-    """Members of each group, quoted, with the group's size; the highest group is left out."""
-    highest = groups.agg(F.max("group_no").alias("m"))
-    kept = groups.filter(F.col("group_no") != highest.scalar()).select("group_no", (F.col("bytes") / MEG).alias("size_mb"))
-    quoted = members.select("group_no", F.concat(F.lit("'"), "member", F.lit("'")).alias("member"))
-    return quoted.join(kept, "group_no")
+def group_members(groups: DataFrame, members: DataFrame, by=()) -> DataFrame:
+    """Members of each group, quoted, with the group's size; the highest group of each ``by`` is left out."""
+    by = columns(by)
+    highest = F.max("group_no").over(Window.partitionBy(*by))
+    kept = groups.withColumn("_highest", highest).filter(F.col("group_no") != F.col("_highest"))
+    kept = kept.select(*by, "group_no", (F.col("bytes") / MEG).alias("size_mb"))
+    quoted = members.select(*by, "group_no", F.concat(F.lit("'"), "member", F.lit("'")).alias("member"))
+    return quoted.join(kept, [*by, "group_no"])

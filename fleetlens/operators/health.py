@@ -42,7 +42,13 @@ def password_expiry_message(issues: DataFrame, by=()) -> DataFrame:
 
 
 def stale_passwords(
-    users: DataFrame, defaults: DataFrame, as_of, days: int = 365, exclude: Sequence[str] = (), exclude_like: Sequence[str] = ("APEX%",)
+    users: DataFrame,
+    defaults: DataFrame,
+    as_of,
+    days: int = 365,
+    exclude: Sequence[str] = (),
+    exclude_like: Sequence[str] = ("APEX%",),
+    by=(),
 ) -> DataFrame:
     """Accounts whose password is older than ``days``, shipped accounts left out.
 
@@ -53,15 +59,17 @@ def stale_passwords(
         rows = rows.filter(~F.col("name").like(pattern))
     if exclude:
         rows = rows.filter(~F.col("name").isin(*exclude))
-    shipped = defaults.select(F.col("user_name").alias("name")).filter(F.col("name").isNotNull())
+    by = columns(by)
+    shipped = defaults.select(*by, F.col("user_name").alias("name")).filter(F.col("name").isNotNull())
     age = micros_between(ntz(as_of), F.col("ptime")) / F.lit(86400000000.0)
-    return rows.join(shipped, "name", "left_anti").select("name", "ptime", F.round(age).cast("long").alias("days_ago"))
+    return rows.join(shipped, [*by, "name"], "left_anti").select(*by, "name", "ptime", F.round(age).cast("long").alias("days_ago"))
 
 
-def default_password_users(defaults: DataFrame, users: DataFrame) -> DataFrame:
+def default_password_users(defaults: DataFrame, users: DataFrame, by=()) -> DataFrame:
     """Unlocked accounts that still have a shipped password."""
+    by = columns(by)
     live = users.filter(~F.col("account_status").isin(*LOCKED_STATES))
-    return live.join(defaults.select("username").distinct(), "username", "left_semi").select("username", "account_status")
+    return live.join(defaults.select(*by, "username").distinct(), [*by, "username"], "left_semi").select(*by, "username", "account_status")
 
 
 def service_account_expiry(users: DataFrame, names: Sequence[str], as_of, days: int = 31) -> DataFrame:
@@ -102,29 +110,38 @@ def locked_stats(tables: DataFrame, by=()) -> DataFrame:
     )
 
 
-def recent_objects(objects: DataFrame, dropped: DataFrame, db_created, as_of, days: int = 32) -> DataFrame:
-    """Objects created lately, well after the database itself, and not in the recycle bin."""
-    since = max(instant(db_created) + timedelta(days=1), instant(as_of) - timedelta(days=days))
+def recent_objects(objects: DataFrame, dropped: DataFrame, db_created, as_of, days: int = 32, by=()) -> DataFrame:
+    """Objects created lately, well after the database itself, and not in the recycle bin.
+
+    ``db_created`` is one moment, or the name of a column of ``objects`` where databases differ. An
+    object is told from a dropped one by database, name and, where ``dropped`` has it, owner.
+    """
+    by = columns(by)
+    lately = ntz(instant(as_of) - timedelta(days=days))
     kept = objects.filter(
-        (F.col("created") > ntz(since))
+        (F.col("created") > lately)
         & ~F.col("object_name").like("WRH$_FILESTATXS%")
         & ~F.col("object_name").like('"BIN "%')
         & ~F.col("object_type").like("%PARTITION%")
     )
+    own = isinstance(db_created, str) and db_created in objects.columns
+    kept = kept.filter(F.col("created") > (F.col(db_created) + F.expr("INTERVAL 1 DAY") if own else ntz(instant(db_created) + timedelta(days=1))))
+    same = [*by, "object_name", *(["owner"] if "owner" in dropped.columns else [])]
     label = cat(F.col("owner"), ".", F.col("object_name"), " (", F.col("object_type"), ")")
-    return kept.join(dropped.select("object_name"), "object_name", "left_anti").select(label.alias("object"), "created")
+    return kept.join(dropped.select(*same), same, "left_anti").select(*by, label.alias("object"), "created")
 
 
 def count_by_owner(dropped: DataFrame) -> DataFrame:
     return dropped.groupBy("owner").agg(F.count("*").alias("recyclebin_objects"))
 
 
-def components_down(components: DataFrame, queues: DataFrame) -> DataFrame:
+def components_down(components: DataFrame, queues: DataFrame, by=()) -> DataFrame:
     """Components meant to start by themselves that are not running, with their queue if known."""
+    by = columns(by)
     return (
         components.filter((F.col("startup_mode") == "AUTOMATIC") & (F.col("component_status") != "RUNNING"))
-        .join(queues, "queue_id", "left")
-        .select("component_name", "startup_mode", "component_status", "queue_name")
+        .join(queues.select(*by, "queue_id", "queue_name"), [*by, "queue_id"], "left")
+        .select(*by, "component_name", "startup_mode", "component_status", "queue_name")
     )
 
 

@@ -4,6 +4,9 @@ A resource can have many holders and many waiters, so holder-waiter pairs are
 never formed. Each waiter is shown with its resource's first holder and the
 number of holders, and the full graph is given by holder -> resource -> waiter
 edges, which has the same reachability and grows only with the lock table.
+
+Session, process and resource numbers repeat in every database. ``by`` names the
+columns that tell databases apart; they are part of every join and grouping.
 """
 
 from __future__ import annotations
@@ -47,41 +50,39 @@ def described(prefix: str, with_process: bool = True) -> Column:
     )
 
 
-def blockers(locks: DataFrame, sessions: DataFrame, procs: DataFrame) -> DataFrame:
+def blockers(locks: DataFrame, sessions: DataFrame, procs: DataFrame, by=()) -> DataFrame:
     """Sessions that hold a blocking lock, described."""
-    holding = locks.filter(F.col("block") == 1).select("sid").distinct()
+    by = columns(by)
+    holding = locks.filter(F.col("block") == 1).select(*by, "sid").distinct()
     return (
         foreground(sessions)
-        .join(holding, "sid", "left_semi")
-        .join(procs.select(F.col("addr").alias("paddr"), "spid"), "paddr")
-        .select("sid", described("-- BLOCKER => ").alias("description"), minutes_waiting().alias("minutes"))
+        .join(holding, [*by, "sid"], "left_semi")
+        .join(_processes(procs, by), [*by, "paddr"])
+        .select(*by, "sid", described("-- BLOCKER => ").alias("description"), minutes_waiting().alias("minutes"))
         .distinct()
     )
 
 
-def _holders(locks: DataFrame, sessions: DataFrame) -> DataFrame:
-    return (
-        locks.filter(F.col("block") == 1)
-        .select("sid", *RESOURCE)
-        .join(foreground(sessions).select("sid", "logon_time"), "sid")
-    )
+def _processes(procs: DataFrame, by: list[str]) -> DataFrame:
+    return procs.select(*by, F.col("addr").alias("paddr"), "spid")
 
 
-def blocked_waiters(locks: DataFrame, sessions: DataFrame) -> DataFrame:
+def blocked_waiters(locks: DataFrame, sessions: DataFrame, by=()) -> DataFrame:
     """One row per waiting request: its first holder, the holder count and minutes waiting."""
+    by = columns(by)
+    # Holders and waiters of a resource are told apart by a mark and gathered in one grouping.
+    rows = _marked(locks, by).join(sessions, [*by, "sid"])
+    holds = F.col("holds") & (F.col("type") != "BACKGROUND")
     per_resource = (
-        _holders(locks, sessions)
-        .groupBy(*RESOURCE)
-        .agg(
-            F.min_by("sid", F.struct("logon_time", "sid")).alias("holder_sid"),
-            F.count_distinct("sid").alias("holders"),
-        )
+        rows.filter(holds)
+        .groupBy(*by, *RESOURCE)
+        .agg(F.min_by("sid", F.struct("logon_time", "sid")).alias("holder_sid"), F.count_distinct("sid").alias("holders"))
     )
-    waiting = locks.filter(F.col("request") > 0).select("sid", *RESOURCE).distinct()
     return (
-        waiting.join(per_resource, RESOURCE)
-        .join(sessions, "sid")
+        rows.filter(F.col("waits"))
+        .join(per_resource, [*by, *RESOURCE])
         .select(
+            *by,
             "holder_sid",
             "holders",
             F.col("sid").alias("waiter_sid"),
@@ -92,17 +93,25 @@ def blocked_waiters(locks: DataFrame, sessions: DataFrame) -> DataFrame:
     )
 
 
-def lock_edges(locks: DataFrame, sessions: DataFrame) -> DataFrame:
+def _marked(locks: DataFrame, by: list[str]) -> DataFrame:
+    """One row per session and resource: whether it holds or waits."""
+    holds, waits = F.coalesce(F.col("block") == 1, F.lit(False)), F.coalesce(F.col("request") > 0, F.lit(False))
+    rows = locks.filter(holds | waits).groupBy(*by, "sid", *RESOURCE)
+    return rows.agg(F.bool_or(holds).alias("holds"), F.bool_or(waits).alias("waits"))
+
+
+def lock_edges(locks: DataFrame, sessions: DataFrame, by=()) -> DataFrame:
     """The wait graph as session -> resource (holds) and resource -> session (waits) edges.
 
     Only resources with both a holder and a waiter appear.
     """
-    holds = _holders(locks, sessions).select("sid", *RESOURCE, F.lit("holds").alias("edge"))
-    waits = locks.filter(F.col("request") > 0).select("sid", *RESOURCE, F.lit("waits").alias("edge"))
-    waits = waits.join(sessions.select("sid"), "sid", "left_semi")
-    edges = holds.unionByName(waits).distinct()
-    contested = edges.groupBy(*RESOURCE).agg(F.count_distinct("edge").alias("n")).filter("n = 2").select(*RESOURCE)
-    return edges.join(contested, RESOURCE, "left_semi")
+    by = columns(by)
+    rows = _marked(locks, by).join(sessions.select(*by, "sid", "type"), [*by, "sid"])
+    rows = rows.withColumn("holds", F.col("holds") & (F.col("type") != "BACKGROUND")).filter(F.col("holds") | F.col("waits"))
+    resource = [*by, *RESOURCE]
+    contested = rows.groupBy(*resource).agg(F.bool_or("holds").alias("h"), F.bool_or("waits").alias("w")).filter("h AND w")
+    kinds = F.array_compact(F.array(F.when(F.col("holds"), F.lit("holds")), F.when(F.col("waits"), F.lit("waits"))))
+    return rows.join(contested.select(*resource), resource, "left_semi").select(*by, "sid", *RESOURCE, F.explode(kinds).alias("edge"))
 
 
 def wrapped(text: str, width: int = 120) -> Column:
@@ -111,35 +120,36 @@ def wrapped(text: str, width: int = 120) -> Column:
 
 
 def lock_session_detail(
-    locks: DataFrame, sessions: DataFrame, procs: DataFrame, statements: DataFrame, role: str = "holder"
+    locks: DataFrame, sessions: DataFrame, procs: DataFrame, statements: DataFrame, role: str = "holder", by=()
 ) -> DataFrame:
     """Holders or waiters on contested resources, with their statement text.
 
     A holder without a current statement shows its previous one, marked.
     """
-    contested = locks.filter(F.col("request") > 0).select(*RESOURCE).distinct()
+    by = columns(by)
+    contested = locks.filter(F.col("request") > 0).select(*by, *RESOURCE).distinct()
     flag = 1 if role == "holder" else 0
-    wanted = locks.filter(F.col("block") == flag).join(contested, RESOURCE, "left_semi").select("sid").distinct()
-    chosen = foreground(sessions).join(wanted, "sid", "left_semi")
-    text = statements.select(F.col("sql_id").alias("_sql"), "sql_text")
+    wanted = locks.filter(F.col("block") == flag).join(contested, [*by, *RESOURCE], "left_semi").select(*by, "sid").distinct()
+    chosen = foreground(sessions).join(wanted, [*by, "sid"], "left_semi")
     if role == "holder":
-        return _with_statement(chosen, procs, text)
+        return _with_statement(chosen, procs, statements, by)
     return (
-        chosen.join(text, F.col("sql_id") == F.col("_sql"), "left")
-        .select("sid", "serial", "username", "program", "sql_id", wrapped("sql_text").alias("sql_text"))
+        chosen.join(statements.select(*by, "sql_id", "sql_text"), [*by, "sql_id"], "left")
+        .select(*by, "sid", "serial", "username", "program", "sql_id", wrapped("sql_text").alias("sql_text"))
         .distinct()
     )
 
 
-def _with_statement(sessions: DataFrame, procs: DataFrame, text: DataFrame) -> DataFrame:
+def _with_statement(sessions: DataFrame, procs: DataFrame, statements: DataFrame, by: list[str]) -> DataFrame:
     shown = F.when(F.col("sql_id").isNull(), cat(F.col("prev_sql_id").cast("string"), "(prev)")).otherwise(
         F.col("sql_id").cast("string")
     )
+    text = statements.select(*by, F.col("sql_id").alias("_used"), "sql_text")
     return (
-        sessions.join(procs.select(F.col("addr").alias("paddr"), "spid"), "paddr")
+        sessions.join(_processes(procs, by), [*by, "paddr"])
         .withColumn("_used", F.coalesce("sql_id", "prev_sql_id"))
-        .join(text, F.col("_used") == F.col("_sql"), "left")
-        .select("sid", "serial", "username", "program", shown.alias("sql_id"), "spid", wrapped("sql_text").alias("sql_text"))
+        .join(text, [*by, "_used"], "left")
+        .select(*by, "sid", "serial", "username", "program", shown.alias("sql_id"), "spid", wrapped("sql_text").alias("sql_text"))
         .distinct()
     )
 
@@ -156,18 +166,19 @@ def blocker_list(locks: DataFrame, by) -> DataFrame:
     return locks.filter(F.col("block") == 1).select(*columns(by), "sid").distinct()
 
 
-def session_list(sessions: DataFrame, procs: DataFrame) -> DataFrame:
+def session_list(sessions: DataFrame, procs: DataFrame, by=()) -> DataFrame:
     """Described foreground sessions of named users."""
+    by = columns(by)
     return (
         foreground(sessions)
         .filter(F.col("username").isNotNull())
-        .join(procs.select(F.col("addr").alias("paddr"), "spid"), "paddr")
-        .select("sid", described("").alias("description"))
+        .join(_processes(procs, by), [*by, "paddr"])
+        .select(*by, "sid", described("").alias("description"))
         .distinct()
     )
 
 
-def session_sql(sessions: DataFrame, procs: DataFrame, statements: DataFrame) -> DataFrame:
+def session_sql(sessions: DataFrame, procs: DataFrame, statements: DataFrame, by=()) -> DataFrame:
     """Current, else previous, statement of each foreground session that has one."""
     known = foreground(sessions).filter(F.col("sql_id").isNotNull() | F.col("prev_sql_id").isNotNull())
-    return _with_statement(known, procs, statements.select(F.col("sql_id").alias("_sql"), "sql_text"))
+    return _with_statement(known, procs, statements, columns(by))

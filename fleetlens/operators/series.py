@@ -338,12 +338,14 @@ def log_switch_verdict(
     return gaps.join(bursts, keys, "full_outer").withColumn("verdict", verdict).drop("_burst")
 
 
-def peak_daily_volume(events: DataFrame, sizes: DataFrame, ts: str, size: str) -> DataFrame:
-    """Largest daily event count times the mean file size, in rounded megabytes."""
-    daily = events.groupBy(F.to_date(ts).alias("day")).agg(F.count("*").alias("n"))
-    mean = sizes.agg(F.try_divide(F.sum(size).cast("double"), F.count(size).cast("double")).alias("mean"))
-    volume = F.round(F.col("n") * mean.scalar() / 1024 / 1024)
-    return daily.select(volume.alias("mb")).agg(F.max("mb").alias("peak_mb"))
+def peak_daily_volume(events: DataFrame, sizes: DataFrame, ts: str, size: str, by=()) -> DataFrame:
+    """Largest daily event count times the mean file size, in rounded megabytes; per ``by`` where given."""
+    by = columns(by)
+    daily = events.groupBy(*by, F.to_date(ts).alias("day")).agg(F.count("*").alias("n"))
+    most = daily.groupBy(*by).agg(F.max("n").alias("n"))
+    mean = sizes.groupBy(*by).agg(F.try_divide(F.sum(size).cast("double"), F.count(size).cast("double")).alias("mean"))
+    both = most.join(mean, by) if by else most.withColumn("mean", mean.scalar())
+    return both.select(*by, F.round(F.col("n") * F.col("mean") / 1024 / 1024).alias("peak_mb"))
 
 
 def sample_rollup(df: DataFrame, keys, ts: str, value: str) -> DataFrame:

@@ -43,18 +43,19 @@ SHOWN_TEXT = {
 
 
 def feature_usage(
-    stats: DataFrame, names: Sequence[str], patterns: Mapping[str, str], numeric_versions: bool = True
+    stats: DataFrame, names: Sequence[str], patterns: Mapping[str, str], numeric_versions: bool = True, by=()
 ) -> DataFrame:
     """Used features at their highest version: listed by name, or whose text matches.
 
-    ``numeric_versions=False`` compares versions as text.
+    ``numeric_versions=False`` compares versions as text. ``by`` tells databases apart.
     """
+    by = columns(by)
     order = version_sort_key("version") if numeric_versions else F.col("version")
-    highest = stats.groupBy("name").agg(F.max_by("version", order).alias("version"))
+    highest = stats.groupBy(*by, "name").agg(F.max_by("version", order).alias("version"))
     wanted = F.col("name").isin(*names)
     for feature, pattern in patterns.items():
         wanted = wanted | ((F.col("name") == feature) & F.col("feature_info").like(pattern))
-    return stats.filter((F.col("detected_usages") > 0) & wanted).join(highest, ["name", "version"], "left_semi")
+    return stats.filter((F.col("detected_usages") > 0) & wanted).join(highest, [*by, "name", "version"], "left_semi")
 
 
 def _newest(stats: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -141,9 +142,9 @@ def usage_class() -> Column:
     )
 
 
-def classified_usage(stats: DataFrame, product_map: DataFrame) -> DataFrame:
-    """Statistics with their product and ordinal usage class."""
-    return best_prefix_map(mark_current(stats), product_map).withColumn("usage_class", usage_class())
+def classified_usage(stats: DataFrame, product_map: DataFrame, by=()) -> DataFrame:
+    """Statistics with their product and ordinal usage class; ``by`` tells databases apart."""
+    return best_prefix_map(mark_current(stats, [*columns(by), "con_id"]), product_map).withColumn("usage_class", usage_class())
 
 
 def class_name(ordinal: Column, summary: bool = False) -> Column:
@@ -153,7 +154,7 @@ def class_name(ordinal: Column, summary: bool = False) -> Column:
     return F.coalesce(F.try_element_at(table, ordinal), F.lit("UNKNOWN"))
 
 
-def product_usage(classified: DataFrame, current_only: bool = False) -> DataFrame:
+def product_usage(classified: DataFrame, current_only: bool = False, by=()) -> DataFrame:
     """Highest usage class and usage dates per product, per container and over all containers.
 
     ``current_only`` leaves out past-only and undated usage. The total over all
@@ -166,7 +167,8 @@ def product_usage(classified: DataFrame, current_only: bool = False) -> DataFram
         rows = rows.filter(F.col("last_usage_date").isNotNull() | F.col("first_usage_date").isNotNull())
     rows = rows.filter(F.col("usage_class").isin(*kept)).withColumn("_container", F.col("con_id"))
     con, product = F.col("con_id"), F.col("product")
-    grouped = rows.groupingSets([[con, product], [product]], con, product).agg(
+    own = [F.col(c) for c in columns(by)]
+    grouped = rows.groupingSets([[*own, con, product], [*own, product]], *own, con, product).agg(
         F.grouping("con_id").cast("int").alias("gid"),
         F.max("_container").alias("_max_container"),
         F.max("con_name").alias("_con_name"),
@@ -177,6 +179,7 @@ def product_usage(classified: DataFrame, current_only: bool = False) -> DataFram
     )
     useful = ~(F.col("_max_container").isin(-1, 0) & (F.col("gid") == 1))
     return grouped.filter(useful).select(
+        *own,
         "gid",
         "con_id",
         F.when(F.col("gid") == 1, "--ALL--").otherwise(F.col("_con_name")).alias("con_name"),
@@ -194,7 +197,7 @@ def report_order(report: DataFrame) -> DataFrame:
     return report.orderBy(F.desc("gid"), F.asc_nulls_last("con_id"), dotted, F.asc_nulls_last("product"))
 
 
-def feature_detail(classified: DataFrame, dbid=None, used_only: bool = False) -> DataFrame:
+def feature_detail(classified: DataFrame, dbid=None, used_only: bool = False, by=()) -> DataFrame:
     """One row per mapped feature with the text its condition looks at.
 
     ``dbid`` restricts the rows to one database, ``used_only`` to features that
@@ -212,6 +215,7 @@ def feature_detail(classified: DataFrame, dbid=None, used_only: bool = False) ->
         .when(condition == "C003", cat("AUX_COUNT=", F.col("aux_count").cast("string")))
     )
     return rows.select(
+        *columns(by),
         "con_id",
         "con_name",
         "product",

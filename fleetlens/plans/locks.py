@@ -7,11 +7,24 @@ from fleetlens.operators import locks as lk
 from fleetlens.plans.registry import AS_OF, EVENT_NOW, query
 
 
+DB = "database"
+
+
+def database():
+    return F.concat(F.lit("DB"), F.col("user_id") % 3).alias(DB)
+
+
+def in_each(df):
+    """Rows that every one of the three databases has, with its number."""
+    return df.withColumn("n", F.explode(F.array(*[F.lit(i) for i in range(3)]))).withColumn(DB, F.concat(F.lit("DB"), "n"))
+
+
 def locks(t):
     kind = F.col("event_type")
     return t.events.select(
+        database(),
         F.col("event_id").alias("sid"),
-        F.col("user_id").alias("id1"),
+        F.floor(F.col("user_id") / 3).alias("id1"),
         F.dayofmonth("ts").alias("id2"),
         F.when(kind == "error", 1).otherwise(0).alias("block"),
         F.when(kind == "click", 6).otherwise(0).alias("request"),
@@ -21,6 +34,7 @@ def locks(t):
 def sessions(t):
     kind = F.col("event_type")
     return t.events.select(
+        database(),
         F.col("event_id").alias("sid"),
         F.col("user_id").alias("serial"),
         F.when(kind != "purchase", F.concat(F.lit("U"), "user_id")).alias("username"),
@@ -37,22 +51,23 @@ def sessions(t):
 
 
 def procs(t):
-    return t.customer.select(F.col("c_custkey").alias("addr"), (F.col("c_custkey") + 5000).alias("spid"))
+    return in_each(t.customer).select(DB, F.col("c_custkey").alias("addr"), (F.col("c_custkey") + 5000 + F.col("n")).alias("spid"))
 
 
 def statements(t):
-    return t.documents.select(F.col("doc_id").alias("sql_id"), F.concat("source", F.lit(" "), "lang").alias("sql_text"))
+    text = F.concat("source", F.lit(" "), "lang", F.lit(" "), "n")
+    return in_each(t.documents).select(DB, F.col("doc_id").alias("sql_id"), text.alias("sql_text"))
 
 
-BASE_SQL = f"""l AS (SELECT event_id AS sid, user_id AS id1, day(ts) AS id2, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS block,
+BASE_SQL = f"""l AS (SELECT 'DB' || user_id % 3 AS database, event_id AS sid, user_id // 3 AS id1, day(ts) AS id2, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS block,
       CASE WHEN event_type = 'click' THEN 6 ELSE 0 END AS request FROM events),
-    s AS (SELECT event_id AS sid, user_id AS serial, CASE WHEN event_type <> 'purchase' THEN 'U' || user_id END AS username,
+    s AS (SELECT 'DB' || user_id % 3 AS database, event_id AS sid, user_id AS serial, CASE WHEN event_type <> 'purchase' THEN 'U' || user_id END AS username,
       'os' AS osuser, 'host' || user_id AS machine, event_type AS program, ts AS logon_time,
       (epoch_us({EVENT_NOW}) - epoch_us(ts)) // 1000000 AS last_call_et,
       CASE WHEN value < 5 THEN 'BACKGROUND' ELSE 'USER' END AS type, event_id % 1000 AS paddr,
       CASE WHEN event_type <> 'error' THEN user_id END AS sql_id, user_id + 1 AS prev_sql_id FROM events),
-    p AS (SELECT c_custkey AS addr, c_custkey + 5000 AS spid FROM customer),
-    q AS (SELECT doc_id AS sql_id, source || ' ' || lang AS sql_text FROM documents)"""
+    p AS (SELECT 'DB' || n AS database, c_custkey AS addr, c_custkey + 5000 + n AS spid FROM customer, range(3) r(n)),
+    q AS (SELECT 'DB' || n AS database, doc_id AS sql_id, source || ' ' || lang || ' ' || n AS sql_text FROM documents, range(3) r(n))"""
 
 
 def text_sql(prefix: str, process: bool = True) -> str:
@@ -64,96 +79,101 @@ def text_sql(prefix: str, process: bool = True) -> str:
 
 @query(
     "k01_blockers",
-    f"""WITH {BASE_SQL} SELECT DISTINCT s.sid, {text_sql('-- BLOCKER => ')}, last_call_et / 60.0::DOUBLE AS minutes
-    FROM l JOIN s ON l.sid = s.sid JOIN p ON paddr = addr WHERE block = 1 AND type <> 'BACKGROUND'""",
+    f"""WITH {BASE_SQL} SELECT DISTINCT s.database, s.sid, {text_sql('-- BLOCKER => ')}, last_call_et / 60.0::DOUBLE AS minutes
+    FROM l JOIN s ON l.sid = s.sid AND l.database = s.database JOIN p ON paddr = addr AND p.database = s.database WHERE block = 1 AND type <> 'BACKGROUND'""",
 )
 def k01(t):
-    return lk.blockers(locks(t), sessions(t), procs(t))
+    return lk.blockers(locks(t), sessions(t), procs(t), DB)
 
 
-HOLD_SQL = "h AS (SELECT l.sid, id1, id2, logon_time FROM l JOIN s ON s.sid = l.sid WHERE block = 1 AND type <> 'BACKGROUND')"
+HOLD_SQL = "h AS (SELECT l.database, l.sid, id1, id2, logon_time FROM l JOIN s ON s.sid = l.sid AND s.database = l.database WHERE block = 1 AND type <> 'BACKGROUND')"
 
 
 @query(
     "k02_blocked_waiters",
-    f"""WITH {BASE_SQL}, {HOLD_SQL}, w AS (SELECT id1, id2, count(DISTINCT sid) AS holders,
+    f"""WITH {BASE_SQL}, {HOLD_SQL}, w AS (SELECT database, id1, id2, count(DISTINCT sid) AS holders,
       arg_min(sid, struct_pack(a := logon_time, b := sid)) AS holder_sid FROM h GROUP BY ALL)
-    SELECT holder_sid, holders, s.sid AS waiter_sid, id1, id2, {text_sql('---- BLOCKED => ', False)},
+    SELECT l.database, holder_sid, holders, s.sid AS waiter_sid, id1, id2, {text_sql('---- BLOCKED => ', False)},
       last_call_et / 60.0::DOUBLE AS blocked_mins
-    FROM l JOIN w USING (id1, id2) JOIN s ON s.sid = l.sid WHERE request > 0""",
+    FROM l JOIN w USING (database, id1, id2) JOIN s ON s.sid = l.sid AND s.database = l.database WHERE request > 0""",
 )
 def k02(t):
-    return lk.blocked_waiters(locks(t), sessions(t))
+    return lk.blocked_waiters(locks(t), sessions(t), DB)
 
 
 @query(
     "k02_lock_edges",
-    f"""WITH {BASE_SQL}, {HOLD_SQL}, e AS (SELECT sid, id1, id2, 'holds' AS edge FROM h
-      UNION SELECT sid, id1, id2, 'waits' FROM l WHERE request > 0)
-    SELECT * FROM e WHERE (id1, id2) IN (SELECT (id1, id2) FROM e GROUP BY id1, id2 HAVING count(DISTINCT edge) = 2)""",
+    f"""WITH {BASE_SQL}, {HOLD_SQL}, e AS (SELECT database, sid, id1, id2, 'holds' AS edge FROM h
+      UNION SELECT database, sid, id1, id2, 'waits' FROM l WHERE request > 0)
+    SELECT * FROM e WHERE (database, id1, id2) IN (SELECT (database, id1, id2) FROM e GROUP BY database, id1, id2 HAVING count(DISTINCT edge) = 2)""",
 )
 def k02_edges(t):
-    return lk.lock_edges(locks(t), sessions(t))
+    return lk.lock_edges(locks(t), sessions(t), DB)
 
 
 @query(
     "k03_holder_detail",
-    f"""WITH {BASE_SQL} SELECT DISTINCT s.sid, serial, username, program || '.exe' AS program,
+    f"""WITH {BASE_SQL} SELECT DISTINCT s.database, s.sid, serial, username, program || '.exe' AS program,
       coalesce(CAST(s.sql_id AS VARCHAR), prev_sql_id || '(prev)') AS sql_id, spid, sql_text
-    FROM s JOIN p ON paddr = addr LEFT JOIN q ON q.sql_id = coalesce(s.sql_id, prev_sql_id)
-    WHERE type <> 'BACKGROUND' AND s.sid IN (SELECT a.sid FROM l a JOIN l b ON a.id1 = b.id1 AND a.id2 = b.id2
+    FROM s JOIN p ON paddr = addr AND p.database = s.database
+      LEFT JOIN q ON q.sql_id = coalesce(s.sql_id, prev_sql_id) AND q.database = s.database
+    WHERE type <> 'BACKGROUND' AND (s.database, s.sid) IN (SELECT (a.database, a.sid) FROM l a JOIN l b
+      ON a.database = b.database AND a.id1 = b.id1 AND a.id2 = b.id2
       WHERE a.block = 1 AND b.request > 0)""",
 )
 def k03_holder(t):
-    return lk.lock_session_detail(locks(t), sessions(t), procs(t), statements(t), "holder")
+    return lk.lock_session_detail(locks(t), sessions(t), procs(t), statements(t), "holder", DB)
 
 
 @query(
     "k03_waiter_detail",
-    f"""WITH {BASE_SQL} SELECT DISTINCT s.sid, serial, username, program || '.exe' AS program, s.sql_id, sql_text
-    FROM s LEFT JOIN q ON q.sql_id = s.sql_id WHERE type <> 'BACKGROUND'
-      AND s.sid IN (SELECT a.sid FROM l a JOIN l b ON a.id1 = b.id1 AND a.id2 = b.id2 WHERE a.block = 0 AND b.request > 0)""",
+    f"""WITH {BASE_SQL} SELECT DISTINCT s.database, s.sid, serial, username, program || '.exe' AS program, s.sql_id, sql_text
+    FROM s LEFT JOIN q ON q.sql_id = s.sql_id AND q.database = s.database WHERE type <> 'BACKGROUND'
+      AND (s.database, s.sid) IN (SELECT (a.database, a.sid) FROM l a JOIN l b
+      ON a.database = b.database AND a.id1 = b.id1 AND a.id2 = b.id2 WHERE a.block = 0 AND b.request > 0)""",
 )
 def k03_waiter(t):
-    return lk.lock_session_detail(locks(t), sessions(t), procs(t), statements(t), "waiter")
+    return lk.lock_session_detail(locks(t), sessions(t), procs(t), statements(t), "waiter", DB)
 
 
 @query(
     "k04_wait_tier",
-    f"""WITH {BASE_SQL}, {HOLD_SQL}, m AS (SELECT id1, max(last_call_et / 60.0::DOUBLE) AS max_minutes FROM l JOIN s ON s.sid = l.sid
-      WHERE request > 0 AND (id1, id2) IN (SELECT (id1, id2) FROM h) GROUP BY id1)
+    f"""WITH {BASE_SQL}, {HOLD_SQL}, m AS (SELECT l.database, id1, max(last_call_et / 60.0::DOUBLE) AS max_minutes
+      FROM l JOIN s ON s.sid = l.sid AND s.database = l.database
+      WHERE request > 0 AND (l.database, id1, id2) IN (SELECT (database, id1, id2) FROM h) GROUP BY l.database, id1)
     SELECT *, CASE WHEN max_minutes > 120 THEN 120 WHEN max_minutes > 60 THEN 60 WHEN max_minutes > 30 THEN 30 ELSE 0 END AS tier
     FROM m""",
 )
 def k04(t):
-    return lk.wait_tier(lk.blocked_waiters(locks(t), sessions(t)), "id1")
+    return lk.wait_tier(lk.blocked_waiters(locks(t), sessions(t), DB), [DB, "id1"])
 
 
 @query(
     "k05_blocker_list",
-    f"""WITH {BASE_SQL} SELECT DISTINCT id1, sid FROM l WHERE block = 1""",
+    f"""WITH {BASE_SQL} SELECT DISTINCT database, id1, sid FROM l WHERE block = 1""",
 )
 def k05(t):
-    return lk.blocker_list(locks(t), "id1")
+    return lk.blocker_list(locks(t), [DB, "id1"])
 
 
 @query(
     "k06_session_list",
-    f"""WITH {BASE_SQL} SELECT DISTINCT s.sid, {text_sql('')} FROM s JOIN p ON paddr = addr
+    f"""WITH {BASE_SQL} SELECT DISTINCT s.database, s.sid, {text_sql('')} FROM s JOIN p ON paddr = addr AND p.database = s.database
     WHERE username IS NOT NULL AND type <> 'BACKGROUND'""",
 )
 def k06(t):
-    return lk.session_list(sessions(t), procs(t))
+    return lk.session_list(sessions(t), procs(t), DB)
 
 
 @query(
     "k07_session_sql",
-    f"""WITH {BASE_SQL} SELECT DISTINCT s.sid, serial, username, program || '.exe' AS program,
+    f"""WITH {BASE_SQL} SELECT DISTINCT s.database, s.sid, serial, username, program || '.exe' AS program,
       coalesce(CAST(s.sql_id AS VARCHAR), prev_sql_id || '(prev)') AS sql_id, spid, sql_text
-    FROM s JOIN p ON paddr = addr LEFT JOIN q ON q.sql_id = coalesce(s.sql_id, prev_sql_id) WHERE type <> 'BACKGROUND'""",
+    FROM s JOIN p ON paddr = addr AND p.database = s.database
+      LEFT JOIN q ON q.sql_id = coalesce(s.sql_id, prev_sql_id) AND q.database = s.database WHERE type <> 'BACKGROUND'""",
 )
 def k07(t):
-    return lk.session_sql(sessions(t), procs(t), statements(t))
+    return lk.session_sql(sessions(t), procs(t), statements(t), DB)
 
 
 @query(
