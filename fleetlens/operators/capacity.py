@@ -225,6 +225,9 @@ def growth_report(
     size = F.coalesce(F.col(value), F.lit(0))
     order = one_or_struct(ts, *tie_break)
     since = {name: instant(as_of) - timedelta(days=d) for name, d in horizons.items()}
+    if how == "inner":
+        # A series needs a sample in every horizon, so nothing before the longest one counts.
+        df = df.filter(F.col(ts) > ntz(min(since.values())))
     wide = df.groupBy(key).agg(
         F.max(ts).alias("date_now"),
         F.max_by(size, order).alias("now_used"),

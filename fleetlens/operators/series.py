@@ -243,7 +243,9 @@ def metric_panel(
 ) -> DataFrame:
     """Lag panel and averages side by side for series seen within ``seen_within`` of ``as_of``."""
     keys = columns(keys)
-    panel = lag_panel(df, keys, ts, value, offsets, tie_break)
+    # Only series seen lately are ranked; they are found in a scan that reads no older rows.
+    lately = df.filter(F.col(ts) > ntz(instant(as_of) - seen_within)).select(*keys).distinct()
+    panel = lag_panel(df.join(lately, keys, "left_semi"), keys, ts, value, offsets, tie_break)
     fresh = panel.filter(F.col(ts) > ntz(instant(as_of) - seen_within))
     averages = window_averages(df, keys, ts, value, bands or metric_bands(as_of), anchor)
     return fresh.join(averages, keys)

@@ -2,10 +2,10 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from fleetlens.plans.registry import load_all
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
+QUERIES = load_all()
 BATCH = [n for n in QUERIES if n[0] not in "ti" and not n.startswith("s03")]
 
 
@@ -36,3 +36,8 @@ def test_groups_are_limited_before_the_shuffle(spark, name):
 def test_filter_and_columns_reach_the_scan(spark):
     plan = QUERIES["c01_latest_in_band"](spark, FOLDER)._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(ts" in plan and "props" not in plan.split("ReadSchema:")[1].split("\n")[0]
+
+
+def test_growth_reads_no_further_than_its_longest_horizon(spark):
+    plan = QUERIES["c08_growth_report"](spark, FOLDER)._jdf.queryExecution().toString()
+    assert "GreaterThan(o_orderdate" in plan
