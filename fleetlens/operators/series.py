@@ -54,6 +54,9 @@ WAIT_GROUPS = {
     "WAIT: DIRECTPATH READ": ["direct path read"],
 }
 OTHER_WAITS = "WAIT: OTHER WAITS"
+# Statistics that count reads from disk, and blocks got from the buffer.
+BUFFER_READS = ("physical reads",)
+BUFFER_GETS = ("db block gets", "consistent gets")
 KEPT_STATISTICS = (
     "db block gets",
     "consistent gets",
@@ -124,8 +127,13 @@ def metric_snapshot(
     other: str = OTHER_WAITS,
     exclude: Sequence[str] = IDLE_EVENTS,
     statistics: Sequence[str] = KEPT_STATISTICS,
+    reads: Sequence[str] = BUFFER_READS,
+    gets: Sequence[str] = BUFFER_GETS,
 ) -> DataFrame:
-    """All metrics of a snapshot as ``(by, metric, value)``: waits, sessions, statistics and memory."""
+    """All metrics of a snapshot as ``(by, metric, value)``: waits, sessions, statistics, hit ratio and memory.
+
+    The hit ratio is left out where nothing was got from the buffer.
+    """
     gig = 1024.0**3
 
     def row(df: DataFrame, metric: Column, value: Column) -> DataFrame:
@@ -134,6 +142,8 @@ def metric_snapshot(
     mapping = wait_mapping(waits.sparkSession) if mapping is None else mapping
     groups = collect_metrics(waits, mapping, by=by, exclude=exclude, other=other, zeros=True)
     current = sessions.groupBy(by).agg(F.count("username").alias("n"))
+    got, read = (F.sum(F.when(F.col("name").isin(*names), F.col("value")).otherwise(0)).cast("double") for names in (gets, reads))
+    hits = stats.groupBy(by).agg((F.lit(1.0) - F.try_divide(read, got)).alias("ratio"))
     shared = sga.groupBy(by).agg(F.sum("bytes").alias("bytes"))
     parts = [
         row(groups, F.col("metric"), F.col("value")),
@@ -144,6 +154,7 @@ def metric_snapshot(
             F.concat(F.lit("STAT: "), F.upper("name")),
             F.col("value"),
         ),
+        row(hits.filter(F.col("ratio").isNotNull()), F.lit("STAT: BUFFER HIT RATIO"), F.col("ratio")),
         row(
             pga.filter(F.col("name") == "total PGA allocated"),
             F.lit("MEMORY: PGA"),

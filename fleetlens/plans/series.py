@@ -47,6 +47,8 @@ def m01(t):
     UNION ALL SELECT c_custkey, 'SESSIONS: HIGHWATER', c_nationkey FROM customer
     UNION ALL SELECT o_custkey, 'SESSIONS: CURRENT', count(CASE WHEN o_orderstatus <> 'P' THEN 1 END) FROM orders GROUP BY o_custkey
     UNION ALL SELECT p_partkey, 'STAT: ' || upper(p_type), p_size FROM part WHERE p_type IN ('SMALL', 'LARGE')
+    UNION ALL SELECT p_partkey, 'STAT: BUFFER HIT RATIO', 1.0::DOUBLE - CAST(sum(CASE WHEN p_type = 'SMALL' THEN p_size ELSE 0 END) AS DOUBLE)
+      / CAST(sum(p_size) AS DOUBLE) FROM part WHERE p_type IN ('SMALL', 'LARGE') GROUP BY p_partkey HAVING sum(p_size) <> 0
     UNION ALL SELECT s_suppkey, 'MEMORY: PGA', s_nationkey FROM supplier
     UNION ALL SELECT l_suppkey, 'MEMORY: SGA', round(sum(CAST(l_quantity AS BIGINT)) / 8, 3) FROM lineitem GROUP BY l_suppkey""",
 )
@@ -68,6 +70,8 @@ def m01_snapshot(t):
         other="WAIT: OTHER",
         exclude=["error"],
         statistics=["SMALL", "LARGE"],
+        reads=["SMALL"],
+        gets=["SMALL", "LARGE"],
     )
 
 
