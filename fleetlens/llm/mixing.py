@@ -152,7 +152,8 @@ def mix(
     slots = slots.select("s", permuted(F.col("j") % F.col("blocks"), F.col("blocks"), [F.col("s"), again]).alias("block"))
     drawn = slots.groupBy("s", "block").agg(F.count(F.lit(1)).alias("times"))
 
-    taken = parts.join(drawn, ["s", "block"], "left")
+    # Spark takes exploded rows for as few as the sources they come from; it must not broadcast them.
+    taken = parts.join(drawn.hint("merge"), ["s", "block"], "left")
     taken = taken.groupBy("doc_id", "s", "start", "size", "source_size", "target").agg(
         F.sum(F.col("inside") * F.coalesce("times", F.lit(0))).alias("taken")
     )

@@ -56,4 +56,4 @@ def running_total(df: DataFrame, keys: list[str], chunk: str, order: list[Column
     )
     inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inner = df.withColumn("_inner", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return inner.join(starts, [*keys, chunk]).withColumn(out, F.col("_start") + F.col("_inner")).drop("_start", "_inner")
+    return inner.join(starts.hint("merge"), [*keys, chunk]).withColumn(out, F.col("_start") + F.col("_inner")).drop("_start", "_inner")
