@@ -4,7 +4,8 @@ A set's shingles are ordered from rare to frequent, by counts over all documents
 sketch holds. Of two sets that are similar enough, the l-prefixes (the first n - ceil(t n) + l
 shingles) share at least l. Each document takes the l whose estimated cost is least: the postings
 its prefix meets, and the candidates those leave when l of them must agree. A pair is a candidate
-when it shares as many prefix shingles as the smaller of its two l.
+when it shares as many prefix shingles as the smaller of its two l, and as many more as the pair's
+sizes ask for: what lies beyond both prefixes can hold only a part of the overlap.
 
 Documents with equal sets are one node from the start. Shingles that few nodes have give all their
 pairs, counted by pair. Where many nodes share a shingle, pairs would grow with the square: there
@@ -217,7 +218,11 @@ def short_pairs(token: np.ndarray, node: np.ndarray, info: np.ndarray, start: np
     la, lb = info[a], info[b]
     need = np.minimum(la & 255, lb & 255)
     counts = (np.maximum(la >> 8 & 255, lb >> 8 & 255) <= need) & similar_sizes(la >> 16, lb >> 16, join.percent)
-    return node[a[counts]], node[b[counts]], need[counts]
+    a, b, need, la, lb = a[counts], b[counts], need[counts], la[counts] >> 16, lb[counts] >> 16
+    # Beyond both prefixes there is room for so much of the overlap only; the rest must be met in them.
+    overlap = -(-join.percent * (la + lb) // (100 + join.percent))
+    need = need + overlap - np.maximum(-(-la * join.percent // 100), -(-lb * join.percent // 100))
+    return node[a], node[b], need
 
 
 LISTS = "a long, b long, need long, token long, info long"
@@ -386,7 +391,10 @@ def all_pairs(waiting: DataFrame, short: DataFrame, join: Join) -> DataFrame:
     rows = shared.written(rows.join(shared.written(able, "able-nodes"), "node"), "able-rows")
     other = rows.select("token", F.col("node").alias("n2"), F.col("info").alias("i2"), F.col("label").alias("l2"))
     pairs = fitting(rows.join(other, "token").filter("node < n2 and label <> l2"), F.col("info"), F.col("i2"), join)
-    one_need = F.least(F.col("info").bitwiseAND(255), F.col("i2").bitwiseAND(255))
+    n1, n2 = F.shiftright("info", 16), F.shiftright("i2", 16)
+    overlap = F.ceil(join.percent * (n1 + n2) / F.lit(100 + join.percent))
+    beyond = F.greatest(F.ceil(n1 * join.percent / F.lit(100)), F.ceil(n2 * join.percent / F.lit(100)))
+    one_need = F.least(F.col("info").bitwiseAND(255), F.col("i2").bitwiseAND(255)) + overlap - beyond
     pairs = pairs.groupBy(F.col("node").alias("a"), F.col("n2").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(one_need).alias("need"))
     pairs = pairs.join(short.select("a", "b", "met"), ["a", "b"], "left")
     return pairs.filter(F.col("n") + F.coalesce("met", F.lit(0)) >= F.col("need")).select("a", "b")
