@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from fleetlens.functions.semantics import cat, columns, not_disabled, ntz
 from fleetlens.sinks.tables import update_matching
 
+# Into how many groups targets are dealt where all of them meet a short list.
+DEALS = 32
+
 
 def host_label(server: str = "server", host: str = "physical_server_abbrev", cluster: str = "cluster_name") -> Column:
     """'server', or 'server (host)' for an alias, then ' [cluster] ' when there is one."""
@@ -173,8 +176,8 @@ def resolve_check_set(
 ) -> DataFrame:
     """Checks of one set per target: components that name a target, plus wildcard components for all targets.
 
-    A wildcard component meets every target by definition; the two are joined on
-    the set, whose components are a short list.
+    A wildcard component meets every target by definition. Targets are dealt to
+    ``DEALS`` groups, and each group gets the short list of components.
     """
     title = F.translate(F.coalesce("title", "set_id"), " ", "_")
     chosen = sets.filter((F.col("set_id") == set_id) & not_disabled()).select("set_id", title.alias("title"))
@@ -183,7 +186,6 @@ def resolve_check_set(
         .join(chosen, "set_id")
         .join(checks.select("script_id", "script_name", "param1", "param2"), "script_id")
         .select(
-            "set_id",
             "database_name",
             "script_name",
             "title",
@@ -196,10 +198,12 @@ def resolve_check_set(
         .join(servers.filter(not_disabled()).select("server"), "server")
         .select("database_name")
     )
-    named = parts.filter(F.col("database_name").isNotNull()).drop("set_id").join(targets, "database_name")
+    named = parts.filter(F.col("database_name").isNotNull()).join(targets, "database_name")
     detail = ["script_name", "title", "param1", "param2"]
-    wild = parts.filter(F.col("database_name").isNull()).select("set_id", *detail).distinct()
-    everywhere = targets.withColumn("set_id", F.lit(set_id)).join(wild, "set_id").select("database_name", *detail)
+    wild = parts.filter(F.col("database_name").isNull()).select(*detail).distinct()
+    wild = wild.withColumn("deal", F.explode(F.array(*[F.lit(i) for i in range(DEALS)])))
+    dealt = targets.withColumn("deal", F.pmod(F.hash("database_name"), F.lit(DEALS)))
+    everywhere = dealt.join(wild, "deal").select("database_name", *detail)
     return named.select("database_name", *detail).unionByName(everywhere).distinct()
 
 
