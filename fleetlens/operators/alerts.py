@@ -67,6 +67,14 @@ def follow_ups(classified: DataFrame, target: str = "target", line: str = "line"
     return classified.filter(F.col(line).contains(phrase)).select(target).distinct()
 
 
+def follow_up_usage(
+    classified: DataFrame, usage: DataFrame, target: str = "target", owner: str = "database_name", min_pct: float = 90
+) -> DataFrame:
+    """The fuller containers of every target whose container check failed."""
+    wanted = follow_ups(classified, target).select(F.col(target).alias(owner))
+    return usage.filter(F.col("pct_used") > min_pct).join(wanted, owner, "left_semi")
+
+
 def extract_severe(classified: DataFrame, levels: Sequence[str] = ("HEADING", "WARNING", "ERROR")) -> DataFrame:
     return classified.filter(F.col("level").isin(*levels))
 

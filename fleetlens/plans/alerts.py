@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.semantics import ntz
 from fleetlens.operators import alerts as al
+from fleetlens.plans.capacity import CONTAINER_SQL, usage
 from fleetlens.plans.registry import AS_OF, EVENT_NOW, query
 
 HALF = "2024-01-16 00:00:00"
@@ -82,6 +83,16 @@ def a03(t):
     return al.follow_ups(classified(t))
 
 
+@query(
+    "a03_follow_up_usage",
+    f"""WITH {LINES_SQL}, {CONTAINER_SQL} SELECT database_name, container, kind, pct_used FROM usage
+    WHERE pct_used > 40 AND database_name IN (SELECT target FROM ln WHERE contains(line, 'ERROR - tablespace alerts'))""",
+)
+def a03_usage(t):
+    found = al.follow_up_usage(classified(t), usage(t), min_pct=40)
+    return found.select("database_name", "container", "kind", "pct_used")
+
+
 def notify(t, **kw):
     lines = report_lines(t).withColumn("is_error", F.col("line").rlike(al.ANY_ERROR))
     current = lines.filter(F.col("ts") >= ntz(HALF))
