@@ -395,9 +395,10 @@ def all_pairs(waiting: DataFrame, short: DataFrame, join: Join) -> DataFrame:
     overlap = F.ceil(join.percent * (n1 + n2) / F.lit(100 + join.percent))
     beyond = F.greatest(F.ceil(n1 * join.percent / F.lit(100)), F.ceil(n2 * join.percent / F.lit(100)))
     one_need = F.least(F.col("info").bitwiseAND(255), F.col("i2").bitwiseAND(255)) + overlap - beyond
-    pairs = pairs.groupBy(F.col("node").alias("a"), F.col("n2").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(one_need).alias("need"))
-    pairs = pairs.join(short.select("a", "b", "met"), ["a", "b"], "left")
-    return pairs.filter(F.col("n") + F.coalesce("met", F.lit(0)) >= F.col("need")).select("a", "b")
+    met_here = pairs.select(F.col("node").alias("a"), F.col("n2").alias("b"), F.lit(1).cast("long").alias("met"), one_need.alias("need"))
+    both = met_here.unionByName(short.select("a", "b", "met", "need"))
+    both = both.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("need").alias("need"))
+    return both.filter("met >= need").select("a", "b")
 
 
 def fitting(rows: DataFrame, one: Column, two: Column, join: Join) -> DataFrame:
