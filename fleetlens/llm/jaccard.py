@@ -244,7 +244,8 @@ def posting_lists(rows: DataFrame, join: Join) -> DataFrame:
             token, node, info, hot = token[new], node[new], info[new], hot[new]
             start = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
             size = np.diff(np.append(start, len(token)))
-            long_ = size > join.short_list
+            # A hot list is here in part only, so that its size says nothing.
+            long_ = (size > join.short_list) | hot[start]
             if len(start) and running is not None and token[0] == running:
                 long_[0] = True
             whole = np.ones(len(start), bool)

@@ -80,6 +80,28 @@ def test_one_of_each(frame):
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(want))
 
 
+@pytest.fixture
+def dealt_out(spark):
+    """Shuffles keep their partitions, so that rows dealt apart stay apart."""
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_near_copies_of_many_copies(frame, dealt_out):
+    base = [f"b{i}" for i in range(100)]
+    docs = [(i, " ".join(base)) for i in range(10, 5010)]
+    # Few distinct sets have a hot shingle: near copies of the group, one of them with the least number.
+    docs += [(n, " ".join(base[:i] + [f"y{n}"] + base[i + 1 :])) for n, i in ((1, 50), (6000, 20), (6001, 80), (6002, 0))]
+    docs += [(7000, " ".join(f"z{i}" for i in range(60)))]
+    got = jaccard.near_duplicates(frame(docs))
+    assert sorted(map(tuple, got.collect())) == sorted((d, 56, d) if d == 7000 else (d, 96, 1) for d, _ in docs)
+
+
 def test_empty(frame):
     assert jaccard.near_duplicates(frame([])).count() == 0
     assert jaccard.one_of_each(frame([])).count() == 0
