@@ -4,8 +4,9 @@ Every example asks for a vector: tokens, segments (one), loss-bearing tokens. A
 for each. One sequence is filled at a time from a window of waiting examples: of those that fit in
 every dimension, the one whose vector has the largest dot product with what is left of the limits
 is placed (both as shares of the limits). When none fits and cutting is allowed, the example with
-the largest dot product is cut so that it fills the sequence. What is left when a task ends is cut
-into lengths that are powers of two, which need no padding.
+the largest dot product is cut so that it fills the sequence. A sequence that ends short all the same,
+by its segments or loss tokens or as the last of a task, is cut into lengths that are powers of two,
+which need no padding.
 
 Tasks pack the rows they read, without a shuffle; memory is bounded by the window. A sequence is
 numbered by its task's partition and its place there, so a task that runs again on another executor
@@ -214,7 +215,7 @@ class Packer:
         while tokens - start > whole:
             if not self.cut:
                 raise ValueError("an example is longer than a sequence and may not be cut")
-            self.sequences.append([(example, start, whole)])
+            self.close([(example, start, whole)], whole)
             start += whole
         self.wait(example, start, tokens - start, loss)
         while len(self.items) >= self.window:
@@ -230,7 +231,13 @@ class Packer:
         self.items[i], self.need[i] = self.items[last], self.need[last]
         self.items.pop()
 
-    def fill(self, last: bool = False) -> None:
+    def close(self, pieces: list[tuple[object, int, int]], tokens: int) -> None:
+        if self.cut and tokens < self.limits.tokens:
+            self.sequences.extend(powers_of_two(pieces))
+        else:
+            self.sequences.append(pieces)
+
+    def fill(self) -> None:
         left, out = self.cap.copy(), []
         while self.items and left[0] > 0 and left[1] > 0:
             need = self.need[: len(self.items)]
@@ -252,14 +259,11 @@ class Packer:
             left -= (room, 1, room if loss else 0)
             self.items[i] = (example, start + room, loss)
             self.need[i] -= (room, 0, room if loss else 0)
-        if last and self.cut and not self.items and left[0] > 0:
-            self.sequences.extend(powers_of_two(out))
-        else:
-            self.sequences.append(out)
+        self.close(out, self.limits.tokens - int(left[0]))
 
     def finish(self) -> None:
         while self.items:
-            self.fill(last=True)
+            self.fill()
 
     def done(self) -> list[list[tuple[object, int, int]]]:
         out, self.sequences = self.sequences, []

@@ -63,6 +63,16 @@ def test_pack(frame, tokenizer):
     assert check(rows, got, tokenizer, packing.Limits()) == 0
 
 
+def test_short_documents_need_no_padding(frame, tokenizer):
+    rows = [(i, "alpha beta") for i in range(2500)] + [(9000 + i, None) for i in range(600)]
+    got = packing.pack(frame(rows).coalesce(1), PATH).collect()
+    assert check(rows, got, tokenizer, packing.Limits()) == 0
+    # Nor where loss tokens end a sequence, or a part of a long example.
+    limits = packing.Limits(tokens=256, segments=5, loss_tokens=100)
+    rows = [(i, "word " * (i % 40)) for i in range(300)] + [(9000, "word " * 999)]
+    assert check(rows, packing.pack(frame(rows), PATH, limits=limits).collect(), tokenizer, limits) == 0
+
+
 def test_all_limits_hold(frame, tokenizer, spark):
     from pyspark.sql import functions as F
 
