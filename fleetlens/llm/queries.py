@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import exact, hosttext, jaccard, langid, maxscore, mixing, packing, shared, substrings, toxicity, warc
+from fleetlens.llm import exact, hosttext, jaccard, langid, maxscore, mixing, packing, shared, spelling, substrings, toxicity, warc
 from fleetlens.llm.shared import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +101,8 @@ def op8(spark, folder):
 def op9(spark, folder):
     archives = warc.write(table(spark, folder, "pages"), shared.new_folder(spark, "warc"))
     return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op11_spelling")
+def op11(spark, folder):
+    return spelling.variants(table(spark, folder, "documents"))
