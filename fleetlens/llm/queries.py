@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import exact, hosttext, jaccard, langid, maxscore, mixing, packing, shared, spelling, substrings, toxicity, warc
+from fleetlens.llm import collocations, exact, hosttext, jaccard, langid, lmscore, maxscore, mixing, packing, shared, spelling, substrings, toxicity, warc
 from fleetlens.llm.shared import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +106,13 @@ def op9(spark, folder):
 @query("op11_spelling")
 def op11(spark, folder):
     return spelling.variants(table(spark, folder, "documents"))
+
+
+@query("op12_collocations")
+def op12(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+@query("op13_lm_score")
+def op13(spark, folder):
+    return lmscore.scores(table(spark, folder, "documents"))

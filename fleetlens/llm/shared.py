@@ -37,15 +37,16 @@ def pieces_of_a_group(spark: SparkSession) -> int:
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def held_out(doc_id: Column | str) -> Column:
+def held_out(doc_id: Column | str, folds: int = 4) -> Column:
     """The fold that models never learn from."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 2, F.lit(False))
 
 
 def running_total(df: DataFrame, keys: list[str], chunk: str, order: list[Column], value: str, out: str) -> DataFrame:
     """Sum of ``value`` over the rows of a key that come before, in the order (chunk, order).
 
     Chunks of a key are summed first and their few totals are run through; no task sees a whole key.
+    Without keys, chunks are those of ``in_order``.
     """
     by_chunk = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -57,3 +58,16 @@ def running_total(df: DataFrame, keys: list[str], chunk: str, order: list[Column
     inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inner = df.withColumn("_inner", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return inner.join(starts.hint("merge"), [*keys, chunk]).withColumn(out, F.col("_start") + F.col("_inner")).drop("_start", "_inner")
+
+
+def in_order(df: DataFrame, *order: Column, name: str = "in-order") -> DataFrame:
+    """The rows dealt to ranges of the order, with the number of the range as ``chunk``: for running sums over all rows."""
+    return written(df.repartitionByRange(*order).withColumn("chunk", F.spark_partition_id()), name)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the rows do not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
