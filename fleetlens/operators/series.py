@@ -14,6 +14,7 @@ from fleetlens.functions.semantics import (
     earliest,
     hour_start,
     instant,
+    left_join_null_safe,
     mean_if,
     midnight,
     ntz,
@@ -269,10 +270,10 @@ def counter_deltas(
     count: str,
     time: str,
     *,
-    rows_per_slice: int | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Difference from the previous snapshot; counter resets are skipped."""
-    pairs = with_previous(df, keys, order, [count, time], rows_per_slice=rows_per_slice)
+    pairs = with_previous(df, keys, order, [count, time], ranges=ranges)
     waits = F.col(count) - F.col(f"prev_{count}")
     waited = F.col(time) - F.col(f"prev_{time}")
     return (
@@ -312,17 +313,18 @@ def gap_check(
     *,
     since,
     target_s: float | None = None,
-    rows_per_slice: int | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Longest gap in seconds between consecutive events of one thread that end after ``since``.
 
-    Without a target the limit is one switch a day.
+    Without a target the limit is one switch a day. Events up to ``since`` are not sorted: of
+    them only those count that follow a thread's first late event in order, and the one before it.
     """
     limit = 86400.0 if not target_s else float(target_s)
     kind = "ARCHIVE_LOG_TARGET" if target_s else "1 DAY"
     keys = columns(partition)
-    rows = df.select(*keys, *[c for c in dict.fromkeys([*order, ts]) if c not in keys])
-    pairs = with_previous(rows, keys, order, [ts], rows_per_slice=rows_per_slice)
+    rows = _around(df.select(*keys, *[c for c in dict.fromkeys([*order, ts]) if c not in keys]), keys, order, ts, since)
+    pairs = with_previous(rows, keys, order, [ts], ranges=ranges)
     gaps = pairs.filter((F.col(ts) > ntz(since)) & F.col(f"prev_{ts}").isNotNull())
     return (
         gaps.groupBy(*keys)
@@ -333,6 +335,18 @@ def gap_check(
     )
 
 
+def _around(rows: DataFrame, keys: list[str], order: Sequence[str], ts: str, since) -> DataFrame:
+    """The rows after ``since``, and the earlier ones that a predecessor of theirs can be."""
+    late = rows.filter(F.col(ts) > ntz(since))
+    place, everything = F.struct(*order), F.struct(*[F.col(c) for c in rows.columns])
+    firsts = late.groupBy(*keys).agg(F.min(place).alias("_first"))
+    early = rows.filter((F.col(ts) <= ntz(since)) | F.col(ts).isNull())
+    early = left_join_null_safe(early, firsts, keys).filter(F.col("_first").isNotNull())
+    between = early.filter(place >= F.col("_first")).drop("_first")
+    last = early.filter(place < F.col("_first")).groupBy(*keys).agg(F.max_by(everything, place).alias("_row")).select("_row.*")
+    return late.unionByName(between).unionByName(last)
+
+
 def panel_text(panel: DataFrame, figures: Sequence[str]) -> DataFrame:
     """The figures of a panel in scientific notation, 'N/A' where missing."""
     return panel.select(

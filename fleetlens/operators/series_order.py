@@ -1,13 +1,10 @@
 """Predecessor of every row in a series, with no task holding a whole hot series.
 
-A plain ``lag`` window sends all rows of one key to one task. Here the keys with
-more than ``rows_per_slice`` rows are found first (a partial aggregate), their
-time range is cut into slices of about that size, and the window runs per
-(key, slice). The first row of each slice takes its predecessor from the
-previous slice's last row, which is an aggregate of one row per slice.
-
-What reaches the driver is one row per oversized (key, slice): at most
-``rows / rows_per_slice`` of them, however the rows are distributed.
+A plain ``lag`` window sends all rows of one key to one task. Here rows are dealt to
+ranges of (key, order), which split a hot series, and even a hot instant, as evenly as
+any other rows. Within a range the predecessor is a window. Across ranges only one row
+is missing: the first of a range follows the last of the range before. The last rows of
+all ranges are a table with one row per range, which is shifted by one and joined back.
 """
 
 from __future__ import annotations
@@ -16,60 +13,31 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from fleetlens.functions.semantics import columns, epoch_micros, left_join_null_safe, one_or_struct
 
-ROWS_PER_SLICE = 5_000_000
-MAX_LEVELS = 3
+from fleetlens.functions.semantics import columns
+from fleetlens.sinks.tables import settled
 
 
-def _position(df: DataFrame, c: str):
-    """Order column as an integer position on a line."""
-    kind = df.schema[c].dataType
-    if isinstance(kind, (T.TimestampNTZType, T.TimestampType, T.DateType)):
-        return epoch_micros(F.col(c))
-    return F.floor(F.col(c)).cast("long")
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where a column of the rows has them already."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
-def sliced(df: DataFrame, keys: Sequence[str], order: str, rows_per_slice: int) -> tuple[DataFrame, list[str]]:
-    """Add slice columns for hot keys; slices ascend with ``order``. Cold keys get none.
+def in_ranges(df: DataFrame, line: Sequence[str], part: str, ranges: int | None = None) -> DataFrame:
+    """The rows in ranges of the columns of ``line``, numbered by ``part``.
 
-    Each level cuts what is still oversized into equal widths of its own range,
-    so a burst inside one slice is cut again. Returns the frame and the names of
-    the slice columns (empty when no key is oversized).
+    Ranges are bounded by sampled rows, so a second run could draw other bounds; the rows are
+    stored, and all that follows reads the same ranges.
     """
-    keys = columns(keys)
-    out = df.withColumn("_pos", _position(df, order))
-    levels: list[str] = []
-    for depth in range(1, MAX_LEVELS + 1):
-        group = [*keys, *levels]
-        still = out.filter(F.col(levels[-1]) >= 0) if levels else out
-        oversized = (
-            still.groupBy(*group)
-            .agg(F.count("*").alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"))
-            .filter((F.col("_n") > rows_per_slice) & (F.col("_hi") > F.col("_lo")))
-        )
-        rows = oversized.collect()
-        if not rows:
-            break
-        name = f"_slice{depth}"
-        cuts = df.sparkSession.createDataFrame(rows, oversized.schema).select(
-            *group,
-            "_lo",
-            F.greatest(
-                F.lit(1),
-                # Half the limit per slice on average, so that an even series needs one level only.
-                F.ceil((F.col("_hi") - F.col("_lo") + 1) * F.lit(rows_per_slice) / (F.col("_n") * 2)),
-            ).alias("_width"),
-        )
-        out = (
-            left_join_null_safe(out, cuts, group)
-            .withColumn(name, F.coalesce(F.floor((F.col("_pos") - F.col("_lo")) / F.col("_width")), F.lit(-1)))
-            .drop("_lo", "_width")
-        )
-        levels.append(name)
-    return out.drop("_pos"), levels
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(ranges, *[F.asc_nulls_first(c) for c in line]).withColumn(part, F.spark_partition_id())
+    return settled(dealt, "ranges")
 
 
 def with_previous(
@@ -79,36 +47,31 @@ def with_previous(
     carry: Sequence[str],
     *,
     prefix: str = "prev_",
-    rows_per_slice: int | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add ``prev_<c>`` for each carried column: its value on the row before.
 
-    ``rows_per_slice`` defaults to ``ROWS_PER_SLICE``.
-
-    ``order`` must be a total order of non-null values within a key (end it with
-    a unique column).
+    ``order`` must be a total order of non-null values within a key (end it with a unique
+    column). A null key is a series of its own. ``ranges`` defaults to the session's number of
+    shuffle partitions.
     """
     keys, order = columns(keys), columns(order)
-    work, levels = sliced(df, keys, order[0], rows_per_slice or ROWS_PER_SLICE)
-    window = Window.partitionBy(*keys, *levels).orderBy(*[F.asc_nulls_first(c) for c in order])
-    lagged = [F.lag(c).over(window).alias(prefix + c) for c in carry]
-    if not levels:
-        return work.select("*", *lagged)
-
-    # Column by column, so that a single order column leaves this a hash aggregate.
-    last = work.filter(F.col(levels[0]) >= 0).groupBy(*keys, *levels).agg(
-        *[F.max_by(c, one_or_struct(*order)).alias(f"_last_{c}") for c in carry]
-    )
-    across = Window.partitionBy(*keys).orderBy(*levels)
-    before = last.select(
-        *keys, *levels, *[F.lag(f"_last_{c}").over(across).alias(f"_before_{c}") for c in carry]
-    )
-    inside = work.select("*", *lagged, F.row_number().over(window).alias("_rn"))
-    joined = left_join_null_safe(inside, before, [*keys, *levels])
+    part, before, last, rn = free_names(df, "_part", "_before", "_last", "_rn")
+    rows = in_ranges(df, [*keys, *order], part, ranges)
+
+    # One row per range. Structs compare as the ranges do: field by field, null first.
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)])
+    value = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    ends = rows.groupBy(part).agg(F.max_by(F.struct(key.alias("key"), value.alias("value")), F.struct(key, place)).alias(last))
+    handed = ends.select(part, F.lag(last).over(Window.orderBy(part)).alias(before))
+
+    inside = Window.partitionBy(part, *keys).orderBy(*[F.asc_nulls_first(c) for c in order])
+    lagged = [F.lag(c).over(inside).alias(prefix + c) for c in carry]
+    joined = rows.select("*", *lagged, F.row_number().over(inside).alias(rn)).join(handed, part, "left")
+    # Only the first series of a range can go on from the range before.
+    goes_on = (F.col(rn) == 1) & F.col(before)["key"].eqNullSafe(key)
     return joined.select(
-        *df.columns,
-        *[
-            F.when(F.col("_rn") == 1, F.col(f"_before_{c}")).otherwise(F.col(prefix + c)).alias(prefix + c)
-            for c in carry
-        ],
+        *[F.col(c) for c in df.columns],
+        *[F.when(goes_on, F.col(before)["value"][f"c{i}"]).otherwise(F.col(prefix + c)).alias(prefix + c) for i, c in enumerate(carry)],
     )

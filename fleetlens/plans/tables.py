@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from fleetlens.operators.latest import latest_per_key
 from fleetlens.plans.registry import AS_OF, query
 from fleetlens.sinks import tables
 
@@ -64,6 +65,24 @@ def s03_history(t):
     return tables.read_history(t.spark, path, "ts", "2024-01-10 12:00:00")
 
 
+def clustered_events(t):
+    """Events as a history table clustered by user and type."""
+    table = "clustered_" + uuid.uuid4().hex
+    rows = t.events.select("event_id", "user_id", "event_type", "ts", "value")
+    tables.write_clustered(rows, table, ["user_id", "event_type"], "ts", 16, scratch(t, "clustered"))
+    return t.spark.table(table)
+
+
+@query(
+    "s03_clustered_history",
+    """SELECT user_id, event_type, event_id, ts, value FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""",
+)
+def s03_clustered(t):
+    rows = latest_per_key(clustered_events(t), ["user_id", "event_type"], "ts", ["event_id"])
+    return rows.select("user_id", "event_type", "event_id", "ts", "value")
+
+
 @query(
     "s04_append_changed",
     """WITH h AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),

@@ -1,12 +1,13 @@
 """Table maintenance: upserts, conditional appends, retention and routing.
 
-The functions that change a table's content return the new rows; the ``*_table``
-functions apply them to a Parquet table partitioned by date and rewrite only the
-partitions a load touches.
+The functions that change a table's content return the new rows; ``upsert_table``
+applies them to a Parquet table of the catalog, partitioned by date, and replaces only
+the partitions a load touches.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,9 +43,13 @@ def upsert(target: DataFrame, source: DataFrame, keys, update_cols: Sequence[str
 
 
 def update_matching(target: DataFrame, source: DataFrame, keys, cols: Sequence[str]) -> DataFrame:
-    """Matched rows take ``cols`` from the source; nothing is inserted."""
+    """Matched rows take ``cols`` from the source; nothing is inserted.
+
+    A source that holds a key of the target twice is refused, as in :func:`upsert`.
+    """
     keys = columns(keys)
-    new = source.select(*keys, F.struct(*cols).alias("_new"))
+    new = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*cols)).alias("_new"))
+    new = new.select(*keys, F.when(F.col("_n") == 1, F.col("_new")).otherwise(F.raise_error("source repeats a key")).alias("_new"))
     both = target.join(new, keys, "left")
     return both.select(
         *[
@@ -100,12 +105,16 @@ def dedupe_source(df: DataFrame, keys=None, prefer: Sequence[str] = ()) -> DataF
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: ``spark.checkpoint.dir``, else one in the warehouse."""
+    """A folder that driver and executors share: ``spark.checkpoint.dir``, else one in the warehouse.
+
+    On a cluster a warehouse on the driver's own disk is no such folder and is refused.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
-        if not warehouse:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir", None) or ""
+        own_disk = warehouse.startswith(("file:", "/")) or "://" not in warehouse
+        if not warehouse or (own_disk and not context.master.startswith("local")):
             raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         folder = f"{warehouse.rstrip('/')}/scratch"
     if context.getCheckpointDir() is None:
@@ -113,6 +122,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def write_clustered(df: DataFrame, table: str, keys, ts: str, buckets: int, path: str | None = None) -> None:
+    """History as a catalog table bucketed by entity and sorted by entity and time.
+
+    Operators that group by these keys (and maybe more) read it without a shuffle. ``buckets``
+    should give files of some hundred megabytes; a table keeps the number it is created with.
+    """
+    keys = columns(keys)
+    # One file per bucket: rows are dealt as the buckets are, in this write and in every later one.
+    writer = df.repartition(buckets, *keys).write.mode("append").format("parquet").bucketBy(buckets, *keys).sortBy(*keys, ts)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The rows, stored in the shared folder and read back: short lineage, the same rows for every reader."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 HISTORY_DAY = "history_day"
 
 
@@ -135,29 +164,37 @@ def read_history(spark: SparkSession, path: str, ts: str, since=None) -> DataFra
     return rows.drop(HISTORY_DAY)
 
 
-def replace_partitions(df: DataFrame, path: str, partition_by: str) -> None:
-    """Overwrite just the partitions present in ``df``, which may have been read from ``path``."""
-    shared_folder(df.sparkSession)
-    settled = df.checkpoint()
-    (
-        settled.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition_by)
-        .parquet(path)
-    )
-
+def upsert_table(spark: SparkSession, table: str, source: DataFrame, keys, update_cols: Sequence[str], partition_by: str) -> None:
+    """Upsert into a partitioned Parquet table of the catalog; untouched partitions are neither read nor written.
 
-def upsert_table(spark: SparkSession, path: str, source: DataFrame, keys, update_cols: Sequence[str], partition_by: str) -> None:
-    """Upsert into a partitioned Parquet table; untouched partitions are neither read nor written.
+    The new content of the touched partitions goes to folders of its own. Only when all of it is
+    written are the partitions' locations switched, so readers see the old table until then, and
+    a failure leaves it as it was. The switch is one catalog change for each partition; a failure
+    among them is mended by running the same upsert again, which changes nothing where it was done.
 
-    ``partition_by`` must be one of the keys. Its distinct values in one load
-    (days) are collected to prune the read.
+    ``partition_by`` must be one of the keys. Its distinct values in one load (days) are collected
+    to prune the read.
     """
     if partition_by not in columns(keys):
         raise ValueError(f"{partition_by} must be part of the key")
     touched = [r[0] for r in source.select(partition_by).distinct().collect()]
-    target = spark.read.parquet(path).filter(F.col(partition_by).isin(touched))
-    replace_partitions(upsert(target, source, keys, update_cols), path, partition_by)
+    target = spark.table(table)
+    new = upsert(target.filter(F.col(partition_by).isin(touched)), source, keys, update_cols)
+    folder = f"{shared_folder(spark).rstrip('/')}/{table}-{uuid.uuid4().hex}"
+    new.select(*target.columns).write.partitionBy(partition_by).parquet(folder)
+    switch_partitions(spark, table, partition_by, folder, touched)
+
+
+def switch_partitions(spark: SparkSession, table: str, column: str, folder: str, values: Sequence) -> None:
+    """Let partitions of a catalog table lie in the folder that holds them as ``column=value``."""
+    known = {r[0].split("=", 1)[1] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()}
+    for value in map(str, values):
+        spec, place = f"PARTITION ({column} = '{value}')", f"{folder}/{column}={value}"
+        if value in known:
+            spark.sql(f"ALTER TABLE {table} {spec} SET LOCATION '{place}'")
+        else:
+            spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {spec} LOCATION '{place}'")
+    spark.catalog.refreshTable(table)
 
 
 def drop_old_partitions(spark: SparkSession, table: str, column: str, as_of, days: int = 42) -> list[str]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.semantics import Band
 from fleetlens.operators import series
-from fleetlens.operators.series_order import sliced, with_previous
+from fleetlens.operators.series_order import in_ranges, with_previous
 
 T0 = datetime(2024, 1, 1)
 
@@ -25,29 +25,56 @@ def skewed(spark):
     )
 
 
-@pytest.mark.parametrize("limit", [20, 100, 10_000])
-def test_with_previous_equals_plain_lag(skewed, limit, rows_of):
+@pytest.mark.parametrize("ranges", [1, 7, 200])
+def test_with_previous_equals_plain_lag(skewed, ranges, rows_of):
     window = Window.partitionBy("key").orderBy("ts", "id")
     plain = skewed.select("id", "key", F.lag("value").over(window), F.lag("ts").over(window))
-    ours = with_previous(skewed, "key", ["ts", "id"], ["value", "ts"], rows_per_slice=limit)
+    ours = with_previous(skewed, "key", ["ts", "id"], ["value", "ts"], ranges=ranges)
     assert rows_of(ours.select("id", "key", "prev_value", "prev_ts")) == rows_of(plain)
 
 
 def test_with_previous_ignores_input_order(skewed, rows_of):
-    ours = with_previous(skewed, "key", ["id"], ["value"], rows_per_slice=50).select("id", "prev_value")
-    shuffled = with_previous(skewed.repartition(7, "value"), "key", ["id"], ["value"], rows_per_slice=50)
+    ours = with_previous(skewed, "key", ["id"], ["value"], ranges=9).select("id", "prev_value")
+    shuffled = with_previous(skewed.repartition(7, "value"), "key", ["id"], ["value"], ranges=5)
     assert rows_of(ours) == rows_of(shuffled.select("id", "prev_value"))
 
 
-def test_hot_series_is_spread_over_slices(skewed):
-    out, levels = sliced(skewed, "key", "id", 100)
-    sizes = [r["count"] for r in out.groupBy("key", *levels).count().collect()]
-    assert levels and max(sizes) <= 200 and sum(sizes) == 6000
+def test_hot_series_and_instant_are_spread_over_ranges(skewed):
+    rows = in_ranges(skewed, ["key", "ts", "id"], "part", 60)
+    sizes = [r["count"] for r in rows.groupBy("part").count().collect()]
+    assert len(sizes) > 40 and max(sizes) <= 250 and sum(sizes) == 6000
+    hot = rows.filter("key = 'hot' AND second = 1000").select("part").distinct().count()
+    assert hot >= 6
+
+
+def test_one_series_and_one_instant_hold_everything(spark, rows_of):
+    """No key, and no moment, to cut by: the sequence numbers alone tell rows apart."""
+    at = F.lit("2024-01-01").cast("timestamp_ntz")
+    rows = spark.range(1_000_000).select(F.lit("k").alias("key"), at.alias("ts"), F.col("id"), (F.col("id") * 3).alias("value"))
+    out = with_previous(rows.repartition(11), "key", ["ts", "id"], ["value"], ranges=16)
+    wrong = out.filter(~F.col("prev_value").eqNullSafe(F.when(F.col("id") > 0, F.col("id") * 3 - 3)))
+    assert out.count() == 1_000_000 and wrong.isEmpty()
+
+
+def test_with_previous_keeps_columns_with_its_own_names(spark):
+    df = spark.createDataFrame([("a", 1, 5, "x", "y"), ("a", 2, 6, "u", "v")], "key string, id int, value int, _part string, _rn string")
+    out = with_previous(df, "key", ["id"], ["value"], ranges=2)
+    assert sorted(map(tuple, out.collect())) == [("a", 1, 5, "x", "y", None), ("a", 2, 6, "u", "v", 5)]
+    assert with_previous(df.limit(0), "key", ["id"], ["value"]).count() == 0
+
+
+def test_gap_reads_what_lies_around_the_late_events(spark):
+    """Sequence numbers and times disagree, and the last event before ``since`` is far back."""
+    at = lambda m: T0 + timedelta(minutes=m)
+    rows = [(1, 1, at(0)), (1, 2, at(5)), (1, 3, at(100)), (1, 4, at(50)), (1, 5, at(130)), (2, 1, at(10)), (2, 2, at(20)), (3, 9, at(120)), (None, 1, at(1)), (None, 2, at(200))]
+    df = spark.createDataFrame(rows, "thread int, seq int, ts timestamp_ntz")
+    got = {r.thread: r.gap_seconds for r in series.gap_check(df, "thread", ["seq"], "ts", since=at(60)).collect()}
+    assert got == {1: 95 * 60, None: 199 * 60}
 
 
 def test_null_keys_are_a_series_of_their_own(spark):
     df = spark.createDataFrame([(None, i, i * 10) for i in range(50)], "key string, id long, value long")
-    out = with_previous(df, "key", ["id"], ["value"], rows_per_slice=10)
+    out = with_previous(df, "key", ["id"], ["value"], ranges=10)
     assert {r.id: r.prev_value for r in out.collect()} == {i: (i - 1) * 10 if i else None for i in range(50)}
 
 

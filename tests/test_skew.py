@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from fleetlens.operators import series_order
 from fleetlens.plans.registry import Tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -43,8 +42,7 @@ def skewed(tmp_path_factory):
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_skewed_keys(spark, skewed, monkeypatch, name):
-    monkeypatch.setattr(series_order, "ROWS_PER_SLICE", 60)
+def test_skewed_keys(spark, skewed, name):
     names, rows = check.spark_rows(QUERIES[name](spark, skewed))
     assert (names, rows) == check.oracle(check.connect(skewed), SQLS[name])
 

@@ -21,19 +21,46 @@ def test_upsert_keeps_unlisted_columns(spark, rows_of):
 
 def test_upsert_table_touches_only_its_partitions(spark, tmp_path, rows_of):
     path = str(tmp_path / "t")
-    frame(spark, [("d1", 1, "x", "x"), ("d2", 1, "x", "x")]).write.partitionBy("day").parquet(path)
-    before = sorted(os.listdir(f"{path}/day=d1"))
+    rows = frame(spark, [("d1", 1, "x", "x"), ("d2", 1, "x", "x")])
+    rows.write.partitionBy("day").option("path", path).saveAsTable("loads")
+    before = {d: sorted(os.listdir(f"{path}/day={d}")) for d in ("d1", "d2")}
     source = frame(spark, [("d2", 1, "y", "y"), ("d2", 2, "z", "z")])
     for _ in range(2):  # a replay changes nothing
-        tables.upsert_table(spark, path, source, ["day", "id"], ["a"], "day")
-    assert sorted(os.listdir(f"{path}/day=d1")) == before
-    got = spark.read.parquet(path).select("day", "id", "a", "b")
+        tables.upsert_table(spark, "loads", source, ["day", "id"], ["a"], "day")
+    # What readers of the old table may still be reading is left alone.
+    assert {d: sorted(os.listdir(f"{path}/day={d}")) for d in ("d1", "d2")} == before
+    got = spark.table("loads").select("day", "id", "a", "b")
     assert rows_of(got) == {("d1", 1, "x", "x"), ("d2", 1, "y", "x"), ("d2", 2, "z", "z")}
+    spark.sql("DROP TABLE loads")
+
+
+@pytest.mark.parametrize("fails", ["before the switch", "within the switch"])
+def test_a_failed_upsert_can_be_run_again(spark, tmp_path, rows_of, monkeypatch, fails):
+    rows = [(f"d{i}", 1, "x", "x") for i in range(3)]
+    frame(spark, rows).write.partitionBy("day").option("path", str(tmp_path / "t")).saveAsTable("fragile")
+    source = frame(spark, [(f"d{i}", 1, "y", "y") for i in range(1, 4)])
+    switch = tables.switch_partitions
+
+    def broken(session, table, column, folder, values):
+        if fails == "within the switch":
+            switch(session, table, column, folder, sorted(values)[:1])
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(tables, "switch_partitions", broken)
+    with pytest.raises(RuntimeError, match="lost"):
+        tables.upsert_table(spark, "fragile", source, ["day", "id"], ["a"], "day")
+    if fails == "before the switch":
+        assert rows_of(spark.table("fragile").select("day", "id", "a", "b")) == set(rows)
+    monkeypatch.setattr(tables, "switch_partitions", switch)
+    tables.upsert_table(spark, "fragile", source, ["day", "id"], ["a"], "day")
+    got = rows_of(spark.table("fragile").select("day", "id", "a", "b"))
+    assert got == {("d0", 1, "x", "x"), ("d1", 1, "y", "x"), ("d2", 1, "y", "x"), ("d3", 1, "y", "y")}
+    spark.sql("DROP TABLE fragile")
 
 
 def test_partition_column_must_be_a_key(spark, tmp_path):
     with pytest.raises(ValueError):
-        tables.upsert_table(spark, str(tmp_path), frame(spark, []), ["id"], ["a"], "day")
+        tables.upsert_table(spark, "any", frame(spark, []), ["id"], ["a"], "day")
 
 
 def test_drop_old_partitions(spark, tmp_path):
@@ -143,3 +170,30 @@ def test_history_is_pruned_and_feeds_the_bands(spark, tmp_path, rows_of):
     plan = recent._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(history_day" in plan
     assert rows_of(cap.band_compare(recent, keys, "ts", "pct", now)) == rows_of(cap.band_compare(df, keys, "ts", "pct", now))
+
+
+def test_lines_that_are_no_rows(spark, tmp_path, rows_of):
+    fields = [rd.Field("name"), rd.Field("n", "int"), rd.Field("at", fmt="dd-MM-yy HH:mm:ss")]
+    lines = ["NAME, N, AT", "----, -, --", "a, 1, 02-01-24 10:00:00", "b, x, 02-01-24 10:00:00", "c, 2, noon", "", "d", "e, , ", "f, 3, 02-01-24 10:00:00, more"]
+    (tmp_path / "load").mkdir()
+    (tmp_path / "load" / "one.dbf").write_text("\n".join(lines) + "\n")
+    (tmp_path / "load" / "two.dbf").write_text("g, 9999999999, \n")
+    rows, rejects = rd.read_delimited_and_rejects(spark, str(tmp_path / "load"), fields)
+    assert [r.name for r in rows.orderBy("name").collect()] == ["a", "d", "e", "f"]
+    assert rows_of(rows) == rows_of(rd.read_delimited(spark, str(tmp_path / "load"), fields))
+    got = {(r.file.rsplit("/", 1)[1], r.line, r.reason) for r in rejects.collect()}
+    assert got == {
+        ("one.dbf", "NAME, N, AT", "n: 'N' is no int"), ("one.dbf", "----, -, --", "n: '-' is no int"),
+        ("one.dbf", "b, x, 02-01-24 10:00:00", "n: 'x' is no int"), ("one.dbf", "c, 2, noon", "at: 'noon' is no dd-MM-yy HH:mm:ss"),
+        ("one.dbf", "", "empty line"), ("two.dbf", "g, 9999999999, ", "n: '9999999999' is no int"),
+    }
+    assert rows.count() + rejects.count() == len(lines) + 1
+
+
+def test_clustered_history_grows(spark, tmp_path):
+    rows = spark.range(40).selectExpr("id % 4 AS k", "timestamp_seconds(id) AS ts", "id AS v")
+    for _ in range(2):
+        tables.write_clustered(rows, "grown_history", "k", "ts", 4, str(tmp_path / "h"))
+    table = spark.table("grown_history")
+    assert table.count() == 80 and len(table.inputFiles()) <= 8
+    spark.sql("DROP TABLE grown_history")
