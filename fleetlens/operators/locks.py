@@ -11,10 +11,11 @@ columns that tell databases apart; they are part of every join and grouping.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.semantics import cat, columns, short_host
+from fleetlens.sinks.tables import settled
 
 RESOURCE = ["id1", "id2"]
 
@@ -114,6 +115,69 @@ def lock_edges(locks: DataFrame, sessions: DataFrame, by=()) -> DataFrame:
     return rows.join(contested.select(*resource), resource, "left_semi").select(*by, "sid", *RESOURCE, F.explode(kinds).alias("edge"))
 
 
+def wait_for(locks: DataFrame, sessions: DataFrame, by=()) -> DataFrame:
+    """One row per waiting session: the session it waits for, and on which resource.
+
+    Of a resource's holders that is the first to log on that is not the waiter itself; of several
+    resources a session waits for, the one whose holder logged on first.
+    """
+    by = columns(by)
+    resource = [*by, *RESOURCE]
+    rows = _marked(locks, by).join(sessions.select(*by, "sid", "type", "logon_time"), [*by, "sid"])
+    first = Window.partitionBy(*resource).orderBy("logon_time", "sid")
+    # Two holders are enough: if the first is the waiter, it is the second that blocks.
+    holders = rows.filter(F.col("holds") & (F.col("type") != "BACKGROUND")).withColumn("_rn", F.row_number().over(first)).filter("_rn <= 2")
+    holders = holders.select(*resource, F.col("sid").alias("blocker_sid"), F.col("logon_time").alias("_since"))
+    met = rows.filter("waits").select(*resource, "sid").join(holders, resource).filter("blocker_sid <> sid")
+    best = F.min(F.struct("_since", "blocker_sid", *RESOURCE)).alias("_b")
+    return met.groupBy(*by, "sid").agg(best).select(*by, F.col("sid").alias("waiter_sid"), "_b.blocker_sid", *[f"_b.{c}" for c in RESOURCE])
+
+
+def wait_chains(locks: DataFrame, sessions: DataFrame, by=()) -> DataFrame:
+    """Each waiter with the root of its chain, its distance from there, and whether it is part of a deadlock.
+
+    Who waits for whom is followed in steps that double in length, so a chain of a thousand takes
+    ten rounds. Chains without end lead into a cycle: they have no root and no depth, and those
+    sessions are deadlocked that lie on the cycle itself.
+    """
+    by = columns(by)
+    edges = settled(wait_for(locks, sessions, by), "waits")
+    waiters, reach = edges.count(), 1
+    steps = edges.select(*by, "waiter_sid", F.col("blocker_sid").alias("up"), F.lit(1).cast("long").alias("depth"))
+    endless = steps.limit(0)
+    while True:
+        above = steps.select(*by, F.col("waiter_sid").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
+        met = steps.join(above, [*by, "up"], "left")
+        steps = settled(
+            met.select(
+                *by, "waiter_sid", F.coalesce("_up", "up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
+                F.col("_up").isNotNull().alias("moved"),
+            ),
+            "wait-steps",
+        )
+        reach *= 2
+        moved, steps = steps.filter("moved"), steps.drop("moved")
+        if moved.isEmpty():
+            break
+        if reach > 2 * waiters:
+            endless = moved.drop("moved")
+            break
+    # So many steps lead past any way into a cycle, and from the cycle's sessions to all of them.
+    on_cycle = endless.select(*by, F.col("up").alias("waiter_sid")).distinct().withColumn("_on", F.lit(True))
+    lost = endless.select(*by, "waiter_sid").withColumn("_lost", F.lit(True))
+    out = edges.join(steps, [*by, "waiter_sid"]).join(lost, [*by, "waiter_sid"], "left").join(on_cycle, [*by, "waiter_sid"], "left")
+    ends = F.col("_lost").isNull()
+    return out.select(
+        *by,
+        "waiter_sid",
+        "blocker_sid",
+        *RESOURCE,
+        F.when(ends, F.col("up")).alias("root_sid"),
+        F.when(ends, F.col("depth")).alias("depth"),
+        F.col("_on").isNotNull().alias("deadlock"),
+    )
+
+
 def wrapped(text: str, width: int = 120) -> Column:
     """A line break after every ``width`` characters."""
     return F.regexp_replace(text, "(.{%d})" % width, "$1\n")

@@ -182,3 +182,44 @@ def k07(t):
 )
 def k08(t):
     return t.documents.select("doc_id", lk.wrapped("text").alias("wrapped"))
+
+
+def busy_locks(t):
+    """Users as sessions that hold and wait for several resources, so that chains and cycles arise."""
+    kind = F.col("event_type")
+    return t.events.select(
+        database(),
+        F.col("user_id").alias("sid"),
+        F.floor(F.col("value")).cast("long").alias("id1"),
+        (F.dayofmonth("ts") % 2).alias("id2"),
+        F.when(kind == "error", 1).otherwise(0).alias("block"),
+        F.when(kind == "click", 6).otherwise(0).alias("request"),
+    )
+
+
+def busy_sessions(t):
+    rows = t.events.groupBy(database(), F.col("user_id").alias("sid")).agg(F.min("ts").alias("logon_time"))
+    return rows.withColumn("type", F.when(F.col("sid") % 10 == 0, "BACKGROUND").otherwise("USER"))
+
+
+# Walks up from every waiter; a walk longer than there are waiters has met a cycle.
+@query(
+    "k09_wait_chains",
+    """WITH RECURSIVE s AS (SELECT user_id AS sid, 'DB' || user_id % 3 AS database, min(ts) AS since FROM events GROUP BY ALL),
+    k AS (SELECT DISTINCT 'DB' || user_id % 3 AS database, user_id AS sid, CAST(floor(value) AS BIGINT) AS id1, day(ts) % 2 AS id2, event_type FROM events),
+    w AS (SELECT a.database, a.sid AS waiter_sid, b.sid AS blocker_sid, a.id1, a.id2 FROM k a
+      JOIN k b ON b.database = a.database AND b.id1 = a.id1 AND b.id2 = a.id2 AND b.sid <> a.sid
+      JOIN s ON s.database = b.database AND s.sid = b.sid
+      WHERE a.event_type = 'click' AND b.event_type = 'error' AND b.sid % 10 <> 0
+      QUALIFY row_number() OVER (PARTITION BY a.database, a.sid ORDER BY s.since, b.sid, a.id1, a.id2) = 1),
+    r AS (SELECT database, waiter_sid, blocker_sid AS up, 1::BIGINT AS depth FROM w
+      UNION ALL SELECT r.database, r.waiter_sid, w.blocker_sid, r.depth + 1 FROM r
+        JOIN w ON w.database = r.database AND w.waiter_sid = r.up WHERE r.depth <= (SELECT max(n) FROM (SELECT count(*) AS n FROM w GROUP BY database))),
+    e AS (SELECT r.* FROM r LEFT JOIN w ON w.database = r.database AND w.waiter_sid = r.up WHERE w.waiter_sid IS NULL),
+    c AS (SELECT DISTINCT database, waiter_sid FROM r WHERE up = waiter_sid)
+    SELECT w.database, w.waiter_sid, w.blocker_sid, w.id1, w.id2, e.up AS root_sid, e.depth, c.waiter_sid IS NOT NULL AS deadlock
+    FROM w LEFT JOIN e ON e.database = w.database AND e.waiter_sid = w.waiter_sid
+      LEFT JOIN c ON c.database = w.database AND c.waiter_sid = w.waiter_sid""",
+)
+def k09(t):
+    return lk.wait_chains(busy_locks(t), busy_sessions(t), DB)
