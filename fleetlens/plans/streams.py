@@ -19,9 +19,11 @@ FILES_PER_BATCH = 64
 
 
 def windows_of(t, name, windows, stream):
+    """Windows close a day after their end; what comes later is merged in the end."""
     path = scratch(t, name)
-    st.drain(stream, st.stored_by_batch(path + "/table", windows.partial), path + "/checkpoint")
-    return windows.merged(t.spark.read.parquet(path + "/table"))
+    kept = st.WindowTables(windows, path, "1 DAY")
+    st.drain(stream, kept.store, path + "/checkpoint")
+    return kept.current(t.spark)
 
 
 def drained(t, name, stream, mode="append"):
@@ -100,6 +102,26 @@ def t03(t):
     return naive(recomputed(t, "notify", states, lambda rows: sf.notices(rows, "error", 6 * 3600)))
 
 
+HORIZON_SQL = "h AS (SELECT max(ts) - INTERVAL 1 DAY AS upto FROM events)"
+
+
+@query(
+    "t03_reminder_timers",
+    f"""WITH {HORIZON_SQL}, o AS (SELECT user_id, ts, event_id, event_type,
+        lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events, h WHERE ts <= upto),
+    c AS (SELECT user_id, ts, event_type, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until FROM o WHERE event_type IS DISTINCT FROM before),
+    r AS (SELECT user_id, ts, event_type, unnest(generate_series(ts + INTERVAL 6 HOUR, coalesce(until - INTERVAL 1 MICROSECOND, upto), INTERVAL 6 HOUR)) AS due
+      FROM c, h WHERE event_type = 'error')
+    SELECT user_id AS key, ts, event_type AS state, 'CHANGED' AS decision FROM c
+    UNION ALL SELECT user_id, due, event_type, 'REMINDER' FROM r""",
+)
+def t03_timers(t):
+    """Up to a day before the last event: that is how far the watermark gets."""
+    sf.use_rocksdb(t.spark)
+    states = series_stream(t, value=F.col("event_type"))
+    return naive(drained(t, "timers", sf.notices_in_order(states, "1 day", "error", 6 * 3600)))
+
+
 @query(
     "t04_samples_ago",
     """SELECT user_id AS key, ts, value AS now_value, lag(value, 1) OVER w AS back_1, lag(value, 2) OVER w AS back_2,
@@ -111,16 +133,9 @@ def t04(t):
     """The panel is emitted anew by each micro-batch, so each batch replaces the one before."""
     sf.use_rocksdb(t.spark)
     path = scratch(t, "panel")
-
-    def store(batch, batch_id):
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path + "/table")
-
     panel = sf.samples_ago(series_stream(t, value=F.col("value")))
-    writer = panel.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", path + "/checkpoint")
-    writer.trigger(availableNow=True).start().awaitTermination()
-    stored = t.spark.read.parquet(path + "/table")
-    newest = stored.groupBy("key").agg(F.max("batch_id").alias("batch_id"))
-    return naive(stored.join(newest, ["key", "batch_id"], "left_semi").drop("batch_id"))
+    st.drain(panel, st.stored_by_batch(path + "/table", lambda batch: batch), path + "/checkpoint", "update")
+    return naive(sf.newest_panels(t.spark.read.parquet(path + "/table")))
 
 
 @query(
@@ -134,6 +149,18 @@ def t05(t):
     return naive(recomputed(t, "deltas", counters, sf.deltas))
 
 
+@query(
+    "t05_deltas_in_order",
+    f"""WITH {HORIZON_SQL}, l AS (SELECT user_id AS key, event_id AS seq, ts, CAST(round(value * 100) AS BIGINT)
+      - lag(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS delta FROM events)
+    SELECT l.* FROM l, h WHERE delta >= 0 AND ts <= upto""",
+)
+def t05_in_order(t):
+    sf.use_rocksdb(t.spark)
+    counters = series_stream(t, value=F.round(F.col("value") * 100).cast("long"))
+    return naive(drained(t, "deltas-in-order", sf.deltas_in_order(counters, "1 day")))
+
+
 @query("t06_ingest_once", "SELECT event_id, user_id, ts, value FROM events")
 def t06(t):
     """Every event arrives twice and is kept once."""
@@ -148,13 +175,12 @@ def t06(t):
 def t06_upsert(t):
     """A table of events is upserted from a stream of the same events with other values."""
     path = scratch(t, "upsert")
+    table = path.rsplit("/", 1)[1].replace("-", "_")
     cols = ["event_id", "user_id", "event_type", "value"]
-    t.events.select(*cols).write.partitionBy("event_type").parquet(path + "/table")
+    t.events.select(*cols).write.partitionBy("event_type").option("path", path + "/table").saveAsTable(table)
     changed = event_stream(t).select(*cols).withColumn("value", F.col("value") + 1)
-    apply = st.upsert_batches(path + "/table", ["event_id", "event_type"], ["user_id", "value"], "event_type", ["value"])
-    writer = changed.writeStream.foreachBatch(apply).option("checkpointLocation", path + "/checkpoint")
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(path + "/table").select(*cols)
+    st.drain(changed, st.upsert_batches(table, ["event_id", "event_type"], ["user_id", "value"], "event_type", ["value"]), path + "/checkpoint")
+    return t.spark.table(table).select(*cols)
 
 
 @query(
@@ -165,4 +191,6 @@ def t06_upsert(t):
 def t07(t):
     names = t.customer.select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("database_name"))
     alerts = event_stream(t).join(names, "user_id").select("event_id", "database_name", "ts")
-    return drained(t, "quiet", st.suppress_blackouts(alerts, rule_table(t), "ts"))
+    path = scratch(t, "quiet")
+    st.drain(alerts, st.suppress_blackouts(path + "/table", lambda: rule_table(t), "ts"), path + "/checkpoint")
+    return t.spark.read.parquet(path + "/table").drop("batch")

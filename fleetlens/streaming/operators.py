@@ -1,7 +1,8 @@
 """Structured Streaming forms of the polled operators.
 
 No result depends on how the input is cut into files and micro-batches, or on the
-order in which rows arrive: no watermark drops rows.
+order in which rows arrive. Windows close by a watermark; what comes later still is
+kept in a table of its own and merged by a repair step, so that no row is lost.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.semantics import columns
+from fleetlens.functions.semantics import columns, ntz
 from fleetlens.operators.inventory import rows_in_blackout
 from fleetlens.sinks.tables import dedupe_source, upsert_table
 
@@ -40,7 +41,7 @@ def stored_by_batch(path: str, prepare: Callable[[DataFrame], DataFrame]) -> Cal
 class Windows:
     """Aggregates per series and window that are exact in any order of arrival and under any cut into batches.
 
-    ``partial`` reduces one micro-batch; ``merged`` adds up all that is stored, windows still open included.
+    ``partial`` reduces one micro-batch to states; ``merged`` adds states up to results.
     """
 
     keys: list[str]
@@ -56,11 +57,106 @@ class Windows:
         grouped = batch.groupBy(*self.keys, window).agg(*[c.alias(n) for n, c in self.states.items()])
         return grouped.select(*self.keys, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *self.states)
 
-    def merged(self, stored: DataFrame) -> DataFrame:
+    def merged_states(self, stored: DataFrame) -> DataFrame:
         rows = stored.groupBy(*self.keys, "window_start", "window_end").agg(*[c.alias(n) for n, c in self.merges.items()])
+        return rows.select(*self.keys, "window_start", "window_end", *self.states)
+
+    def merged(self, stored: DataFrame) -> DataFrame:
+        rows = self.merged_states(stored)
         return rows.select(*self.keys, "window_start", "window_end", *[c.alias(n) for n, c in self.results.items()])
 
 
+@dataclass(frozen=True)
+class WindowTables:
+    """Where a stream of windows keeps its states; each micro-batch writes under its own number.
+
+    ``open``: partial states, by the day their window ends; ``closed``: states of windows that the
+    watermark has passed, each written once; ``late``: partial states of rows that came after
+    that; ``progress``: newest event time up to each batch, from which the watermark follows.
+    """
+
+    windows: Windows
+    path: str
+    delay: str
+
+    def store(self, batch: DataFrame, number: int) -> None:
+        """``foreachBatch`` function; a replayed batch overwrites what it wrote.
+
+        A batch reads the states of windows still open, and drops the days whose windows were all
+        closed before it began, so what it reads does not grow with the stream.
+        """
+        spark = batch.sparkSession
+        partial = self.windows.partial(batch).persist()
+        try:
+            before = self.newest(spark, number - 1)
+            newest = batch.agg(F.max(F.col(self.windows.ts).cast("timestamp_ntz")).alias("newest"))
+            newest = newest.select(F.greatest("newest", _moment(before)).alias("newest"))
+            newest.write.mode("overwrite").parquet(f"{self.path}/progress/batch={number}")
+            before, now = self.watermark(spark, number - 1), self.watermark(spark, number)
+            late = F.coalesce(F.col("window_end") <= _moment(before), F.lit(False))
+            partial.filter(late).write.mode("overwrite").parquet(f"{self.path}/late/batch={number}")
+            timely = partial.filter(~late).withColumns({"end_day": F.to_date("window_end"), "batch": F.lit(number).cast("long")})
+            writer = timely.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy("end_day", "batch").parquet(f"{self.path}/open")
+            closing = self.windows.merged_states(self.still_open(partial, before, number).filter(F.col("window_end") <= _moment(now)))
+            # Sums keep the type of their parts, so that states of all tables can be merged.
+            closing = closing.select(*[F.col(f.name).cast(f.dataType) for f in partial.schema])
+            closing.write.mode("overwrite").parquet(f"{self.path}/closed/batch={number}")
+            if before is not None:
+                drop_days(spark, f"{self.path}/open", "end_day", before.date())
+        finally:
+            partial.unpersist()
+
+    def newest(self, spark, number: int):
+        """Newest event time up to a batch (null before the first)."""
+        if number < 0:
+            return None
+        return spark.read.schema("newest timestamp_ntz").parquet(f"{self.path}/progress/batch={number}").first()["newest"]
+
+    def watermark(self, spark, number: int):
+        """Event time up to which windows are closed after a batch."""
+        newest = self.newest(spark, number)
+        return None if newest is None else spark.range(1).select(_moment(newest) - F.expr(f"INTERVAL {self.delay}")).first()[0]
+
+    def still_open(self, like: DataFrame, watermark, upto: int) -> DataFrame:
+        """Partial states of batches up to ``upto`` whose windows end after the watermark."""
+        rows = like.sparkSession.read.schema(f"{_fields(like)}, batch long, end_day date").parquet(f"{self.path}/open")
+        rows = rows.filter(F.col("batch") <= upto)
+        if watermark is not None:
+            rows = rows.filter((F.col("end_day") >= F.lit(watermark.date())) & (F.col("window_end") > _moment(watermark)))
+        return rows.select(*like.columns)
+
+    def part(self, spark, name: str) -> DataFrame:
+        """The states stored under ``closed`` or ``late``, with their batch."""
+        return spark.read.parquet(f"{self.path}/{name}")
+
+    def closed(self, spark) -> DataFrame:
+        """Closed windows as they were when they closed."""
+        return self.windows.merged(self.part(spark, "closed").drop("batch"))
+
+    def current(self, spark) -> DataFrame:
+        """All windows: closed ones repaired by what came late, and those still open."""
+        closed, late = self.part(spark, "closed").drop("batch"), self.part(spark, "late").drop("batch")
+        last = spark.read.schema("batch long").parquet(f"{self.path}/progress").agg(F.max("batch")).first()[0]
+        rest = self.still_open(closed, self.watermark(spark, last), last)
+        return self.windows.merged(closed.unionByName(late).unionByName(rest))
+
+
+def _moment(value) -> Column:
+    return F.lit(None).cast("timestamp_ntz") if value is None else ntz(value)
+
+
+def drop_days(spark, path: str, column: str, before) -> None:
+    """Remove the day folders of a partitioned path that lie before a day."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith(f"{column}=") and name.split("=", 1)[1] < before.isoformat():
+            files.delete(status.getPath(), True)
+
+
 def sliding_averages(keys, ts: str, value: str, length: str = "1 hour", slide: str | None = "15 minutes") -> Windows:
     """Mean and sample count per series and sliding window."""
     return Windows(
@@ -164,7 +260,7 @@ def _fields(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def upsert_batches(path: str, keys, update_cols: Sequence[str], partition_by: str, newest: Sequence[str]):
+def upsert_batches(table: str, keys, update_cols: Sequence[str], partition_by: str, newest: Sequence[str]):
     """``foreachBatch`` function that upserts each micro-batch; replaying a batch changes nothing.
 
     Of several versions of a key in one batch, the one with the highest ``newest`` columns counts.
@@ -175,22 +271,26 @@ def upsert_batches(path: str, keys, update_cols: Sequence[str], partition_by: st
         rows = dedupe_source(batch, columns(keys), newest).persist()
         try:
             if not rows.isEmpty():
-                upsert_table(batch.sparkSession, path, rows, keys, update_cols, partition_by)
+                upsert_table(batch.sparkSession, table, rows, keys, update_cols, partition_by)
         finally:
             rows.unpersist()
 
     return apply
 
 
-def drain(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def drain(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Hands everything available to ``apply``, micro-batch by micro-batch, and stops."""
-    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(apply).option("checkpointLocation", checkpoint)
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def suppress_blackouts(stream: DataFrame, rules: DataFrame, ts: str) -> DataFrame:
-    """Alerts outside the blackouts of their database; ``rules`` is a static table."""
-    return rows_in_blackout(stream, rules, ts, inside=False)
+def suppress_blackouts(path: str, rules: Callable[[], DataFrame], ts: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function that stores the alerts outside the blackouts of their database.
+
+    ``rules`` reads the rules; it is called for each micro-batch, so that a blackout entered while
+    the stream runs counts from the next batch on.
+    """
+    return stored_by_batch(path, lambda batch: rows_in_blackout(batch, rules(), ts, inside=False))
 
 
 def write_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

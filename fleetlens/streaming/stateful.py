@@ -1,8 +1,11 @@
 """Order-dependent streams: change notices, counter deltas and the samples-ago panel.
 
 The panel keeps the newest samples of a series as state, which needs no order of
-arrival. Notices and deltas depend on what lies before a row; late rows change
-them, so they are computed from history (see ``recomputed`` in ``operators``).
+arrival. Notices and deltas depend on what lies before a row. ``in_order`` keeps rows as
+state until the watermark has passed them and then takes them in order of time; work
+follows the batch, and timers act where no row arrives. Rows later than the watermark
+allows are lost to it; where none may be, notices and deltas are computed from
+history (see ``recomputed`` in ``operators``).
 """
 
 from __future__ import annotations
@@ -54,6 +57,115 @@ def notices(history: DataFrame, failing: str, reminder_s: float) -> DataFrame:
     return changed.unionByName(failing_rows.groupBy("key", "run").applyInPandas(reminders, fields))
 
 
+class InOrder(StatefulProcessor):
+    """Rows of a key in order of event time.
+
+    Rows wait as state until the watermark has passed them; a timer wakes the key when it passes
+    the first of them, or the moment ``rule`` asked for. ``rule(last, rows, until)`` gets what it
+    returned before (a tuple of ``last_schema``, or None), the rows to take next as (ts in
+    microseconds, seq, value), and the time reached; it returns the new tuple, the rows to emit,
+    and when to be woken at the latest (or None).
+    """
+
+    def __init__(self, rule, last_schema: str, value_type: str, names: list[str]):
+        self.rule, self.last_schema, self.value_type, self.names = rule, last_schema, value_type, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"ts_us bigint, seq bigint, value {self.value_type}")
+        self.last = handle.getValueState("last", self.last_schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = []
+        for chunk in rows:
+            new += zip(chunk["ts_us"].tolist(), chunk["seq"].tolist(), chunk["value"].tolist(), strict=True)
+        self.waiting.appendList(new)
+        self.wake(min(t for t, _, _ in new))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(tuple(r) for r in self.waiting.get())
+        due = [r for r in waiting if r[0] <= until]
+        last, out, wake = self.rule(tuple(self.last.get()) if self.last.exists() else None, due, until)
+        if last is not None:
+            self.last.update(last)
+        rest = waiting[len(due) :]
+        if due:
+            self.waiting.clear()
+            if rest:
+                self.waiting.put(rest)
+        for t in ([rest[0][0]] if rest else []) + ([wake] if wake is not None else []):
+            self.wake(t)
+        if out:
+            yield pd.DataFrame(out, columns=["ts_us", *self.names]).assign(key=key[0])[["key", "ts_us", *self.names]]
+
+    def wake(self, us: int) -> None:
+        self.handle.registerTimer(-(-us // 1000))
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(stream: DataFrame, delay: str, processor: InOrder, columns: str) -> DataFrame:
+    """``(key, seq, ts, value)`` rows through ``processor``; rows may come up to ``delay`` late."""
+    # Times as numbers, which mean the same whatever the session's time zone.
+    timed = stream.withWatermark("ts", delay).withColumn("ts_us", F.unix_micros("ts"))
+    out = timed.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=processor,
+        outputStructType=f"key {_type(stream, 'key')}, ts_us long, {columns}",
+        outputMode="append",
+        timeMode="eventTime",
+    )
+    return out.withColumn("ts", F.timestamp_micros("ts_us")).drop("ts_us")
+
+
+def reminders_due(failing: str, reminder_s: float):
+    """Rule of ``InOrder``: CHANGED where the state differs, REMINDER each ``reminder_s`` in a failing run, rows or none."""
+    step = int(reminder_s * 1_000_000)
+
+    def rule(last, rows, until):
+        state, told = last or (None, 0)
+        out = []
+
+        def remind(before: int) -> None:
+            nonlocal told
+            while state == failing and told + step < before:
+                told += step
+                out.append((told, state, "REMINDER"))
+
+        for ts, _, value in rows:
+            if value != state:
+                remind(ts)
+                state, told = value, ts
+                out.append((ts, state, "CHANGED"))
+        remind(until + 1)
+        return (state, told) if state is not None else None, out, told + step if state == failing else None
+
+    return rule
+
+
+def notices_in_order(stream: DataFrame, delay: str, failing: str, reminder_s: float) -> DataFrame:
+    """key, ts, state, decision: changes, and reminders when they fall due, also where no row arrives."""
+    processor = InOrder(reminders_due(failing, reminder_s), "state string, told_us bigint", "string", ["state", "decision"])
+    return in_order(stream, delay, processor, "state string, decision string")
+
+
+def counted_up(last, rows, until):
+    """Rule of ``InOrder``: difference from the row before; resets are skipped."""
+    value, out = last[0] if last else None, []
+    for ts, seq, new in rows:
+        if value is not None and new >= value:
+            out.append((ts, seq, new - value))
+        value = new
+    return (value,) if value is not None else None, out, None
+
+
+def deltas_in_order(stream: DataFrame, delay: str) -> DataFrame:
+    """key, ts, seq, delta of counter rows, with one value per key as state."""
+    return in_order(stream, delay, InOrder(counted_up, "value bigint", "bigint", ["seq", "delta"]), "seq long, delta long")
+
+
 class SamplesAgo(StatefulProcessor):
     """Keeps the newest ``depth`` samples of a series and emits them as one row per micro-batch."""
 
@@ -93,6 +205,12 @@ def samples_ago(stream: DataFrame, offsets: tuple[int, ...] = (1, 2, 3, 6, 9, 12
     )
 
 
+def newest_panels(stored: DataFrame) -> DataFrame:
+    """The panel of each series from the last micro-batch that held it; ``stored`` has a column ``batch``."""
+    newest = stored.groupBy("key").agg(F.max("batch").alias("batch"))
+    return stored.join(newest, ["key", "batch"], "left_semi").drop("batch")
+
+
 def deltas(history: DataFrame) -> DataFrame:
     """Deltas of ``(key, seq, ts, value)`` counter rows in any order; resets are skipped."""
     rows = with_previous(history, "key", ["ts", "seq"], ["value"]).withColumn("delta", F.col("value") - F.col("prev_value"))

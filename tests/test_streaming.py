@@ -57,6 +57,92 @@ def test_replayed_batch_counts_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
 
 
+def test_windows_close_and_late_rows_are_shown_and_merged(spark, tmp_path, rows_of):
+    """Files in an order that disagrees with time: windows close on the way, and later files bring rows for them."""
+    rows = [(k, i, at(7 * i), float(i % 13)) for k in "ab" for i in range(400)]
+    files = [rows[i::5] for i in range(3)] + [[r for r in rows[i::5] if r[1] >= 200] for i in (3, 4)] + [[r for r in rows[i::5] if r[1] < 200] for i in (3, 4)]
+    windows = st.sliding_averages("key", "ts", "value", "2 hours", "1 hour")
+    kept = st.WindowTables(windows, str(tmp_path / "w"), "90 MINUTES")
+    for part in files:
+        feed(spark, tmp_path / "in", part)
+        st.drain(source(spark, tmp_path / "in"), kept.store, str(tmp_path / "ckpt"))
+    want = windows.merged(windows.partial(spark.createDataFrame(rows, COLS)))
+    assert rows_of(kept.current(spark)) == rows_of(want)
+    late = kept.part(spark, "late")
+    assert {r.batch for r in late.select("batch").distinct().collect()} <= set(range(1, len(files)))
+    assert late.filter(F.col("window_end") < F.lit(at(60 * 20))).count() > 0
+    closed = kept.part(spark, "closed")
+    assert closed.count() == closed.select("key", "window_start").distinct().count() > 0
+    assert rows_of(kept.closed(spark)) != rows_of(want)
+
+
+def test_replayed_windows_and_old_days(spark, tmp_path, rows_of):
+    """Each batch is applied twice; days that the watermark has passed are no longer kept as open."""
+    windows = st.windowed_high_water(["key"], "ts", "value", tie_break=["seq"])
+    kept = st.WindowTables(windows, str(tmp_path / "w"), "1 DAY")
+    rows = [("a", i, at(60 * 11 * i), float(i % 7)) for i in range(60)]
+    for number, part in enumerate((rows[:20], rows[20:40], rows[5:6], rows[40:])):
+        batch = spark.createDataFrame(part, COLS)
+        for _ in range(2):
+            kept.store(batch, number)
+    twice = spark.createDataFrame([*rows, rows[5]], COLS)
+    assert rows_of(kept.current(spark)) == rows_of(windows.merged(windows.partial(twice)))
+    days = sorted(p.name for p in (tmp_path / "w" / "open").iterdir() if p.name.startswith("end_day"))
+    assert days[0] >= "end_day=2024-01-17"
+    assert [r.batch for r in kept.part(spark, "late").collect()] == [2]
+
+
+def test_a_replayed_panel_replaces_itself(spark, tmp_path):
+    store = st.stored_by_batch(str(tmp_path / "p"), lambda batch: batch)
+    old, new = ((("a", at(i), float(i)),) for i in (1, 2))
+    cols = "key string, ts timestamp, now_value double"
+    for number, rows in ((0, old), (1, new), (1, new)):
+        store(spark.createDataFrame(list(rows), cols), number)
+    assert [r.now_value for r in sf.newest_panels(spark.read.parquet(str(tmp_path / "p"))).collect()] == [2.0]
+
+
+def in_order(spark, tmp_path, build, cols, files):
+    sf.use_rocksdb(spark)
+    counts = []
+    for part in files:
+        feed(spark, tmp_path / "in", part, cols)
+        st.write_available(build(source(spark, tmp_path / "in", cols)), str(tmp_path / "out"), str(tmp_path / "ckpt"))
+        counts.append(spark.read.parquet(str(tmp_path / "out")).count())
+    return spark.read.parquet(str(tmp_path / "out")), counts
+
+
+def test_a_reminder_needs_no_new_row(spark, tmp_path):
+    """Key a fails and falls silent; another key moves the time on."""
+    cols = "key string, seq long, ts timestamp, value string"
+    files = [[("a", 1, at(0), "ok"), ("a", 2, at(10), "error")], [("b", 1, at(300), "ok")], [("b", 2, at(330), "ok"), ("a", 3, at(320), "ok")], [("b", 3, at(600), "ok")]]
+    got, counts = in_order(spark, tmp_path, lambda s: sf.notices_in_order(s, "5 minutes", "error", 3600), cols, files)
+    a = sorted((r.ts, r.state, r.decision) for r in got.collect() if r.key == "a")
+    reminders = [(at(10 + 60 * k), "error", "REMINDER") for k in range(1, 6)]
+    assert a == [(at(0), "ok", "CHANGED"), (at(10), "error", "CHANGED"), *reminders, (at(320), "ok", "CHANGED")]
+    # The second file brings a row of b only: a's change and its reminders up to then come out with it.
+    assert counts[0] == 1 and counts[1] - counts[0] == 5 and counts[2] - counts[1] == 3
+
+
+def test_in_order_equals_batch_on_shuffled_files(spark, tmp_path, rows_of):
+    """Rows up to a day late, dealt to files against their order; a last file moves the time past all."""
+    cols = "key string, seq long, ts timestamp, value long"
+    rows = [(k, i, at(i), (i * 37) % 50) for k in "ab" for i in range(90)]
+    files = [rows[2::3], rows[::3], rows[1::3], [("clock", 0, at(60 * 48), 0), ("clock", 1, at(60 * 24 * 9), 0)]]
+    got, _ = in_order(spark, tmp_path, lambda s: sf.deltas_in_order(s, "1 day"), cols, files)
+    want = sf.deltas(spark.createDataFrame(rows, cols))
+    assert rows_of(got.filter("key <> 'clock'").select("key", "seq", "ts", "delta")) == rows_of(want)
+
+
+def test_a_blackout_entered_later_counts_from_the_next_batch(spark, tmp_path, monkeypatch):
+    rules = []
+    monkeypatch.setattr(st, "rows_in_blackout", lambda df, known, ts, inside: df.filter(~F.col("key").isin(*known)))
+    store = st.suppress_blackouts(str(tmp_path / "q"), lambda: list(rules), "ts")
+    for number in range(2):
+        store(spark.createDataFrame([("a", number, at(number), 0.0), ("b", number, at(number), 0.0)], COLS), number)
+        rules.append("a")
+    assert sorted((r.key, r.seq) for r in spark.read.parquet(str(tmp_path / "q")).collect()) == [("a", 0), ("b", 0), ("b", 1)]
+
+
 def test_notices_after_late_rows(spark, tmp_path):
     cols = "key string, seq long, ts timestamp, state string"
     src = tmp_path / "in"
@@ -81,15 +167,16 @@ def test_counter_deltas_equal_batch(spark, tmp_path, rows_of):
 
 
 def test_two_versions_of_a_key_in_one_batch(spark, tmp_path):
-    path = str(tmp_path / "t")
     cols = "id long, day string, value double"
-    spark.createDataFrame([(1, "d", 0.0), (2, "d", 0.0)], cols).write.partitionBy("day").parquet(path)
+    rows = spark.createDataFrame([(1, "d", 0.0), (2, "d", 0.0)], cols)
+    rows.write.partitionBy("day").option("path", str(tmp_path / "t")).saveAsTable("versions")
     batch = spark.createDataFrame([(1, "d", 5.0), (1, "d", 7.0), (3, "e", 1.0)], cols)
-    apply = st.upsert_batches(path, ["id", "day"], ["value"], "day", ["value"])
+    apply = st.upsert_batches("versions", ["id", "day"], ["value"], "day", ["value"])
     for _ in range(2):
         apply(batch, 0)
-        got = sorted((r.id, r.value) for r in spark.read.parquet(path).collect())
+        got = sorted((r.id, r.value) for r in spark.table("versions").collect())
         assert got == [(1, 7.0), (2, 0.0), (3, 1.0)]
+    spark.sql("DROP TABLE versions")
 
 
 def test_upsert_refuses_a_repeated_key(spark):
@@ -113,7 +200,7 @@ def layouts(spark, tmp_path_factory):
     streams.FILES_PER_BATCH = before
 
 
-@pytest.mark.parametrize("name", ["t01_sliding_averages", "t02_daily_high_water", "t02_hourly_rollup", "t03_notify_changes", "t04_samples_ago", "t05_counter_deltas", "t06_ingest_once", "t07_suppress_blackouts"])
+@pytest.mark.parametrize("name", ["t01_sliding_averages", "t02_daily_high_water", "t02_hourly_rollup", "t03_notify_changes", "t04_samples_ago", "t05_counter_deltas", "t06_upsert_batches", "t06_ingest_once", "t07_suppress_blackouts"])
 def test_file_layout_changes_nothing(spark, layouts, name, rows_of):
     from fleetlens.plans.registry import load_all
 
