@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.semantics import cat, columns, not_disabled, ntz
 from fleetlens.sinks.tables import update_matching
 
-# Into how many groups targets are dealt where all of them meet a short list.
-DEALS = 32
-
 
 def host_label(server: str = "server", host: str = "physical_server_abbrev", cluster: str = "cluster_name") -> Column:
     """'server', or 'server (host)' for an alias, then ' [cluster] ' when there is one."""
@@ -40,6 +37,12 @@ def active_targets(databases: DataFrame, servers: DataFrame, host_pattern: str =
 WEEKDAY = "EEEE"
 
 
+def _minutes() -> tuple[Column, Column]:
+    """First and last minute of the day that a rule covers."""
+    start = 60 * F.coalesce("hour_from", F.lit(0)) + F.coalesce("minute_from", F.lit(0))
+    return start, 60 * F.coalesce("hour_to", F.lit(23)) + F.coalesce("minute_to", F.lit(59))
+
+
 def rule_applies(ts: Column) -> Column:
     """True when a blackout rule row is in force at ``ts``.
 
@@ -49,8 +52,7 @@ def rule_applies(ts: Column) -> Column:
     kind = F.col("sidskip_type")
     day = F.to_date(ts)
     minute = F.hour(ts) * 60 + F.minute(ts)
-    start = 60 * F.coalesce("hour_from", F.lit(0)) + F.coalesce("minute_from", F.lit(0))
-    stop = 60 * F.coalesce("hour_to", F.lit(23)) + F.coalesce("minute_to", F.lit(59))
+    start, stop = _minutes()
     on_day = (
         (kind == "DAILY")
         | (kind == F.upper(F.date_format(ts, WEEKDAY)))
@@ -74,12 +76,44 @@ def not_blacked_out(targets: DataFrame, rules: DataFrame, as_of) -> DataFrame:
     return targets.join(in_force.distinct(), "database_name", "left_anti")
 
 
+def blackout_days(days: DataFrame, rules: DataFrame) -> DataFrame:
+    """database_name, day, spans: the minutes of each day that rules cover, as disjoint spans in order.
+
+    ``days`` holds distinct (database_name, day) rows. A day is of three kinds (daily, its weekday,
+    its number) and meets the rules of its database by kind, an equality. Overlapping spans are
+    joined, so a day has few, however many rules cover it.
+    """
+    day = F.col("day")
+    kinds = F.array(F.lit("DAILY"), F.upper(F.date_format(day, WEEKDAY)), F.dayofmonth(day).cast("string"))
+    kind = F.coalesce(F.col("sidskip_type").try_cast("int").cast("string"), F.col("sidskip_type"))
+    start, stop = _minutes()
+    known = rules.filter(not_disabled()).select(
+        "database_name", kind.alias("kind"), F.to_date("date_from").alias("first"), F.to_date("date_to").alias("last"),
+        start.alias("start"), stop.alias("stop"),
+    )
+    met = days.withColumn("kind", F.explode(kinds)).join(known, ["database_name", "kind"])
+    met = met.filter((F.coalesce("first", day) <= day) & (F.coalesce("last", day) >= day) & (F.col("start") <= F.col("stop")))
+    met = met.select("database_name", "day", "start", "stop").distinct()
+    each = Window.partitionBy("database_name", "day").orderBy("start", "stop")
+    reach = F.max("stop").over(each.rowsBetween(Window.unboundedPreceding, -1))
+    met = met.withColumn("opens", F.when(F.col("start") <= reach + 1, 0).otherwise(1))
+    met = met.withColumn("span", F.sum("opens").over(each.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = met.groupBy("database_name", "day", "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return spans.groupBy("database_name", "day").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+
+
 def rows_in_blackout(rows: DataFrame, rules: DataFrame, ts: str, inside: bool = True) -> DataFrame:
-    """Rows whose own time falls inside (or outside) a blackout of their database."""
-    key = "database_name"
-    named = rules.withColumnRenamed(key, "_rule_for")
-    on = (rows[key] == named["_rule_for"]) & rule_applies(rows[ts])
-    return rows.join(named, on, "left_semi" if inside else "left_anti")
+    """Rows whose own time falls inside (or outside) a blackout of their database.
+
+    Rules are unfolded for the days that occur; a row meets one entry, that of its database and day.
+    """
+    spans, minute = F.col("_spans"), F.hour(ts) * 60 + F.minute(ts)
+    dated = rows.withColumn("_day", F.to_date(ts))
+    days = dated.select("database_name", F.col("_day").alias("day")).filter("database_name IS NOT NULL AND day IS NOT NULL").distinct()
+    black = blackout_days(days, rules).select("database_name", F.col("day").alias("_day"), F.col("spans").alias("_spans"))
+    covered = F.coalesce(F.exists(spans, lambda s: (s["start"] <= minute) & (s["stop"] >= minute)), F.lit(False))
+    joined = dated.join(black, ["database_name", "_day"], "left").filter(covered if inside else ~covered)
+    return joined.select(*rows.columns)
 
 
 # --- check selection ------------------------------------------------------------------
@@ -120,9 +154,9 @@ def checks_to_run(
 
     Defaults obey the version range and the disabled flag; additions ignore both;
     both obey skips. ``targets`` has ``database_name`` and an integer
-    ``version``. An open end of a version range is open. Ranges are unfolded over
-    the distinct versions that occur (as many as there are releases), so checks
-    meet targets through an equality.
+    ``version``. An open end of a version range is open. Versions are numbered in order
+    together with the ends of the ranges, and ranges unfolded over these numbers, so checks
+    meet targets through an equality; a target without a version meets none.
     """
     here = checks.filter(F.col("run_on_master") == on_master)
     every = F.col("frequency").contains(frequency)
@@ -132,15 +166,21 @@ def checks_to_run(
         adds = adds.filter(typed)
     else:
         here_default = here
-    occurring = targets.agg(F.collect_set("version").alias("versions"))
+    here_default = here_default.filter(every & not_disabled())
     low, high = F.col("db_version_from"), F.col("db_version_to")
-    covered = F.filter("versions", lambda v: F.coalesce(low <= v, F.lit(True)) & F.coalesce(high >= v, F.lit(True)))
-    defaults = (
-        here_default.filter(every & not_disabled()).withColumn("versions", occurring.scalar())
-        .select("script_id", _script_text().alias("script"), "run_order", F.explode(covered).alias("version"))
-        .join(targets.select("database_name", "version"), "version")
-        .select("database_name", "script_id", "script", "run_order")
-    )
+    # As many points as there are releases and ends of ranges.
+    ends = here_default.select(F.explode(F.array(low, high)).alias("version"))
+    points = targets.select("version").unionByName(ends).filter(F.col("version").isNotNull()).distinct()
+    points = points.withColumn("point", F.row_number().over(Window.orderBy("version")))
+    last = points.agg(F.coalesce(F.max("point"), F.lit(0)).alias("point")).scalar()
+    ranged = here_default.select("script_id", _script_text().alias("script"), "run_order", low.alias("low"), high.alias("high"))
+    for end in ("low", "high"):
+        ranged = ranged.join(points.select(F.col("version").alias(end), F.col("point").alias(f"{end}_point")), end, "left")
+    reach = F.sequence(F.coalesce("low_point", F.lit(1)), F.coalesce(F.col("high_point"), last))
+    reach = F.when(F.coalesce("low_point", F.lit(1)) <= F.coalesce(F.col("high_point"), last), reach)
+    placed = targets.select("database_name", "version").join(points, "version").drop("version")
+    ranged = ranged.withColumn("point", F.explode(reach))
+    defaults = ranged.join(placed, "point").select("database_name", "script_id", "script", "run_order")
     added = (
         adds.filter(every & not_disabled() & _in_force("added_from", "added_to", as_of))
         .select("database_name", "script_id", "run_order")
@@ -176,9 +216,10 @@ def resolve_check_set(
 ) -> DataFrame:
     """Checks of one set per target: components that name a target, plus wildcard components for all targets.
 
-    A wildcard component meets every target by definition. Targets are dealt to
-    ``DEALS`` groups, and each group gets the short list of components.
+    A wildcard component meets every target by definition. Targets are dealt to as many
+    groups as the session has shuffle partitions, and each gets the short list of components.
     """
+    deals = int(databases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     title = F.translate(F.coalesce("title", "set_id"), " ", "_")
     chosen = sets.filter((F.col("set_id") == set_id) & not_disabled()).select("set_id", title.alias("title"))
     parts = (
@@ -201,8 +242,8 @@ def resolve_check_set(
     named = parts.filter(F.col("database_name").isNotNull()).join(targets, "database_name")
     detail = ["script_name", "title", "param1", "param2"]
     wild = parts.filter(F.col("database_name").isNull()).select(*detail).distinct()
-    wild = wild.withColumn("deal", F.explode(F.array(*[F.lit(i) for i in range(DEALS)])))
-    dealt = targets.withColumn("deal", F.pmod(F.hash("database_name"), F.lit(DEALS)))
+    wild = wild.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    dealt = targets.withColumn("deal", F.pmod(F.hash("database_name"), F.lit(deals)))
     everywhere = dealt.join(wild, "deal").select("database_name", *detail)
     return named.select("database_name", *detail).unionByName(everywhere).distinct()
 
@@ -341,18 +382,81 @@ def alias_to_physical(aliases: DataFrame, servers: DataFrame, alias: str = "alia
 def identity_reconcile(
     reported: DataFrame, databases: DataFrame, servers: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Reported duplicate ids, and the inventory with ids updated where name and host both agree."""
+    """Reported duplicate ids, and the inventory with ids updated where name and host both agree.
+
+    A database reported with several ids keeps the one it has, since nothing tells which is right.
+    """
     duplicates = duplicate_ids(reported, "dbid", ["database_name", "host_name"])
     placed = databases.join(
         servers.select("server", F.col("physical_server_abbrev").alias("host_name")), "server"
     ).select("database_name", "server", "host_name")
-    agreed = reported.join(placed, ["database_name", "host_name"]).select("database_name", "server", "dbid")
+    agreed = reported.join(placed, ["database_name", "host_name"]).groupBy("database_name", "server")
+    agreed = agreed.agg(F.min("dbid").alias("dbid"), F.max("dbid").alias("_most")).filter("dbid = _most").drop("_most")
     return duplicates, update_matching(databases, agreed, ["database_name", "server"], ["dbid"])
 
 
 # --- validation -------------------------------------------------------------------------
 
 
+def _row_key(key) -> Column:
+    return F.concat_ws("|", *[F.col(k).cast("string") for k in columns(key)])
+
+
+def row_rules(domains=None, ranges=None, not_null=()) -> dict[str, tuple[Column, str]]:
+    """Rules that one row can break: by name, the condition that breaks it and the column it is about."""
+    tests: dict[str, tuple[Column, str]] = {}
+    for c, allowed in (domains or {}).items():
+        tests[f"domain {c}"] = ~F.col(c).isin(*allowed), c
+    for c, (lo, hi) in (ranges or {}).items():
+        tests[f"range {c}"] = ~F.col(c).between(lo, hi), c
+    for c in not_null:
+        tests[f"not null {c}"] = F.col(c).isNull(), c
+    return tests
+
+
+def _violations(tests: dict[str, tuple[Column, str]]) -> Column:
+    """The rules a row breaks, as an array of (rule, value)."""
+    broken = [F.when(c, F.struct(F.lit(name).alias("rule"), F.col(of).cast("string").alias("value"))) for name, (c, of) in tests.items()]
+    return F.array_compact(F.array(*broken))
+
+
+GATE = "gate"
+
+
+def gated_write(df: DataFrame, path: str, key, *, domains=None, ranges=None, not_null=(), mode: str = "overwrite") -> dict[str, int]:
+    """Write rows and hold back those that break a rule, in one pass; returns how many rows break each rule.
+
+    Rows go to ``path`` under ``gate=accepted`` or ``gate=quarantine``, the latter with the rules
+    they break. Counts are taken by the pass that writes. As in a CHECK constraint, a null passes
+    domain and range rules. For a stream, ``foreachBatch`` calls this with a path for each batch.
+    """
+    tests = row_rules(domains, ranges, not_null)
+    seen = Observation()
+    counts = [F.count_if(broken).alias(name) for name, (broken, _) in tests.items()]
+    marked = df.withColumns({"row_key": _row_key(key), "violations": _violations(tests)})
+    marked = marked.observe(seen, F.count(F.lit(1)).alias("rows"), *counts)
+    side = F.when(F.size("violations") == 0, "accepted").otherwise("quarantine")
+    marked.withColumn(GATE, side).write.mode(mode).partitionBy(GATE).parquet(path)
+    return dict(seen.get)
+
+
+def accepted(spark, path: str, like: DataFrame) -> DataFrame:
+    """The rows that passed the gate, with the columns of ``like``."""
+    return _gate(spark, path, like).filter(F.col(GATE) == "accepted").select(*like.columns)
+
+
+def quarantined(spark, path: str, like: DataFrame) -> DataFrame:
+    """Held-back rows as (rule, row_key, value), one for each rule they break."""
+    rows = _gate(spark, path, like).filter(F.col(GATE) == "quarantine")
+    return rows.select("row_key", F.explode("violations").alias("v")).select("v.rule", "row_key", "v.value")
+
+
+def _gate(spark, path: str, like: DataFrame) -> DataFrame:
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in like.schema)
+    extra = f"row_key string, violations array<struct<rule:string,value:string>>, {GATE} string"
+    return spark.read.schema(f"{fields}, {extra}").parquet(path)
+
+
 def validate(
     df: DataFrame,
     key: Sequence[str],
@@ -368,21 +472,11 @@ def validate(
     All row-local rules are tested in one pass. As in a CHECK constraint, a null
     passes domain, range and reference rules.
     """
-    row_key = F.concat_ws("|", *[F.col(k).cast("string") for k in columns(key)])
-    tests = []
-
-    def rule(name: str, broken: Column, value: str) -> None:
-        tests.append(F.when(broken, F.struct(F.lit(name).alias("rule"), F.col(value).cast("string").alias("value"))))
-
-    for c, allowed in (domains or {}).items():
-        rule(f"domain {c}", ~F.col(c).isin(*allowed), c)
-    for c, (lo, hi) in (ranges or {}).items():
-        rule(f"range {c}", ~F.col(c).between(lo, hi), c)
-    for c in not_null:
-        rule(f"not null {c}", F.col(c).isNull(), c)
+    row_key = _row_key(key)
+    tests = row_rules(domains, ranges, not_null)
     found = []
     if tests:
-        broken = df.select(row_key.alias("row_key"), F.explode(F.array_compact(F.array(*tests))).alias("v"))
+        broken = df.select(row_key.alias("row_key"), F.explode(_violations(tests)).alias("v"))
         found.append(broken.select("v.rule", "row_key", "v.value"))
     for cols in unique:
         repeated = df.groupBy(*cols).count().filter("count > 1")

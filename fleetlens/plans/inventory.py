@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators import inventory as inv
 from fleetlens.plans.capacity import FLEET_SQL, fleet
 from fleetlens.plans.registry import AS_OF, EVENT_NOW, query, sql_values
+from fleetlens.plans.tables import scratch
 
 
 @query(
@@ -163,15 +164,14 @@ def per_customer(t, df):
 
 @query(
     "v04_checks_to_run",
-    f"""WITH {CHECK_SQL}, t AS (SELECT c_name AS db, c_mktsegment AS seg, c_nationkey + 100 AS version FROM customer)
-    SELECT db AS database_name, concat(script_name, ' ', param1, ' ', param2) AS script, run_order FROM k, t
-      WHERE frequency LIKE '%D%' AND script_type IN ('CHECK', 'SUMMARY') AND run_on_master = 'N' AND disabled <> 'Y'
-      AND (db_version_from IS NULL OR version >= db_version_from) AND (db_version_to IS NULL OR version <= db_version_to)
-      AND NOT EXISTS (SELECT 1 FROM f WHERE f.script_id = k.script_id AND f.database_name = seg)
-    UNION SELECT db, concat(script_name, ' ', param1, ' ', param2), g.run_order FROM g JOIN k USING (script_id)
-      JOIN t ON seg = g.database_name
-      WHERE g.frequency LIKE '%D%' AND g.script_type IN ('CHECK', 'SUMMARY') AND run_on_master = 'N'
-      AND NOT EXISTS (SELECT 1 FROM f WHERE f.script_id = g.script_id AND f.database_name = g.database_name)""",
+    f"""WITH {CHECK_SQL}, t AS (SELECT c_name AS db, c_mktsegment AS seg, c_nationkey + 100 AS version FROM customer),
+    due AS (SELECT db, seg, script_id, run_order, frequency, script_type FROM k JOIN t ON disabled <> 'Y'
+        AND version BETWEEN coalesce(db_version_from, version) AND coalesce(db_version_to, version)
+      UNION ALL SELECT db, seg, script_id, run_order, frequency, script_type FROM g JOIN t ON seg = database_name),
+    kept AS (SELECT due.* FROM due LEFT JOIN f ON f.script_id = due.script_id AND database_name = seg
+      WHERE f.script_id IS NULL AND contains(due.frequency, 'D') AND due.script_type IN ('CHECK', 'SUMMARY'))
+    SELECT DISTINCT db AS database_name, concat(script_name, ' ', param1, ' ', param2) AS script, kept.run_order
+    FROM kept JOIN k ON k.script_id = kept.script_id WHERE run_on_master = 'N'""",
 )
 def v04(t):
     checks, adds, skips = check_tables(t)
@@ -261,13 +261,13 @@ def placements(t):
 
 @query(
     "v09_placement_drift",
-    f"""WITH {PLACE_SQL}, e AS (SELECT * FROM p WHERE cluster_name IS NOT NULL AND disabled <> 'Y'),
-    w AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.cluster_name = e.cluster_name
-      AND upper(virtual_machine) = upper(e.physical_server_abbrev)))
-    SELECT physical_server_abbrev, w.cluster_name AS old_cluster, m.cluster_name AS new_cluster,
-      CASE WHEN m.cluster_name IN (SELECT cluster_name FROM e) THEN 'WARNING: Known Cluster'
-        ELSE 'ERROR: Unknown Cluster!' END AS cluster_notes
-    FROM w JOIN m ON upper(virtual_machine) = upper(physical_server_abbrev)""",
+    f"""WITH {PLACE_SQL}, e AS (SELECT physical_server_abbrev AS host, cluster_name AS old_cluster FROM p WHERE disabled <> 'Y' AND cluster_name IS NOT NULL),
+    seat AS (SELECT host, old_cluster, m.cluster_name AS new_cluster,
+      bool_or(m.cluster_name = old_cluster) OVER (PARTITION BY host, old_cluster) AS settled FROM e JOIN m ON virtual_machine = upper(host)),
+    known AS (SELECT DISTINCT old_cluster AS cluster FROM e)
+    SELECT host AS physical_server_abbrev, old_cluster, new_cluster,
+      if(cluster IS NULL, 'ERROR: Unknown Cluster!', 'WARNING: Known Cluster') AS cluster_notes
+    FROM seat LEFT JOIN known ON cluster = new_cluster WHERE NOT settled""",
 )
 def v09(t):
     return inv.placement_drift(*placements(t))
@@ -382,14 +382,17 @@ def v17(t):
     return inv.alias_to_physical(aliases, fleet(t)[1])
 
 
-REPORT_SQL = """rep AS (SELECT c_name AS database_name, r_name AS host_name, c_custkey % 700 AS dbid
-      FROM customer JOIN region ON r_regionkey = c_custkey % 5)"""
+# Some databases are reported twice, with one id or with two.
+REPORT_SQL = """rep AS (SELECT c_name AS database_name, r_name AS host_name, c_custkey % 700 + CASE WHEN c_custkey % 9 = 0 THEN n ELSE 0 END AS dbid
+      FROM customer JOIN region ON r_regionkey = c_custkey % 5 CROSS JOIN range(2) x(n) WHERE n = 0 OR c_custkey % 3 = 0)"""
 
 
 def reported(t):
-    return t.customer.join(t.region, F.col("r_regionkey") == F.col("c_custkey") % 5).select(
-        F.col("c_name").alias("database_name"), F.col("r_name").alias("host_name"), (F.col("c_custkey") % 700).alias("dbid")
-    )
+    key = F.col("c_custkey")
+    times = F.when(key % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = t.customer.join(t.region, F.col("r_regionkey") == key % 5).withColumn("n", F.explode(times))
+    dbid = key % 700 + F.when(key % 9 == 0, F.col("n")).otherwise(0)
+    return rows.select(F.col("c_name").alias("database_name"), F.col("r_name").alias("host_name"), dbid.alias("dbid"))
 
 
 @query(
@@ -403,8 +406,9 @@ def v18_duplicates(t):
 
 @query(
     "v18_identity_reconcile",
-    f"""WITH {FLEET_SQL}, {REPORT_SQL}, b AS (SELECT rep.database_name, d.server, rep.dbid FROM rep
-      JOIN d USING (database_name) JOIN s ON s.server = d.server AND physical_server_abbrev = host_name)
+    f"""WITH {FLEET_SQL}, {REPORT_SQL}, b AS (SELECT rep.database_name, d.server, any_value(rep.dbid) AS dbid FROM rep
+      JOIN d USING (database_name) JOIN s ON s.server = d.server AND physical_server_abbrev = host_name
+      GROUP BY rep.database_name, d.server HAVING count(DISTINCT rep.dbid) = 1)
     SELECT d.* REPLACE (CASE WHEN b.database_name IS NULL THEN d.dbid ELSE b.dbid END AS dbid)
     FROM d LEFT JOIN b ON b.database_name = d.database_name AND b.server = d.server""",
 )
@@ -448,3 +452,23 @@ def v20(t):
         unique=[["o_custkey", "o_orderdate"]],
         references={"o_custkey": (t.events, "user_id")},
     )
+
+
+@query(
+    "v20_gated_write",
+    """SELECT 'domain o_orderstatus' AS rule, CAST(o_orderkey AS VARCHAR) AS row_key, o_orderstatus AS value FROM orders
+      WHERE o_orderstatus NOT IN ('F', 'O')
+    UNION ALL SELECT 'range o_custkey', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR) FROM orders WHERE o_custkey > 900
+    UNION ALL SELECT 'not null parent', CAST(o_orderkey AS VARCHAR), NULL FROM orders WHERE o_custkey % 11 = 0
+    UNION ALL SELECT 'accepted', NULL, CAST(count(*) AS VARCHAR) FROM orders
+      WHERE o_orderstatus IN ('F', 'O') AND o_custkey <= 900 AND o_custkey % 11 <> 0""",
+)
+def v20_gate(t):
+    orders = t.orders.withColumn("parent", F.when(F.col("o_custkey") % 11 != 0, F.col("o_custkey")))
+    path = scratch(t, "gate")
+    inv.gated_write(
+        orders, path, "o_orderkey", domains={"o_orderstatus": ["F", "O"]}, ranges={"o_custkey": (0, 900)}, not_null=["parent"]
+    )
+    passed = inv.accepted(t.spark, path, orders).agg(F.count(F.lit(1)).cast("string").alias("value"))
+    passed = passed.select(F.lit("accepted").alias("rule"), F.lit(None).cast("string").alias("row_key"), "value")
+    return inv.quarantined(t.spark, path, orders).unionByName(passed)

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from fleetlens.functions.semantics import short_host
 from fleetlens.plans.registry import query
 from fleetlens.plans.tables import scratch
+from fleetlens.sources import logtail
 from fleetlens.sources import readers as rd
+from fleetlens.streaming import operators as st
 
 
 def written(t, name, text):
@@ -40,6 +42,56 @@ def i01(t):
     return rd.read_delimited(t.spark, path, rd.FILESYSTEM_LOAD)
 
 
+def filesystem_lines(t):
+    """Load lines with unreadable sizes and times, short lines, empty ones and a heading."""
+    odd = F.col("event_id") % 50
+    whole = F.concat_ws(
+        ", ",
+        F.concat(F.lit("srv"), "user_id"),
+        F.concat(F.lit("/dev/"), "event_type"),
+        F.when(odd == 1, "n/a").otherwise(F.col("event_id").cast("string")),
+        F.col("user_id").cast("string"),
+        F.lit(""),
+        F.when(odd == 2, "9%").otherwise("9"),
+        F.lit("/m"),
+        F.lit("Mon"),
+        F.when(odd == 3, "yesterday").otherwise("Mon-15-Jan-2024-10:00:00"),
+    )
+    line = F.when(odd == 4, "").when(odd == 5, F.concat(F.lit("srv"), "user_id")).otherwise(whole)
+    heading = t.region.select(F.lit("SERVER, FILESYSTEM, SIZEK").alias("line"))
+    return heading.union(t.events.select(line.alias("line")))
+
+
+@query(
+    "i01_load_rejects",
+    """WITH e AS (SELECT event_id % 50 AS odd, event_id, user_id FROM events),
+    m AS (SELECT * FROM (VALUES (1, 'sizek: ''n/a'' is no bigint'), (2, 'pctused: ''9%'' is no int'),
+      (3, 'space_time: ''yesterday'' is no dd-MMM-yyyy-HH:mm:ss'), (4, 'empty line')) v(odd, reason))
+    SELECT reason, count(*) AS lines FROM e JOIN m USING (odd) GROUP BY reason
+    UNION ALL SELECT 'sizek: ''SIZEK'' is no bigint', count(*) FROM region
+    UNION ALL SELECT 'read', count(*) FROM e WHERE odd NOT IN (1, 2, 3, 4)""",
+)
+def i01_rejects(t):
+    rows, rejects = rd.read_delimited_and_rejects(t.spark, written(t, "rejects", filesystem_lines(t)), rd.FILESYSTEM_LOAD)
+    both = rejects.select("reason").unionByName(rows.select(F.lit("read").alias("reason")))
+    return both.groupBy("reason").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("i08_log_tail", "SELECT event_id || ' ' || event_type AS line, user_id % 3 AS part FROM events")
+def i08_tail(t):
+    """Three log files, followed as a stream into a table."""
+    logtail.register(t.spark)
+    path = scratch(t, "logs")
+    line = F.concat_ws(" ", "event_id", "event_type", (F.col("user_id") % 3).cast("string"))
+    t.events.select(line.alias("line")).coalesce(3).write.text(path)
+    out = scratch(t, "followed")
+    st.write_available(t.spark.readStream.format("log_tail").load(path), out + "/table", out + "/checkpoint")
+    cells = F.split("line", " ")
+    return t.spark.read.parquet(out + "/table").select(
+        F.concat_ws(" ", cells[0], cells[1]).alias("line"), cells[2].cast("long").alias("part")
+    )
+
+
 @query(
     "i01_read_metric_load",
     """SELECT 'DB' || user_id AS database_name, 'srv' AS server, date_trunc('second', ts) AS space_time,

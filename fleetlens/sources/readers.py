@@ -50,6 +50,32 @@ def read_delimited(spark: SparkSession, path, fields: Sequence[Field], sep: str
     return typed_rows(raw, fields)
 
 
+def split_lines(spark: SparkSession, path, fields: Sequence[Field], sep: str = ", ") -> DataFrame:
+    """file, line, the fields as text, and ``reason``: why the line is no row (null if it is one).
+
+    The first field whose text does not fit its type is named. One pass serves both parts.
+    """
+    parts = F.split("line", "\\Q" + sep + "\\E", -1)
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    raw = raw.select("file", "line", *[F.get(parts, F.lit(i)).alias(f.name) for i, f in enumerate(fields)])
+    reasons = [F.when(F.trim("line") == "", F.lit("empty line"))]
+    for f in fields:
+        if f.kind != "string" or f.fmt is not None:
+            unread = F.nullif(F.col(f.name), F.lit("")).isNotNull() & f.typed().isNull()
+            reasons.append(F.when(unread, F.concat(F.lit(f"{f.name}: '"), F.col(f.name), F.lit(f"' is no {f.fmt or f.kind}"))))
+    return raw.withColumn("reason", F.coalesce(*reasons))
+
+
+def read_delimited_and_rejects(spark: SparkSession, path, fields: Sequence[Field], sep: str = ", ") -> tuple[DataFrame, DataFrame]:
+    """Typed rows of a delimited load file, and its other lines as (file, line, reason).
+
+    Together they are all lines of the files, headings and underlines included.
+    """
+    lines = split_lines(spark, path, fields, sep)
+    rows = lines.filter(F.col("reason").isNull()).select(*[f.typed().alias(f.name) for f in fields])
+    return rows, lines.filter(F.col("reason").isNotNull()).select("file", "line", "reason")
+
+
 def read_space_delimited(spark: SparkSession, path, fields: Sequence[Field]) -> DataFrame:
     return read_delimited(spark, path, fields, sep=" ")
 

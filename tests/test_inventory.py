@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 
 from fleetlens.operators import inventory as inv
+from fleetlens.streaming import operators as st
 
 RULE = (
     "database_name string, sidskip_type string, date_from string, date_to string, hour_from int, minute_from int, "
@@ -124,3 +125,58 @@ def test_version_ranges_are_open(spark):
     targets = spark.createDataFrame([("old", 1010), ("new", 2326), ("unknown", None)], "database_name string, version int")
     got = {(r.database_name, r.script.strip()) for r in inv.checks_to_run(checks, adds, skips, targets, "2024-01-01").collect()}
     assert got == {("old", "A"), ("old", "B"), ("new", "A"), ("new", "C"), ("new", "D")}
+
+
+def test_blackout_days_join_overlapping_spans(spark):
+    rules = spark.createDataFrame(
+        [
+            ("d", "DAILY", None, None, 8, 0, 9, 0, "a", "N"), ("d", "MONDAY", None, None, 8, 30, 10, 0, "b", "N"),
+            ("d", "15", None, None, 10, 1, 10, 30, "c", "N"), ("d", "DAILY", None, None, 20, 0, 20, 0, "d", "N"),
+            ("d", "DAILY", None, None, 12, 0, 13, 0, "off", "Y"), ("d", "DAILY", "2024-02-01", None, None, None, None, None, "later", "N"),
+            ("d", "DAILY", None, None, 23, 0, 1, 0, "never", "N"),
+        ],
+        "database_name string, sidskip_type string, date_from string, date_to string, hour_from int, minute_from int, hour_to int, minute_to int, sidskip_notes string, disabled string",
+    )
+    days = spark.sql("SELECT 'd' AS database_name, DATE '2024-01-15' AS day UNION ALL SELECT 'd', DATE '2024-01-16'")
+    got = {r.day.day: [tuple(s) for s in r.spans] for r in inv.blackout_days(days, rules).collect()}
+    assert got == {15: [(480, 630), (1200, 1200)], 16: [(480, 540), (1200, 1200)]}
+    rows = spark.sql("SELECT 'd' AS database_name, TIMESTAMP_NTZ '2024-01-15 10:30:59' AS ts UNION ALL SELECT 'd', TIMESTAMP_NTZ '2024-01-15 10:31:00' UNION ALL SELECT NULL, TIMESTAMP_NTZ '2024-01-15 08:00:00'")
+    assert [r.ts.minute for r in inv.rows_in_blackout(rows, rules, "ts").collect()] == [30]
+    assert inv.rows_in_blackout(rows, rules, "ts", inside=False).count() == 2
+
+
+def test_version_ranges(spark):
+    cols = "script_id string, script_name string, script_type string, db_version_from int, db_version_to int, frequency string, disabled string, run_order int, param1 string, run_on_master string, param2 string"
+    ranges = {"all": (None, None), "from": (11, None), "upto": (None, 11), "one": (12, 12), "none": (13, 12), "gap": (10, 10)}
+    checks = spark.createDataFrame([(n, n, "CHECK", lo, hi, "D", "N", 1, None, "N", None) for n, (lo, hi) in ranges.items()], cols)
+    adds = spark.createDataFrame([], "script_id string, database_name string, added_from timestamp_ntz, added_to timestamp_ntz, disabled string, run_order int, script_type string, frequency string")
+    skips = spark.createDataFrame([], "script_id string, database_name string, skipped_from timestamp_ntz, skipped_to timestamp_ntz, disabled string")
+    targets = spark.createDataFrame([("a", 9), ("b", 11), ("c", 12), ("d", 19), ("e", None)], "database_name string, version int")
+    got = {(r.database_name, r.script.strip()) for r in inv.checks_to_run(checks, adds, skips, targets, "2024-01-01").collect()}
+    want = {(d, n) for d, v in (("a", 9), ("b", 11), ("c", 12), ("d", 19)) for n, (lo, hi) in ranges.items() if (lo or 0) <= v <= (hi or 99)}
+    assert got == want
+
+
+def test_gate_counts_and_holds_back(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "F", 5), (2, "X", 500), (3, None, None), (4, "F", 501)], "id int, status string, amount int")
+    rules = {"domains": {"status": ["F"]}, "ranges": {"amount": (0, 100)}, "not_null": ["status"]}
+    path = str(tmp_path / "gate")
+    assert inv.gated_write(rows, path, "id", **rules) == {"rows": 4, "domain status": 1, "range amount": 2, "not null status": 1}
+    assert [r.id for r in inv.accepted(spark, path, rows).collect()] == [1]
+    held = sorted(map(tuple, inv.quarantined(spark, path, rows).collect()), key=str)
+    assert held == sorted(map(tuple, inv.validate(rows, "id", **rules).collect()), key=str)
+
+
+def test_gate_within_a_stream(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "F" if i % 3 else "X") for i in range(30)], "id int, status string")
+    rows.repartition(4).write.parquet(str(tmp_path / "in"))
+    counts = []
+
+    def store(batch, number):
+        counts.append(inv.gated_write(batch, f"{tmp_path}/out/batch={number}", "id", domains={"status": ["F"]}))
+
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    st.drain(stream, store, str(tmp_path / "ckpt"))
+    assert sum(c["rows"] for c in counts) == 30 and sum(c["domain status"] for c in counts) == 10
+    assert inv.accepted(spark, str(tmp_path / "out"), rows).count() == 20
+    assert inv.quarantined(spark, str(tmp_path / "out"), rows).count() == 10
