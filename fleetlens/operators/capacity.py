@@ -251,14 +251,25 @@ def growth_report(
 # --- containers (tablespaces) ------------------------------------------------
 
 
-def _allocated(files: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
-    both = files[0].select(*by, "bytes", "maxbytes")
-    for more in files[1:]:
-        both = both.unionByName(more.select(*by, "bytes", "maxbytes"))
-    largest = F.when(F.col("maxbytes").isNotNull() & F.col("bytes").isNotNull(), F.greatest("maxbytes", "bytes"))
-    return both.groupBy(*by).agg(
-        (F.sum("bytes") / MEG).alias("total_mb"), (F.sum(largest) / MEG).alias("max_known_mb")
+def _containers(files: Sequence[DataFrame], free: DataFrame, kinds: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Sums and kind per container that has a file, from one aggregation over all parts."""
+    none = F.lit(None)
+    parts = [f.select(*by, F.lit("file").alias("part"), "bytes", "maxbytes", none.alias("contents")) for f in files]
+    parts.append(free.select(*by, F.lit("free").alias("part"), "bytes", none.alias("maxbytes"), none.alias("contents")))
+    parts.append(kinds.select(*by, F.lit("kind").alias("part"), none.alias("bytes"), none.alias("maxbytes"), "contents"))
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    is_file = F.col("part") == "file"
+    largest = F.when(is_file & F.col("maxbytes").isNotNull() & F.col("bytes").isNotNull(), F.greatest("maxbytes", "bytes"))
+    sums = rows.groupBy(*by).agg(
+        (F.sum(F.when(is_file, F.col("bytes"))) / MEG).alias("total_mb"),
+        (F.sum(largest) / MEG).alias("max_known_mb"),
+        (F.sum(F.when(F.col("part") == "free", F.col("bytes"))) / MEG).alias("free_known_mb"),
+        F.max("contents").alias("contents"),
+        F.count_if(is_file).alias("files"),
     )
+    return sums.filter("files > 0").drop("files")
 
 
 def usage_bar(pct: Column) -> Column:
@@ -281,17 +292,14 @@ def container_usage(
 ) -> DataFrame:
     """Allocated, used, free, percentage and theoretical maximum per container.
 
-    ``files`` lists the data and temporary file frames (``bytes``, ``maxbytes``);
-    each side is reduced to one row per container before any join. Empty and
+    ``files`` lists the data and temporary file frames (``bytes``, ``maxbytes``); they, free
+    space and kinds are summed up in one grouping. Empty and
     offline containers (no percentage) are listed; ``min_pct`` is the caller's filter.
     """
     by = columns(by)
     name = by[-1]
-    alloc = _allocated(files, by)
-    room = free.groupBy(*by).agg((F.sum("bytes") / MEG).alias("free_known_mb"))
     rows = (
-        alloc.join(room, by, "left")
-        .join(kinds.select(*by, "contents"), by, "left")
+        _containers(files, free, kinds, by)
         .filter(F.col(name).like(name_pattern))
         .withColumn("free_mb", F.coalesce("free_known_mb", F.lit(0.0)))
         .withColumn("used_mb", F.col("total_mb") - F.col("free_mb"))
@@ -375,27 +383,32 @@ def total_size_snapshot(data: DataFrame, temp: DataFrame, free: DataFrame, by=()
 # --- files --------------------------------------------------------------------
 
 
-def all_files(data: DataFrame, temp: DataFrame, members: DataFrame, groups: DataFrame, control: DataFrame) -> DataFrame:
-    """Data, temporary, log-member and control files as ``(file_name, bytes)``."""
-    logs = members.join(groups, "group_no").select(F.col("member").alias("file_name"), "bytes")
-    controls = control.select("file_name", (F.col("block_size") * F.col("file_size_blocks")).alias("bytes"))
-    named = [data.select("file_name", "bytes"), temp.select("file_name", "bytes"), logs, controls]
+def all_files(data: DataFrame, temp: DataFrame, members: DataFrame, groups: DataFrame, control: DataFrame, by=()) -> DataFrame:
+    """Data, temporary, log-member and control files as ``(file_name, bytes)``.
+
+    Group numbers and file names repeat in every database; ``by`` names the columns that tell them apart.
+    """
+    by = columns(by)
+    logs = members.join(groups.select(*by, "group_no", "bytes"), [*by, "group_no"])
+    logs = logs.select(*by, F.col("member").alias("file_name"), "bytes")
+    controls = control.select(*by, "file_name", (F.col("block_size") * F.col("file_size_blocks")).alias("bytes"))
+    named = [data.select(*by, "file_name", "bytes"), temp.select(*by, "file_name", "bytes"), logs, controls]
     out = named[0]
     for part in named[1:]:
         out = out.unionByName(part)
     return out
 
 
-def size_by_directory(files: DataFrame) -> DataFrame:
-    return files.groupBy(directory_of("file_name").alias("directory")).agg((F.sum("bytes") / MEG).alias("meg"))
+def size_by_directory(files: DataFrame, by=()) -> DataFrame:
+    return files.groupBy(*columns(by), directory_of("file_name").alias("directory")).agg((F.sum("bytes") / MEG).alias("meg"))
 
 
-def total_size(files: DataFrame) -> DataFrame:
-    return files.agg((F.sum("bytes") / MEG).alias("meg"))
+def total_size(files: DataFrame, by=()) -> DataFrame:
+    return files.groupBy(*columns(by)).agg((F.sum("bytes") / MEG).alias("meg"))
 
 
-def size_by_prefix(files: DataFrame, length: int) -> DataFrame:
-    return files.groupBy(F.substring("file_name", 1, length).alias("mountpoint")).agg(
+def size_by_prefix(files: DataFrame, length: int, by=()) -> DataFrame:
+    return files.groupBy(*columns(by), F.substring("file_name", 1, length).alias("mountpoint")).agg(
         F.sum("bytes").alias("mount_size")
     )
 

@@ -1,4 +1,8 @@
-"""Account, job, object, parameter and instance health."""
+"""Account, job, object, parameter and instance health.
+
+Names of accounts, jobs, objects and parameters repeat in every database. ``by`` names the columns
+that tell databases apart; they are part of every join and grouping and stay in the result.
+"""
 
 from __future__ import annotations
 
@@ -19,12 +23,12 @@ def _ahead(as_of, days: float):
     return ntz(instant(as_of) + timedelta(days=days))
 
 
-def password_expiry(users: DataFrame, as_of, days: int = 31) -> DataFrame:
+def password_expiry(users: DataFrame, as_of, days: int = 31, by=()) -> DataFrame:
     """Open accounts about to expire, and accounts already expired."""
     due = (F.col("account_status") == "OPEN") & (F.col("expiry_date") < _ahead(as_of, days))
     tense = F.when(F.col("expiry_date") < ntz(as_of), "expired").otherwise("expires")
     return users.filter(due | F.col("account_status").isin(*EXPIRED_STATES)).select(
-        "username", "expiry_date", "profile", "account_status", tense.alias("tense")
+        *columns(by), "username", "expiry_date", "profile", "account_status", tense.alias("tense")
     )
 
 
@@ -72,22 +76,21 @@ def default_password_users(defaults: DataFrame, users: DataFrame, by=()) -> Data
     return live.join(defaults.select(*by, "username").distinct(), [*by, "username"], "left_semi").select(*by, "username", "account_status")
 
 
-def service_account_expiry(users: DataFrame, names: Sequence[str], as_of, days: int = 31) -> DataFrame:
+def service_account_expiry(users: DataFrame, names: Sequence[str], as_of, days: int = 31, by=()) -> DataFrame:
     """Warning or information line per service account; no expiry date counts as a year away."""
     soon = F.coalesce("expiry_date", _ahead(as_of, 365)) < _ahead(as_of, days)
     when = F.coalesce(F.date_format("expiry_date", "dd-MMM-yy"), F.lit("** No Expiry Date Set **"))
     text = cat("The password for ", F.col("username"), " expires on ", when)
     return users.filter(F.col("username").isin(*names)).select(
-        "username", F.when(soon, cat("WARNING: ", text)).otherwise(text).alias("expiry_info")
+        *columns(by), "username", F.when(soon, cat("WARNING: ", text)).otherwise(text).alias("expiry_info")
     )
 
 
-def broken_jobs(jobs: DataFrame) -> DataFrame:
+def broken_jobs(jobs: DataFrame, by=()) -> DataFrame:
     """Every broken or failed job with its state; a shorter list is a filter on the result."""
     broken, failed = F.col("broken") == "Y", F.col("failures") > 0
-    return jobs.filter(broken | failed).select(
-        "job", "log_user", "last_date", F.when(broken, "Broken.").otherwise("Not Broken.").alias("broken"), "failures", "what"
-    )
+    state = F.when(broken, "Broken.").otherwise("Not Broken.").alias("broken")
+    return jobs.filter(broken | failed).select(*columns(by), "job", "log_user", "last_date", state, "failures", "what")
 
 
 def broken_jobs_message(jobs: DataFrame, by=()) -> DataFrame:
@@ -131,8 +134,8 @@ def recent_objects(objects: DataFrame, dropped: DataFrame, db_created, as_of, da
     return kept.join(dropped.select(*same), same, "left_anti").select(*by, label.alias("object"), "created")
 
 
-def count_by_owner(dropped: DataFrame) -> DataFrame:
-    return dropped.groupBy("owner").agg(F.count("*").alias("recyclebin_objects"))
+def count_by_owner(dropped: DataFrame, by=()) -> DataFrame:
+    return dropped.groupBy(*columns(by), "owner").agg(F.count("*").alias("recyclebin_objects"))
 
 
 def components_down(components: DataFrame, queues: DataFrame, by=()) -> DataFrame:
@@ -145,20 +148,20 @@ def components_down(components: DataFrame, queues: DataFrame, by=()) -> DataFram
     )
 
 
-def non_default_parameters(params: DataFrame) -> DataFrame:
-    return params.filter(F.col("isdefault") == "FALSE").select(cat(F.col("name"), " => ", F.col("value")).alias("param"))
+def non_default_parameters(params: DataFrame, by=()) -> DataFrame:
+    return params.filter(F.col("isdefault") == "FALSE").select(*columns(by), cat(F.col("name"), " => ", F.col("value")).alias("param"))
 
 
-def archive_destinations(params: DataFrame) -> DataFrame:
+def archive_destinations(params: DataFrame, by=()) -> DataFrame:
     kept = params.filter(
         F.col("name").like("log_archive_dest%") & F.col("value").isNotNull() & ~F.col("name").like("%state%")
     )
-    return kept.select(cat(F.rpad("name", 20, " "), " => ", F.col("value")).alias("dest"))
+    return kept.select(*columns(by), cat(F.rpad("name", 20, " "), " => ", F.col("value")).alias("dest"))
 
 
-def link_list(links: DataFrame) -> DataFrame:
+def link_list(links: DataFrame, by=()) -> DataFrame:
     text = cat(F.col("owner"), ".", F.col("db_link"), " =>", F.col("username"), "@", F.col("host"))
-    return links.select(text.alias("dblink"))
+    return links.select(*columns(by), text.alias("dblink"))
 
 
 def uptime_text(started, as_of):

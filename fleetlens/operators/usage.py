@@ -65,21 +65,27 @@ def _newest(stats: DataFrame, by: Sequence[str]) -> DataFrame:
     return stats.groupBy(*by).agg(newest.alias("_newest"))
 
 
-def latest_sample(stats: DataFrame, by="con_id") -> DataFrame:
-    """Id, version and time of the newest sample per container, with a never-sampled remark."""
-    by = columns(by)
-    never = stats.agg(
+def latest_sample(stats: DataFrame, by="con_id", database=()) -> DataFrame:
+    """Id, version and time of the newest sample per container, with a never-sampled remark.
+
+    The remark is about a whole database; ``database`` names the columns that tell databases apart.
+    """
+    database = columns(database)
+    by = list(dict.fromkeys([*database, *columns(by)]))
+    never = stats.groupBy(*database).agg(
         (F.max("last_sample_date").isNull() & (F.max("total_samples") == 0)).alias("never")
     )
+    newest = _newest(stats, by)
+    newest = left_join_null_safe(newest, never, database) if database else newest.withColumn("never", never.scalar())
     return (
-        _newest(stats, by)
+        newest
         .select(
             *by,
             F.col("_newest.dbid").alias("last_dbid"),
             F.col("_newest.version").alias("last_version"),
             F.col("_newest.last_sample_date").alias("last_sample_date"),
+            "never",
         )
-        .withColumn("never", never.scalar())
         .withColumn("remarks", F.when(F.col("never"), "NEVER SAMPLED !!!").otherwise(""))
         .drop("never")
     )
@@ -263,9 +269,10 @@ def overall_card(instances: DataFrame, databases: DataFrame, banners: DataFrame,
 AUDITED_PARAMETERS = ("control_management_pack_access", "enable_ddl_logging")
 
 
-def audited_parameters(params: DataFrame) -> DataFrame:
+def audited_parameters(params: DataFrame, by=()) -> DataFrame:
+    """Values of the audited parameters; ``by`` tells databases apart."""
     return (
         params.filter(F.lower("name").isin(*AUDITED_PARAMETERS))
-        .select(F.col("name").alias("parameter"), "value")
+        .select(*columns(by), F.col("name").alias("parameter"), "value")
         .distinct()
     )

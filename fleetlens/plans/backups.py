@@ -294,16 +294,17 @@ def b11(t):
 
 @query(
     "b12_backup_matrix",
-    f"""WITH {BASE_SQL}, d AS (SELECT b.*, backup_type || incremental_level AS k FROM b JOIN part ON p_partkey = set_stamp
-      WHERE p_size <= 45),
-    c AS (SELECT session_key, CAST(sum(CASE WHEN controlfile_included = 'YES' THEN pieces ELSE 0 END) AS BIGINT) AS cf,
-      CAST(sum(CASE WHEN controlfile_included = 'NO' AND k = 'D' THEN pieces ELSE 0 END) AS BIGINT) AS df,
-      CAST(sum(CASE WHEN k = 'D0' THEN pieces ELSE 0 END) AS BIGINT) AS i0,
-      CAST(sum(CASE WHEN k = 'I1' THEN pieces ELSE 0 END) AS BIGINT) AS i1,
-      CAST(sum(CASE WHEN backup_type = 'L' THEN pieces ELSE 0 END) AS BIGINT) AS l FROM d GROUP BY session_key),
-    o AS (SELECT event_id AS session_key, min(user_id) AS inst_id FROM events GROUP BY ALL)
-    SELECT session_key, start_time, end_time, CAST(round(output_bytes / 1048576) AS BIGINT) AS output_mb, status, input_type,
-      cf, df, i0, i1, l, inst_id FROM j LEFT JOIN c USING (session_key) LEFT JOIN o USING (session_key)
+    f"""WITH {BASE_SQL}, d AS (SELECT session_key, pieces, controlfile_included = 'YES' AS control, CASE backup_type WHEN 'L' THEN 'l'
+        WHEN 'D' THEN CASE incremental_level WHEN 0 THEN 'i0' END WHEN 'I' THEN CASE incremental_level WHEN 1 THEN 'i1' END END AS class
+      FROM b WHERE set_stamp IN (SELECT p_partkey FROM part WHERE p_size <= 45)),
+    c AS (SELECT session_key, class, pieces FROM d UNION ALL SELECT session_key, 'cf', pieces FROM d WHERE control),
+    n AS (SELECT session_key, class, sum(pieces)::BIGINT AS pieces FROM c GROUP BY ALL),
+    o AS (SELECT event_id AS session_key, min(user_id) AS inst_id FROM events GROUP BY ALL),
+    m AS (SELECT session_key, map_from_entries(list(ROW(coalesce(class, '-'), pieces))) AS pieces FROM n GROUP BY session_key)
+    SELECT j.session_key, start_time, end_time, CAST(round(output_bytes / 1048576) AS BIGINT) AS output_mb, status, input_type,
+      {', '.join(f"CASE WHEN pieces IS NOT NULL THEN coalesce(pieces['{k}'], 0) END AS {k}" for k in ('cf', 'i0', 'i1', 'l'))},
+      CASE WHEN pieces IS NOT NULL THEN 0::BIGINT END AS df, inst_id
+    FROM j LEFT JOIN m ON m.session_key = j.session_key LEFT JOIN o ON o.session_key = j.session_key
     WHERE start_time > {ORDER_NOW} - INTERVAL 90 DAY""",
 )
 def b12(t):

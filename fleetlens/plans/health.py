@@ -7,6 +7,13 @@ from fleetlens.operators import health as hl
 from fleetlens.plans.registry import ORDER_NOW, ORDERS_AS_OF, query
 
 
+DB = "database"
+
+
+def database(number):
+    return F.concat(F.lit("DB"), F.col(number) % 3).alias(DB)
+
+
 def users(t):
     segment = F.col("c_mktsegment")
     status = (
@@ -17,6 +24,7 @@ def users(t):
     )
     now = F.lit(ORDERS_AS_OF).cast("timestamp_ntz")
     return t.customer.select(
+        database("c_custkey"),
         F.col("c_name").alias("username"),
         status.alias("account_status"),
         F.when(
@@ -26,11 +34,11 @@ def users(t):
     )
 
 
-USERS_SQL = f"""u AS (SELECT c_name AS username, CASE c_mktsegment WHEN 'MACHINERY' THEN 'EXPIRED' WHEN 'FURNITURE' THEN 'EXPIRED(GRACE)'
+USERS_SQL = f"""u AS (SELECT 'DB' || c_custkey % 3 AS database, c_name AS username, CASE c_mktsegment WHEN 'MACHINERY' THEN 'EXPIRED' WHEN 'FURNITURE' THEN 'EXPIRED(GRACE)'
       WHEN 'HOUSEHOLD' THEN 'LOCKED' ELSE 'OPEN' END AS account_status,
       CASE WHEN c_nationkey <> 0 THEN {ORDER_NOW} + to_days(CAST(c_custkey % 120 - 60 AS INT)) END AS expiry_date,
       'P' || c_nationkey AS profile FROM customer)"""
-EXPIRY_SQL = f"""e AS (SELECT username, expiry_date, profile, account_status,
+EXPIRY_SQL = f"""e AS (SELECT database, username, expiry_date, profile, account_status,
       CASE WHEN expiry_date < {ORDER_NOW} THEN 'expired' ELSE 'expires' END AS tense FROM u
       WHERE (account_status = 'OPEN' AND expiry_date IS NOT NULL AND expiry_date < {ORDER_NOW} + INTERVAL 31 DAY)
         OR account_status = 'EXPIRED' OR account_status = 'EXPIRED(GRACE)')"""
@@ -38,16 +46,16 @@ EXPIRY_SQL = f"""e AS (SELECT username, expiry_date, profile, account_status,
 
 @query("h01_password_expiry", f"WITH {USERS_SQL}, {EXPIRY_SQL} SELECT * FROM e")
 def h01(t):
-    return hl.password_expiry(users(t), ORDERS_AS_OF)
+    return hl.password_expiry(users(t), ORDERS_AS_OF, by=DB)
 
 
 @query(
     "h01_password_expiry_message",
-    f"""WITH {USERS_SQL}, {EXPIRY_SQL} SELECT profile, '** WARNING - ' || count(*) || CASE WHEN count(*) = 1 THEN ' user' ELSE ' users' END
-      || ' found with Password Expiry Issues **' AS message FROM e GROUP BY profile""",
+    f"""WITH {USERS_SQL}, {EXPIRY_SQL} SELECT database, profile, '** WARNING - ' || count(*) || CASE WHEN count(*) = 1 THEN ' user' ELSE ' users' END
+      || ' found with Password Expiry Issues **' AS message FROM e GROUP BY database, profile""",
 )
 def h01_message(t):
-    return hl.password_expiry_message(hl.password_expiry(users(t), ORDERS_AS_OF), "profile")
+    return hl.password_expiry_message(hl.password_expiry(users(t), ORDERS_AS_OF, by=DB), [DB, "profile"])
 
 
 @query(
@@ -86,20 +94,21 @@ SERVICE = ["OPEN", "EXPIRED"]
 
 @query(
     "h04_service_account_expiry",
-    f"""WITH {USERS_SQL}, s AS (SELECT account_status AS username, expiry_date FROM u WHERE account_status IN ('OPEN', 'EXPIRED'))
-    SELECT username, 'WARNING: The password for ' || username || ' expires on ' || strftime(expiry_date, '%d-%b-%y') AS expiry_info
+    f"""WITH {USERS_SQL}, s AS (SELECT database, account_status AS username, expiry_date FROM u WHERE account_status IN ('OPEN', 'EXPIRED'))
+    SELECT database, username, 'WARNING: The password for ' || username || ' expires on ' || strftime(expiry_date, '%d-%b-%y') AS expiry_info
       FROM s WHERE coalesce(expiry_date, {ORDER_NOW} + INTERVAL 365 DAY) < {ORDER_NOW} + INTERVAL 31 DAY
-    UNION ALL SELECT username, 'The password for ' || username || ' expires on '
+    UNION ALL SELECT database, username, 'The password for ' || username || ' expires on '
       || coalesce(strftime(expiry_date, '%d-%b-%y'), '** No Expiry Date Set **')
       FROM s WHERE coalesce(expiry_date, {ORDER_NOW} + INTERVAL 365 DAY) >= {ORDER_NOW} + INTERVAL 31 DAY""",
 )
 def h04(t):
-    accounts = users(t).select(F.col("account_status").alias("username"), "expiry_date")
-    return hl.service_account_expiry(accounts, SERVICE, ORDERS_AS_OF)
+    accounts = users(t).select(DB, F.col("account_status").alias("username"), "expiry_date")
+    return hl.service_account_expiry(accounts, SERVICE, ORDERS_AS_OF, by=DB)
 
 
 def batch_jobs(t):
     return t.orders.select(
+        database("o_custkey"),
         F.col("o_orderkey").alias("job"),
         F.col("o_custkey").alias("log_user"),
         F.col("o_orderdate").alias("last_date"),
@@ -109,7 +118,7 @@ def batch_jobs(t):
     )
 
 
-JOBS_SQL = """j AS (SELECT o_orderkey AS job, o_custkey AS log_user, o_orderdate AS last_date,
+JOBS_SQL = """j AS (SELECT 'DB' || o_custkey % 3 AS database, o_orderkey AS job, o_custkey AS log_user, o_orderdate AS last_date,
       CASE WHEN o_orderstatus = 'P' THEN 'Y' ELSE 'N' END AS broken, o_orderkey % 4 AS failures, o_orderpriority AS what FROM orders)"""
 
 
@@ -119,7 +128,7 @@ JOBS_SQL = """j AS (SELECT o_orderkey AS job, o_custkey AS log_user, o_orderdate
 )
 def h05(t):
     """The caller's short list: jobs that are both broken and failed."""
-    return hl.broken_jobs(batch_jobs(t)).filter("broken = 'Broken.' AND failures > 0")
+    return hl.broken_jobs(batch_jobs(t), DB).filter("broken = 'Broken.' AND failures > 0")
 
 
 @query(
@@ -128,17 +137,17 @@ def h05(t):
     WHERE broken = 'Y' OR failures > 0""",
 )
 def h05_full(t):
-    return hl.broken_jobs(batch_jobs(t))
+    return hl.broken_jobs(batch_jobs(t), DB)
 
 
 @query(
     "h05_broken_jobs_message",
-    f"""WITH {JOBS_SQL}, c AS (SELECT log_user, count(*) FILTER (WHERE broken = 'Y' OR failures > 0) AS n FROM j GROUP BY log_user)
-    SELECT log_user, CASE WHEN n < 1 THEN '** No Unsuccessful or Broken Jobs Found **'
+    f"""WITH {JOBS_SQL}, c AS (SELECT database, log_user, count(*) FILTER (WHERE broken = 'Y' OR failures > 0) AS n FROM j GROUP BY ALL)
+    SELECT database, log_user, CASE WHEN n < 1 THEN '** No Unsuccessful or Broken Jobs Found **'
       ELSE '** WARNING - ' || n || ' failed or broken ' || CASE WHEN n = 1 THEN 'job' ELSE 'jobs' END || ' found **' END AS message FROM c""",
 )
 def h05_message(t):
-    return hl.broken_jobs_message(batch_jobs(t), by="log_user")
+    return hl.broken_jobs_message(batch_jobs(t), by=[DB, "log_user"])
 
 
 @query(
@@ -174,9 +183,13 @@ def h07(t):
     return hl.recent_objects(objects, dropped, "2001-06-01", ORDERS_AS_OF, days=90)
 
 
-@query("h08_count_by_owner", "SELECT user_id AS owner, count(*) AS recyclebin_objects FROM events GROUP BY user_id")
+@query(
+    "h08_count_by_owner",
+    "SELECT 'DB' || event_id % 3 AS database, user_id AS owner, count(*) AS recyclebin_objects FROM events GROUP BY ALL",
+)
 def h08(t):
-    return hl.count_by_owner(t.events.select(F.col("user_id").alias("owner")))
+    """The same owners in three databases."""
+    return hl.count_by_owner(t.events.select(database("event_id"), F.col("user_id").alias("owner")), DB)
 
 
 @query(
@@ -199,46 +212,49 @@ def parameters(t):
     name = F.when(F.col("p_size") < 10, F.concat(F.lit("log_archive_dest_"), "p_partkey")).otherwise(F.col("p_name"))
     name = F.when(F.col("p_size") < 3, F.concat(F.lit("log_archive_dest_state_"), "p_partkey")).otherwise(name)
     return t.part.select(
+        database("p_partkey"),
         name.alias("name"),
         F.when(F.col("p_brand") != "Brand#7", F.col("p_brand")).alias("value"),
         F.when(F.col("p_type") == "PROMO", "FALSE").otherwise("TRUE").alias("isdefault"),
     )
 
 
-PARAMS_SQL = """p AS (SELECT CASE WHEN p_size < 3 THEN 'log_archive_dest_state_' || p_partkey
+PARAMS_SQL = """p AS (SELECT 'DB' || p_partkey % 3 AS database, CASE WHEN p_size < 3 THEN 'log_archive_dest_state_' || p_partkey
       WHEN p_size < 10 THEN 'log_archive_dest_' || p_partkey ELSE p_name END AS name,
       CASE WHEN p_brand <> 'Brand#7' THEN p_brand END AS value, p_type FROM part)"""
 
 
 @query(
     "h10_non_default_parameters",
-    f"WITH {PARAMS_SQL} SELECT name || ' => ' || coalesce(value, '') AS param FROM p WHERE p_type = 'PROMO'",
+    f"WITH {PARAMS_SQL} SELECT database, name || ' => ' || coalesce(value, '') AS param FROM p WHERE p_type = 'PROMO'",
 )
 def h10(t):
-    return hl.non_default_parameters(parameters(t))
+    return hl.non_default_parameters(parameters(t), DB)
 
 
 @query(
     "h10_archive_destinations",
-    f"""WITH {PARAMS_SQL} SELECT rpad(name, 20, ' ') || ' => ' || value AS dest FROM p
+    f"""WITH {PARAMS_SQL} SELECT database, rpad(name, 20, ' ') || ' => ' || value AS dest FROM p
     WHERE name LIKE 'log_archive_dest%' AND value IS NOT NULL AND name NOT LIKE '%state%'""",
 )
 def h10_archive(t):
-    return hl.archive_destinations(parameters(t))
+    return hl.archive_destinations(parameters(t), DB)
 
 
 @query(
     "h11_link_list",
-    "SELECT n_name || '.' || s_name || ' =>' || s_suppkey || '@' || s_nationkey AS dblink FROM supplier JOIN nation ON n_nationkey = s_nationkey",
+    """SELECT 'DB' || s_suppkey % 3 AS database, n_name || '.' || s_name || ' =>' || s_suppkey || '@' || s_nationkey AS dblink
+    FROM supplier JOIN nation ON n_nationkey = s_nationkey""",
 )
 def h11(t):
     links = t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey")).select(
+        database("s_suppkey"),
         F.col("n_name").alias("owner"),
         F.col("s_name").alias("db_link"),
         F.col("s_suppkey").cast("string").alias("username"),
         F.col("s_nationkey").cast("string").alias("host"),
     )
-    return hl.link_list(links)
+    return hl.link_list(links, DB)
 
 
 def banners(t):

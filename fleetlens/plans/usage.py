@@ -87,14 +87,25 @@ NEWEST_SQL = """nw AS (SELECT con_id, dbid, version, last_sample_date FROM st
       QUALIFY row_number() OVER (PARTITION BY con_id ORDER BY last_sample_date DESC NULLS LAST, dbid DESC, version DESC) = 1)"""
 
 
+def fleet_stats(t):
+    """The statistics by database; one of them was never sampled."""
+    never = F.col("database") == "DB9"
+    rows = stats(t).withColumn("database", F.concat(F.lit("DB"), F.when(F.col("aux_count") == 3, 9).otherwise(F.col("aux_count"))))
+    rows = rows.withColumn("last_sample_date", F.when(~never, F.col("last_sample_date")))
+    return rows.withColumn("total_samples", F.when(never, 0).otherwise(F.col("total_samples")))
+
+
 @query(
     "l02_latest_sample",
-    f"""WITH {STATS_SQL}, {NEWEST_SQL} SELECT con_id, dbid AS last_dbid, version AS last_version, last_sample_date,
-      CASE WHEN (SELECT max(last_sample_date) IS NULL AND max(total_samples) = 0 FROM st) THEN 'NEVER SAMPLED !!!' ELSE '' END AS remarks
-    FROM nw""",
+    f"""WITH {STATS_SQL}, f AS (SELECT * REPLACE (CASE WHEN aux_count <> 3 THEN last_sample_date END AS last_sample_date,
+      CASE WHEN aux_count = 3 THEN 0 ELSE total_samples END AS total_samples), 'DB' || CASE aux_count WHEN 3 THEN 9 ELSE aux_count END AS database FROM st),
+    r AS (SELECT database, max(last_sample_date) IS NULL AND max(total_samples) = 0 AS never FROM f GROUP BY database)
+    SELECT database, con_id, max_by(dbid, k) AS last_dbid, max_by(version, k) AS last_version, max(last_sample_date) AS last_sample_date,
+      CASE WHEN any_value(never) THEN 'NEVER SAMPLED !!!' ELSE '' END AS remarks
+    FROM (SELECT *, (coalesce(last_sample_date, TIMESTAMP '1000-01-01'), dbid, version) AS k FROM f JOIN r USING (database)) GROUP BY database, con_id""",
 )
 def l02(t):
-    return us.latest_sample(stats(t))
+    return us.latest_sample(fleet_stats(t), database="database")
 
 
 CURRENT_SQL = f"""{STATS_SQL}, {NEWEST_SQL}, cu AS (SELECT st.*, CASE WHEN st.dbid = nw.dbid AND st.version = nw.version
@@ -106,11 +117,13 @@ def l03(t):
     return us.mark_current(stats(t))
 
 
-MAPPED_SQL = f"""{CURRENT_SQL}, {MAP_SQL}, jn AS (SELECT cu.*, product, condition, mversion,
-      first_value(mversion) OVER (PARTITION BY con_id, name, version ORDER BY mversion DESC NULLS LAST) AS best
-      FROM mp JOIN cu ON feature = name AND mversion = substr(version, 1, length(mversion)) WHERE coalesce(total_samples, 0) > 0),
-    pf AS (SELECT * EXCLUDE (best) FROM jn WHERE mversion = best AND coalesce(condition, '-') <> 'INVALID'
-      AND NOT (coalesce(condition, '') = 'C003' AND con_id NOT IN (0, 1)))"""
+# The longest prefix is sought once for each name and version, whatever the container.
+MAPPED_SQL = f"""{CURRENT_SQL}, {MAP_SQL},
+    seen AS (SELECT DISTINCT name, version FROM st WHERE total_samples > 0),
+    fits AS (SELECT name, version, max(length(mversion)) AS n FROM seen JOIN mp ON feature = name AND starts_with(version, mversion) GROUP BY ALL),
+    pf AS (SELECT cu.*, product, condition, mversion FROM cu JOIN fits ON fits.name = cu.name AND fits.version = cu.version
+      JOIN mp ON feature = cu.name AND mversion = left(cu.version, n)
+      WHERE total_samples > 0 AND condition IS DISTINCT FROM 'INVALID' AND (con_id <= 1 OR condition IS DISTINCT FROM 'C003'))"""
 
 
 @query("l04_best_prefix_map", f"WITH {MAPPED_SQL} SELECT * EXCLUDE (current_entry) FROM pf")
@@ -118,16 +131,24 @@ def l04(t):
     return us.best_prefix_map(stats(t), product_map(t))
 
 
-CLASS_SQL = f"""{MAPPED_SQL}, cl AS (SELECT *, CASE WHEN condition = 'BUG' THEN 3
-      WHEN detected_usages > 0 AND (coalesce(trim(condition), '') = ''
-        OR condition = 'C001' AND regexp_matches(feature_info, '(?i)compression used: *TRUE')
-        OR condition = 'C002' AND regexp_matches(feature_info, '(?i)encryption used: *TRUE')
-        OR condition = 'C003' AND con_id = 1 AND aux_count > 1)
-      THEN CASE WHEN current_entry = 'Y' AND currently_used = 'TRUE' THEN 6 ELSE 4 END
-      WHEN detected_usages > 0 AND (condition = 'C001' AND regexp_matches(feature_info, '(?i)compression used:[ 0-9]*[1-9][ 0-9]*time')
-        OR condition = 'C002' AND regexp_matches(feature_info, '(?i)encryption used:[ 0-9]*[1-9][ 0-9]*time'))
-      THEN CASE WHEN current_entry = 'Y' AND currently_used = 'TRUE' THEN 5 ELSE 4 END
-      WHEN current_entry = 'Y' THEN 2 ELSE 1 END AS usage_class FROM pf)"""
+# What a feature's text says where it was used (for sure, or perhaps only once).
+TEXTS = [
+    ("C001", "(?i)compression used: *TRUE", "(?i)compression used:[ 0-9]*[1-9][ 0-9]*time"),
+    ("C002", "(?i)encryption used: *TRUE", "(?i)encryption used:[ 0-9]*[1-9][ 0-9]*time"),
+]
+# evidence of use (none, perhaps, sure), the entry's state (old, current, current and in use), class
+CLASSES = [(0, 0, 1), (0, 1, 2), (0, 2, 2), (1, 0, 4), (1, 1, 4), (1, 2, 5), (2, 0, 4), (2, 1, 4), (2, 2, 6)]
+LABELS = [
+    (1, "NO_USAGE"), (2, "NO_USAGE"), (3, "SUPPRESSED_DUE_TO_BUG"), (4, "PAST_USAGE"), (5, "PAST_OR_CURRENT_USAGE"), (6, "CURRENT_USAGE"),
+]
+CLASS_SQL = f"""{MAPPED_SQL}, tx AS (SELECT * FROM (VALUES {sql_values(TEXTS)}) v(rule, sure, perhaps)),
+    lv AS (SELECT * FROM (VALUES {sql_values(CLASSES)}) v(evidence, state, found)),
+    ev AS (SELECT pf.*, coalesce(detected_usages, 0) > 0 AS used, coalesce(trim(condition), '') = '' AS plain,
+      coalesce(regexp_matches(feature_info, sure), false) OR (condition = 'C003' AND con_id = 1 AND aux_count > 1) AS proven,
+      coalesce(regexp_matches(feature_info, perhaps), false) AS likely,
+      (current_entry = 'Y')::INT * (1 + (currently_used IS NOT DISTINCT FROM 'TRUE')::INT) AS state FROM pf LEFT JOIN tx ON rule = condition),
+    cl AS (SELECT ev.* EXCLUDE (used, plain, proven, likely, state), if(condition IS NOT DISTINCT FROM 'BUG', 3, found) AS usage_class
+      FROM ev JOIN lv ON lv.state = ev.state AND evidence = used::INT * greatest(2 * (plain OR coalesce(proven, false))::INT, likely::INT))"""
 
 
 def classified(t):
@@ -140,13 +161,14 @@ def l05(t):
 
 
 def report_sql(where: str) -> str:
-    return f"""WITH {CLASS_SQL} SELECT grouping(con_id) AS gid, con_id,
-      CASE WHEN grouping(con_id) = 1 THEN '--ALL--' ELSE max(con_name) END AS con_name, product,
-      CASE max(usage_class) WHEN 1 THEN 'NO_USAGE' WHEN 2 THEN 'NO_USAGE' WHEN 3 THEN 'SUPPRESSED_DUE_TO_BUG' WHEN 4 THEN 'PAST_USAGE'
-        WHEN 5 THEN 'PAST_OR_CURRENT_USAGE' ELSE 'CURRENT_USAGE' END AS usage,
-      max(last_sample_date) AS last_sample_date, min(first_usage_date) AS first_usage_date, max(last_usage_date) AS last_usage_date
-    FROM cl WHERE {where} GROUP BY GROUPING SETS ((con_id, product), (product))
-    HAVING NOT (max(con_id) IN (-1, 0) AND grouping(con_id) = 1)"""
+    """One row per product and container, and one per product over all that are more than a root."""
+    figures = """product, max(usage_class) AS class, max(last_sample_date) AS last_sample_date,
+      min(first_usage_date) AS first_usage_date, max(last_usage_date) AS last_usage_date"""
+    return f"""WITH {CLASS_SQL}, lb AS (SELECT * FROM (VALUES {sql_values(LABELS)}) v(class, usage)),
+    w AS (SELECT * FROM cl WHERE {where}),
+    r AS (SELECT 0 AS gid, con_id, max(con_name) AS con_name, {figures} FROM w GROUP BY con_id, product
+      UNION ALL SELECT 1, NULL, '--ALL--', {figures} FROM w GROUP BY product HAVING max(con_id) > 0)
+    SELECT gid, con_id, con_name, product, usage, last_sample_date, first_usage_date, last_usage_date FROM r JOIN lb ON lb.class = r.class"""
 
 
 @query("l06_product_usage", report_sql("usage_class IN (2, 4, 5, 6)"))
@@ -225,11 +247,12 @@ def l09(t):
 
 @query(
     "l09_audited_parameters",
-    """SELECT DISTINCT CASE p_type WHEN 'PROMO' THEN 'ENABLE_DDL_LOGGING' ELSE 'control_management_pack_access' END AS parameter,
+    """SELECT DISTINCT 'DB' || p_size % 3 AS database, CASE p_type WHEN 'PROMO' THEN 'ENABLE_DDL_LOGGING' ELSE 'control_management_pack_access' END AS parameter,
       p_brand AS value FROM part WHERE p_type IN ('PROMO', 'LARGE')""",
 )
 def l09_parameters(t):
     name = F.when(F.col("p_type") == "PROMO", "ENABLE_DDL_LOGGING").when(
         F.col("p_type") == "LARGE", "control_management_pack_access"
     ).otherwise(F.col("p_name"))
-    return us.audited_parameters(t.part.select(name.alias("name"), F.col("p_brand").alias("value")))
+    database = F.concat(F.lit("DB"), F.col("p_size") % 3)
+    return us.audited_parameters(t.part.select(database.alias("database"), name.alias("name"), F.col("p_brand").alias("value")), "database")

@@ -4,7 +4,8 @@ from datetime import datetime
 
 import pytest
 
-from fleetlens.operators import backups, capacity, health, locks, series, usage
+from fleetlens.operators import backups, capacity, health, inventory, locks, series, usage
+from fleetlens.sinks import tables
 
 NOW = datetime(2024, 1, 10)
 DB = "database"
@@ -93,3 +94,53 @@ def test_groups_volumes_and_features(spark):
     stats = spark.createDataFrame([("A", "f", "12.1", 1, None), ("B", "f", "19.3", 1, None)], "database string, name string, version string, detected_usages int, feature_info string")
     assert {r.database for r in usage.feature_usage(stats, ["f"], {}, by=DB).collect()} == {"A", "B"}
     assert {r.database for r in usage.feature_usage(stats, ["f"], {}).collect()} == {"B"}
+
+
+def test_reports_keep_the_database(spark):
+    soon = datetime(2024, 1, 20)
+    users = spark.createDataFrame([(d, "X", "OPEN", soon, "P") for d in "AB"], "database string, username string, account_status string, expiry_date timestamp_ntz, profile string")
+    due = health.password_expiry(users, NOW, by=DB)
+    assert {r.database for r in due.collect()} == {"A", "B"}
+    assert {(r.database, r.message.split()[3]) for r in health.password_expiry_message(due, DB).collect()} == {("A", "1"), ("B", "1")}
+    assert {r.database for r in health.service_account_expiry(users, ["X"], NOW, by=DB).collect()} == {"A", "B"}
+    jobs = spark.createDataFrame([(d, 1, "u", NOW, "Y", 0, "w") for d in "AB"], "database string, job int, log_user string, last_date timestamp_ntz, broken string, failures int, what string")
+    assert {r.database for r in health.broken_jobs(jobs, DB).collect()} == {"A", "B"}
+    owners = spark.createDataFrame([("A", "o"), ("A", "o"), ("B", "o")], "database string, owner string")
+    assert {(r.database, r.recyclebin_objects) for r in health.count_by_owner(owners, DB).collect()} == {("A", 2), ("B", 1)}
+    params = spark.createDataFrame([(d, "log_archive_dest_1", "v", "FALSE") for d in "AB"], "database string, name string, value string, isdefault string")
+    assert {r.database for r in health.non_default_parameters(params, DB).collect()} == {"A", "B"}
+    assert {r.database for r in health.archive_destinations(params, DB).collect()} == {"A", "B"}
+    links = spark.createDataFrame([(d, "o", "l", "u", "h") for d in "AB"], "database string, owner string, db_link string, username string, host string")
+    assert {r.database for r in health.link_list(links, DB).collect()} == {"A", "B"}
+    audited = spark.createDataFrame([(d, "enable_ddl_logging", "TRUE") for d in "AB"], "database string, name string, value string")
+    assert usage.audited_parameters(audited, DB).count() == 2
+
+
+def test_files_of_groups_with_one_number(spark):
+    files = spark.createDataFrame([], "database string, file_name string, bytes long")
+    members = spark.createDataFrame([(d, 1, "/r/m") for d in "AB"], "database string, group_no int, member string")
+    groups = spark.createDataFrame([("A", 1, 1048576), ("B", 1, 2097152)], "database string, group_no int, bytes long")
+    control = spark.createDataFrame([], "database string, file_name string, block_size long, file_size_blocks long")
+    found = capacity.all_files(files, files, members, groups, control, DB)
+    want = {("A", 1.0), ("B", 2.0)}
+    assert {(r.database, r.meg) for r in capacity.size_by_directory(found, DB).collect()} == want
+    assert {(r.database, r.meg) for r in capacity.total_size(found, DB).collect()} == want
+    assert {(r.database, r.mount_size / 1048576) for r in capacity.size_by_prefix(found, 2, DB).collect()} == want
+
+
+def test_a_database_that_was_never_sampled(spark):
+    rows = [("A", 1, 5, "12", NOW, 3), ("A", 2, 5, "12", None, 0), ("B", 1, 6, "19", None, 0), (None, 1, 7, "19", None, 0)]
+    stats = spark.createDataFrame(rows, "database string, con_id int, dbid int, version string, last_sample_date timestamp_ntz, total_samples int")
+    got = {(r.database, r.con_id): bool(r.remarks) for r in usage.latest_sample(stats, database=DB).collect()}
+    assert got == {("A", 1): False, ("A", 2): False, ("B", 1): True, (None, 1): True}
+
+
+def test_reported_twice_is_one_inventory_row(spark):
+    databases = spark.createDataFrame([("d", "s", 1), ("e", "s", 2)], "database_name string, server string, dbid int")
+    servers = spark.createDataFrame([("s", "h")], "server string, physical_server_abbrev string")
+    reported = spark.createDataFrame([("d", "h", 7), ("d", "h", 8), ("e", "h", 9), ("e", "h", 9)], "database_name string, host_name string, dbid int")
+    duplicates, updated = inventory.identity_reconcile(reported, databases, servers)
+    assert sorted(map(tuple, updated.collect())) == [("d", "s", 1), ("e", "s", 9)]
+    assert {r.dbid for r in duplicates.collect()} == {9}
+    with pytest.raises(Exception, match="repeats a key"):
+        tables.update_matching(databases, reported.withColumnRenamed("host_name", "server").replace("h", "s"), ["database_name", "server"], ["dbid"]).collect()
