@@ -49,7 +49,7 @@ class Model:
     """mass: m of each order from 2 on; base: of the logarithm of counts; least: counts below are not stored, by order."""
 
     order: int = 3
-    mass: tuple[float, ...] = (100.0, 20.0)
+    mass: tuple[float, ...] = (2000.0, 100.0)
     least: tuple[int, ...] = (1, 1, 2)
     base: float = 1.5
     hashes: int = 6
@@ -241,12 +241,16 @@ class Parts:
     hashes: int
 
     @staticmethod
-    def of(rows: list[tuple[int, bytes, int]], parts: int, hashes: int) -> Parts:
-        start, size, at = np.zeros(parts, np.uint64), np.zeros(parts, np.uint64), 0
-        for part, bits, n in rows:
-            start[part], size[part] = at, n
-            at += 8 * len(bits)
-        return Parts(np.frombuffer(b"".join(b for _, b, _ in rows), np.uint8), start, size, hashes)
+    def of(rows: pa.Table, number: np.ndarray, parts: int, hashes: int) -> Parts:
+        """Of rows with bits and size, and the number of each; the bits are not copied."""
+        start, size = np.zeros(parts, np.uint64), np.zeros(parts, np.uint64)
+        if not len(rows):
+            return Parts(np.zeros(0, np.uint8), start, size, hashes)
+        bits = rows["bits"].combine_chunks()
+        _, offsets, data = bits.buffers()
+        start[number] = np.frombuffer(offsets, np.int32)[bits.offset : bits.offset + len(bits)].astype(np.uint64) * np.uint64(8)
+        size[number] = rows["size"].to_numpy()
+        return Parts(np.frombuffer(data, np.uint8), start, size, hashes)
 
     def levels(self, part: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Levels of n-grams by repeated probes: each round, those that are still there go on."""
@@ -329,8 +333,8 @@ ROWS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, ba
 
 def scored_by_broadcast(docs: DataFrame, parts: DataFrame, known: Known, model: Model, part_bits: int) -> DataFrame:
     found = parts.toArrow()
-    rows = list(zip(*(found[c].to_pylist() for c in ("part", "bits", "size")), strict=True))
-    sent = docs.sparkSession.sparkContext.broadcast((known, Parts.of(rows, 1 << part_bits, model.hashes)))
+    sent = docs.sparkSession.sparkContext.broadcast((known, Parts.of(found, found["part"].to_numpy(), 1 << part_bits, model.hashes)))
+    del found
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table = sent.value
@@ -378,7 +382,7 @@ def scored_by_parts(docs: DataFrame, parts: DataFrame, known: Known, model: Mode
                 yield pa.RecordBatch.from_arrays(columns, names=["run", "part", "keys"])
 
     def answer(asked: pa.Table, there: pa.Table) -> pa.Table:
-        table = Parts.of([(0, there["bits"][0].as_py(), there["size"][0].as_py())] if len(there) else [], 1, model.hashes)
+        table = Parts.of(there, np.zeros(len(there), np.int64), 1, model.hashes)
         out = []
         for raw in asked["keys"]:
             keys = unpacked(raw.as_py())

@@ -8,6 +8,7 @@ from collections import Counter
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fleetlens.llm import lmscore
@@ -115,7 +116,7 @@ def test_filter_counts_up_and_errs_on_one_side():
     n = np.maximum(draw.zipf(1.8, len(keys)), 1)
     levels = lmscore.levels_of(n, 1.5)
     bits, size = lmscore.filled(keys, levels, 6)
-    table = lmscore.Parts.of([(0, bits.tobytes(), size)], 1, 6)
+    table = lmscore.Parts.of(pa.table({"bits": [b"", bits.tobytes()], "size": [64, size]}), np.array([1, 0]), 2, 6)
     found = table.levels(np.zeros(len(keys), np.int64), keys)
     assert (found >= levels).all() and (found > levels).mean() < 0.03
     assert (table.levels(np.zeros(len(others), np.int64), others) > 0).mean() < 0.03
