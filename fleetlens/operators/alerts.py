@@ -191,3 +191,25 @@ def error_histogram(lines: DataFrame, line: str = "line", pattern: str = LOG_ERR
     """How often each distinct error line occurs, warnings left out."""
     hits = lines.filter(F.col(line).rlike(pattern) & ~F.col(line).contains(ignore))
     return hits.groupBy(line).agg(F.count("*").alias("occurrences"))
+
+
+def error_sketches(lines: DataFrame, by, line: str = "line", pattern: str = LOG_ERRORS, ignore: str = "(WARN)", tracked: int = 10_000) -> DataFrame:
+    """One sketch of the error lines of each ``by`` (a day, say): how often the frequent ones occur.
+
+    A sketch has a fixed size and can be stored. Counts are exact while a sketch has met fewer than
+    ``tracked`` distinct lines; beyond that they are estimates that fall short by no more than a
+    fixed share of all lines, which shrinks as ``tracked`` grows.
+    """
+    hits = lines.filter(F.col(line).rlike(pattern) & ~F.col(line).contains(ignore))
+    return hits.groupBy(*columns(by)).agg(F.expr(f"approx_top_k_accumulate(`{line}`, {tracked})").alias("sketch"))
+
+
+def most_frequent(sketches: DataFrame, k: int, by=(), tracked: int = 10_000) -> DataFrame:
+    """The ``k`` most frequent lines of the merged sketches, per ``by`` if given: line, occurrences.
+
+    Sketches of days merge to that of a week as if its lines had been sketched at once.
+    """
+    by = columns(by)
+    merged = sketches.groupBy(*by).agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
+    top = F.explode(F.expr(f"approx_top_k_estimate(sketch, {k})")).alias("top")
+    return merged.select(*by, top).select(*by, F.col("top.item").alias("line"), F.col("top.count").alias("occurrences"))

@@ -8,6 +8,7 @@ from fleetlens.functions.semantics import ntz
 from fleetlens.operators import alerts as al
 from fleetlens.plans.capacity import CONTAINER_SQL, usage
 from fleetlens.plans.registry import AS_OF, EVENT_NOW, query
+from fleetlens.sinks.tables import settled
 
 HALF = "2024-01-16 00:00:00"
 
@@ -197,6 +198,19 @@ def a08(t):
     return al.error_histogram(document_lines(t), pattern="(?i)and|ein|FAILED")
 
 
+@query(
+    "a08_daily_sketches",
+    """SELECT user_id % 3 AS part, event_type || ' ' || user_id % 40 AS line, count(*) AS occurrences FROM events
+    WHERE event_type <> 'view' GROUP BY ALL""",
+)
+def a08_sketches(t):
+    """Sketches of each day and part, stored, read back and merged over the days."""
+    line = F.concat_ws(" ", "event_type", (F.col("user_id") % 40).cast("string"))
+    rows = t.events.select(F.to_date("ts").alias("day"), (F.col("user_id") % 3).alias("part"), line.alias("line"))
+    sketches = settled(al.error_sketches(rows, ["day", "part"], pattern="^(?!view)"), "sketches")
+    return al.most_frequent(sketches, 1000, "part")
+
+
 @query("a09_extract_severe", f"WITH {CLASS_SQL} SELECT * FROM cl WHERE level IN ('HEADING', 'WARNING', 'ERROR')")
 def a09(t):
     return al.extract_severe(classified(t))

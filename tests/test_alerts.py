@@ -112,3 +112,21 @@ def test_password_messages(spark):
     assert {r.username for r in issues.collect()} == {"a", "c"}
     assert "2 users" in hl.password_expiry_message(issues).first().message
     assert "No Password" in hl.password_expiry_message(issues.filter("username = 'x'")).first().message
+
+
+def test_daily_sketches_merge_to_the_whole(spark, rows_of):
+    lines = spark.range(6000).selectExpr("id % 5 AS day", "concat('FAILED ', least(id % 97, id % 89)) AS line")
+    lines = lines.unionByName(spark.createDataFrame([(1, "FAILED (WARN)"), (2, "fine")], "day long, line string"))
+    sketches = al.error_sketches(lines, "day", pattern="FAILED|fine", tracked=1000)
+    assert sketches.count() == 5
+    whole = al.error_histogram(lines, pattern="FAILED|fine").select("line", "occurrences")
+    assert rows_of(al.most_frequent(sketches, 500, tracked=1000)) == rows_of(whole)
+    per_day = lines.filter("day = 3").groupBy("line").count()
+    assert rows_of(al.most_frequent(sketches.filter("day = 3"), 500, tracked=1000)) == rows_of(per_day)
+
+
+def test_a_small_sketch_keeps_the_frequent_lines(spark):
+    rows = spark.range(30_000).selectExpr("0 AS day", "CASE WHEN id % 3 = 0 THEN 'FAILED often' WHEN id % 5 = 0 THEN 'FAILED too' ELSE concat('FAILED ', id) END AS line")
+    top = al.most_frequent(al.error_sketches(rows, "day", pattern="FAILED", tracked=200), 2, tracked=200).collect()
+    exact = {"FAILED often": 10_000, "FAILED too": 4_000}
+    assert {r.line for r in top} == set(exact) and all(abs(r.occurrences - exact[r.line]) < 1000 for r in top)
