@@ -1,16 +1,20 @@
 """Mixing sources to target weights.
 
-The words of a source are packed, document after document, into blocks of a fixed length. The mix
-is a row of output shards with a fixed number of slots. Each shard draws how many of its slots each
-source gets; the draws are multinomial, taken with stratified uniforms so that counts stay within
-one slot of their expectation. The slots of a source, numbered over all shards, go through a
-pseudorandom permutation of the source's block numbers, a new one for each pass over the source,
-and blocks are joined by number. Everything runs as DataFrame expressions; no step holds a whole
-source, since prefix sums go over chunks.
+The words of a source are packed, document after document, into blocks of a fixed length; blocks of
+small sources are shorter, so that each has some hundreds. The mix is a row of output shards with a
+fixed number of slots. How many slots of a shard each source gets is multinomial, given that all
+shards together meet the targets: the slots of the whole mix, as many for each source as its target
+asks for, go through one pseudorandom permutation, which deals them to the shards like a shuffled
+deck. The slots of a source go through a pseudorandom permutation of its block numbers, a new one for
+each pass over the source, and blocks are joined by number. Everything runs as DataFrame
+expressions. No step holds a whole source or all slots: prefix sums go over chunks, and slots are
+unfolded in three steps and dealt out in between.
 
 Defined cases: a null text has no words; a null source is a source of its own, the last one; a
-source without words has the target 0; repeated rows are mixed as rows of their own; an empty table
-gives an empty result.
+source without words has the target 0; texts of any length are counted whole; repeated rows are
+mixed as rows of their own, those that agree in identifier and size in either order; an empty table
+gives an empty result; other columns are not looked at, and stay as they are where whole rows come
+back, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +25,10 @@ from pyspark.sql import functions as F
 from fleetlens.llm import shared
 
 BLOCK_WORDS = 32
+# A source has at least so many blocks, if it has as many words.
+SOURCE_BLOCKS = 512
 SHARD_SLOTS = 4096
+UNFOLD_LOG2 = 14
 # Multipliers of the block permutations: primes, of which two that do not divide the number of
 # blocks are used. Small enough that a product with 2^43 blocks is exact.
 PRIMES = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121)
@@ -40,29 +47,31 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, l
     the level at which they stop, which makes the sums running ones. One row per source.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    everything = Window.orderBy(F.col("source").asc_nulls_last())
-    per = per.withColumn("s", F.row_number().over(everything) - 1)
+    order = F.col("source").asc_nulls_last()
+    per = shared.in_order(per.withColumn("one", F.lit(1).cast("long")), order, name="mix-sources")
+    per = shared.running_total(per, [], "chunk", [order], "one", "s").drop("chunk", "one")
     pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("s") % len(weights) + 1).cast("int"))
     per = per.withColumns({"weight": pick, "most": F.col("source_size") * float(limit)})
-    per = per.withColumn("stops_at", F.col("most") / F.col("weight"))
-    before = Window.orderBy("stops_at", "s").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.orderBy("stops_at", "s").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    total = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = per.withColumns(
-        {
-            "left_over": F.sum("source_size").over(total) * float(share) - F.coalesce(F.sum("most").over(before), F.lit(0.0)),
-            "weight_left": F.sum("weight").over(after),
-        }
-    )
+    order = [F.col("stops_at"), F.col("s")]
+    per = shared.in_order(per.withColumn("stops_at", F.col("most") / F.col("weight")), *order, name="mix-levels")
+    totals = per.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    for value, out in (("most", "most_before"), ("weight", "weight_before")):
+        per = shared.running_total(per, [], "chunk", order, value, out)
     # The first source that its level does not reach sets the level of all later ones.
-    open_level = F.when(F.col("left_over") / F.col("weight_left") < F.col("stops_at"), F.col("left_over") / F.col("weight_left"))
-    per = per.withColumn("level", F.max(open_level).over(total))
-    target = F.when(F.col("level").isNull() | (F.col("stops_at") <= F.col("level")), F.col("most")).otherwise(F.col("weight") * F.col("level"))
+    level = (float(totals["size"] or 0) * float(share) - F.col("most_before")) / (float(totals["weight"] or 0) - F.col("weight_before"))
+    per = shared.written(per.withColumn("own_level", level), "mix-levels")
+    level = per.agg(F.max(F.when(F.col("own_level") < F.col("stops_at"), F.col("own_level")))).first()[0]
+    target = F.col("most")
+    if level is not None:
+        target = F.when(F.col("stops_at") <= level, F.col("most")).otherwise(F.col("weight") * level)
     return per.select("source", "s", "source_size", target.alias("target"))
 
 
 def permuted(x: Column, n: Column, seed: list[Column]) -> Column:
-    """A pseudorandom permutation of 0..n-1, chosen by the seed: affine map, rows turned by a hash, affine map."""
+    """A pseudorandom permutation of 0..n-1, chosen by the seed.
+
+    An affine map, then numbers as a grid whose columns and rows are turned by hashes, then an affine map.
+    """
 
     def multiplier(which: int) -> Column:
         first = F.pmod(F.xxhash64(*seed, F.lit(which)), F.lit(len(PRIMES))).cast("int")
@@ -78,38 +87,49 @@ def permuted(x: Column, n: Column, seed: list[Column]) -> Column:
     whole = n - n % width
     v = affine(x, 1)
     row, col = F.floor(v / width).cast("long"), v % width
+    rows = F.greatest(F.floor(whole / width).cast("long"), F.lit(1))
+    row = (row + F.pmod(F.xxhash64(*seed, F.lit(30), col), rows)) % rows
     turned = F.when(v < whole, row * width + (col + F.pmod(F.xxhash64(*seed, F.lit(20), row), width)) % width).otherwise(v)
     return affine(turned, 2)
 
 
-def slot_counts(sources: DataFrame, block_words: int, shard_slots: int) -> DataFrame:
-    """Per shard and source: how many slots of the shard the source gets, and its slots before."""
-    total = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    upto = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def in_blocks(sources: DataFrame, block_words: int, source_blocks: int, limit: int) -> DataFrame:
+    """The sources with words and a target: with block_words, blocks and slots, the blocks that the mix takes."""
+    length = F.floor(F.col("source_size") / source_blocks).cast("long")
     used = sources.filter("source_size > 0 and target > 0")
-    used = used.withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block_words)).cast("long"))
-    used = used.withColumn("want", F.col("target") * F.col("blocks") / F.col("source_size"))
-    used = used.withColumns({"all_want": F.sum("want").over(total), "high": F.sum("want").over(upto)})
-    used = used.withColumns({"low": (F.col("high") - F.col("want")) / F.col("all_want"), "high": F.col("high") / F.col("all_want")})
-    used = used.withColumn("slots", F.greatest(F.round("all_want").cast("long"), F.lit(1)))
-    shards = used.select(
-        "s", "blocks", "low", "high", "slots",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / shard_slots).cast("long"))).alias("shard"),
-    )
-    shards = shards.withColumn("here", F.least(F.lit(shard_slots).cast("long"), F.col("slots") - F.col("shard") * shard_slots))
-
-    def below(edge: Column) -> Column:
-        """Of the shard's stratified uniforms, how many lie below the edge."""
-        at = F.least(F.greatest(edge, F.lit(0.0)), F.lit(1.0)) * F.col("here")
-        whole = F.floor(at).cast("long")
-        return whole + F.when(uniform(F.lit("slot"), "shard", whole) < at - whole, 1).otherwise(0)
-
-    # The last source ends at 1, whatever rounding made of its sum.
-    high = F.when(F.col("high") > 1 - 1e-12, F.lit(1.0)).otherwise(F.col("high"))
-    low = F.when(F.col("low") < 1e-12, F.lit(0.0)).otherwise(F.col("low"))
-    shards = shards.withColumn("count", below(high) - below(low)).filter("count > 0")
-    shards = shards.withColumn("chunk", F.floor(F.col("shard") / 1024)).select("s", "blocks", "shard", "chunk", "count")
-    return shared.running_total(shards, ["s"], "chunk", [F.col("shard")], "count", "first")
+    used = used.withColumn("block_words", F.greatest(F.lit(1).cast("long"), F.least(F.lit(block_words).cast("long"), length)))
+    used = used.withColumn("blocks", F.ceil(F.col("source_size") / F.col("block_words")).cast("long"))
+    want = F.round(F.col("target") / F.col("block_words")).cast("long")
+    return used.withColumn("slots", F.greatest(F.lit(1).cast("long"), F.least(want, F.col("blocks") * limit)))
+
+
+def unfolded(rows: DataFrame, count: str, out: str, keep: list[str]) -> DataFrame:
+    """Each row as often as ``count`` says, numbered from 0 in ``out``; no row gives more than 2^UNFOLD_LOG2 at once."""
+    # A stated number, since few rows that unfold to many would be put into one task.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select(*keep, count, F.lit(0).cast("long").alias(out))
+    for step in (2 * UNFOLD_LOG2, UNFOLD_LOG2, 0):
+        last = F.least(F.shiftright(F.col(count) - 1, step) - F.shiftleft(F.col(out), UNFOLD_LOG2), F.lit((1 << UNFOLD_LOG2) - 1).cast("long"))
+        # What is over in the first step goes on in it, since numbers there have no limit.
+        last = F.shiftright(F.col(count) - 1, step) if step == 2 * UNFOLD_LOG2 else last
+        low = F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("low")
+        rows = rows.select(*keep, count, out, low).withColumn(out, F.shiftleft(F.col(out), UNFOLD_LOG2) + F.col("low")).drop("low")
+        if step:
+            rows = rows.repartition(tasks, *keep[:1], out)
+    return rows
+
+
+def slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """One row per slot of the mix: shard, place in it, source number s, and the block that fills it; sources as of ``in_blocks``."""
+    placed = shared.in_order(sources, F.col("s"), name="mix-slots")
+    placed = shared.running_total(placed, [], "chunk", [F.col("s")], "slots", "slots_before")
+    total = sources.agg(F.sum("slots")).first()[0] or 0
+    rows = unfolded(placed, "slots", "j", ["s", "blocks", "slots_before"])
+    again = F.floor(F.col("j") / F.col("blocks")).cast("long")
+    block = permuted(F.col("j") % F.col("blocks"), F.col("blocks"), [F.col("s"), again])
+    at = permuted(F.col("slots_before") + F.col("j"), F.lit(total).cast("long"), [F.lit("shard")])
+    shard, place = F.floor(at / F.lit(shard_slots)).cast("long"), at % F.lit(shard_slots).cast("long")
+    return rows.select(shard.alias("shard"), place.alias("place"), "s", block.alias("block"))
 
 
 def mix(
@@ -121,36 +141,32 @@ def mix(
     share: float = 1.5,
     limit: int = 2,
     block_words: int = BLOCK_WORDS,
-    shard_slots: int = SHARD_SLOTS,
+    source_blocks: int = SOURCE_BLOCKS,
 ) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken.
 
-    A block is taken at most ``limit`` times: slots beyond that, which rounding may draw for a
-    source whose target is at its limit, stay empty.
+    A block is taken at most ``limit`` times.
     """
     pieces = shared.pieces_of_a_group(df.sparkSession)
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(shared.WORD)), F.lit(0)).cast("long")
     sizes = shared.written(
         df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("size")), "mix-sizes"
     )
-    sources = shared.written(source_targets(sizes, weights, share, limit), "mix-sources")
+    sources = shared.written(source_targets(sizes, weights, share, limit), "mix-targets")
+    used = shared.written(in_blocks(sources, block_words, source_blocks, limit), "mix-blocks")
 
     docs = sizes.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     docs = docs.select("doc_id", "s", "size", "source_size", "target")
     docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit("chunk")), F.lit(pieces)))
     laid = shared.running_total(docs.filter("size > 0"), ["s"], "chunk", [F.col("doc_id"), F.col("size")], "size", "start")
-    end = F.col("start") + F.col("size")
-    first, last = F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words)
+    laid = laid.join(used.select("s", "block_words"), "s", "left").withColumn("block_words", F.coalesce("block_words", F.lit(block_words).cast("long")))
+    end, length = F.col("start") + F.col("size"), F.col("block_words")
+    first, last = F.floor(F.col("start") / length), F.floor((end - 1) / length)
     parts = laid.withColumn("block", F.explode(F.sequence(first, last)))
-    inside = F.least(end, (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
-    parts = parts.withColumn("inside", inside).drop("chunk")
+    inside = F.least(end, (F.col("block") + 1) * length) - F.greatest(F.col("start"), F.col("block") * length)
+    parts = parts.withColumn("inside", inside).drop("chunk", "block_words")
 
-    slots = slot_counts(sources, block_words, shard_slots)
-    slots = slots.withColumn("j", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
-    slots = slots.filter(F.col("j") < F.col("blocks") * limit)
-    again = F.floor(F.col("j") / F.col("blocks")).cast("long")
-    slots = slots.select("s", permuted(F.col("j") % F.col("blocks"), F.col("blocks"), [F.col("s"), again]).alias("block"))
-    drawn = slots.groupBy("s", "block").agg(F.count(F.lit(1)).alias("times"))
+    drawn = slots(used).groupBy("s", "block").agg(F.count(F.lit(1)).alias("times"))
 
     # Spark takes exploded rows for as few as the sources they come from; it must not broadcast them.
     taken = parts.join(drawn.hint("merge"), ["s", "block"], "left")
@@ -169,22 +185,26 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     source stay near its target. Documents without words are not part of a mix.
     """
     pieces = shared.pieces_of_a_group(df.sparkSession)
+    key_, place_, copies_, copy_ = (shared.free_name(df, c) for c in ("_key", "_place", "_copies", "_copy"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.xxhash64(F.col(id_col).cast("string"), F.col(source_col).cast("string"), text)
-    order = [F.col(c) for c in df.columns if c != text_col]
-    rows = df.withColumn("_key", key)
-    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("_key").orderBy(*order)))
+    order = [F.col(f"`{c}`") for c in df.columns if c != text_col]
+    rows = df.withColumn(key_, key)
+    rows = rows.withColumn(place_, F.row_number().over(Window.partitionBy(key_).orderBy(*order)))
 
-    taken = mix(rows.select("_key", text_col, source_col), "_key", text_col, source_col, **options).filter("taken > 0")
+    plain = rows.select(F.col(key_).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    taken = mix(plain, **options).filter("taken > 0")
     by_size = F.floor(F.log2(F.col("size").cast("double")) * 4).cast("long") * pieces + F.pmod(F.xxhash64("doc_id", F.lit("size")), F.lit(pieces))
     # Shares in millionths, so that sums do not depend on their order.
     taken = taken.select(
-        F.col("doc_id").alias("_key"), F.xxhash64("source_size", "target").alias("s"), by_size.alias("chunk"),
+        "doc_id", F.xxhash64("source_size", "target").alias("s"), by_size.alias("chunk"),
         F.round(F.col("taken") / F.col("size") * 1_000_000).cast("long").alias("share"), "size",
     )
-    total = shared.running_total(shared.written(taken, "mix-taken"), ["s"], "chunk", [F.col("size"), F.col("_key")], "share", "before")
+    total = shared.running_total(shared.written(taken, "mix-taken"), ["s"], "chunk", [F.col("size"), F.col("doc_id")], "share", "before")
     start = F.pmod(F.xxhash64("s", F.lit("start")), F.lit(1_000_000))
     copies = F.floor((F.col("before") + F.col("share") + start) / 1_000_000) - F.floor((F.col("before") + start) / 1_000_000)
-    place = F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("before")))
-    copies = total.select("_key", place.alias("_place"), copies.cast("int").alias("_copies")).filter("_copies > 0")
-    return rows.join(copies, ["_key", "_place"]).select(*df.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("before")))
+    copies = total.select(F.col("doc_id").alias(key_), place.alias(place_), copies.cast("int").alias(copies_)).filter(F.col(copies_) > 0)
+    mixed_rows = rows.join(copies, [key_, place_])
+    names = [F.col(f"`{c}`") for c in df.columns]
+    return mixed_rows.select(*names, F.explode(F.sequence(F.lit(1), F.col(copies_))).alias(copy_)).drop(copy_)

@@ -55,6 +55,55 @@ def test_mix(frame):
         assert abs(taken[s] - target) <= max(0.03 * target, 10), (s, taken[s], target)
 
 
+def test_small_sources_come_near_their_targets(frame):
+    """Two hundred sources of five short documents each."""
+    rows = [(i, " ".join(["w"] * (1 + i * 13 % 60)), None, f"s{i % 200:03d}") for i in range(1000)]
+    size, want = targets(rows)
+    taken = Counter()
+    for r in mixing.mix(frame(rows)).collect():
+        assert 0 <= r.taken <= 2 * r.size
+        taken[rows[r.doc_id][3]] += r.taken
+    for s, target in want.items():
+        assert abs(taken[s] - target) <= max(0.05 * target, 1), (s, taken[s], target)
+
+
+def plan_of(spark, sizes):
+    """Slots of sources with the given sizes and targets, in words of one."""
+    rows = [(f"s{i}", i, size, float(target)) for i, (size, target) in enumerate(sizes)]
+    sources = spark.createDataFrame(rows, "source string, s long, source_size long, target double")
+    return mixing.in_blocks(sources, 1, 512, 2)
+
+
+def test_slots_fill_shards_and_follow_the_block_permutations(spark):
+    sizes = [(3000, 4500), (700, 1400), (10, 7), (1, 1)]
+    rows = mixing.slots(plan_of(spark, sizes), 100).collect()
+    total = sum(t for _, t in sizes)
+    assert sorted((r.shard, r.place) for r in rows) == [(i // 100, i % 100) for i in range(total)]
+    for s, (size, target) in enumerate(sizes):
+        times = Counter(r.block for r in rows if r.s == s)
+        assert sum(times.values()) == target and set(times) <= set(range(size))
+        # Every block once before any comes again.
+        assert set(times.values()) <= {target // size, -(-target // size)}
+
+
+def test_shard_counts_are_multinomial_given_the_totals(spark):
+    """Mean and variance of a source's slots in a shard are those of draws without return."""
+    rows = mixing.slots(plan_of(spark, [(20_000, 30_000), (20_000, 10_000)]), 100).collect()
+    counts = Counter(r.shard for r in rows if r.s == 0)
+    n = [counts[i] for i in range(400)]
+    mean = sum(n) / 400
+    variance = sum((x - mean) ** 2 for x in n) / 399
+    expected = 100 * 0.75 * 0.25 * (40_000 - 100) / (40_000 - 1)
+    assert mean == 75 and 0.75 * expected < variance < 1.3 * expected
+
+
+def test_unfolding_numbers_every_slot_once(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "UNFOLD_LOG2", 3)
+    df = spark.createDataFrame([(i, n) for i, n in enumerate((1, 7, 8, 9, 64, 65, 700))], "s long, n long")
+    got = Counter((r.s, r.j) for r in mixing.unfolded(df, "n", "j", ["s"]).collect())
+    assert got == Counter((i, j) for i, n in enumerate((1, 7, 8, 9, 64, 65, 700)) for j in range(n))
+
+
 def test_reruns_agree(frame):
     a, b = (sorted(map(tuple, mixing.mix(frame(documents()).repartition(n)).collect())) for n in (2, 5))
     assert a == b
