@@ -8,8 +8,9 @@ added up by the digest of the text.
 
 Defined cases: a null text counts as empty; equal identifiers with equal texts are copies of one
 another and one of those rows stays; a null identifier is smaller than any other when the largest
-stays and larger when the smallest stays; an empty table gives an empty result; other columns of
-the input are not looked at, whatever their names.
+stays and larger when the smallest stays; texts of any length are compared whole; an empty table
+gives an empty result; other columns are not looked at, and stay as they are where whole rows come
+back, whatever their names.
 """
 
 from __future__ import annotations
@@ -84,9 +85,11 @@ def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Rows that agree in identifier and text are one row here, whatever else they hold.
     """
-    stay = copies(df, id_col, text_col, keep).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    id_, sha_, n_ = (shared.free_name(df, c) for c in ("_id", "_sha", "_n"))
+    stay = copies(df, id_col, text_col, keep).filter("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha_))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = df.withColumns({"_sha": F.sha2(text.cast("binary"), 256), "_id": F.col(id_col)})
-    rows = rows.join(stay, (rows["_sha"] == stay["_sha"]) & rows["_id"].eqNullSafe(stay["_id"]), "left_semi")
-    first = Window.partitionBy("_sha", "_id").orderBy(*[F.col(c) for c in df.columns if c != text_col])
-    return rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*df.columns)
+    rows = df.withColumns({sha_: F.sha2(text.cast("binary"), 256), id_: F.col(id_col)})
+    rows = rows.join(stay, (rows[sha_] == stay[sha_]) & rows[id_].eqNullSafe(stay[id_]), "left_semi")
+    names = [F.col(f"`{c}`") for c in df.columns]
+    first = Window.partitionBy(sha_, id_).orderBy(*[F.col(f"`{c}`") for c in df.columns if c != text_col])
+    return rows.withColumn(n_, F.row_number().over(first)).filter(F.col(n_) == 1).select(*names)
