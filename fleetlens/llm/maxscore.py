@@ -15,7 +15,8 @@ Defined cases: vectors that are null or hold null or non-finite components, and
 identifier, take no part; vectors of different lengths agree as if the shorter went on with zeros;
 every row of a repeated identifier is a candidate, except for queries of the same identifier; a
 query identifier that repeats is asked once, with its smallest vector; equal scores go to the
-smaller identifier; an empty table gives an empty result.
+smaller identifier; components so large that a score could pass 64 bits are an error; vectors of any
+length are searched whole; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -73,12 +74,15 @@ class Shard:
         order = ids.argsort(kind="stable")
         self.ids, postings = ids[order], vectors[order].T
         self.low, self.high = postings.min(axis=1), postings.max(axis=1)
-        self.peak = float(np.abs(postings).max(initial=0))
+        self.peak = float(np.abs(postings.astype(np.float64)).max(initial=0))
         self.postings = np.ascontiguousarray(postings)
         self.as_floats: np.ndarray | None = None
 
     def exact(self, q: np.ndarray) -> np.ndarray:
         """Postings in the type in which sums of products with q are exact."""
+        most = np.maximum(np.abs(self.low.astype(np.float64)), np.abs(self.high.astype(np.float64)))[: len(q)]
+        if float(np.abs(q.astype(np.float64)) @ most) >= 2**63:
+            raise OverflowError("components are so large that scores could pass 64 bits")
         if self.peak * float(np.abs(q).max(initial=0)) * max(len(q), 1) < 2**52:
             if self.as_floats is None:
                 self.as_floats = self.postings.astype(np.float64)

@@ -62,3 +62,11 @@ def test_shard_with_uneven_terms():
     full = v @ v[0]
     want = np.lexsort((np.arange(3000), -full))[:10]
     assert ids.tolist() == want.tolist() and scores.tolist() == full[want].tolist()
+
+
+def test_scores_beyond_64_bits_are_an_error(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(0, [1e16, 1.0]), (1, [1e16, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="pass 64 bits"):
+        maxscore.top_k(rows, F.col("vec_id") == 0).collect()
