@@ -11,7 +11,9 @@ every row is predicted over its whole text.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; rows without a
 language are predicted but not learned from; without labelled rows everything is ``und`` with
-score 0; repeated rows are predicted each; other columns are not looked at.
+score 0; of languages with equal scores the first by name is predicted; repeated rows are predicted
+each; texts of any length are read whole; an empty table gives an empty result; other columns are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations

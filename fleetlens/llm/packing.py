@@ -13,7 +13,8 @@ numbered by its task's partition and its place there, so a task that runs again
 gives the same rows.
 
 Defined cases: a null text is an empty one, whose tokens are the end mark alone; repeated rows are
-packed each; an empty table gives an empty result; other columns are not looked at.
+packed each; texts of any length are tokenised whole; of examples with equal products the first in
+the window is placed; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations

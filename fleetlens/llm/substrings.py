@@ -1,4 +1,4 @@
-"""Repeated passages, with suffix trees over prefix partitions.
+"""Repeated passages, by suffixes filed under prefixes and told apart level by level (no tree is built).
 
 A word is removed if it lies in a window of ``window`` words that also starts elsewhere in the
 corpus. Windows are the suffixes of the texts, cut at the depth that counts. Four steps find them:
@@ -17,8 +17,9 @@ corpus. Windows are the suffixes of the texts, cut at the depth that counts. Fou
 A document is read twice and shuffled once. Hashes have 64 bits; two are compared for each window.
 
 Defined cases: null and empty texts have no words and the digest of the empty string; repeated rows
-repeat one another; a null identifier is an identifier like others; an empty table gives an empty
-result; other columns are not looked at.
+repeat one another; a null identifier is an identifier like others; texts of any length are read
+whole, a bounded number of words at a time; an empty table gives an empty result; other columns are
+not looked at, whatever their names.
 """
 
 from __future__ import annotations
