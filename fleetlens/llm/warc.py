@@ -7,7 +7,8 @@ bytes at a time, frames the record by its Content-Length and checks block and pa
 
 Defined cases: a null payload is an empty one, a null url is left out of the record, a null
 identifier is left out and read back as null; records with the same identifier and payload are both
-responses; an empty table gives an empty result.
+responses; payloads of any length are one record each; an empty table gives an empty result; other
+columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -72,9 +73,11 @@ def classified(df: DataFrame, id_col: str, url_col: str, payload_col: str, least
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.when(F.length("payload") >= least_bytes, F.sha2("payload", 256)))
+    long_ = F.length("payload") >= least_bytes
+    # Small records have keys of their own, or they would all meet in one task.
+    rows = rows.withColumn("digest", F.when(long_, F.sha2("payload", 256)).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url", "payload"))))
     groups = (
-        rows.filter("digest is not null")
+        rows.filter(long_)
         .groupBy("digest")
         .agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
