@@ -10,15 +10,19 @@ sizes ask for: what lies beyond both prefixes can hold only a part of the overla
 Documents with equal sets are one node from the start. Shingles that few nodes have give all their
 pairs, counted by pair. Where many nodes share a shingle, pairs would grow with the square: there
 each node first meets the best connected node it shares a shingle with, round by round, and only
-pairs of nodes that are not in one component by then are drawn. No pair that could join two
-components is left out, so components are exact. Candidates are verified on the documents' whole
-shingle sets.
+pairs of nodes that are not in one component by then are drawn. They are drawn where the first
+shingle that two linked sets share can lie: it leaves enough of both sets behind it for the overlap
+that their sizes ask for. Shingle, own size class and the classes within reach are the join key, so
+that sets which stand too far down never meet. No pair that could join two components is left out,
+so components are exact. Candidates are verified on the documents' whole shingle sets.
 
 Shingles, and nodes, are 64-bit hashes. Only the sketch (one byte a cell) goes to all tasks.
 
 Defined cases: null texts and texts without words have an empty set and are linked with nothing,
 their component is themselves; repeated rows are equal sets; a null identifier counts as larger than
-any other in a component; an empty table gives an empty result; other columns are not looked at.
+any other in a component; texts of any length give their whole sets; there are no ties, as a link is
+there or not; an empty table gives an empty result; other columns are not looked at, and stay as they
+are where whole rows come back, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,8 +44,9 @@ from fleetlens.llm.words import ByteWords, RunHashes, mixed, powers, text_runs
 class Join:
     """percent: least similarity; short_list: up to so many nodes of a shingle all pairs are drawn.
 
-    Nodes of longer lists meet hubs until what is left has at most ``pairs_per_document`` pairs for
-    each document, hubs find nothing more, or ``rounds`` are over; then all pairs left are drawn.
+    Nodes of longer lists meet hubs, in each round as many as ``hubs`` says, until what is left has
+    at most ``pairs_per_document`` pairs for each document, hubs find nothing more, or the rounds
+    are over; then all pairs left that can be links are drawn.
     """
 
     percent: int = 75
@@ -53,7 +58,9 @@ class Join:
     verify_cost: float = 16.0
     hot_documents: int = 4096
     pairs_per_document: int = 2
-    rounds: int = 8
+    hubs: tuple[int, ...] = (1, 6, 6)
+    class_ratio: float = 1.1
+    earlier: int = 32
     broadcast_nodes: int = 200_000
 
 
@@ -194,13 +201,30 @@ def prefixes(docs: DataFrame, frequent: Frequencies, join: Join) -> DataFrame:
                 base = (size - least)[text]
                 keep = rank < base + length[text]
                 layer = np.maximum(rank - base + 1, 1)
-                info = size[text] << 16 | layer << 8 | length[text]
+                info = packed_info(size[text], reach(size[text], rank, join.percent), layer, length[text])
                 columns = (shingle[keep].view(np.int64), node[text[keep]], info[keep], has[keep] >= join.hot_documents)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "info", "hot"])
 
     return docs.select("text").mapInArrow(read, "token long, node long, info long, hot boolean")
 
 
+# An info number: set size, reach (in 2^-15 of the size, rounded up), layer and l.
+SIZE_BIT, REACH_BIT, REACH_UNIT = 32, 16, 1 << 15
+
+
+def reach(size: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
+    """Largest set that a set can be linked with if the shingle of this rank is the first they share.
+
+    Of the overlap that sizes n and m ask for, n - rank shingles must suffice.
+    """
+    return np.maximum((100 + percent) * (size - rank) // percent - size, 0)
+
+
+def packed_info(size: np.ndarray, reach_: np.ndarray, layer: np.ndarray, length: np.ndarray) -> np.ndarray:
+    share = np.minimum(-(-reach_ * REACH_UNIT // size), 2 * REACH_UNIT - 1)
+    return size << SIZE_BIT | share << REACH_BIT | layer << 8 | length
+
+
 def similar_sizes(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
@@ -217,8 +241,8 @@ def short_pairs(token: np.ndarray, node: np.ndarray, info: np.ndarray, start: np
     a, b = np.concatenate(a), np.concatenate(b)
     la, lb = info[a], info[b]
     need = np.minimum(la & 255, lb & 255)
-    counts = (np.maximum(la >> 8 & 255, lb >> 8 & 255) <= need) & similar_sizes(la >> 16, lb >> 16, join.percent)
-    a, b, need, la, lb = a[counts], b[counts], need[counts], la[counts] >> 16, lb[counts] >> 16
+    counts = (np.maximum(la >> 8 & 255, lb >> 8 & 255) <= need) & similar_sizes(la >> SIZE_BIT, lb >> SIZE_BIT, join.percent)
+    a, b, need, la, lb = a[counts], b[counts], need[counts], la[counts] >> SIZE_BIT, lb[counts] >> SIZE_BIT
     # Beyond both prefixes there is room for so much of the overlap only; the rest must be met in them.
     overlap = -(-join.percent * (la + lb) // (100 + join.percent))
     need = need + overlap - np.maximum(-(-la * join.percent // 100), -(-lb * join.percent // 100))
@@ -287,6 +311,11 @@ def posting_lists(rows: DataFrame, join: Join) -> DataFrame:
     return dealt.select("token", "node", "info", "hot").mapInArrow(read, LISTS)
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """The nodes of pairs, one row for each end."""
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
     """The pairs a, b whose whole sets are similar enough; texts: node, text."""
 
@@ -310,7 +339,7 @@ def verified(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column(c).filter(pa.array(links)) for c in ("a", "b")], names=["a", "b"])
 
     # Few pairs need few texts: their nodes are sent to the texts, so that only those are shuffled.
-    wanted = shared.written(pairs.selectExpr("explode(array(a, b)) AS node").distinct(), "pair-nodes")
+    wanted = shared.written(ends(pairs).distinct(), "pair-nodes")
     if wanted.count() <= join.broadcast_nodes:
         texts = texts.join(F.broadcast(wanted), "node", "left_semi")
     a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
@@ -329,12 +358,22 @@ def links(docs: DataFrame, sets: DataFrame, frequent: Frequencies, join: Join) -
     held = listed.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     # How well a node is connected: the mean length of its lists, over all its prefix shingles.
     long_ = shared.written(listed.join(held, "token"), "long-lists")
-    n, length = F.shiftright("info", 16), F.col("info").bitwiseAND(255)
+    n, length = F.shiftright("info", SIZE_BIT), F.col("info").bitwiseAND(255)
     prefix = n - F.ceil(n * join.percent / 100) + length
     weight = long_.groupBy("node").agg((F.sum("size") / F.max(prefix)).alias("weight"))
-    waiting = shared.written(long_.join(weight, "node").select("token", "node", "info", "weight"), "waiting-lists")
-
-    texts = texts_of(docs, sets, candidates.selectExpr("explode(array(a, b)) as node").unionByName(waiting.select("node")).distinct())
+    lists = long_.groupBy("node").agg(F.count(F.lit(1)).alias("lists"))
+    # Rows so far down in a set that no set is within reach of them.
+    reached = long_.filter(largest_partner(F.col("info")) * 100 >= join.percent * F.shiftright("info", SIZE_BIT))
+    waiting = shared.written(reached.join(weight, "node").select("token", "node", "info", "weight"), "waiting-lists")
+
+    # Pairs of the short lists that met there less often than they need, if the long lists both are in can make up for it.
+    rest = short.filter("met < need")
+    for end in "ab":
+        rest = rest.join(lists.select(F.col("node").alias(end), F.col("lists").alias(f"lists_{end}")), end)
+    rest = shared.written(rest.filter("met + least(lists_a, lists_b) >= need").select("a", "b"), "short-rest")
+
+    wanted = ends(candidates.unionByName(rest)).unionByName(waiting.select("node")).distinct()
+    texts = texts_of(docs, sets, wanted)
     affordable = join.pairs_per_document * sets.count()
     edges = labels = tried = None
     turn = 0
@@ -343,10 +382,11 @@ def links(docs: DataFrame, sets: DataFrame, frequent: Frequencies, join: Join) -
         waiting_now = waiting.withColumn("label", F.col("node")) if labels is None else with_labels(waiting, labels)
         sizes = waiting_now.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
         pairs = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
-        last = turn >= join.rounds or (turn > 0 and pairs <= affordable)
-        if turn and not pairs:
-            break
-        asked = all_pairs(waiting_now, short, join) if last else hub_pairs(waiting_now, join)
+        last = turn >= len(join.hubs) or pairs <= affordable
+        if last:
+            asked = all_pairs(waiting_now, join).unionByName(apart(rest, labels)).distinct()
+        else:
+            asked = hub_pairs(waiting_now, join, turn)
         if tried is None:
             asked = asked.unionByName(candidates).distinct()
         else:
@@ -356,7 +396,7 @@ def links(docs: DataFrame, sets: DataFrame, frequent: Frequencies, join: Join) -
         new = shared.written(verified(asked, texts, join), "links")
         if not last and turn and new.isEmpty():
             # Hubs bring no more together: what is left is drawn in full.
-            turn = join.rounds
+            turn = len(join.hubs)
             continue
         edges = new if edges is None else edges.unionByName(new)
         labels = components(edges)
@@ -366,48 +406,85 @@ def links(docs: DataFrame, sets: DataFrame, frequent: Frequencies, join: Join) -
     return labels
 
 
-def hub_pairs(waiting: DataFrame, join: Join) -> DataFrame:
-    """Each node with one hub: of the best connected nodes of its lists, the best of another component."""
-    top = F.max_by(F.struct("node", "info", "label", "weight"), F.struct("weight", "node"))
-    tops = shared.written(waiting.groupBy("token").agg(top.alias("hub")), "hubs")
+def hub_pairs(waiting: DataFrame, join: Join, turn: int) -> DataFrame:
+    """Each node with up to ``hubs`` nodes of other components that it may be linked with.
+
+    A list offers its best connected nodes in the first round, others that a hash draws later on;
+    of all that a node's lists offer, those count most that most of its lists do.
+    """
+    hubs = join.hubs[turn]
+    best = Window.partitionBy("token").orderBy(*([F.desc("weight"), F.desc("node")] if turn == 0 else [F.xxhash64("token", "node", F.lit(turn)), "node"]))
+    ranked = waiting.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= hubs)
+    tops = shared.written(ranked.select("token", F.struct("node", "info", "label", "weight").alias("hub")), "hubs")
     met = waiting.drop("weight").join(tops, "token").filter("label <> hub.label")
-    met = fitting(met, F.col("info"), F.col("hub.info"), join)
-    best = met.groupBy("node").agg(F.max_by("hub.node", F.struct("hub.weight", "hub.node")).alias("hub"))
-    return best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    met = fitting(met.filter(in_reach(F.col("info"), F.col("hub.info"))), F.col("info"), F.col("hub.info"), join)
+    met = met.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("met"), F.max("hub.weight").alias("weight"))
+    first = Window.partitionBy("node").orderBy(F.desc("met"), F.desc("weight"), F.desc("hub"))
+    met = met.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= hubs)
+    return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def all_pairs(waiting: DataFrame, short: DataFrame, join: Join) -> DataFrame:
-    """Pairs of nodes of different components that share as many prefix shingles as they need.
+def all_pairs(waiting: DataFrame, join: Join) -> DataFrame:
+    """Pairs of nodes of different components whose first shared shingle may lie in a long list.
 
-    A long list that holds two components is here whole, so what such a pair shares is counted over
-    these lists and what the short ones gave. Nodes that cannot reach the least need they may meet,
-    even with their best partner from the short lists, are left out before pairs are drawn.
+    Nodes meet by the shingle, their own size class and the class of the sizes that they can still
+    be linked with from there on, so that those do not meet at all that stand too far down in one
+    of the two sets. A row carries the first shingles of its set, as far as they stand before its
+    own; two sets that share one of those have met there and need not meet again.
     """
-    rows = waiting.select("token", "node", "info", "label")
-    least = rows.groupBy("token").agg(F.min(F.col("info").bitwiseAND(255)).alias("least"))
-    met = short.selectExpr("explode(array(a, b)) AS node", "met").groupBy("node").agg(F.max("met").alias("met"))
-    need = F.min(F.least(F.col("info").bitwiseAND(255), F.col("least")))
-    able = rows.join(shared.written(least, "list-needs"), "token").groupBy("node").agg(F.count(F.lit(1)).alias("n"), need.alias("need"))
-    able = able.join(met, "node", "left").filter(F.col("n") + F.coalesce("met", F.lit(0)) >= F.col("need")).select("node")
-    rows = shared.written(rows.join(shared.written(able, "able-nodes"), "node"), "able-rows")
-    other = rows.select("token", F.col("node").alias("n2"), F.col("info").alias("i2"), F.col("label").alias("l2"))
-    pairs = fitting(rows.join(other, "token").filter("node < n2 and label <> l2"), F.col("info"), F.col("i2"), join)
-    n1, n2 = F.shiftright("info", 16), F.shiftright("i2", 16)
-    overlap = F.ceil(join.percent * (n1 + n2) / F.lit(100 + join.percent))
-    beyond = F.greatest(F.ceil(n1 * join.percent / F.lit(100)), F.ceil(n2 * join.percent / F.lit(100)))
-    one_need = F.least(F.col("info").bitwiseAND(255), F.col("i2").bitwiseAND(255)) + overlap - beyond
-    met_here = pairs.select(F.col("node").alias("a"), F.col("n2").alias("b"), F.lit(1).cast("long").alias("met"), one_need.alias("need"))
-    both = met_here.unionByName(short.select("a", "b", "met", "need"))
-    both = both.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("need").alias("need"))
-    return both.filter("met >= need").select("a", "b")
-
-
-def fitting(rows: DataFrame, one: Column, two: Column, join: Join) -> DataFrame:
-    """Rows whose two sets have sizes that allow a link and for both of which the shingle counts."""
-    n1, n2 = F.shiftright(one, 16), F.shiftright(two, 16)
+    share = F.shiftright("info", REACH_BIT).bitwiseAND(2 * REACH_UNIT - 1)
+    rows = waiting.select("token", "node", "info", "label", F.row_number().over(Window.partitionBy("node").orderBy(share.desc(), "token")).alias("place"))
+    firsts = rows.filter(F.col("place") <= join.earlier).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("firsts"))
+    firsts = firsts.select("node", F.transform("firsts", lambda x: x["token"]).alias("firsts"))
+    before = F.slice("firsts", F.lit(1), F.least(F.col("place") - 1, F.lit(join.earlier))).alias("before")
+    rows = rows.join(firsts, "node").select("token", "node", "info", "label", before)
+    n = F.shiftright("info", SIZE_BIT)
+    classes = {"own": size_class(n, join), "lo": size_class(F.ceil(n * join.percent / 100), join), "hi": size_class(largest_partner(F.col("info")), join)}
+    rows = rows.withColumns(classes).filter("lo <= hi").withColumn("other", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
+    one = rows.filter("own <= other").select("token", F.col("own").alias("c1"), F.col("other").alias("c2"), "node", "info", "label", "before")
+    two = rows.filter("own >= other").select(
+        "token", F.col("other").alias("c1"), F.col("own").alias("c2"), F.col("node").alias("n2"), F.col("info").alias("i2"), F.col("label").alias("l2"),
+        F.col("before").alias("b2"),
+    )
+    met = one.join(two, ["token", "c1", "c2"]).filter("label <> l2 AND (c1 < c2 OR node < n2)").filter(in_reach(F.col("info"), F.col("i2")))
+    met = fitting(met, F.col("info"), F.col("i2"), join, counted=False).filter(~F.arrays_overlap("before", "b2"))
+    return met.select(F.least("node", "n2").alias("a"), F.greatest("node", "n2").alias("b")).distinct()
+
+
+def apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The pairs whose nodes are not in one component yet."""
+    if labels is None:
+        return pairs
+    for end in "ab":
+        pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
+    return pairs.filter("coalesce(label_a, a) <> coalesce(label_b, b)").select("a", "b")
+
+
+def size_class(size: Column, join: Join) -> Column:
+    """Number of the size class; sizes of a class differ by less than ``class_ratio``."""
+    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / float(np.log(join.class_ratio))).cast("int")
+
+
+def fitting(rows: DataFrame, one: Column, two: Column, join: Join, counted: bool = True) -> DataFrame:
+    """Rows whose two sets have sizes that allow a link and, if ``counted``, for both of which the shingle counts."""
+    n1, n2 = F.shiftright(one, SIZE_BIT), F.shiftright(two, SIZE_BIT)
     need = F.least(one.bitwiseAND(255), two.bitwiseAND(255))
     layer = F.greatest(F.shiftright(one, 8).bitwiseAND(255), F.shiftright(two, 8).bitwiseAND(255))
-    return rows.filter((100 * F.least(n1, n2) >= join.percent * F.greatest(n1, n2)) & (layer <= need))
+    fit = 100 * F.least(n1, n2) >= join.percent * F.greatest(n1, n2)
+    return rows.filter(fit & (layer <= need) if counted else fit)
+
+
+def largest_partner(info: Column) -> Column:
+    """The largest set that can be linked with the row's set if this shingle is the first they share."""
+    share = F.shiftright(info, REACH_BIT).bitwiseAND(2 * REACH_UNIT - 1)
+    return F.floor(share * F.shiftright(info, SIZE_BIT) / F.lit(REACH_UNIT))
+
+
+def in_reach(one: Column, two: Column) -> Column:
+    """Whether the sets can be linked if this shingle is the first they share."""
+    n1, n2 = F.shiftright(one, SIZE_BIT), F.shiftright(two, SIZE_BIT)
+    r1, r2 = (F.shiftright(x, REACH_BIT).bitwiseAND(2 * REACH_UNIT - 1) for x in (one, two))
+    return (n2 * REACH_UNIT <= r1 * n1) & (n1 * REACH_UNIT <= r2 * n2)
 
 
 def with_labels(waiting: DataFrame, labels: DataFrame) -> DataFrame:
@@ -458,9 +535,10 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", j
     firsts = rows.filter("group is not null").groupBy("group").agg(F.min(order).alias("first")).select("first.ref")
     gone = rows.filter("group is not null").select("ref").join(shared.written(firsts, "group-firsts"), "ref", "left_anti")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marked = df.withColumn("_ref", F.xxhash64(F.col(id_col).cast("long"), text))
-    left = marked.join(shared.written(gone.distinct(), "group-others").withColumnRenamed("ref", "_ref"), "_ref", "left_anti")
+    ref_, n_ = shared.free_name(df, "_ref"), shared.free_name(df, "_n")
+    marked = df.withColumn(ref_, F.xxhash64(F.col(id_col).cast("long"), text))
+    left = marked.join(shared.written(gone.distinct(), "group-others").withColumnRenamed("ref", ref_), ref_, "left_anti")
     # Rows that agree in identifier and text are one document; those without words are no group.
-    first = Window.partitionBy("_ref").orderBy(*[F.col(c) for c in df.columns if c != text_col])
-    left = left.withColumn("_n", F.row_number().over(first))
-    return left.filter((F.col("_n") == 1) | ~text.rlike(shared.WORD)).select(*df.columns)
+    first = Window.partitionBy(ref_).orderBy(*[F.col(f"`{c}`") for c in df.columns if c != text_col])
+    left = left.withColumn(n_, F.row_number().over(first))
+    return left.filter((F.col(n_) == 1) | ~text.rlike(shared.WORD)).select(*[F.col(f"`{c}`") for c in df.columns])

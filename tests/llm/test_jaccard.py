@@ -62,7 +62,8 @@ def documents(copies=60):
 
 
 @pytest.mark.parametrize(
-    "join", [Join(), Join(short_list=2, pairs_per_document=0, rounds=3), Join(short_list=3, hot_documents=3, rounds=1), Join(cells_log2=8)]
+    "join",
+    [Join(), Join(short_list=2, pairs_per_document=0, hubs=(1, 2, 3)), Join(short_list=3, hot_documents=3, hubs=(1,)), Join(cells_log2=8, pairs_per_document=0, hubs=(), earlier=1)],
 )
 def test_against_brute_force(frame, join):
     docs = documents()
@@ -80,6 +81,45 @@ def test_one_of_each(frame):
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(want))
 
 
+def family(draw, docs, changes, first):
+    """Near copies of one text with so many words changed that few of them link with another."""
+    base = [f"f{first}w{i}" for i in range(80)]
+    out = []
+    for i in range(docs):
+        words = list(base)
+        for at in draw.sample(range(80), draw.choice(changes)):
+            words[at] = f"c{first + i}x{at}"
+        out.append((first + i, " ".join(words[: 80 - draw.randint(0, 3)])))
+    return out
+
+
+@pytest.mark.parametrize("join", [Join(hubs=(1,)), Join(short_list=4, class_ratio=1.02, earlier=2)])
+def test_thousands_of_near_copies_that_do_not_link(frame, join):
+    draw = random.Random(9)
+    docs = family(draw, 2000, (3, 4, 5, 6), 10_000) + family(draw, 400, (0, 1, 2, 3, 4), 50_000)
+    got = sorted(map(tuple, jaccard.near_duplicates(frame(docs), join=join).collect()))
+    want = brute(docs)
+    assert got == want
+    assert len({c for _, _, c in want}) > 1000
+
+
+def test_long_lists_draw_few_pairs_of_those_that_cannot_link(frame, monkeypatch):
+    """The last pairs of a family that does not link grow with its size, not with its square."""
+    drawn = {}
+    real = jaccard.all_pairs
+
+    def counted(*args):
+        pairs = real(*args)
+        drawn["pairs"] = pairs.count()
+        return pairs
+
+    monkeypatch.setattr(jaccard, "all_pairs", counted)
+    for n in (400, 1600):
+        docs = family(random.Random(9), n, (5, 6, 7), 10_000)
+        jaccard.near_duplicates(frame(docs), join=Join(hubs=(1,))).count()
+        assert drawn["pairs"] <= 5 * n
+
+
 @pytest.fixture
 def dealt_out(spark):
     """Shuffles keep their partitions, so that rows dealt apart stay apart."""
