@@ -181,10 +181,15 @@ def ngram_counts(docs: DataFrame, model: Model, part_bits: int) -> DataFrame:
 # --- the filter ----------------------------------------------------------------------------
 
 
-def places(keys: np.ndarray, level: int, which: int, size) -> np.ndarray:
-    """Where hash number ``which`` puts the items (key, level) of a part with ``size`` bits."""
+def hashed(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each item (key, level), from which all its hashes are made."""
     one = mixed(keys + np.uint64(level * int(GOLDEN) % 2**64))
-    return ((one + np.uint64(which) * (mixed(one) | np.uint64(1))) >> np.uint64(32)) * size >> np.uint64(32)
+    return one, mixed(one) | np.uint64(1)
+
+
+def places(one: np.ndarray, two: np.ndarray, which: int, size) -> np.ndarray:
+    """Where hash number ``which`` puts items of a part with ``size`` bits."""
+    return ((one + np.uint64(which) * two) >> np.uint64(32)) * size >> np.uint64(32)
 
 
 def levels_of(n: np.ndarray, base: float) -> np.ndarray:
@@ -202,9 +207,9 @@ def filled(keys: np.ndarray, levels: np.ndarray, hashes: int) -> tuple[np.ndarra
     size = max(64, int(levels.sum() * hashes / np.log(2)) + 7 & ~7)
     table = np.zeros(size, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        some = keys[levels >= level]
+        numbers = hashed(keys[levels >= level], level)
         for which in range(hashes):
-            table[places(some, level, which, np.uint64(size))] = True
+            table[places(*numbers, which, np.uint64(size))] = True
     return np.packbits(table, bitorder="little"), size
 
 
@@ -256,19 +261,24 @@ class Parts:
         """Levels of n-grams by repeated probes: each round, those that are still there go on."""
         out = np.zeros(len(keys), np.uint8)
         alive = np.flatnonzero(self.size[part] > 0)
+        start, size = self.start[part], self.size[part]
         level = 0
         while len(alive) and level < 255:
             level += 1
-            k, start, size = keys[alive], self.start[part[alive]], self.size[part[alive]]
-            there = np.arange(len(alive))
+            one, two = hashed(keys[alive], level)
             for i in range(self.hashes):
-                # Few get past the first hashes, so that the others are worked out for those only.
-                at = start[there] + places(k[there], level, i, size[there])
-                there = there[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-            alive = alive[there]
+                at = start[alive] + places(one, two, i, size[alive])
+                there = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                # Most n-grams of a text are not there, and few of those get past the first hashes.
+                alive, one, two = alive[there], one[there], two[there]
             out[alive] = level
         return out
 
+    def levels_of_repeated(self, keys: np.ndarray, part_bits: int) -> np.ndarray:
+        """Levels of keys that may repeat: each is looked up once."""
+        distinct, back = np.unique(keys, return_inverse=True)
+        return self.levels(*dealt(distinct, part_bits))[back]
+
 
 # --- scores --------------------------------------------------------------------------------
 
@@ -292,16 +302,29 @@ class Known:
         return has, np.where(has, self.n[at], 0)
 
 
-Lookup = Callable[[list[np.ndarray]], list[np.ndarray]]
+# Levels of the n-grams of an order that end at the tokens of a mask.
+Lookup = Callable[[Tokens, int, np.ndarray], np.ndarray]
 
 
 def scored(doc_ids: list, held: list, texts: list[str], words: ByteWords, known: Known, model: Model, lookup: Lookup, first_row: int) -> pa.RecordBatch:
-    """The rows of a run of texts; lookup: levels of the n-grams of each order, by the keys of each."""
+    """The rows of a run of texts.
+
+    Only n-grams are looked up that can be there: those of which both parts are frequent enough.
+    """
     tokens = Tokens(words, texts)
     frequent, exact = known.counts(tokens.id)
-    levels = lookup([tokens.keys(order) for order in range(1, model.order + 1)])
-    count = [counts_of(x, model.base) for x in levels]
-    count[0] = np.where(frequent, exact, count[0])
+    count = [exact.astype(float)]
+    level = np.where(frequent, 255, 0)
+    level[~frequent] = lookup(tokens, 1, ~frequent)
+    count[0][~frequent] = counts_of(level[~frequent], model.base)
+    for order in range(2, model.order + 1):
+        least = int(levels_of(np.array([model.least[order - 1]]), model.base)[0])
+        # (The begin of a text is a context that is always known.)
+        before = np.where(tokens.place > 0, np.roll(level, 1), 255 if order == 2 else 0)
+        ask = tokens.has(order) & (level >= least) & (before >= least)
+        level = np.zeros(len(tokens.id), np.int64)
+        level[ask] = lookup(tokens, order, ask)
+        count.append(counts_of(level, model.base))
     all_ = known.tokens + known.distinct + 1
     p = (count[0] + 1) / all_
     here = count[0]
@@ -339,7 +362,7 @@ def scored_by_broadcast(docs: DataFrame, parts: DataFrame, known: Known, model:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table = sent.value
         words, row = ByteWords(fold=True), TaskContext.get().partitionId() << 36
-        lookup = lambda keys: [table.levels(*dealt(k, part_bits)) for k in keys]
+        lookup = lambda tokens, order, mask: table.levels_of_repeated(tokens.keys(order)[mask], part_bits)
         for batch in batches:
             for at, texts in text_runs(batch.column("text")):
                 rows = batch.slice(at, len(texts))
@@ -399,7 +422,8 @@ def scored_by_parts(docs: DataFrame, parts: DataFrame, known: Known, model: Mode
         level = np.zeros(len(order), np.uint8)
         found = b"".join(answers.sort_by("part")["levels"].to_pylist())
         level[order] = np.frombuffer(found, np.uint8)
-        lookup = lambda keys: np.split(level, len(keys))
+        by_order = np.split(level, model.order)
+        lookup = lambda tokens, order, mask: by_order[order - 1][mask]
         rows = scored(run["doc_ids"][0].as_py(), run["held"][0].as_py(), texts, words, sent.value, model, lookup, run["run"][0].as_py())
         return pa.Table.from_batches([rows])
 
