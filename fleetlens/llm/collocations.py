@@ -4,8 +4,9 @@ Words are 64-bit ids; a phrase is the bytes of its words' ids, so that phrases s
 Each task counts into a trie over these ids: hash containers hang under a shallow trie, a container
 that grows past ``burst`` entries bursts by the next part of the path (first a byte of a word's id,
 which many words share, then the whole id), and when the trie holds ``most`` entries whole subtrees
-leave it, the largest first, each as a sorted run. Runs are merged per prefix partition: all words of
-the phrase but the last, and one byte of that, so that no prefix, however frequent, is one task's.
+leave it, the largest first, each as a sorted run. Runs are merged per prefix partition: phrases whose
+first words' ids begin alike. A word that holds more than one of the partitions' shares has several
+of its own, by what follows, so that no prefix, however frequent, is one task's.
 
 Counting goes up level by level. A phrase occurs at most as often as any part of it, so words that
 are too rare are left out of pairs, and pairs that are too rare out of longer phrases. Tasks know
@@ -51,6 +52,7 @@ class Mining:
     best: int = 2000
     burst: int = 8192
     most: int = 600_000
+    pieces: int | None = None
     filter_bits_log2: int = 29
 
 
@@ -214,15 +216,76 @@ def containers(node: Counter | dict) -> Iterator[Counter]:
             yield from containers(child)
 
 
-RUNS = "lang string, phrase binary, n long"
+RUNS = "lang string, part long, words int, firsts binary, sizes binary, rests binary, counts binary"
 
 
-def run_batch(lang: str, run: list[tuple[bytes, int]]) -> pa.RecordBatch:
-    columns = [pa.array([lang] * len(run), pa.string()), pa.array([p for p, _ in run], pa.binary()), pa.array([n for _, n in run], pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n"])
-
+@dataclass(frozen=True)
+class Parts:
+    """Prefix partitions: words whose ids begin alike; each hot word has ``pieces`` partitions of its own."""
 
-def phrase_counts(docs: DataFrame, orders: tuple[int, ...], frequent: tuple[bytes, int], join: Mining) -> DataFrame:
+    bits: int
+    hot: np.ndarray
+    pieces: np.ndarray
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """Partition of each phrase (rows of word ids)."""
+        first = words[:, 0]
+        part = (first >> np.uint64(64 - self.bits)).astype(np.int64)
+        if len(self.hot):
+            where = np.minimum(np.searchsorted(self.hot, first), len(self.hot) - 1)
+            at = np.flatnonzero(self.hot[where] == first)
+            piece = phrase_keys(np.uint64(1), list(words[at, 1:].T)) % self.pieces[where[at]]
+            # Numbers above those of all plain partitions.
+            part[at] = (mixed(first[at] + piece) >> np.uint64(2) | np.uint64(1 << 61)).astype(np.int64)
+        return part
+
+
+def run_rows(lang: str, run: list[tuple[bytes, int]], parts: Parts) -> pa.RecordBatch:
+    """A sorted run, dealt to its prefix partitions. A first word stands once, with how many phrases go on from it;
+    of the counts, only those above one are kept, and their phrases come last."""
+    columns: list[list] = [[] for _ in range(7)]
+    lengths = np.fromiter((len(p) for p, _ in run), np.int64, len(run)) // ID
+    n = np.fromiter((n for _, n in run), np.int64, len(run))
+    for size in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == size)
+        words = np.frombuffer(b"".join(run[i][0] for i in at.tolist()), ">u8").astype(np.uint64).reshape(-1, size)
+        part, times = parts.of(words), n[at]
+        order = np.lexsort((words[:, 0], times > 1, part))
+        words, part, times = words[order], part[order], times[order]
+        edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
+        for lo, hi in zip(edges, [*edges[1:], len(part)], strict=True):
+            w, t = words[lo:hi], times[lo:hi]
+            starts = np.flatnonzero(np.append(True, w[1:, 0] != w[:-1, 0]))
+            sizes = np.diff(np.append(starts, len(w))).astype("<u4")
+            row = (lang, int(part[lo]), size, w[starts, 0].tobytes(), sizes.tobytes(), w[:, 1:].tobytes(), t[t > 1].astype("<u4").tobytes())
+            for column, value in zip(columns, row, strict=True):
+                column.append(value)
+    kinds = [pa.string(), pa.int64(), pa.int32()] + [pa.binary()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in RUNS.split(", ")])
+
+
+def merged_runs(rows: list[tuple], least: int) -> Iterator[tuple[bytes, int]]:
+    """The frequent phrases of the runs of one partition."""
+    for size in sorted({r[0] for r in rows}):
+        words, counts = [], []
+        for _, firsts, sizes, rests, more in (r for r in rows if r[0] == size):
+            first = np.repeat(np.frombuffer(firsts, np.uint64), np.frombuffer(sizes, "<u4"))
+            words.append(np.column_stack([first, np.frombuffer(rests, np.uint64).reshape(-1, size - 1)]))
+            many = np.frombuffer(more, "<u4").astype(np.int64)
+            counts.append(np.concatenate([np.ones(len(first) - len(many), np.int64), many]))
+        words, counts = np.concatenate(words), np.concatenate(counts)
+        key = phrase_keys(np.uint64(0), list(words.T))
+        order = np.argsort(key, kind="stable")
+        key, counts = key[order], counts[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        n = np.add.reduceat(counts, starts)
+        often = n >= least
+        raw = words[order[starts[often]]].astype(">u8").tobytes()
+        for i, times in enumerate(n[often].tolist()):
+            yield raw[i * size * ID : (i + 1) * size * ID], times
+
+
+def phrase_counts(docs: DataFrame, orders: tuple[int, ...], frequent: tuple[bytes, int], parts: Parts, join: Mining) -> DataFrame:
     """lang, phrase, n of the frequent phrases of the orders.
 
     ``frequent`` is the filter of words if pairs are counted, else that of pairs.
@@ -254,13 +317,29 @@ def phrase_counts(docs: DataFrame, orders: tuple[int, ...], frequent: tuple[byte
                     starts = np.logical_and.reduce([joined[i : i + n] for i in range(order - 1)])
                     phrases += [raw[i : i + order * ID] for i in (np.flatnonzero(starts) * ID).tolist()]
                 for left, run in trie.add(lang, phrases):
-                    yield run_batch(left, run)
+                    yield run_rows(left, run, parts)
         for left, run in trie.spill(0):
-            yield run_batch(left, run)
+            yield run_rows(left, run, parts)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def merged() -> pa.RecordBatch:
+            found = list(merged_runs(rows, join.least))
+            columns = [pa.array([key[0] if key else None] * len(found), pa.string())]
+            columns += [pa.array([p for p, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n"])
+
+        for batch in batches:
+            for lang, part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (lang, part) != key:
+                    yield merged()
+                    key, rows = (lang, part), []
+                rows.append(tuple(row))
+        yield merged()
 
-    runs = docs.mapInArrow(read, RUNS).withColumn("prefix", F.expr(f"substring(phrase, 1, length(phrase) - {ID - 1})"))
-    merged = runs.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("n"))
-    return shared.written(merged.filter(F.col("n") >= join.least).select("lang", "phrase", "n"), "phrases")
+    runs = docs.mapInArrow(read, RUNS).repartition("lang", "part").sortWithinPartitions("lang", "part")
+    return shared.written(runs.mapInArrow(merge, "lang string, phrase binary, n long"), "phrases")
 
 
 def word_counts(docs: DataFrame, most: int = 200_000) -> DataFrame:
@@ -360,12 +439,19 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     docs = df.select(lang.alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     words = shared.written(word_counts(docs), "phrase-words")
     frequent = shared.written(words.filter(F.col("n") >= join.least), "frequent-words")
-    pairs = phrase_counts(docs, (2,), bit_filter(frequent, join), join)
+    totals = shared.written(words.groupBy("lang").agg(F.sum("n").alias("n")), "language-words")
+    # Words that hold more than one of ``pieces`` parts of all words (there cannot be more than that many) get
+    # as many partitions as their share asks for.
+    all_words = totals.agg(F.sum("n")).first()[0] or 0
+    pieces = join.pieces or shared.pieces_of_a_group(df.sparkSession)
+    hot = frequent.groupBy("phrase").agg(F.sum("n").alias("n")).filter(F.col("n") * pieces >= all_words).collect()
+    hot = sorted((int.from_bytes(r.phrase, "big"), -(-r.n * pieces // all_words)) for r in hot)
+    parts = Parts((pieces - 1).bit_length(), np.array([w for w, _ in hot], np.uint64), np.array([n for _, n in hot], np.uint64))
+    pairs = phrase_counts(docs, (2,), bit_filter(frequent, join), parts, join)
     candidates = pairs
     if join.longest > 2:
-        candidates = pairs.unionByName(phrase_counts(docs, tuple(range(3, join.longest + 1)), bit_filter(pairs, join), join))
+        candidates = pairs.unionByName(phrase_counts(docs, tuple(range(3, join.longest + 1)), bit_filter(pairs, join), parts, join))
     counts = frequent.select("lang", "phrase", "n").unionByName(candidates)
     rows = shared.written(scored(standing(candidates, join), counts, join), "phrase-cuts")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     out = best_of(rows, frequent, join).join(totals, "lang")
     return out.select("lang", "rank", F.col("text").alias("phrase"), "a", "l", "r", "n", "score")

@@ -108,7 +108,30 @@ def op11(spark, folder):
     return spelling.variants(table(spark, folder, "documents"))
 
 
-@query("op12_collocations")
+@query(
+    "op12_collocations",
+    r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+      FROM documents),
+    p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?
+-]')) AS piece FROM d),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM p),
+    s AS (SELECT lang, ws, unnest([1, 2, 3, 4]) AS k FROM w),
+    o AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM s WHERE len(ws) >= k),
+    f AS (SELECT lang, k, ws[i : i + k - 1] AS ph, count(*) AS n FROM o GROUP BY ALL),
+    c AS (SELECT * FROM f WHERE k > 1 AND n >= 30),
+    u AS (SELECT lang, k, ph, n AS a, unnest(range(1, k)) AS j FROM c),
+    x AS (SELECT u.lang, u.ph, u.a, u.j, l.n AS l, r.n AS r, 2000000::HUGEINT * a // (l.n + r.n) AS score FROM u
+      JOIN f l ON l.lang = u.lang AND l.ph = u.ph[1 : j] JOIN f r ON r.lang = u.lang AND r.ph = u.ph[j + 1 : u.k]),
+    y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, j) = 1),
+    m AS (SELECT lang, k, ph, n, unnest(range(2, k)) AS size FROM c WHERE k > 2),
+    v AS (SELECT lang, ph, n, size, unnest(range(1, k - size + 2)) AS i FROM m),
+    z AS (SELECT lang, ph[i : i + size - 1] AS ph, max(n) AS around FROM v GROUP BY ALL),
+    t AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+    b AS (SELECT y.*, t.n, array_to_string(y.ph, ' ') AS phrase FROM y JOIN t ON t.lang = y.lang
+      LEFT JOIN z ON z.lang = y.lang AND z.ph = y.ph WHERE around IS NULL OR 100::HUGEINT * around < 80 * a)
+    SELECT lang, row_number() OVER q AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM b
+    WINDOW q AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER q <= 2000""",
+)
 def op12(spark, folder):
     return collocations.collocations(table(spark, folder, "documents"))
 

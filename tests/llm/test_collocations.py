@@ -70,7 +70,7 @@ def test_collocations_equal_brute_force(frame):
 
 def test_spilled_runs_and_full_filters_change_nothing(frame):
     rows = corpus(2)
-    join = Mining(least=4, best=10_000, burst=4, most=50, filter_bits_log2=20)
+    join = Mining(least=4, best=10_000, burst=4, most=50, pieces=40, filter_bits_log2=20)
     assert result(documents(frame, rows), join) == brute(rows, join)
 
 
