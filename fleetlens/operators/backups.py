@@ -391,7 +391,8 @@ def backup_age_policy(dbs: DataFrame, control: DataFrame, as_of, name: str = "da
 
     A fuzzy rule names a text at the start, end or anywhere in the database name.
     Instead of testing every name against every rule, each name is cut into the
-    pieces whose lengths occur in the rules, and pieces meet rules by equality.
+    pieces whose lengths occur in the fuzzy rules, and pieces meet rules by equality.
+    Fuzzy rules are written by hand and few; they are sent to the pieces, which are many.
     Rule names are taken literally. Equal-ranked rules: the fewest days win.
     """
     now = ntz(as_of)
@@ -399,37 +400,31 @@ def backup_age_policy(dbs: DataFrame, control: DataFrame, as_of, name: str = "da
         F.col("database_name").alias(name), F.lit(1).alias("rank"), F.lit(0).alias("days")
     )
     rules = control.filter(F.col("blackout_from").isNull() & F.col("blackout_to").isNull()).select(
-        F.col("database_name").alias("piece"), "check_days", "fuzzy_char_before", "fuzzy_char_after"
+        F.col("database_name").alias("piece"), F.col("check_days").alias("days"), "fuzzy_char_before", "fuzzy_char_after"
     )
-    lengths = rules.agg(F.collect_set(F.length("piece")).alias("lengths"))
+    before, after = F.col("fuzzy_char_before") == "Y", F.col("fuzzy_char_after") == "Y"
+    whole = (F.col("fuzzy_char_before") == "N") & (F.col("fuzzy_char_after") == "N") & (F.length("piece") > 0)
+    exact = rules.filter(whole).select(F.col("piece").alias(name), F.lit(2).alias("rank"), "days")
+    fuzzy = rules.filter(before | after)
+    lengths = fuzzy.agg(F.collect_set(F.length("piece")).alias("lengths"))
     size = F.length(name)
-    pieces = F.flatten(
-        F.transform(
-            F.filter(F.col("lengths"), lambda n: (n <= size) & (n > 0)),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), size - n + 1),
-                lambda i: F.struct(
-                    F.substring(F.col(name), i, n).alias("piece"),
-                    (i == 1).alias("at_start"),
-                    (i + n == size + 1).alias("at_end"),
-                ),
-            ),
-        )
-    )
     cut = (
         dbs.select(name)
         .distinct()
         .withColumn("lengths", lengths.scalar())
-        .select(name, F.explode(pieces).alias("p"))
-        .select(name, "p.piece", "p.at_start", "p.at_end")
-    )
-    before, after = F.col("fuzzy_char_before") == "Y", F.col("fuzzy_char_after") == "Y"
-    exact = (F.col("fuzzy_char_before") == "N") & (F.col("fuzzy_char_after") == "N")
-    fits = (before | F.col("at_start")) & (after | F.col("at_end")) & (before | after | exact)
-    matched = cut.join(rules, "piece").filter(fits).select(
-        name, F.when(exact, 2).otherwise(3).alias("rank"), F.col("check_days").alias("days")
+        .select(name, F.explode("lengths").alias("n"))
+        .filter((F.col("n") > 0) & (F.col("n") <= size))
+        .select(name, "n", F.explode(F.sequence(F.lit(1), size - F.col("n") + 1)).alias("i"))
+        .select(
+            name,
+            F.substring(F.col(name), F.col("i"), F.col("n")).alias("piece"),
+            (F.col("i") == 1).alias("at_start"),
+            (F.col("i") + F.col("n") == size + 1).alias("at_end"),
+        )
     )
-    best = blackout.unionByName(matched).groupBy(name).agg(F.min(F.struct("rank", "days")).alias("best"))
+    fits = (before | F.col("at_start")) & (after | F.col("at_end"))
+    matched = cut.join(F.broadcast(fuzzy), "piece").filter(fits).select(name, F.lit(3).alias("rank"), "days")
+    best = blackout.unionByName(exact).unionByName(matched).groupBy(name).agg(F.min(F.struct("rank", "days")).alias("best"))
     return dbs.join(best, name, "left").withColumn("check_days", F.coalesce("best.days", F.lit(default))).drop("best")
 
 

@@ -68,6 +68,18 @@ def test_age_policy(spark):
     }
 
 
+def test_age_policy_broadcasts_rules_not_pieces(spark, tmp_path):
+    cols = "database_name string, check_days int, blackout_from timestamp_ntz, blackout_to timestamp_ntz, fuzzy_char_before string, fuzzy_char_after string"
+    spark.range(1000).selectExpr("concat('DB', id) AS database_name").write.parquet(str(tmp_path / "dbs"))
+    rules = spark.createDataFrame([("B7", 5, None, None, "Y", "Y"), ("DB8", 3, None, None, "N", "N")], cols)
+    got = bk.backup_age_policy(spark.read.parquet(str(tmp_path / "dbs")), rules, NOW)
+    lines = got._jdf.queryExecution().sparkPlan().toString().splitlines()
+    pieces = next(i for i, x in enumerate(lines) if "BroadcastHashJoin [piece" in x)
+    assert "BuildRight" in lines[pieces]
+    days = {r.database_name: r.check_days for r in got.collect()}
+    assert days == {f"DB{i}": 3 if i == 8 else 5 if str(i).startswith("7") else 1 for i in range(1000)}
+
+
 def test_no_sets_give_a_warning(spark):
     sets = spark.createDataFrame([], "backup_type string, completion_time timestamp_ntz")
     assert bk.no_backups_warning(bk.latest_by_type(sets)).count() == 1
