@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -32,8 +33,8 @@ def notices(history: DataFrame, failing: str, reminder_s: float) -> DataFrame:
     """Change-or-reminder notifications for ``(key, seq, ts, state)`` rows in any order.
 
     A row is CHANGED when its state differs from the one before. Within a failing run a REMINDER
-    follows once more than ``reminder_s`` have passed since the last notice. A run, as two columns,
-    is what one group holds at most.
+    follows once more than ``reminder_s`` have passed since the last notice. Runs pass through a
+    task one after the other, row by row; none is held.
     """
     rows = with_previous(history, "key", ["ts", "seq"], ["state"])
     rows = rows.withColumn("changed", F.col("prev_state").isNull() | (F.col("prev_state") != F.col("state")))
@@ -41,20 +42,26 @@ def notices(history: DataFrame, failing: str, reminder_s: float) -> DataFrame:
     # A failing run begins at its change; its rows carry that moment.
     before = Window.partitionBy("key").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     failing_rows = rows.withColumn("run", F.last(F.when(F.col("changed"), F.col("seq")), ignorenulls=True).over(before))
-    failing_rows = failing_rows.filter(F.col("state") == failing).select("key", "run", "seq", "ts", "state")
+    failing_rows = failing_rows.filter((F.col("state") == failing) & F.col("ts").isNotNull()).select("key", "run", "seq", "ts", "state")
+    first = F.row_number().over(Window.partitionBy("key", "run").orderBy("ts", "seq")) == 1
     step = int(reminder_s * 1_000_000)
 
-    def reminders(run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values(["ts", "seq"], kind="stable")
-        at = run["ts"].to_numpy("datetime64[us]").astype("int64")
-        picked, told = [], at[0]
-        while (i := int(np.searchsorted(at, told + step, side="right"))) < len(at):
-            picked.append(i)
-            told = at[i]
-        return run.iloc[picked].assign(decision="REMINDER")[["key", "seq", "ts", "state", "decision"]]
-
-    fields = ", ".join(f"{c} {_type(changed, c)}" for c in changed.columns)
-    return changed.unionByName(failing_rows.groupBy("key", "run").applyInPandas(reminders, fields))
+    def reminders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = 0
+        for batch in batches:
+            picked = []
+            for i, (begins, at) in enumerate(zip(batch.column("begins").to_pylist(), batch.column("us").to_pylist(), strict=True)):
+                if begins:
+                    told = at
+                elif at > told + step:
+                    picked.append(i)
+                    told = at
+            yield batch.select(columns).take(pa.array(picked, pa.int64()))
+
+    columns = changed.columns[:-1]
+    runs = failing_rows.withColumns({"begins": first, "us": F.unix_micros(F.col("ts").cast("timestamp"))}).sortWithinPartitions("key", "run", "ts", "seq")
+    reminded = runs.mapInArrow(reminders, ", ".join(f"{c} {_type(changed, c)}" for c in columns))
+    return changed.unionByName(reminded.withColumn("decision", F.lit("REMINDER")))
 
 
 class InOrder(StatefulProcessor):

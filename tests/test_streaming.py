@@ -154,6 +154,29 @@ def test_notices_after_late_rows(spark, tmp_path):
     assert got == {("a", 1, "CHANGED"), ("a", 2, "CHANGED"), ("b", 1, "CHANGED"), ("a", 4, "REMINDER"), ("a", 5, "CHANGED")}
 
 
+def test_reminders_of_many_runs_pass_in_batches(spark):
+    """Runs that batches of two rows cut, against a walk; no Python call for each run."""
+    rows = [(k, i, at(i * 7 + k), "error" if (i * (k + 3)) % 11 < 8 else "ok") for k in range(5) for i in range(60)]
+    want = set()
+    for k in range(5):
+        state = told = None
+        for _, seq, ts, new in [r for r in rows if r[0] == k]:
+            decision = "CHANGED" if new != state else "REMINDER" if new == "error" and ts - told > timedelta(minutes=15) else None
+            state = new
+            if decision:
+                told = ts
+                want.add((k, seq, decision))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = sf.notices(spark.createDataFrame(rows, "key long, seq long, ts timestamp, state string"), "error", 900)
+        assert {(r.key, r.seq, r.decision) for r in got.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert any(d == "REMINDER" for _, _, d in want)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_counter_deltas_equal_batch(spark, tmp_path, rows_of):
     cols = "key string, seq long, ts timestamp, value long"
     rows = [(k, i, at(i), (i * 37) % 50) for k in "ab" for i in range(40)]
