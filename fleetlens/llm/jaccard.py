@@ -14,7 +14,10 @@ pairs of nodes that are not in one component by then are drawn. They are drawn w
 shingle that two linked sets share can lie: it leaves enough of both sets behind it for the overlap
 that their sizes ask for. Shingle, own size class and the classes within reach are the join key, so
 that sets which stand too far down never meet. No pair that could join two components is left out,
-so components are exact. Candidates are verified on the documents' whole shingle sets.
+so components are exact. Candidates first compare bitmaps of their whole sets, about one bit a
+shingle: each bit that differs stands for a shingle that one set lacks, so that pairs with more of
+them than a link allows are none, and no link is lost. What is left, little but links, is verified
+on the documents' whole shingle sets; only those texts are fetched.
 
 Shingles, and nodes, are 64-bit hashes. Only the sketch (one byte a cell) goes to all tasks.
 
@@ -58,7 +61,7 @@ class Join:
     verify_cost: float = 16.0
     hot_documents: int = 4096
     pairs_per_document: int = 2
-    hubs: tuple[int, ...] = (1, 6, 6)
+    hubs: tuple[int, ...] = (1, 2, 2)
     class_ratio: float = 1.1
     earlier: int = 32
     broadcast_nodes: int = 200_000
@@ -110,8 +113,11 @@ class Frequencies:
     def of(counts: np.ndarray) -> Frequencies:
         usual = float(np.median(counts))
         least = 4 * np.sqrt(usual + 1)
-        over = np.maximum(counts - usual, 1)
-        return Frequencies(np.where(over < least, 0, 1 + np.floor(2 * np.log2(over / least))).astype(np.uint8), least)
+        level = np.zeros(len(counts), np.uint8)
+        # Few cells are above; the driver holds no array of floats for the others.
+        high = np.flatnonzero(counts >= usual + least)
+        level[high] = 1 + np.floor(2 * np.log2((counts[high] - usual) / least))
+        return Frequencies(level, least)
 
     def documents(self, level: np.ndarray) -> np.ndarray:
         """About how many documents have a shingle of the level."""
@@ -119,17 +125,18 @@ class Frequencies:
 
 
 def read_sets(docs: DataFrame, join: Join) -> tuple[DataFrame, Frequencies]:
-    """ref, doc_id, n_shingles, node of each document; and how frequent shingles are."""
+    """ref, doc_id, n_shingles, node and bits of each document; and how frequent shingles are."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, counts = Sets(join.words), np.zeros(1 << join.cells_log2, np.int64)
         for batch in batches:
             for at, texts in text_runs(batch.column("text")):
-                shingle, _, size = sets.of(texts)
+                shingle, text, size = sets.of(texts)
                 counts += np.bincount(cell(shingle, join), minlength=len(counts))
                 rows = batch.slice(at, len(texts))
                 none = pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary())
-                columns = [rows.column("ref"), rows.column("doc_id"), pa.array(size, pa.int64()), pa.array(nodes(shingle, size)), *none]
+                told = pa.array(size, pa.int64()), pa.array(nodes(shingle, size)), bitmaps(shingle, text, size)
+                columns = [rows.column("ref"), rows.column("doc_id"), *told, *none]
                 yield pa.RecordBatch.from_arrays(columns, names=NAMES)
         for i, part in enumerate(np.split(counts, join.slices)):
             yield sketch_row(i, part)
@@ -140,28 +147,74 @@ def read_sets(docs: DataFrame, join: Join) -> tuple[DataFrame, Frequencies]:
         sums = {}
         for batch in batches:
             for i, part in zip(batch.column("slice").to_pylist(), batch.column("counts"), strict=True):
-                sums[i] = sums.get(i, 0) + np.frombuffer(part.as_py(), "<u4").astype(np.int64)
+                sums[i] = sums.get(i, 0) + unpacked_counts(part.as_py(), cells)
         for i, part in sums.items():
             yield sketch_row(i, part)
 
-    # Added up in two levels, so that no task reads a row of every other.
-    parts = out.filter("slice is not null").repartition(shared.pieces_of_a_group(docs.sparkSession)).mapInArrow(add, SETS)
-    rows = parts.repartition(join.slices, "slice").mapInArrow(add, SETS).collect()
-    counts = np.zeros((join.slices, (1 << join.cells_log2) // join.slices), np.int64)
+    # Added up in two levels, so that no task reads a row of every other: first the slices of neighbouring tasks.
+    cells = (1 << join.cells_log2) // join.slices
+    parts = out.filter("slice is not null").select(*NAMES, F.floor(F.spark_partition_id() / 16).alias("tasks"))
+    parts = parts.repartition(shared.pieces_of_a_group(docs.sparkSession), "slice", "tasks").select(*NAMES).mapInArrow(add, SETS)
+    rows = parts.repartition(join.slices, "slice").mapInArrow(add, SETS).select("slice", "counts").collect()
+    counts = np.zeros((join.slices, cells), np.uint32)
     for r in rows:
-        counts[r.slice] = np.frombuffer(r.counts, "<u4")
-    return out.filter("slice is null").select("ref", "doc_id", "n_shingles", "node"), Frequencies.of(counts.ravel())
+        counts[r.slice] = np.minimum(unpacked_counts(r.counts, cells), 2**32 - 1)
+    return out.filter("slice is null").select("ref", "doc_id", "n_shingles", "node", "bits"), Frequencies.of(counts.ravel())
 
 
-SETS = "ref long, doc_id long, n_shingles long, node long, slice int, counts binary"
+SETS = "ref long, doc_id long, n_shingles long, node long, bits binary, slice int, counts binary"
 NAMES = [c.split()[0] for c in SETS.split(", ")]
 
 
 def sketch_row(i: int, part: np.ndarray) -> pa.RecordBatch:
-    one = [pa.nulls(1, pa.int64())] * 4 + [pa.array([i], pa.int32()), pa.array([np.minimum(part, 2**32 - 1).astype("<u4").tobytes()], pa.binary())]
+    one = [*[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), pa.array([packed_counts(part)], pa.binary())]
     return pa.RecordBatch.from_arrays(one, names=NAMES)
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """One byte a cell; then the cells that have more, each with its count."""
+    more = np.flatnonzero(counts > 255)
+    small = counts.astype(np.uint8)
+    small[more] = 0
+    return small.tobytes() + np.stack([more, counts[more]], 1).astype("<i8").tobytes()
+
+
+def unpacked_counts(packed: bytes, cells: int) -> np.ndarray:
+    counts = np.frombuffer(packed, np.uint8, cells).astype(np.int64)
+    at, more = np.frombuffer(packed, "<i8", offset=cells).reshape(-1, 2).T
+    counts[at] = more
+    return counts
+
+
+def bitmaps(shingle: np.ndarray, text: np.ndarray, size: np.ndarray) -> pa.BinaryArray:
+    """Of each set a bitmap of 64 to 2^20 bits, a power of two that is not below the set's size where it can be.
+
+    A bit tells whether an odd number of the set's shingles falls on it. Halves of a bitmap, one
+    upon the other, are the bitmap of half the length.
+    """
+    width = np.int64(1) << np.clip(np.ceil(np.log2(np.maximum(size, 1))), 6, 20).astype(np.int64)
+    ends = np.cumsum(width)
+    place = (mixed(shingle ^ np.uint64(0xD6E8FEB86659FD93)) & (width - 1).astype(np.uint64)[text]).astype(np.int64)
+    odd = np.bincount((ends - width)[text] + place, minlength=int(width.sum())) & 1
+    data = np.packbits(odd.astype(bool), bitorder="little")
+    offsets = np.append(0, ends // 8).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def differing_bits(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """In how many bits the bitmaps of each pair differ, at the length of the shorter one: no more than the sets' shingles do."""
+    long_a, long_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
+    out = np.zeros(len(a), np.int64)
+    for la, lb in set(zip(long_a.tolist(), long_b.tolist(), strict=True)):
+        at = np.flatnonzero((long_a == la) & (long_b == lb))
+        width = min(la, lb)
+        one, two = (
+            np.bitwise_xor.reduce(np.frombuffer(b"".join([side[i] for i in at]), np.uint8).reshape(len(at), -1, width), axis=1) for side in (a, b)
+        )
+        out[at] = np.bitwise_count(one ^ two).sum(axis=1)
+    return out
+
+
 def chosen_lengths(size: np.ndarray, least: np.ndarray, cost: np.ndarray, join: Join) -> np.ndarray:
     """For each set the l with the least estimated cost; cost: what each shingle's posting list holds."""
     sums = np.append(0.0, np.cumsum(cost))
@@ -316,6 +369,23 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
 
 
+def likely(pairs: DataFrame, bits: DataFrame, join: Join) -> DataFrame:
+    """The pairs a, b whose bitmaps do not rule a link out; bits: node, n_shingles, bits."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            overlap = -(-join.percent * n // (100 + join.percent))
+            fits = differing_bits(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist()) <= n - 2 * overlap
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(fits)) for c in ("a", "b")], names=["a", "b"])
+
+    a, b = (bits.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    joined = pairs.select("a", "b").join(b, "b").join(a, "a")
+    return joined.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(read, "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
     """The pairs a, b whose whole sets are similar enough; texts: node, text."""
 
@@ -338,10 +408,6 @@ def verified(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
                     links[i] = 100 * both >= join.percent * (len(a) + len(b) - both)
                 yield pa.RecordBatch.from_arrays([rows.column(c).filter(pa.array(links)) for c in ("a", "b")], names=["a", "b"])
 
-    # Few pairs need few texts: their nodes are sent to the texts, so that only those are shuffled.
-    wanted = shared.written(ends(pairs).distinct(), "pair-nodes")
-    if wanted.count() <= join.broadcast_nodes:
-        texts = texts.join(F.broadcast(wanted), "node", "left_semi")
     a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(read, "a long, b long")
 
@@ -373,9 +439,10 @@ def links(docs: DataFrame, sets: DataFrame, frequent: Frequencies, join: Join) -
     rest = shared.written(rest.filter("met + least(lists_a, lists_b) >= need").select("a", "b"), "short-rest")
 
     wanted = ends(candidates.unionByName(rest)).unionByName(waiting.select("node")).distinct()
-    texts = texts_of(docs, sets, wanted)
+    bits = sets.join(wanted, "node").groupBy("node").agg(F.min_by(F.struct("n_shingles", "bits", "ref"), "ref").alias("one"))
+    bits = shared.written(bits.select("node", "one.*"), "node-bits")
     affordable = join.pairs_per_document * sets.count()
-    edges = labels = tried = None
+    labels = tried = None
     turn = 0
     while True:
         # Only lists with several components wait, each node with its label.
@@ -393,13 +460,17 @@ def links(docs: DataFrame, sets: DataFrame, frequent: Frequencies, join: Join) -
             asked = asked.join(tried, ["a", "b"], "left_anti")
         asked = shared.written(asked, "candidates")
         tried = asked if tried is None else tried.unionByName(asked)
-        new = shared.written(verified(asked, texts, join), "links")
-        if not last and turn and new.isEmpty():
+        new = shared.written(likely(asked, bits, join), "likely-links")
+        none = new.isEmpty()
+        if not none:
+            new = shared.written(verified(new, texts_of(docs, bits, new, join), join), "links")
+            none = new.isEmpty()
+        if none and not last and turn:
             # Hubs bring no more together: what is left is drawn in full.
             turn = len(join.hubs)
             continue
-        edges = new if edges is None else edges.unionByName(new)
-        labels = components(edges)
+        if labels is None or not none:
+            labels = joined_by(labels, new)
         if last:
             break
         turn += 1
@@ -460,6 +531,20 @@ def apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return pairs.filter("coalesce(label_a, a) <> coalesce(label_b, b)").select("a", "b")
 
 
+def joined_by(labels: DataFrame | None, new: DataFrame) -> DataFrame:
+    """The components (node, label) with those joined that new links hold together; only these links are gone through."""
+    if labels is None:
+        return components(new)
+    links_ = new
+    for end in "ab":
+        known = labels.select(F.col("node").alias(end), F.col("label").alias("of"))
+        links_ = links_.join(known, end, "left").withColumn(end, F.coalesce("of", end)).drop("of")
+    tops = components(links_)
+    ups = tops.select(F.col("node").alias("label"), F.col("label").alias("up"))
+    known = labels.join(ups, "label", "left").select("node", F.coalesce("up", "label").alias("label"))
+    return shared.written(known.unionByName(tops.join(labels.select("node"), "node", "left_anti").select("node", "label")), "joined-labels")
+
+
 def size_class(size: Column, join: Join) -> Column:
     """Number of the size class; sizes of a class differ by less than ``class_ratio``."""
     return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / float(np.log(join.class_ratio))).cast("int")
@@ -495,11 +580,12 @@ def with_labels(waiting: DataFrame, labels: DataFrame) -> DataFrame:
     return shared.written(rows.join(shared.written(mixed_, "mixed-lists"), "token"), "mixed-lists")
 
 
-def texts_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One text of each wanted node."""
-    one = sets.join(wanted, "node").groupBy("node").agg(F.min("ref").alias("ref"))
-    found = docs.select("ref", "text").join(one, "ref").groupBy("node").agg(F.first("text").alias("text"))
-    return shared.written(found, "node-texts")
+def texts_of(docs: DataFrame, bits: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
+    """node and text of the nodes of the pairs; bits has each node's document (ref)."""
+    one = shared.written(ends(pairs).distinct().join(bits.select("node", "ref"), "node"), "pair-nodes")
+    # Few nodes are sent to the texts, so that only theirs are shuffled.
+    found = docs.select("ref", "text").join(F.broadcast(one) if one.count() <= join.broadcast_nodes else one, "ref")
+    return shared.written(found.groupBy("node").agg(F.first("text").alias("text")), "node-texts")
 
 
 def grouped(df: DataFrame, id_col: str, text_col: str, join: Join) -> DataFrame:

@@ -103,6 +103,41 @@ def test_thousands_of_near_copies_that_do_not_link(frame, join):
     assert len({c for _, _, c in want}) > 1000
 
 
+def test_texts_are_compared_of_little_but_links(frame, monkeypatch):
+    """Candidates that cannot link are told by their bitmaps; their texts are not fetched."""
+    compared = []
+    real = jaccard.verified
+
+    def counted(pairs, *args):
+        compared.append(pairs.count())
+        return real(pairs, *args)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    docs = [(d, t + " " + " ".join(f"t{d}x{i}" for i in range(40))) for d, t in family(random.Random(9), 400, (5, 6, 7), 10_000)]
+    docs += [(0, docs[0][1] + " end"), (1, docs[1][1] + " end")]
+    got = sorted(map(tuple, jaccard.near_duplicates(frame(docs), join=Join(hubs=(1,))).collect()))
+    assert got == brute(docs)
+    assert 2 <= sum(compared) <= 20
+
+
+def test_bitmaps_differ_in_no_more_than_the_sets_do():
+    draw = random.Random(3)
+    texts = [" ".join(f"w{draw.randrange(3000)}" for _ in range(n)) for n in (1, 7, 60, 70, 500, 530, 4000)]
+    texts += [t + " and more words" for t in texts] + [""]
+    shingle, text, size = jaccard.Sets(5).of(texts)
+    held = jaccard.bitmaps(shingle, text, size).to_pylist()
+    sets = [set(shingle[text == i].tolist()) for i in range(len(texts))]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(len(texts))]
+    bits = jaccard.differing_bits([held[i] for i, _ in pairs], [held[j] for _, j in pairs])
+    assert all(n <= len(sets[i] ^ sets[j]) for n, (i, j) in zip(bits.tolist(), pairs, strict=True))
+    assert bits[pairs.index((4, 5))] > 200
+
+
+def test_counts_above_a_byte_are_packed():
+    counts = jaccard.np.array([0, 255, 256, 70_000, 3, 2**33])
+    assert (jaccard.unpacked_counts(jaccard.packed_counts(counts), 6) == counts).all()
+
+
 def test_long_lists_draw_few_pairs_of_those_that_cannot_link(frame, monkeypatch):
     """The last pairs of a family that does not link grow with its size, not with its square."""
     drawn = {}
