@@ -14,10 +14,12 @@ pairs of nodes that are not in one component by then are drawn. They are drawn w
 shingle that two linked sets share can lie: it leaves enough of both sets behind it for the overlap
 that their sizes ask for. Shingle, own size class and the classes within reach are the join key, so
 that sets which stand too far down never meet. No pair that could join two components is left out,
-so components are exact. Candidates first compare bitmaps of their whole sets, about one bit a
-shingle: each bit that differs stands for a shingle that one set lacks, so that pairs with more of
-them than a link allows are none, and no link is lost. What is left, little but links, is verified
-on the documents' whole shingle sets; only those texts are fetched.
+so components are exact. Bitmaps of whole sets, two bits a shingle or more, rule pairs out: each bit
+that differs stands for a shingle that one set lacks, so that pairs with more of them than a link
+allows are none, and no link is lost. Rows of long lists carry their bitmap folded to 512 bits, so
+that the sets of a large group that cannot link, where all share a base, make no pair when they
+meet; candidates compare the bitmaps whole. What is left, little but links, is verified on the
+documents' whole shingle sets; only those texts are fetched.
 
 Shingles, and nodes, are 64-bit hashes. Only the sketch (one byte a cell) goes to all tasks.
 
@@ -186,13 +188,17 @@ def unpacked_counts(packed: bytes, cells: int) -> np.ndarray:
     return counts
 
 
+FOLD_LOG2 = 9
+FOLDED = [f"m{i}" for i in range((1 << FOLD_LOG2) // 64)]
+
+
 def bitmaps(shingle: np.ndarray, text: np.ndarray, size: np.ndarray) -> pa.BinaryArray:
-    """Of each set a bitmap of 64 to 2^20 bits, a power of two that is not below the set's size where it can be.
+    """Of each set a bitmap of 512 to 2^20 bits, a power of two that is not below twice the set's size where it can be.
 
     A bit tells whether an odd number of the set's shingles falls on it. Halves of a bitmap, one
     upon the other, are the bitmap of half the length.
     """
-    width = np.int64(1) << np.clip(np.ceil(np.log2(np.maximum(size, 1))), 6, 20).astype(np.int64)
+    width = np.int64(1) << np.clip(np.ceil(np.log2(np.maximum(2 * size, 1))), FOLD_LOG2, 20).astype(np.int64)
     ends = np.cumsum(width)
     place = (mixed(shingle ^ np.uint64(0xD6E8FEB86659FD93)) & (width - 1).astype(np.uint64)[text]).astype(np.int64)
     odd = np.bincount((ends - width)[text] + place, minlength=int(width.sum())) & 1
@@ -215,6 +221,18 @@ def differing_bits(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
+def folded(bits: DataFrame) -> DataFrame:
+    """node, and its bitmap at the least length, as numbers of 64 bits."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                held = [np.bitwise_xor.reduce(np.frombuffer(x.as_py(), "<i8").reshape(-1, len(FOLDED))) for x in batch.column("bits")]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), *map(pa.array, np.stack(held, axis=1))], names=["node", *FOLDED])
+
+    return bits.select("node", "bits").mapInArrow(read, ", ".join(f"{c} long" for c in ["node", *FOLDED]))
+
+
 def chosen_lengths(size: np.ndarray, least: np.ndarray, cost: np.ndarray, join: Join) -> np.ndarray:
     """For each set the l with the least estimated cost; cost: what each shingle's posting list holds."""
     sums = np.append(0.0, np.cumsum(cost))
@@ -451,7 +469,7 @@ def links(docs: DataFrame, sets: DataFrame, frequent: Frequencies, join: Join) -
         pairs = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
         last = turn >= len(join.hubs) or pairs <= affordable
         if last:
-            asked = all_pairs(waiting_now, join).unionByName(apart(rest, labels)).distinct()
+            asked = all_pairs(waiting_now, bits, join).unionByName(apart(rest, labels)).distinct()
         else:
             asked = hub_pairs(waiting_now, join, turn)
         if tried is None:
@@ -495,30 +513,34 @@ def hub_pairs(waiting: DataFrame, join: Join, turn: int) -> DataFrame:
     return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def all_pairs(waiting: DataFrame, join: Join) -> DataFrame:
+def all_pairs(waiting: DataFrame, bits: DataFrame, join: Join) -> DataFrame:
     """Pairs of nodes of different components whose first shared shingle may lie in a long list.
 
     Nodes meet by the shingle, their own size class and the class of the sizes that they can still
     be linked with from there on, so that those do not meet at all that stand too far down in one
     of the two sets. A row carries the first shingles of its set, as far as they stand before its
-    own; two sets that share one of those have met there and need not meet again.
+    own; two sets that share one of those have met there and need not meet again. It carries the
+    folded bitmap, too: pairs of a shingle that it rules out are not made.
     """
     share = F.shiftright("info", REACH_BIT).bitwiseAND(2 * REACH_UNIT - 1)
     rows = waiting.select("token", "node", "info", "label", F.row_number().over(Window.partitionBy("node").orderBy(share.desc(), "token")).alias("place"))
     firsts = rows.filter(F.col("place") <= join.earlier).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("firsts"))
     firsts = firsts.select("node", F.transform("firsts", lambda x: x["token"]).alias("firsts"))
     before = F.slice("firsts", F.lit(1), F.least(F.col("place") - 1, F.lit(join.earlier))).alias("before")
-    rows = rows.join(firsts, "node").select("token", "node", "info", "label", before)
+    rows = rows.join(firsts, "node").join(folded(bits), "node").select("token", "node", "info", "label", before, *FOLDED)
     n = F.shiftright("info", SIZE_BIT)
     classes = {"own": size_class(n, join), "lo": size_class(F.ceil(n * join.percent / 100), join), "hi": size_class(largest_partner(F.col("info")), join)}
     rows = rows.withColumns(classes).filter("lo <= hi").withColumn("other", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
-    one = rows.filter("own <= other").select("token", F.col("own").alias("c1"), F.col("other").alias("c2"), "node", "info", "label", "before")
+    one = rows.filter("own <= other").select("token", F.col("own").alias("c1"), F.col("other").alias("c2"), "node", "info", "label", "before", *FOLDED)
     two = rows.filter("own >= other").select(
         "token", F.col("other").alias("c1"), F.col("own").alias("c2"), F.col("node").alias("n2"), F.col("info").alias("i2"), F.col("label").alias("l2"),
-        F.col("before").alias("b2"),
+        F.col("before").alias("b2"), *[F.col(c).alias(f"{c}_2") for c in FOLDED],
     )
     met = one.join(two, ["token", "c1", "c2"]).filter("label <> l2 AND (c1 < c2 OR node < n2)").filter(in_reach(F.col("info"), F.col("i2")))
-    met = fitting(met, F.col("info"), F.col("i2"), join, counted=False).filter(~F.arrays_overlap("before", "b2"))
+    met = fitting(met, F.col("info"), F.col("i2"), join, counted=False)
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_2"))) for c in FOLDED), F.lit(0))
+    both = F.shiftright("info", SIZE_BIT) + F.shiftright("i2", SIZE_BIT)
+    met = met.filter(differ <= both - 2 * F.ceil(both * join.percent / (100 + join.percent))).filter(~F.arrays_overlap("before", "b2"))
     return met.select(F.least("node", "n2").alias("a"), F.greatest("node", "n2").alias("b")).distinct()
 
 

@@ -155,6 +155,23 @@ def test_long_lists_draw_few_pairs_of_those_that_cannot_link(frame, monkeypatch)
         assert drawn["pairs"] <= 5 * n
 
 
+def test_sets_of_a_large_group_that_meet_but_cannot_link_make_no_pairs(frame, monkeypatch):
+    """Two changes of a text stand within reach of each other's first shared shingle, all of them."""
+    drawn = []
+    real = jaccard.all_pairs
+
+    def counted(*args):
+        pairs = real(*args)
+        drawn.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jaccard, "all_pairs", counted)
+    docs = family(random.Random(9), 600, (2,), 10_000)
+    got = sorted(map(tuple, jaccard.near_duplicates(frame(docs), join=Join(hubs=(1,))).collect()))
+    assert got == brute(docs)
+    assert sum(drawn) <= 10 * len(docs)
+
+
 @pytest.fixture
 def dealt_out(spark):
     """Shuffles keep their partitions, so that rows dealt apart stay apart."""
