@@ -69,12 +69,16 @@ class Join:
     broadcast_nodes: int = 200_000
 
 
+# So many characters of text are worked on at a time, so that the arrays of a task stay small.
+RUN = 1 << 18
+
+
 class Sets:
     """Shingle sets of the texts of a run: text number and shingle, distinct and in order."""
 
     def __init__(self, words: int):
-        self.size, self.words = words, ByteWords(fold=True)
-        self.tables = powers(RunHashes.BASE, 1 << 20)
+        self.size, self.words = words, ByteWords(fold=True, most=2 * RUN)
+        self.tables = powers(RunHashes.BASE, RUN)
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Shingles, distinct and ascending text by text; text number of each; size of each text's set."""
@@ -132,9 +136,9 @@ def read_sets(docs: DataFrame, join: Join) -> tuple[DataFrame, Frequencies]:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, counts = Sets(join.words), np.zeros(1 << join.cells_log2, np.int64)
         for batch in batches:
-            for at, texts in text_runs(batch.column("text")):
+            for at, texts in text_runs(batch.column("text"), RUN):
                 shingle, text, size = sets.of(texts)
-                counts += np.bincount(cell(shingle, join), minlength=len(counts))
+                np.add.at(counts, cell(shingle, join), 1)
                 rows = batch.slice(at, len(texts))
                 none = pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary())
                 told = pa.array(size, pa.int64()), pa.array(nodes(shingle, size)), bitmaps(shingle, text, size)
@@ -260,7 +264,7 @@ def prefixes(docs: DataFrame, frequent: Frequencies, join: Join) -> DataFrame:
         sets = Sets(join.words)
         frequent = Frequencies(np.frombuffer(sent.value[0], np.uint8), sent.value[1])
         for batch in batches:
-            for _, texts in text_runs(batch.column("text")):
+            for _, texts in text_runs(batch.column("text"), RUN):
                 shingle, text, size = sets.of(texts)
                 node = nodes(shingle, size)
                 found = frequent.level[cell(shingle, join)]
@@ -410,7 +414,7 @@ def verified(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(join.words)
         for batch in batches:
-            for at, left in text_runs(batch.column("text_a"), 1 << 18):
+            for at, left in text_runs(batch.column("text_a"), RUN):
                 rows = batch.slice(at, len(left))
                 right = rows.column("text_b").to_pylist()
                 distinct = list(dict.fromkeys(left))

@@ -89,21 +89,22 @@ class ByteWords:
 
     MOST = 1 << 21
 
-    def __init__(self, fold: bool = False):
+    def __init__(self, fold: bool = False, most: int = MOST):
+        self.most = most
         self.code = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
         if fold:
             self.code[65:91] = self.code[97:123]
         self.blank = np.zeros(256, bool)
         self.blank[[9, 10, 11, 12, 13, 32]] = True
-        self.up, self.down = powers(0xD1342543DE82EF95, self.MOST)
+        self.up, self.down = powers(0xD1342543DE82EF95, most)
 
     def of(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Hash and first byte of each word."""
-        if len(raw) <= self.MOST:
+        if len(raw) <= self.most:
             return self.part(raw)
         found, at = [], 0
         while at < len(raw):
-            end = at + self.MOST
+            end = at + self.most
             if end < len(raw):
                 cut = max(raw.rfind(b" ", at, end), raw.rfind(b"\n", at, end))
                 if cut <= at:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import pytest
@@ -172,6 +173,25 @@ def test_sets_of_a_large_group_that_meet_but_cannot_link_make_no_pairs(frame, mo
     assert sum(drawn) <= 10 * len(docs)
 
 
+def test_runs_of_any_length_give_the_same_sets(monkeypatch):
+    draw = random.Random(4)
+    texts = [" ".join(f"w{draw.randrange(900)}" for _ in range(n)) for n in (0, 1, 4, 5, 900, 9000)] + ["x" * 3000 + " y z " * 300]
+    whole = jaccard.Sets(5).of(texts)
+    monkeypatch.setattr(jaccard, "RUN", 512)
+    for one, two in zip(whole, jaccard.Sets(5).of(texts), strict=True):
+        assert (one == two).all()
+
+
+def test_sets_are_made_in_little_memory():
+    texts = [" ".join(f"w{i * j % 977}" for i in range(400)) for j in range(1, 120)]
+    tracemalloc.start()
+    sets = jaccard.Sets(5)
+    assert len(sets.of(texts)[2]) == len(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+
+
 @pytest.fixture
 def dealt_out(spark):
     """Shuffles keep their partitions, so that rows dealt apart stay apart."""
