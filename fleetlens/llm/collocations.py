@@ -1,8 +1,8 @@
 """Phrase collocations, counted in HAT-tries.
 
 Words are 64-bit ids; a phrase is the bytes of its words' ids, so that phrases sort by their words.
-Each task counts into a trie over these ids: hash containers hang under a shallow trie, a container
-that grows past ``burst`` entries bursts by the next part of the path (first a byte of a word's id,
+Each task counts into a trie over these ids, a few texts' equal phrases at a time (``batch``
+occurrences): hash containers hang under a shallow trie, a container that grows past ``burst`` entries bursts by the next part of the path (first a byte of a word's id,
 which many words share, then the whole id), and when the trie holds ``most`` entries whole subtrees
 leave it, the largest first, each as a sorted run. Runs are merged per prefix partition: phrases whose
 first words' ids begin alike. A word that holds more than one of the partitions' shares has several
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -52,6 +52,7 @@ class Mining:
     best: int = 2000
     burst: int = 8192
     most: int = 600_000
+    batch: int = 1 << 18
     pieces: int | None = None
     filter_bits_log2: int = 29
 
@@ -62,14 +63,13 @@ class PieceWords(ByteWords):
     def __init__(self):
         super().__init__(fold=True)
         self.blank[list(BREAKS)] = True
-        self.breaks = np.zeros(256, np.int32)
-        self.breaks[list(BREAKS)] = 1
+        self.breaks = bytes(b in BREAKS for b in range(256))
 
     def of_pieces(self, texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
         """The bytes, each word's id, first byte and piece; a text's end is a break."""
         raw = b"\n".join(t.encode() for t in texts)
         ids, start = self.of(raw)
-        piece = np.cumsum(self.breaks[np.frombuffer(raw, np.uint8)])[start] if len(start) else start
+        piece = np.cumsum(np.frombuffer(raw.translate(self.breaks), np.uint8), dtype=np.int32)[start] if len(start) else start
         return raw, ids, start, piece
 
 
@@ -163,10 +163,17 @@ class HatTrie:
         self.burst, self.most, self.size = burst, most, 0
         self.roots: dict[str, Counter | dict] = {}
 
-    def add(self, lang: str, phrases: list[bytes]) -> Iterator[tuple[str, list[tuple[bytes, int]]]]:
-        """Counts the phrases; yields the runs that had to leave."""
+    def add(self, lang: str, phrases: list[bytes], more: Iterable[tuple[bytes, int]] = ()) -> Iterator[tuple[str, list[tuple[bytes, int]]]]:
+        """Counts the phrases, and how often ``more`` has some of them again; yields the runs that had to leave."""
         phrases.sort()
-        self.roots[lang] = self.into(self.roots.get(lang, Counter()), phrases, 0)
+        root = self.roots[lang] = self.into(self.roots.get(lang, Counter()), phrases, 0)
+        for phrase, n in more:
+            node = root
+            for part in self.PATH:
+                if isinstance(node, Counter):
+                    break
+                node = node[phrase[part]]
+            node[phrase] += n
         if self.size > self.most:
             yield from self.spill(self.most // 2)
 
@@ -205,15 +212,26 @@ class HatTrie:
                 break
             gone = self.roots.pop(lang) if step is None else self.roots[lang].pop(step)
             self.size -= size
-            yield lang, sorted(item for c in containers(gone) for item in c.items())
+            # Containers come in the order of their phrases, so that only each of them is sorted.
+            yield lang, [(p, c[p]) for c in containers(gone) for p in sorted(c)]
 
 
 def containers(node: Counter | dict) -> Iterator[Counter]:
     if isinstance(node, Counter):
         yield node
     else:
-        for child in node.values():
-            yield from containers(child)
+        for step in sorted(node):
+            yield from containers(node[step])
+
+
+def counted(words: np.ndarray) -> tuple[list[bytes], list[int]]:
+    """Phrases (rows of word ids) in about their order, and how often each stands there; one may come again."""
+    # By most of the first word and a little of a hash of all, which one plain sort does.
+    key = words[:, 0] >> np.uint64(24) << np.uint64(24) | phrase_keys(np.uint64(2), list(words.T)) >> np.uint64(40)
+    words = words[np.argsort(key)]
+    starts = np.flatnonzero(np.append(True, (words[1:] != words[:-1]).any(axis=1)))
+    raw, size = words[starts].astype(">u8").tobytes(), words.shape[1] * ID
+    return [raw[i : i + size] for i in range(0, len(raw), size)], np.diff(np.append(starts, len(words))).tolist()
 
 
 RUNS = "lang string, part long, words int, firsts binary, sizes binary, rests binary, counts binary"
@@ -296,6 +314,19 @@ def phrase_counts(docs: DataFrame, orders: tuple[int, ...], frequent: tuple[byte
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, trie = PieceWords(), HatTrie(join.burst, join.most)
         known = BitFilter(np.frombuffer(sent.value[0], np.uint8), sent.value[1])
+        held: dict[tuple[str, int], list[np.ndarray]] = {}
+        n_held = 0
+
+        def count() -> Iterator[pa.RecordBatch]:
+            for (lang, _), found in held.items():
+                phrases, n = counted(np.concatenate(found))
+                for at in range(0, len(phrases), 1 << 16):
+                    some = slice(at, at + (1 << 16))
+                    more = ((p, times - 1) for p, times in zip(phrases[some], n[some], strict=True) if times > 1)
+                    for left, run in trie.add(lang, phrases[some], more):
+                        yield run_rows(left, run, parts)
+            held.clear()
+
         for batch in batches:
             for lang, texts in by_language(batch):
                 _, ids, _, piece = words.of_pieces(texts)
@@ -308,16 +339,19 @@ def phrase_counts(docs: DataFrame, orders: tuple[int, ...], frequent: tuple[byte
                 else:
                     has = known.has(phrase_keys(key, [ids]))
                     joined &= has[1:] & has[:-1]
-                raw = ids.astype(">u8").tobytes()
-                phrases = []
                 for order in orders:
                     n = len(ids) - order + 1
                     if n < 1:
                         continue
-                    starts = np.logical_and.reduce([joined[i : i + n] for i in range(order - 1)])
-                    phrases += [raw[i : i + order * ID] for i in (np.flatnonzero(starts) * ID).tolist()]
-                for left, run in trie.add(lang, phrases):
-                    yield run_rows(left, run, parts)
+                    starts = np.flatnonzero(np.logical_and.reduce([joined[i : i + n] for i in range(order - 1)]))
+                    if not len(starts):
+                        continue
+                    held.setdefault((lang, order), []).append(np.column_stack([ids[starts + i] for i in range(order)]))
+                    n_held += len(starts)
+                if n_held >= join.batch:
+                    yield from count()
+                    n_held = 0
+        yield from count()
         for left, run in trie.spill(0):
             yield run_rows(left, run, parts)
 
@@ -363,8 +397,10 @@ def word_counts(docs: DataFrame, most: int = 200_000) -> DataFrame:
         for batch in batches:
             for lang, texts in by_language(batch):
                 raw, ids, start, _ = words.of_pieces(texts)
-                distinct, first, n = np.unique(ids, return_index=True, return_counts=True)
-                for i, at, times in zip(distinct.tolist(), start[first].tolist(), n.tolist(), strict=True):
+                order = np.argsort(ids)
+                first = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0)) if len(ids) else order
+                n = np.diff(np.append(first, len(ids)))
+                for i, at, times in zip(ids[order[first]].tolist(), start[order[first]].tolist(), n.tolist(), strict=True):
                     if known := counts.get((lang, i)):
                         known[1] += times
                     else:

@@ -108,3 +108,21 @@ def test_scores_are_exact_beyond_64_bits(spark):
     candidates = spark.createDataFrame([("en", bytearray(word[0] + word[1]), big)], "lang string, phrase binary, n long")
     row = collocations.scored(candidates, counts, Mining()).collect()[0]
     assert row.score == 2_000_000 * big // (2 * big + 3)
+
+
+def test_equal_phrases_enter_the_trie_once():
+    draw = np.random.default_rng(5)
+    words = draw.choice(np.array([1, 2, 2**40, 2**40 + 1, 2**63 + 5], np.uint64), (4000, 3))
+    phrases, n = collocations.counted(words)
+    want = Counter(w.astype(">u8").tobytes() for w in words)
+    assert len(phrases) < 4000 // 10 and sum(n) == 4000 and set(phrases) == set(want)
+    trie = HatTrie(4, 10_000)
+    assert list(trie.add("en", list(phrases), ((p, times - 1) for p, times in zip(phrases, n, strict=True) if times > 1))) == []
+    assert Counter(dict(item for _, run in trie.spill(0) for item in run)) == want and trie.size == 0
+
+
+def test_batches_of_any_size_change_nothing(frame):
+    rows = corpus(6)
+    for batch in (1, 500):
+        join = Mining(least=4, best=10_000, burst=4, most=50, batch=batch)
+        assert result(documents(frame, rows), join) == brute(rows, join)
