@@ -104,3 +104,30 @@ def test_repeated_rows_and_none(frame):
     rows = [(1, "u", page("<article>same</article>"))] * 3
     assert sorted(r.text for r in hosttext.extract(frame(rows, SCHEMA)).collect()) == ["same"] * 3
     assert hosttext.extract(frame([], SCHEMA)).count() == 0
+
+
+def test_repeats_decide_inside_articles(frame):
+    r = random.Random(7)
+
+    def words(n):
+        return " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
+
+    notice, short, shared_story = words(9), words(2), words(30)
+    stories = {i: [words(r.randint(3, 40)) for _ in range(3)] for i in range(24)}
+
+    def article(i, first):
+        # The notice has no mark; a third of the articles also tell a common story, near copies of one have a notice too.
+        return page(f"<article><p>{notice}</p><h2>{short}</h2>" + "".join(f"<p>{b}</p>" for b in [first, *stories[i]]) + f"<p>{shared_story}</p>" * (i % 3 == 0) + "</article>")
+
+    pages = [(i, f"http://h/{i}", article(i, f"n{i}")) for i in range(24)]
+    # Copies of one article (only the last block differs) are one article to their host; a few articles decide nothing.
+    pages += [(100 + i, f"http://copies/{i}", page(f"<article><p>{shared_story}</p><p>seen {i}</p></article>")) for i in range(30)]
+    pages += [(200 + i, f"http://small/{i}", article(i, "n")) for i in range(9)]
+    # Articles of the notice alone stay.
+    pages += [(300, "http://h/notice", page(f"<article><p>{notice}</p><p>{short}</p></article>"))]
+    got = texts(frame, pages)
+    want = {i: " ".join([f"n{i}", *stories[i]] + [shared_story] * (i % 3 == 0)) for i in range(24)}
+    want |= {100 + i: f"{shared_story} seen {i}" for i in range(30)}
+    want |= {200 + i: " ".join([notice, short, "n", *stories[i]] + [shared_story] * (i % 3 == 0)) for i in range(9)}
+    want[300] = f"{notice} {short}"
+    assert got == want
