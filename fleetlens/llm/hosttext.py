@@ -7,8 +7,8 @@ page has an article (or else a main element), the unmarked blocks in it are its
 Repeats on a few pages cannot decide there: copies of an article repeat as menus do, and are text
 all the same. Those on many can: the articles' words of a host form token streams of their own, and a
 block of an article that is covered by substrings which stand on ``most_share`` of the host's
-different articles, and on ``min_articles`` at least, is a notice without a mark, and goes; an article
-that has nothing else stays. Suffixes are counted in two steps. First their hashes, cut to
+different articles, and on ``min_articles`` at least, is a notice without a mark, and goes. An article
+that would lose half of its characters or more is a near copy of others, and stays. Suffixes are counted in two steps. First their hashes, cut to
 ``CELL_BITS`` bits and sorted, meet by value, so that a bit filter can tell which may stand on
 ``min_articles`` pages; then those that it lets through are counted by their whole hashes.
 
@@ -210,7 +210,8 @@ def extract(
     told = parsed.filter("own is not null").select("row", "page_id", "url", "own")
     told = told.join(notices(parsed, min_run, min_articles, most_share), "row", "left")
     others = F.filter("own", lambda b, i: ~F.coalesce(F.array_contains("covered", i), F.lit(False)))
-    told = told.select("page_id", "url", F.array_join(F.when(F.size(others) > 0, others).otherwise(F.col("own")), " ").alias("text"))
+    left, whole = (F.aggregate(x, F.lit(0), lambda n, b: n + F.length(b)) for x in (others, F.col("own")))
+    told = told.select("page_id", "url", F.array_join(F.when(left * 2 > whole, others).otherwise(F.col("own")), " ").alias("text"))
     untold = parsed.filter("own is null").select("row", "page_id", "url", "blocks", "marked")
     kept = unique_blocks(parsed, min_run, min_pages, least_share)
     # Block numbers that repeats cover, by page; the rest of the unmarked blocks is the text.

@@ -113,21 +113,59 @@ def test_repeats_decide_inside_articles(frame):
         return " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
 
     notice, short, shared_story = words(9), words(2), words(30)
-    stories = {i: [words(r.randint(3, 40)) for _ in range(3)] for i in range(24)}
+    stories = {i: [words(r.randint(8, 40)) for _ in range(3)] for i in range(24)}
 
     def article(i, first):
-        # The notice has no mark; a third of the articles also tell a common story, near copies of one have a notice too.
+        # The notice has no mark; a third of the articles also tell a common story.
         return page(f"<article><p>{notice}</p><h2>{short}</h2>" + "".join(f"<p>{b}</p>" for b in [first, *stories[i]]) + f"<p>{shared_story}</p>" * (i % 3 == 0) + "</article>")
 
     pages = [(i, f"http://h/{i}", article(i, f"n{i}")) for i in range(24)]
     # Copies of one article (only the last block differs) are one article to their host; a few articles decide nothing.
     pages += [(100 + i, f"http://copies/{i}", page(f"<article><p>{shared_story}</p><p>seen {i}</p></article>")) for i in range(30)]
     pages += [(200 + i, f"http://small/{i}", article(i, "n")) for i in range(9)]
-    # Articles of the notice alone stay.
+    # Near copies stay, whatever differs in them, and so does an article of the notice alone.
+    near = {400 + i: [words(31), shared_story, notice] for i in range(12)}
+    pages += [(i, f"http://near/{i}", page("<article><p>" + "</p><p>".join(b) + "</p></article>")) for i, b in near.items()]
     pages += [(300, "http://h/notice", page(f"<article><p>{notice}</p><p>{short}</p></article>"))]
     got = texts(frame, pages)
     want = {i: " ".join([f"n{i}", *stories[i]] + [shared_story] * (i % 3 == 0)) for i in range(24)}
     want |= {100 + i: f"{shared_story} seen {i}" for i in range(30)}
     want |= {200 + i: " ".join([notice, short, "n", *stories[i]] + [shared_story] * (i % 3 == 0)) for i in range(9)}
     want[300] = f"{notice} {short}"
-    assert got == want
+    assert got == want | {i: " ".join(b) for i, b in near.items()}
+
+
+def test_repeats_inside_articles_equal_brute_force(frame):
+    r = random.Random(8)
+    phrases = [" ".join(r.choices("abcdefgh", k=r.randint(1, 5))) for _ in range(12)]
+
+    def block(host):
+        # Hosts have phrases that most of their articles hold, in blocks of their own or within others.
+        some = [r.choice(phrases[:2] if r.random() < 0.5 else phrases) if r.random() < 0.6 else f"{host}{r.randrange(10**6)}" for _ in range(r.randint(1, 5))]
+        return " ".join(some)
+
+    articles = [(i, f"h{i % 4}", [block(f"h{i % 4}") for _ in range(r.randint(1, 7))]) for i in range(160)]
+    articles += [(1000 + i, host, own) for i, host, own in articles[::5]]
+    run, least, share = 3, 6, 0.2
+    hosts = {}
+    for _, host, own in articles:
+        tokens = " ".join(own).split()
+        suffixes = {tuple(tokens[i : i + run]) for i in range(max(len(tokens) - run + 1, 1))}
+        hosts.setdefault(host, {}).setdefault(max(own, key=lambda b: (len(b), b)), set()).update(suffixes)
+    want, gone = {}, 0
+    for i, host, own in articles:
+        tokens, contents = [(t, n) for n, b in enumerate(own) for t in b.split()], hosts[host].values()
+        covered = set()
+        for at in range(max(len(tokens) - run + 1, 1)):
+            part = tokens[at : at + run]
+            n = sum(tuple(t for t, _ in part) in c for c in contents)
+            if n >= least and n >= share * len(contents):
+                covered.update(range(at, at + len(part)))
+        free = {n for p, (_, n) in enumerate(tokens) if p not in covered}
+        left = [b for n, b in enumerate(own) if n in free]
+        keep = left if 2 * sum(map(len, left)) > sum(map(len, own)) else own
+        gone += len(own) - len(keep)
+        want[i] = " ".join(keep)
+    assert gone > 20
+    pages = [(i, f"http://{host}/{i}", page("<article>" + "".join(f"<p>{b}</p>" for b in own) + "</article>")) for i, host, own in articles]
+    assert texts(frame, pages, min_run=run, min_articles=least, most_share=share) == want
