@@ -67,11 +67,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, l
     return per.select("source", "s", "source_size", target.alias("target"))
 
 
-def permuted(x: Column, n: Column, seed: list[Column]) -> Column:
-    """A pseudorandom permutation of 0..n-1, chosen by the seed.
-
-    An affine map, then numbers as a grid whose columns and rows are turned by hashes, then an affine map.
-    """
+def permutation(n: Column, seed: list[Column]) -> dict[str, Column]:
+    """The numbers that make up a pseudorandom permutation of 0..n-1, chosen by the seed: the same for all that it permutes."""
 
     def multiplier(which: int) -> Column:
         first = F.pmod(F.xxhash64(*seed, F.lit(which)), F.lit(len(PRIMES))).cast("int")
@@ -80,17 +77,28 @@ def permuted(x: Column, n: Column, seed: list[Column]) -> Column:
         # Two of the primes could only both divide n above 10^12 blocks, three above 10^18.
         return F.when(n % turns[0] != 0, turns[0]).when(n % turns[1] != 0, turns[1]).otherwise(turns[2])
 
-    def affine(v: Column, which: int) -> Column:
-        return (v * multiplier(which) + F.pmod(F.xxhash64(*seed, F.lit(which + 10)), n)) % n
+    def shift(which: int) -> Column:
+        return F.pmod(F.xxhash64(*seed, F.lit(which + 10)), n)
 
     width = F.greatest(F.floor(F.sqrt(n.cast("double"))).cast("long"), F.lit(1))
     whole = n - n % width
-    v = affine(x, 1)
-    row, col = F.floor(v / width).cast("long"), v % width
-    rows = F.greatest(F.floor(whole / width).cast("long"), F.lit(1))
-    row = (row + F.pmod(F.xxhash64(*seed, F.lit(30), col), rows)) % rows
-    turned = F.when(v < whole, row * width + (col + F.pmod(F.xxhash64(*seed, F.lit(20), row), width)) % width).otherwise(v)
-    return affine(turned, 2)
+    height = F.greatest(F.floor(whole / width).cast("long"), F.lit(1))
+    return {"by_1": multiplier(1), "on_1": shift(1), "by_2": multiplier(2), "on_2": shift(2), "width": width, "whole": whole, "height": height}
+
+
+def permuted(x: Column, n: Column, seed: list[Column], made_of: dict[str, Column] | None = None) -> Column:
+    """A pseudorandom permutation of 0..n-1, chosen by the seed.
+
+    An affine map, then numbers as a grid whose columns and rows are turned by hashes, then an affine map.
+    Where there are many x, ``made_of`` holds columns in which ``permutation`` was computed before: Java does
+    not compile the code of rows that hold it all, and runs it a hundred times as long.
+    """
+    p = made_of or permutation(n, seed)
+    v = (x * p["by_1"] + p["on_1"]) % n
+    row, col = F.floor(v / p["width"]).cast("long"), v % p["width"]
+    row = (row + F.pmod(F.xxhash64(*seed, F.lit(30), col), p["height"])) % p["height"]
+    turned = row * p["width"] + (col + F.pmod(F.xxhash64(*seed, F.lit(20), row), p["width"])) % p["width"]
+    return (F.when(v < p["whole"], turned).otherwise(v) * p["by_2"] + p["on_2"]) % n
 
 
 def in_blocks(sources: DataFrame, block_words: int, source_blocks: int, limit: int) -> DataFrame:
@@ -115,7 +123,7 @@ def unfolded(rows: DataFrame, count: str, out: str, keep: list[str]) -> DataFram
         low = F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("low")
         rows = rows.select(*keep, count, out, low).withColumn(out, F.shiftleft(F.col(out), UNFOLD_LOG2) + F.col("low")).drop("low")
         if step:
-            rows = rows.repartition(tasks, *keep[:1], out)
+            rows = rows.repartition(tasks, *keep[:2], out)
     return rows
 
 
@@ -124,9 +132,18 @@ def slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     placed = shared.in_order(sources, F.col("s"), name="mix-slots")
     placed = shared.running_total(placed, [], "chunk", [F.col("s")], "slots", "slots_before")
     total = sources.agg(F.sum("slots")).first()[0] or 0
-    rows = unfolded(placed, "slots", "j", ["s", "blocks", "slots_before"])
-    again = F.floor(F.col("j") / F.col("blocks")).cast("long")
-    block = permuted(F.col("j") % F.col("blocks"), F.col("blocks"), [F.col("s"), again])
+    # A row for each pass over a source, with its permutation; a pass takes each block once, the last one maybe not all.
+    passes = F.floor((F.col("slots") - 1) / F.col("blocks")).cast("long")
+    rows = placed.withColumn("again", F.explode(F.sequence(F.lit(0).cast("long"), passes)))
+    before = F.col("again") * F.col("blocks")
+    seed = [F.col("s"), F.col("again")]
+    made_of = permutation(F.col("blocks"), seed)
+    rows = rows.select(
+        *seed, "blocks", (F.col("slots_before") + before).alias("slots_before"), F.least("blocks", F.col("slots") - before).alias("taken"),
+        *[c.alias(name) for name, c in made_of.items()],
+    )
+    rows = unfolded(rows, "taken", "j", ["s", "again", "blocks", "slots_before", *made_of])
+    block = permuted(F.col("j"), F.col("blocks"), seed, {name: F.col(name) for name in made_of})
     at = permuted(F.col("slots_before") + F.col("j"), F.lit(total).cast("long"), [F.lit("shard")])
     shard, place = F.floor(at / F.lit(shard_slots)).cast("long"), at % F.lit(shard_slots).cast("long")
     return rows.select(shard.alias("shard"), place.alias("place"), "s", block.alias("block"))

@@ -1,3 +1,5 @@
+import contextlib
+import io
 import math
 import re
 from collections import Counter
@@ -104,6 +106,32 @@ def test_unfolding_numbers_every_slot_once(spark, monkeypatch):
     assert got == Counter((i, j) for i, n in enumerate((1, 7, 8, 9, 64, 65, 700)) for j in range(n))
 
 
+def test_slots_are_made_by_code_that_java_compiles(spark):
+    """Methods above 8,000 bytes are interpreted: the permutations' parameters must not be computed for each slot."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = mixing.slots(plan_of(spark, [(3000, 4500), (700, 1400)]), 100).groupBy("s", "block").count()
+        told = io.StringIO()
+        with contextlib.redirect_stdout(told):
+            plan.explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", told.getvalue())]
+    assert sizes and max(sizes) < 8000
+
+
+def test_slots_of_several_passes_follow_one_permutation_each(spark):
+    """The blocks of a pass are those of its permutation, also if it is cut short."""
+    found = mixing.slots(plan_of(spark, [(70, 175)]).withColumn("slots", F.lit(175).cast("long")), 16).groupBy("block").count().collect()
+    x, n = F.col("id"), F.lit(70).cast("long")
+    want = Counter()
+    for again, size in enumerate((70, 70, 35)):
+        seed = [F.lit(0).cast("long"), F.lit(again).cast("long")]
+        want.update(r.y for r in spark.range(size).select(mixing.permuted(x, n, seed).alias("y")).collect())
+    assert {r.block: r["count"] for r in found} == dict(want)
+
+
 def test_reruns_agree(frame):
     a, b = (sorted(map(tuple, mixing.mix(frame(documents()).repartition(n)).collect())) for n in (2, 5))
     assert a == b
