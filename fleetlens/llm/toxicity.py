@@ -15,7 +15,8 @@ rows every score is 0.5; other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,7 +77,7 @@ class Ftrl:
         over = np.abs(z) - self.l1
         return np.where(over > 0, -np.sign(z) * over / ((self.beta + np.sqrt(n)) / self.alpha + self.l2), 0.0)
 
-    def fit(self, rows: list[tuple[np.ndarray, int]], bits: int = BITS) -> Model:
+    def fit(self, rows: Sequence[tuple[np.ndarray, int]], bits: int = BITS) -> Model:
         """rows: distinct features and label of each example."""
         if not rows:
             return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, bits)
@@ -95,9 +96,37 @@ class Ftrl:
                 n[at] = ni + g * g
                 base_n += g * g
                 base -= self.alpha / np.sqrt(base_n) * (g + 0.01 * (base - base0))
-        w = self.weights(z, n)
-        at = np.flatnonzero(w)
-        return Model(at, w[at].astype(np.float32), float(base), bits)
+        # All other weights are 0; whole tables of intermediate results would be several times z and n.
+        at = np.flatnonzero((z > self.l1) | (z < -self.l1))
+        w = self.weights(z[at], n[at])
+        at, w = at[w != 0], w[w != 0]
+        return Model(at, w.astype(np.float32), float(base), bits)
+
+
+class Examples(Sequence):
+    """Examples in the order of their identifiers, features of all in one buffer: thousands of pieces
+    of memory among other objects would stay with the driver when the model is made."""
+
+    def __init__(self, rows: Iterable[tuple[int, int, bytes]]):
+        self.data, ids, labels, sizes = bytearray(), array("q"), array("i"), array("q")
+        for id_, y, at in rows:
+            self.data += at
+            ids.append(id_)
+            labels.append(y)
+            sizes.append(len(at))
+        self.ends = np.cumsum(np.array(sizes, np.int64))
+        self.starts = self.ends - np.array(sizes, np.int64)
+        self.labels = np.array(labels, np.int64)
+        self.order = np.lexsort((self.labels, np.array(ids, np.int64)))
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, int]:
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        k = self.order[i]
+        return np.frombuffer(self.data, "<i4", (self.ends[k] - self.starts[k]) // 4, self.starts[k]), int(self.labels[k])
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train_rows: int, ftrl: Ftrl) -> Model:
@@ -119,8 +148,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
     found = texts.join(usable, "_id").mapInArrow(extracted, "id long, y int, at binary")
     # One row for each identifier, fetched a partition at a time.
     found = found.groupBy("id", "y").agg(F.max("at").alias("at"))
-    rows = sorted((r.id, r.y, bytes(r.at)) for r in found.toLocalIterator())
-    return ftrl.fit([(np.frombuffer(at, "<i4"), y) for _, y, at in rows])
+    return ftrl.fit(Examples((r.id, r.y, r.at) for r in found.toLocalIterator()))
 
 
 def scored(df: DataFrame, model: Model, id_col: str, text_col: str, threshold: float, keep: list[str] = ()) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -79,3 +80,28 @@ def test_weights_are_sparse():
     f = toxicity.Features()
     model = toxicity.Ftrl().fit([(np.unique(f.of(t)), y) for (_, t), (_, y) in zip(rows, labels, strict=True)])
     assert 0 < len(model.index) < 2000
+
+
+def test_examples_are_those_of_a_sorted_list():
+    f = toxicity.Features()
+    rows = [(i * 37 % 101 - 50, i % 3 == 0, np.unique(f.of(f"w{i % 7} and w{i % 11} or w{i}"))) for i in range(101)]
+    examples = toxicity.Examples((i, int(y), bytearray(at.astype("<i4").tobytes())) for i, y, at in rows)
+    plain = [(at, int(y)) for _, y, at in sorted(rows, key=lambda r: r[0])]
+    assert [(list(at), y) for at, y in examples] == [(list(at), y) for at, y in plain]
+    one, two = toxicity.Ftrl(l1=0.001).fit(examples), toxicity.Ftrl(l1=0.001).fit(plain)
+    assert len(one.index) and one.base == two.base
+    assert list(one.index) == list(two.index) and list(one.weight) == list(two.weight)
+    empty = toxicity.Ftrl().fit(toxicity.Examples(iter([])))
+    assert len(empty.index) == 0 and empty.base == 0.0
+
+
+def test_fitting_holds_two_tables_of_weights_on_the_driver():
+    """Intermediate results of the whole table would be several more."""
+    f = toxicity.Features()
+    rows = [(np.unique(f.of(t)), y) for t, y in (("good words", 0), ("bad words", 1))]
+    tracemalloc.start()
+    try:
+        toxicity.Ftrl(epochs=1).fit(rows, bits=21)
+        assert tracemalloc.get_traced_memory()[1] < 3 * 8 << 21
+    finally:
+        tracemalloc.stop()
