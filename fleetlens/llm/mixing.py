@@ -90,8 +90,7 @@ def permuted(x: Column, n: Column, seed: list[Column], made_of: dict[str, Column
     """A pseudorandom permutation of 0..n-1, chosen by the seed.
 
     An affine map, then numbers as a grid whose columns and rows are turned by hashes, then an affine map.
-    Where there are many x, ``made_of`` holds columns in which ``permutation`` was computed before: Java does
-    not compile the code of rows that hold it all, and runs it a hundred times as long.
+    Where there are many x, ``made_of`` holds columns in which ``permutation`` was computed before.
     """
     p = made_of or permutation(n, seed)
     v = (x * p["by_1"] + p["on_1"]) % n

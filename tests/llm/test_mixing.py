@@ -1,5 +1,3 @@
-import contextlib
-import io
 import math
 import re
 from collections import Counter
@@ -106,19 +104,11 @@ def test_unfolding_numbers_every_slot_once(spark, monkeypatch):
     assert got == Counter((i, j) for i, n in enumerate((1, 7, 8, 9, 64, 65, 700)) for j in range(n))
 
 
-def test_slots_are_made_by_code_that_java_compiles(spark):
-    """Methods above 8,000 bytes are interpreted: the permutations' parameters must not be computed for each slot."""
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        plan = mixing.slots(plan_of(spark, [(3000, 4500), (700, 1400)]), 100).groupBy("s", "block").count()
-        told = io.StringIO()
-        with contextlib.redirect_stdout(told):
-            plan.explain("codegen")
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
-    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", told.getvalue())]
-    assert sizes and max(sizes) < 8000
+def test_permutations_are_made_once_a_pass(spark):
+    """What all numbers of a permutation share is computed before rows are unfolded, not for each slot."""
+    plan = mixing.slots(plan_of(spark, [(3000, 4500), (700, 1400)]), 100).select("s", "block")._jdf.queryExecution().optimizedPlan().toString()
+    each_slot, before = plan.split("RepartitionByExpression", 1)
+    assert "xxhash64" in each_slot and str(mixing.PRIMES[0]) not in each_slot and str(mixing.PRIMES[0]) in before
 
 
 def test_slots_of_several_passes_follow_one_permutation_each(spark):
