@@ -168,3 +168,62 @@ def test_copies_of_training_texts_score_higher(frame):
     for r in result(frame(rows + copies), Model(mass=(5.0, 5.0))):
         if r[0] is not None and r[0] >= 5000:
             assert r[1] and r[5] < r[6] < 0
+
+
+def test_lookups_do_not_grow_with_the_number_of_runs(frame, monkeypatch, tmp_path):
+    """A part answers all runs at once: a row for each run and part took a lookup of its own."""
+    log = str(tmp_path / "lookups")
+
+    class Spy(lmscore.Parts):
+        @staticmethod
+        def of(*args):
+            found = lmscore.Parts.of(*args)
+            return Spy(found.bits, found.start, found.size, found.hashes)
+
+        def levels(self, part, keys):
+            if len(keys):
+                with open(log, "a") as out:
+                    out.write("x")
+            return super().levels(part, keys)
+
+    rows, calls, got = corpus(3), [], []
+    for partitions in (2, 20):
+        with monkeypatch.context() as patch:
+            patch.setattr(lmscore, "Parts", Spy)
+            got.append(result(frame(rows).repartition(partitions), replace(SURE, frequent_words=20, part_ngrams=1000, broadcast_bytes=0)))
+        with open(log) as found:
+            calls.append(len(found.read()) - sum(calls))
+    same(got[0], got[1])
+    assert calls[0] == calls[1] > 0
+
+
+def test_many_runs_and_blocks_give_the_same(frame):
+    """Runs with and without held-out texts, n-grams that a run has often, words that many runs have."""
+    rows = corpus(4, docs=150) + [(5000, "again " * 2000), (5001, None), (None, "")]
+    model = replace(SURE, frequent_words=5, part_ngrams=64, run_chars=300)
+    got = result(frame(rows), replace(model, broadcast_bytes=0))
+    same(got, result(frame(rows), replace(model, broadcast_bytes=1 << 30)))
+    assert {r[0] for r in got if not r[1]} and {r[0] for r in got if r[1]}
+
+
+@pytest.mark.parametrize("order", [1, 2])
+def test_keys_come_back_from_rows(order):
+    draw = np.random.default_rng(order)
+    width = 64 if order == 1 else lmscore.KEY_BITS + 7
+    keys = np.unique(draw.integers(0, 1 << 64, 900, dtype=np.uint64) >> np.uint64(64 - width))
+    n = np.minimum(draw.zipf(1.5, len(keys)), 2000)
+    sent = pa.Table.from_batches([lmscore.asked_rows(run, run == 1, order, keys, n, 7) for run in (0, 1)] + [lmscore.asked_rows(2, False, order, keys[:0], n[:0], 7)])
+    found = []
+    for block in range(1 << 7 - lmscore.BLOCK_BITS):
+        k, times = lmscore.asked_keys(sent.filter(pa.compute.equal(sent["block"], block)), order)
+        k = k if order == 1 else k | np.uint64(block) << np.uint64(width - 7 + lmscore.BLOCK_BITS)
+        found += zip(k.tolist(), times.tolist(), strict=True)
+    assert sorted(found) == sorted([*zip(keys.tolist(), n.tolist(), strict=True), *((k, 0) for k in keys.tolist())])
+
+
+def test_hashes_are_found():
+    draw = np.random.default_rng(8)
+    for keys in (np.unique(draw.integers(0, 1 << 49, 5000, dtype=np.uint64)), np.array([5], np.uint64), np.arange(40, dtype=np.uint64)):
+        table = lmscore.Hashes(keys, 49)
+        asked = np.concatenate([keys, keys + np.uint64(1), draw.integers(0, 1 << 49, 300, dtype=np.uint64), np.zeros(1, np.uint64)])
+        assert (table.places(asked) == np.minimum(np.searchsorted(keys, asked), len(keys) - 1)).all()
