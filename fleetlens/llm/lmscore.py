@@ -74,7 +74,7 @@ class Tokens:
         self.id = np.insert(h, bounds[1:], END)
         self.size = np.diff(bounds) + 1
         self.first = np.cumsum(self.size) - self.size
-        self.place = np.arange(len(self.id)) - np.repeat(self.first, self.size)
+        self.place = np.arange(len(self.id), dtype=np.int32) - np.repeat(self.first.astype(np.int32), self.size)
 
     def before(self, back: int) -> np.ndarray:
         """The token ``back`` places before each, or the begin of the text."""
@@ -321,7 +321,13 @@ class Hashes:
         self.begin = np.cumsum(size) - size
 
     def places(self, asked: np.ndarray) -> np.ndarray:
-        """Place of each asked hash, or of a hash that is not smaller, or the last."""
+        """Place of each asked hash, or of the next one that is there, or the last; some hashes at a time, as they fit into caches."""
+        out = np.zeros(len(asked), np.int32)
+        for a in range(0, len(asked), 1 << 18):
+            out[a : a + (1 << 18)] = self.some_places(asked[a : a + (1 << 18)])
+        return out
+
+    def some_places(self, asked: np.ndarray) -> np.ndarray:
         at = np.minimum(self.begin[(asked >> self.shift).astype(np.int64)], len(self.keys) - 1)
         on = np.flatnonzero(self.keys[at] < asked)
         while len(on):
@@ -640,28 +646,27 @@ def scored_by_parts(docs: DataFrame, words: DataFrame, known: Known, model: Mode
         by_order = [answers.filter(pa.compute.equal(answers["order"], order)) for order in range(1, model.order + 1)]
         found = [numbers(some["levels"], some["n"].to_numpy()).astype(np.uint8) for some in by_order]
 
-        all_ = np.concatenate([t.id for _, t in tokens])
-        ids = distinct(all_)
+        ids = distinct(np.concatenate([t.id for _, t in tokens]))
         frequent, exact = known.counts(ids)
         rare = np.flatnonzero(~frequent)
         rare = rare[np.argsort(word_keys(ids[rare]))]
         exact[rare] = whole(by_order[0]["counts"]).view("<i8")
         level = np.zeros(len(ids), np.uint8)
         level[rare] = found[0]
-        at = Hashes(ids).places(all_)
-        frequent, exact, levels = frequent[at], exact[at], [level[at]]
+        table, levels = Hashes(ids), []
         for order in range(2, model.order + 1):
             keys = order_keys(tokens, order, part_bits)
-            levels.append(np.zeros(len(all_), np.uint8))
+            levels.append(np.zeros(sum(len(t.id) for _, t in tokens), np.uint8))
             if len(keys):
                 levels[-1][np.concatenate([t.has(order) for _, t in tokens])] = found[order - 1][Hashes(distinct(keys), KEY_BITS + part_bits).places(keys)]
         out, end = [], 0
         for first, t in tokens:
             here = slice(end, end := end + len(t.id))
-            lookup = lambda _, order, mask: levels[order - 1][here][mask]  # noqa: B023, E731
+            at = table.places(t.id)
+            lookup = lambda _, order, mask: (level[at] if order == 1 else levels[order - 2][here])[mask]  # noqa: B023, E731
             doc_ids = rows["doc_id"].slice(first, len(t.size)).to_pylist()
             held = [run["held_out"][0].as_py()] * len(doc_ids)
-            out.append(scored(doc_ids, held, t, frequent[here], exact[here], known, model, lookup, run["run"][0].as_py() + first))
+            out.append(scored(doc_ids, held, t, frequent[at], exact[at], known, model, lookup, run["run"][0].as_py() + first))
         return pa.Table.from_batches(out).select([c.split()[0] for c in ROWS.split(", ")])
 
     levels = runs.mapInArrow(ask, ASKED).groupBy("block").applyInArrow(answer, ANSWERED)
